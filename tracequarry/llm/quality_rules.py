@@ -12,6 +12,8 @@ from .common import cut
 
 #: A host goes when its shrunk failure rate is above this share.
 MOST_HOST_FAILURES = 0.5
+#: Up to so many rejected hosts are broadcast; beyond that both sides are joined by host.
+BROADCAST_HOSTS = 100_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -75,10 +77,13 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``kept`` is false if the text fails a base rule or its host's shrunk failure rate is above ``most_failures``.
     Null text counts as empty (no words: fails); a null host is no host and only the base rules decide;
     repeated rows count as often as they occur; other columns are not read.  The measures are written once,
-    then aggregated by host (partial sums) and joined back; large hosts are split by the skew join.
+    then aggregated by host (partial sums); the rejected hosts are joined back, broadcast when they are few
+    enough, else by host with large hosts split by the skew join.
     """
     measures = cut(text_measures(docs, id_col=id_col, text_col=text_col, host_col=host_col))
-    bad = host_rates(measures).where(F.col("shrunk") > most_failures).select("host", F.lit(True).alias("_bad"))
+    bad = cut(host_rates(measures).where(F.col("shrunk") > most_failures).select("host", F.lit(True).alias("_bad")))
+    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
     return measures.join(bad, "host", "left").select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("_bad").isNull()).alias("kept")
     )
