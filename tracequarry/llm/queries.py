@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kk_sharding, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
+from . import kk_sharding, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rate_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_sharding.shard_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op6_quality_rules, op9_suffix_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op6_quality_rules, op8_mixing, op9_suffix_dedup, op10_sharding)}
 
 OP4_SQL = r"""
 WITH RECURSIVE tags AS (
