@@ -3,8 +3,8 @@
 A full suffix array of a large corpus would have to be moved as a whole.  So the candidates are found first:
 in each window of ``length`` bytes the ``GRAM``-byte string of smallest hash is an anchor, and equal windows
 have equal anchors at the same place.  Only what surrounds anchors that occur twice is gathered, by anchor,
-into shards; each shard gets a suffix array (Larsson-Sadakane refinement) and common prefixes (Kasai), and
-the shards of one very frequent anchor are merged pair by pair by binary search.  Nothing is sampled: every
+into shards; each shard gets sparse suffix arrays (Larsson-Sadakane doubling over the anchors' suffixes) and the common
+prefixes of neighbours, and the shards of one very frequent anchor are merged pair by pair by binary search.  Nothing is sampled: every
 window has an anchor, and every anchor that occurs twice is compared byte by byte.
 """
 
@@ -23,7 +23,7 @@ from .common import cut, text_slices
 
 LENGTH, GRAM = 200, 32
 #: Contexts that a shard holds; an anchor with more distinct contexts is dealt over several shards.
-SHARD_CONTEXTS = 512
+SHARD_CONTEXTS = 2048
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -72,158 +72,102 @@ def find_anchors(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH) ->
 
 
 # -- suffix arrays ------------------------------------------------------------------------------------------
-def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """``starts`` sorted by the ``length`` bytes that follow them (text is padded by zeros).
+def suffix_order(words: np.ndarray) -> np.ndarray:
+    """Rows of a matrix of words in lexicographic order, by Larsson-Sadakane doubling.
 
-    Larsson-Sadakane: order by eight bytes, then again and again order each group of equal beginnings by the
-    rank of what follows the part already compared; groups of one are settled and left alone.
+    Places of a row are ranked by one word, then by two, four and so on: the rank of twice as many words is that of
+    the pair of ranks of both halves.  Only every second place is needed in each round.
     """
-    n = len(text)
-    steps, depth = [], 8
-    while depth < length:
-        steps.append(min(depth, length - depth))
-        depth += steps[-1]
-    needed = [starts]  # places whose ranks a round needs, from the last round back
-    for step in reversed(steps):
-        more = needed[-1] + step
-        needed.append(np.union1d(needed[-1], more[more < n]))
-    rank = np.zeros(n + length, np.int64)
-    place = needed.pop()
-    heads = eights(text, ">u8")[place]
-    order = np.argsort(heads, kind="stable")
-    place, heads = place[order], heads[order]
-    new = np.r_[True, heads[1:] != heads[:-1]]
-    rank[place] = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0)) + 1
-    for step in steps:
-        wanted = needed.pop()
-        mark = np.zeros(n, bool)
-        mark[wanted] = True
-        live = mark[place]
-        place, own = place[live], rank[place[live]]
-        same = np.r_[False, own[1:] == own[:-1]]
-        loose = np.flatnonzero(same | np.r_[same[1:], False])
-        if len(loose):
-            p = place[loose]
-            key = rank[p] * (len(rank) + 1) + rank[p + step]
-            order = np.argsort(key, kind="stable")
-            p, key = p[order], key[order]
-            place[loose] = p
-            lead = rank[p]
-            new = np.r_[True, key[1:] != key[:-1]]
-            group = np.r_[True, lead[1:] != lead[:-1]]
-            at = np.arange(len(p))
-            rank[p] = lead + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
-    return place
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, lanes: np.ndarray, width: np.ndarray, limit: int) -> np.ndarray:
-    """Bytes, up to ``limit``, that each start shares with its predecessor in ``order``, by Kasai's rule.
-
-    A lane is a run of neighbouring starts (from ``lanes[i]``, ``width[i]`` of them); along a lane a start shares at
-    least one byte less than the start before it, provided that the place after that start's predecessor is a
-    start too and that the order between the two was not a tie at ``limit``; else it is compared from its first byte.
-    All lanes advance together, eight bytes at a time.
-    """
-    n = len(text)
-    before = np.full(n + 1, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    out = np.zeros(n + 1, np.int64)
-    start = np.zeros(n + 2, bool)
-    start[order] = True
-    word = np.concatenate([eights(text), np.zeros(limit + 8, np.uint64)])
-    shared = np.zeros(len(lanes), np.int64)
-    for k in range(int(width.max(initial=0))):
-        lane = np.flatnonzero(width > k)
-        here = lanes[lane] + k
-        prev = before[here]
-        got = np.where(prev >= 0, shared[lane], 0)
-        busy = np.flatnonzero((prev >= 0) & (got < limit))
-        while len(busy):
-            diff = word[here[busy] + got[busy]] ^ word[prev[busy] + got[busy]]
-            equal = diff == 0
-            low = diff & (~diff + np.uint64(1))
-            step = np.where(equal, 8, np.log2(np.where(equal, 1, low).astype(np.float64)).astype(np.int64) // 8)
-            got[busy] += step
-            busy = busy[equal & (got[busy] < limit)]
-        out[here] = np.minimum(got, limit)
-        shared[lane] = np.where(start[prev + 1] & (out[here] < limit), np.maximum(out[here] - 1, 0), 0)
-    return out[order]
+    rank = np.unique(words, return_inverse=True)[1].reshape(words.shape) + 1 if words.size else words.astype(np.int64)
+    while rank.shape[1] > 1:
+        if rank.shape[1] % 2:
+            rank = np.concatenate([rank, np.zeros((len(rank), 1), rank.dtype)], axis=1)
+        pair = rank[:, ::2] * (int(rank.max(initial=0)) + 1) + rank[:, 1::2]
+        rank = np.unique(pair, return_inverse=True)[1].reshape(pair.shape) + 1
+    return np.argsort(rank[:, 0], kind="stable")
+
+
+def merge_orders(words: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One order of the rows in two sorted lists of rows: each row of the first is put in place by binary search."""
+    if not len(first) or not len(second):
+        return np.concatenate([first, second])
+    keys = np.ascontiguousarray(words.astype(">u8")).view(f"S{words.shape[1] * 8}").ravel()
+    at = np.searchsorted(keys[second], keys[first], side="right") + np.arange(len(first))
+    out = np.empty(len(first) + len(second), np.int64)
+    mine = np.zeros(len(out), bool)
+    mine[at] = True
+    out[at], out[~mine] = first, second
+    return out
 
 
-class Shard:
-    """Contexts (byte strings around an anchor) with the suffix array of all their windows."""
-
-    def __init__(self, contexts: list[bytes], origin: np.ndarray, length: int):
-        sizes = np.array([len(c) for c in contexts], np.int64)
-        self.text = np.frombuffer(b"".join(contexts), np.uint8)
-        self.begin = np.cumsum(sizes) - sizes
-        self.width = np.maximum(sizes - length + 1, 0)
-        self.length = length
-        self.context = np.repeat(np.arange(len(contexts)), self.width)
-        self.offset = np.arange(len(self.context)) - np.repeat(np.cumsum(self.width) - self.width, self.width)
-        starts = self.begin[self.context] + self.offset
-        own = np.repeat(origin, self.width) + self.offset  # names the window's place in the corpus
-        if not len(starts):
-            self.order, self.klass, self.lowest, self.highest, self.heads = starts, starts, own, own, starts
-            return
-        place = suffix_order(self.text, starts, length)
-        shared = common_prefixes(self.text, place, self.begin, self.width, length)
-        back = np.zeros(len(self.text), np.int64)
-        back[starts] = np.arange(len(starts))
-        self.order = back[place]
-        shared[0] = 0
-        cuts = np.flatnonzero(shared < length)
-        self.own = own
-        self.klass = np.cumsum(shared < length) - 1
-        sorted_own = own[self.order]
-        self.lowest, self.highest = np.minimum.reduceat(sorted_own, cuts), np.maximum.reduceat(sorted_own, cuts)
-        self.heads = place[cuts]
-
-    def repeated(self) -> np.ndarray:
-        """Per window (in order of contexts): whether an equal window starts elsewhere within the shard."""
-        out = np.zeros(len(self.context), bool)
-        if len(out):
-            out[self.order] = (self.lowest != self.highest)[self.klass]
+def common_prefixes(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row in ``order`` shares with the row before it (0 for the first)."""
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
         return out
+    diff = words[order[1:]] ^ words[order[:-1]]
+    at = (diff != 0).argmax(axis=1)
+    word = diff[np.arange(len(diff)), at]
+    zeros = np.zeros(len(word), np.int64)
+    for k in range(1, 8):
+        zeros += word < (np.uint64(1) << np.uint64(64 - 8 * k))
+    out[1:] = np.where(word == 0, words.shape[1] * 8, at * 8 + zeros)
+    return out
 
-    def keys(self) -> np.ndarray:
-        view = np.lib.stride_tricks.sliding_window_view(self.text, self.length)
-        return np.ascontiguousarray(view[self.heads]).view(f"S{self.length}").ravel()
-
-    def repeated_in(self, other: Shard) -> np.ndarray:
-        """Per window: whether an equal window starts elsewhere in ``other``; classes are found by binary search."""
-        out = np.zeros(len(self.context), bool)
-        if len(out) and len(other.heads):
-            mine, theirs = self.keys(), other.keys()
-            at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-            hit = theirs[at] == mine
-            low, high = other.lowest[at][self.klass], other.highest[at][self.klass]
-            own = self.own[self.order]
-            out[self.order] = hit[self.klass] & ((low != own) | (high != own))
-        return out
 
+def _matrix(strings: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), ">u8").reshape(len(strings), width // 8).astype(np.uint64)
 
-def _extent(shard: Shard, hit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    first, last = np.full(n, np.iinfo(np.int32).max, np.int64), np.full(n, -1, np.int64)
-    np.minimum.at(first, shard.context[hit], shard.offset[hit])
-    np.maximum.at(last, shard.context[hit], shard.offset[hit])
-    return first, last
+
+class Shard:
+    """Contexts of anchors with the suffix arrays of what follows each anchor's start and, read backwards, of what precedes it.
+
+    A window is ``o`` bytes before the anchor and ``length - o`` from it on.  Two windows are equal when the anchors'
+    rows stand in one class of both arrays, cut where neighbours share less than that.  ``halves`` tells
+    which of two blocks a context is from; their arrays are built apart and merged by binary search.
+    """
+
+    def __init__(self, contexts: list[bytes], lefts: np.ndarray, halves: np.ndarray, length: int):
+        self.length, self.left = length, lefts
+        self.right = np.array([len(c) for c in contexts], np.int64) - lefts
+        width = -(-length // 8) * 8
+        self.sides = []
+        for side in ([c[n:] for c, n in zip(contexts, lefts.tolist())], [c[:n][::-1] for c, n in zip(contexts, lefts.tolist())]):
+            words = _matrix(side, width)
+            orders = [np.flatnonzero(halves == h) for h in (0, 1)]
+            orders = [rows[suffix_order(words[rows])] for rows in orders]
+            order = merge_orders(words, *orders)
+            self.sides.append((order, common_prefixes(words, order)))
+
+    def _classes(self, side: int, depth: int) -> np.ndarray:
+        order, shared = self.sides[side]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(shared < depth)
+        return out
+
+    def extents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per context the smallest and largest ``o`` whose window occurs at another anchor (-1: none)."""
+        n = len(self.left)
+        least, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        for o in range(self.length - GRAM + 1):
+            fit = np.flatnonzero((self.left >= o) & (self.right >= self.length - o))
+            if len(fit) < 2:
+                continue
+            key = self._classes(0, self.length - o)[fit] * (n + 1) + self._classes(1, o)[fit]
+            order = np.argsort(key)
+            key = key[order]
+            same = np.r_[False, key[1:] == key[:-1]]
+            hit = fit[order[same | np.r_[same[1:], False]]]
+            most[hit] = o
+            least[hit[least[hit] < 0]] = o
+        return least, most
 
 
 def _compare(length: int):
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        """One bucket: part 0 alone, or part 0 against part 1."""
-        out = []
-        parts = [p.reset_index(drop=True) for _, p in rows.groupby("part")]
-        shards = [Shard(list(p["context"]), p["origin"].to_numpy(np.int64), length) for p in parts]
-        if len(parts) == 1:
-            if not rows["cross"].iloc[0]:
-                out.append((parts[0], _extent(shards[0], shards[0].repeated(), len(parts[0]))))
-        else:
-            for p, a, b in ((parts[0], shards[0], shards[1]), (parts[1], shards[1], shards[0])):
-                out.append((p, _extent(a, a.repeated_in(b), len(p))))
-        found = [p[["anchor", "around"]].assign(first=f, last=g)[g >= 0] for p, (f, g) in out]
-        return pd.concat(found) if found else pd.DataFrame({"anchor": [], "around": [], "first": [], "last": []}).astype("int64")
+        shard = Shard(list(rows["context"]), rows["before"].to_numpy(np.int64), rows["half"].to_numpy(), length)
+        least, most = shard.extents()
+        return rows[["anchor", "around"]].assign(least=least, most=most)[most >= 0]
 
     return compared
 
@@ -257,33 +201,32 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, around, origin, context) for the wanted places (anchor, around, _id, _digest, place)."""
+    """(anchor, around, before, context) for the wanted places (anchor, around, _id, _digest, place); before: bytes of it before the anchor."""
     side = length - GRAM
     lists = wanted.groupBy("_id", "_digest").agg(F.collect_list(F.struct("anchor", "around", "place")).alias("_wanted"))
     t, w = keyed.alias("t"), lists.alias("w")
-    joined = t.join(w, (F.col("t._digest") == F.col("w._digest")) & F.col("t._id").eqNullSafe(F.col("w._id"))).select("t._id", "t._digest", "_text", "_wanted").dropDuplicates(["_id", "_digest"])
+    joined = t.join(w, (F.col("t._digest") == F.col("w._digest")) & F.col("t._id").eqNullSafe(F.col("w._id"))).select("t._id", "t._digest", "_text", "_wanted").dropDuplicates(["_id", "_digest"]).select("_text", "_wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, d, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
-                base = int.from_bytes(hashlib.blake2b(f"{i}:{d}".encode(), digest_size=8).digest(), "little") >> 2
                 for x in wanted:
-                    left = max(0, x["place"] - side)
-                    rows.append((x["anchor"], x["around"], base + left, data[left : x["place"] + GRAM + side]))
+                    before = min(side, x["place"])
+                    rows.append((x["anchor"], x["around"], before, data[x["place"] - before : x["place"] + GRAM + side]))
                     if len(rows) >= 4096:
                         yield _batch(rows)
                         rows = []
             if rows:
                 yield _batch(rows)
 
-    return joined.mapInArrow(read, "anchor bigint, around bigint, origin bigint, context binary")
+    return joined.mapInArrow(read, "anchor bigint, around bigint, before bigint, context binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     a, b, c, d = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["anchor", "around", "origin", "context"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["anchor", "around", "before", "context"])
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,18 +245,16 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
     n_buckets = max(1, total // SHARD_CONTEXTS)
     blocks = F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("int")
     own = F.pmod(F.xxhash64("around"), blocks).cast("int")
-    common = contexts.where(F.col("kinds") <= SHARD_CONTEXTS).select("*", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)).alias("b0"), F.lit(-1).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("part"))
+    common = contexts.where(F.col("kinds") <= SHARD_CONTEXTS).select("*", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)).alias("b0"), F.lit(-1).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("half"))
     dealt = contexts.where(F.col("kinds") > SHARD_CONTEXTS).select("*", blocks.alias("blocks"), own.alias("own"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    hot = dealt.select(*contexts.columns, F.col("anchor").alias("b0"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("part"))
-    buckets = common.union(hot).select("anchor", "around", "origin", "context", "b0", "b1", "b2", "part", (F.col("b1") != F.col("b2")).alias("cross"))
-    extents = buckets.groupBy("b0", "b1", "b2").applyInPandas(_compare(length), "anchor bigint, around bigint, first bigint, last bigint")
-    extents = extents.groupBy("anchor", "around").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    hot = dealt.select(*contexts.columns, F.col("anchor").alias("b0"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("half"))
+    extents = common.union(hot).groupBy("b0", "b1", "b2").applyInPandas(_compare(length), "anchor bigint, around bigint, least bigint, most bigint")
+    extents = extents.groupBy("anchor", "around").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     alone = extents.join(classes.where("n > 1").select("anchor", "around"), ["anchor", "around"], "left_anti")
-    whole = classes.where("n > 1").select("anchor", "around", F.lit(0).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"))
-    cover = alone.unionByName(whole)
-    begin = F.greatest(F.col("place") - side, F.lit(0))
-    hit = seen.join(cover, ["anchor", "around"]).select("_id", "_digest", F.struct((begin + F.col("first")).alias("a"), F.coalesce(begin + F.col("last") + length, F.col("place") + GRAM + side).alias("b")).alias("span"))
+    whole = classes.where("n > 1").select("anchor", "around", F.lit(None).cast("bigint").alias("least"), F.lit(None).cast("bigint").alias("most"))
+    span = F.struct(F.greatest(F.col("place") - F.coalesce("most", F.lit(side)), F.lit(0)).alias("a"), F.coalesce(F.col("place") - F.col("least") + length, F.col("place") + GRAM + side).alias("b"))
+    hit = seen.join(alone.unionByName(whole), ["anchor", "around"]).select("_id", "_digest", span.alias("span"))
     return hit.groupBy("_id", "_digest").agg(F.collect_set("span").alias("spans"))
 
 
