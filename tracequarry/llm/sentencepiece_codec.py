@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Segments and piece pairs that a worker remembers, and the longest remembered segment.
-MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 300_000, 1_000_000, 48
+#: Segments (in each of two generations) and piece pairs that a worker remembers, and the longest remembered segment.
+MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 500_000, 1_000_000, 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -32,6 +32,7 @@ class PieceModel:
 
     def __init__(self, pieces: list[tuple[str, float, int]], kind: str, add_prefix: bool):
         self.kind, self.add_prefix = kind, add_prefix
+        self.key = hashlib.sha256(repr((pieces, kind, add_prefix)).encode()).hexdigest()
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
         self.score = [s for _, s, _ in pieces]
         self.text = [p for p, _, _ in pieces]
@@ -100,6 +101,7 @@ class Codec:
     def __init__(self, model: PieceModel):
         self.m = model
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         inner = sorted({c for p in model.ids if len(p) > 1 for c in p} - {SPACE})
         spaced = any(SPACE in p.lstrip(SPACE) for p in model.ids)
@@ -142,6 +144,8 @@ class Codec:
         boundary is final once the pass stands on it.
         """
         m, n, out = self.m, len(segment), []
+        if m.kind == "bpe" and n <= 2 * m.longest:
+            return self._window(segment)
         look, score, longest, floor, bpe, pairs = m.look.get, m.score, m.longest, m.floor, m.kind == "bpe", self.pairs
         base, window = 0, 4 * longest
         last: list = [None] * (n + 1 if n <= window else window + longest + 1)
@@ -201,6 +205,43 @@ class Codec:
         self._commit(out, last, back, base, n)
         return out
 
+    def _window(self, segment: str) -> list[int]:
+        """The same for a merge model's segment that one window holds as a whole: nothing is committed before its end."""
+        n, look, longest, known = len(segment), self.m.look.get, self.m.longest, self.pairs.get
+        last: list = [None] * (n + 1)
+        back = [0] * (n + 1)
+        for at in range(n):
+            before = last[at]
+            if before is None and at:
+                continue
+            for end in range(at + 1, min(n, at + longest) + 1):
+                if last[end] is not None:
+                    continue
+                k = look(segment[at:end])
+                if k is None:
+                    if end > at + 1:
+                        break
+                    k = -1 - ord(segment[at])
+                elif k < 0:
+                    if end > at + 1:
+                        continue
+                    k = -1 - ord(segment[at])
+                if before is None:
+                    ok = k < 0 or self.m.whole[k]
+                elif k < 0 or before < 0:
+                    ok = self.merged(self._text(before) + self._text(k)) == [self._text(before), self._text(k)]
+                else:
+                    ok = known(before << 20 | k)
+                    if ok is None:
+                        if len(self.pairs) >= PAIR_ENTRIES:
+                            self.pairs.clear()
+                        ok = self.pairs[before << 20 | k] = self.stable(before, k)
+                if ok:
+                    last[end], back[end] = k, at
+        out: list[int] = []
+        self._commit(out, last, back, 0, n)
+        return out
+
     def _text(self, k: int) -> str:
         return self.m.text[k] if k >= 0 else chr(-1 - k)
 
@@ -233,10 +274,13 @@ class Codec:
             joined = b"".join(map(memo.__getitem__, words))
         except KeyError:
             if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            own = {w: self.segment_ids(w) for w in set(words) if w not in memo}
-            memo.update((w, b) for w, b in own.items() if len(w) <= MEMO_CHARS)
-            joined = b"".join(memo[w] if w in memo else own[w] for w in words)
+                self.older, self.memo = memo, {}
+                memo = self.memo
+            older, long = self.older.get, {}
+            for w in set(words):
+                if w not in memo:
+                    (memo if len(w) <= MEMO_CHARS else long)[w] = older(w) or self.segment_ids(w)
+            joined = b"".join(memo[w] if w in memo else long[w] for w in words)
         return np.frombuffer(joined, dtype=np.int32)
 
     # -- decoding -------------------------------------------------------------------------------------------
@@ -246,6 +290,17 @@ class Codec:
         return raw[1:] if self.m.add_prefix and raw.startswith(" ") else raw
 
 
+_worker_codec: Codec | None = None
+
+
+def _codec(model: PieceModel) -> Codec:
+    """A worker keeps its codec, and so what it remembers, from one task to the next."""
+    global _worker_codec
+    if _worker_codec is None or _worker_codec.m.key != model.key:
+        _worker_codec = Codec(model)
+    return _worker_codec
+
+
 def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", rows_a_pass: int = 128) -> DataFrame:
     """(id, ids array<int>, decoded string) of every whole text; null and empty texts have no ids and decode to ''.
 
@@ -256,7 +311,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
     kind = src.schema[id_col].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(run.value)
+        codec = _codec(run.value)
         for batch in batches:
             for k in range(0, batch.num_rows, rows_a_pass):
                 part = batch.slice(k, rows_a_pass)
@@ -275,7 +330,7 @@ def encoding_digest(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
     kind = src.schema[id_col].dataType.simpleString()
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(run.value)
+        codec = _codec(run.value)
         for batch in batches:
             for k in range(0, batch.num_rows, rows_a_pass):
                 part = batch.slice(k, rows_a_pass)
