@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, kk_sharding, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
+from . import cap_filters, html_extract, kk_sharding, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rate_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_sharding.shard_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op5_cap_filters, op6_quality_rules, op8_mixing, op9_suffix_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op5_cap_filters, op6_quality_rules, op7_html_extraction, op8_mixing, op9_suffix_dedup, op10_sharding)}
 
 OP4_SQL = r"""
 WITH RECURSIVE tags AS (
