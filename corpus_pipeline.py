@@ -4,9 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracequarry.llm import mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup
 from tracequarry.llm.common import cut, table
+from tracequarry.llm.queries import vocabulary
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the text rules and whose host is not rejected."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    return ngram_jaccard.keep_one_of_each(docs, words=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that also occur elsewhere."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that bring domains to their target weights."""
+    return mixing.mixture(docs, table(spark, sf_dir, "labels"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids and decoded text of each document."""
+    return sentencepiece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources to target weights", target_weights),
+    ("SentencePiece encoding and decoding", encoding),
+]
+#: Removing repeated strings and encoding are no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -19,23 +19,25 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source") -> DataFrame:
+def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", keep: list[str] | None = None) -> DataFrame:
     """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of every whole text.
 
     All measures are array expressions within one row: nothing is exploded or shuffled.  Repeated windows
-    are found by sorting 64-bit hashes of the windows with their places.
+    are found by sorting 64-bit hashes of the windows with their places.  With ``keep`` the result has those columns of
+    ``docs`` and the measures as a struct ``_m``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.col(host_col) if host_col else F.lit(None).cast("string")
     body = F.btrim(text, F.lit(BLANKS))
     words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"[\x20\x09-\x0D]+"))
-    t = docs.select(F.col(id_col), host.alias("_host"), text.alias("_text"), words.alias("_words"))
+    row = F.struct(*(keep or [id_col])).alias("_row")
+    t = docs.select(row, host.alias("_host"), text.alias("_text"), words.alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     n = F.size("_words")
     windows = F.arrays_zip(F.slice("_words", F.lit(1), n - 2).alias("a"), F.slice("_words", F.lit(2), n - 2).alias("b"), F.slice("_words", F.lit(3), n - 2).alias("c"))
     hashes = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(windows, lambda w: F.xxhash64(w.getField("a"), w.getField("b"), w.getField("c"))))
     t = t.select(
-        id_col, "_host", n.cast("long").alias("n_words"),
+        "_row", "_host", n.cast("long").alias("n_words"),
         F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("_lines"), hashes.alias("_hashes"),
@@ -43,7 +45,7 @@ def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     t = t.select(
-        id_col, "_host", "n_words", "word_chars", "n_symbols",
+        "_row", "_host", "n_words", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(twice, placed).alias("_placed"),
     )
@@ -52,7 +54,8 @@ def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     covered = F.size(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
     t = t.withColumn("n_repeat_words", F.when(F.col("_placed").isNull(), F.lit(0)).otherwise(covered).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    return t.select(id_col, F.col("_host").alias("host"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    measures = [F.col("_host").alias("host"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed")]
+    return t.select("_row.*", F.struct(*measures).alias("_m")) if keep else t.select("_row.*", *measures)
 
 
 def host_rates(measures: DataFrame) -> DataFrame:
@@ -71,6 +74,11 @@ def host_rates(measures: DataFrame) -> DataFrame:
     return hosts.join(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("shrunk"))
 
 
+def _rejected_hosts(measures: DataFrame, most_failures: float) -> DataFrame:
+    bad = cut(host_rates(measures).where(F.col("shrunk") > most_failures).select(F.col("host").alias("_h")))
+    return F.broadcast(bad) if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else bad
+
+
 def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", most_failures: float = MOST_HOST_FAILURES) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row.
 
@@ -81,9 +89,17 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     enough, else by host with large hosts split by the skew join.
     """
     measures = cut(text_measures(docs, id_col=id_col, text_col=text_col, host_col=host_col))
-    bad = cut(host_rates(measures).where(F.col("shrunk") > most_failures).select("host", F.lit(True).alias("_bad")))
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return measures.join(bad, "host", "left").select(
+    bad = _rejected_hosts(measures, most_failures).withColumn("_bad", F.lit(True))
+    return measures.join(bad, F.col("host") == F.col("_h"), "left").select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("_bad").isNull()).alias("kept")
     )
+
+
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", most_failures: float = MOST_HOST_FAILURES) -> DataFrame:
+    """The rows that pass, with all their columns.
+
+    Base failures follow from the row alone, so texts are not moved: the measures are written beside the rows' own columns.
+    """
+    measured = cut(text_measures(docs, id_col=id_col, text_col=text_col, host_col=host_col, keep=docs.columns))
+    bad = _rejected_hosts(measured.select("_m.*"), most_failures)
+    return measured.where(~F.col("_m.base_failed")).join(bad, F.col("_m.host") == F.col("_h"), "left_anti").select(*docs.columns)
