@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_slices
 
 LENGTH, GRAM = 200, 32
-#: Contexts that a shard holds; an anchor with more distinct contexts is dealt over several shards.
-SHARD_CONTEXTS = 2048
+#: Contexts that a bucket holds; an anchor with more than the second number is dealt over several shards.
+BUCKET_CONTEXTS, SHARD_CONTEXTS = 4096, 8192
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -242,7 +242,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
     contexts = cut(_contexts(keyed, open_.drop("kinds"), length).join(several, "anchor"))
     total = contexts.count()
     # An anchor with many contexts is dealt into blocks; every two blocks meet in one bucket, so no pair is missed.
-    n_buckets = max(1, total // SHARD_CONTEXTS)
+    n_buckets = max(1, total // BUCKET_CONTEXTS)
     blocks = F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("int")
     own = F.pmod(F.xxhash64("around"), blocks).cast("int")
     common = contexts.where(F.col("kinds") <= SHARD_CONTEXTS).select("*", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)).alias("b0"), F.lit(-1).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("half"))
