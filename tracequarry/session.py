@@ -24,3 +24,24 @@ def get_spark(name: str = "tracequarry", cpus: int | None = None, partitions: in
     if "SPARK_MASTER" not in os.environ and SparkSession.getActiveSession() is None:
         builder = builder.master(f"local[{cpus}]").config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     return builder.getOrCreate()
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL names for what SQL cannot say: ``audit_deduction(text)`` and the table function ``run_scratchpad(text)``."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    from .operators import executor
+
+    @pandas_udf("is_valid boolean, certified_answer string, n_steps int, error_context string")
+    def audit_deduction(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([executor.audit(t or "") for t in text], columns=["is_valid", "certified_answer", "n_steps", "error_context"])
+
+    @udtf(returnType="step_index int, raw_text string, step_type string, expression string, value string, passed boolean, checkpoint_id string")
+    class RunScratchpad:
+        def eval(self, text: str):
+            for row in executor.Scratchpad().run(text or "").rows:
+                yield tuple(row.values())
+
+    spark.udf.register("audit_deduction", audit_deduction)
+    spark.udtf.register("run_scratchpad", RunScratchpad)
