@@ -38,9 +38,13 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def normal_words(c: Column) -> Column:
+    """Words in lower case of letters, digits and underscores only."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != "")
+
+
 def normalised(c: Column) -> Column:
-    """Lower case, letters, digits and underscores only, single spaces."""
-    return F.array_join(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != ""), " ")
+    return F.array_join(normal_words(c), " ")
 
 
 def shingles(c: Column, n: int = 8) -> Column:

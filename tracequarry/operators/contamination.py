@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalised, shingles
+from ..functions.text import normal_words
 
 #: Up to so many distinct benchmark runs are broadcast to the corpus; beyond that both sides are joined by run.
 BROADCAST_GRAMS = 500_000
 
 
+def _marks(words: Column, n: int) -> Column:
+    """128-bit hashes of the whole text (kind T) and of each distinct run of ``n`` words (kind G); a shorter text is one run."""
+    mark = lambda kind, w: F.struct(F.lit(kind).alias("kind"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"))
+    size = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: mark("G", F.slice(words, i, F.lit(n))))
+    return F.concat(F.array(mark("T", words)), F.when(size == 0, F.slice(runs, 1, 0)).otherwise(F.array_distinct(runs)))
+
+
 def contamination_status(train: DataFrame, bench: DataFrame, *, text_col: str = "text", id_col: str = "item_id", n: int = 8, least: int = 2) -> DataFrame:
     """(id, status, shared): exact if the normalised text is in the corpus, overlap from ``least`` shared runs, else clean.
 
-    The corpus is only ever filtered by the benchmark's runs on the map side, so what is shuffled is at most
-    the benchmark's own size per task.
+    The corpus is read once and turned into hashes of its texts and word runs; only those that the benchmark has
+    as well get past the scan, so what is shuffled is at most the benchmark's own size per task.
     """
-    items = bench.select(id_col, normalised(F.col(text_col)).alias("norm"))
-    grams = items.select(id_col, F.explode(shingles(F.col("norm"), n)).alias("gram"))
-    wanted = grams.select("gram").distinct()
-    texts = items.select("norm").distinct()
+    items = bench.select(id_col, F.explode(_marks(normal_words(F.coalesce(F.col(text_col), F.lit(""))), n)).alias("m")).select(id_col, "m.*")
+    wanted = items.select("kind", "h1", "h2").distinct()
     if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        wanted, texts = F.broadcast(wanted), F.broadcast(texts)
-    norm = train.select(normalised(F.col(text_col)).alias("norm"))
-    exact = norm.join(texts, "norm", "left_semi").distinct().withColumn("is_exact", F.lit(True))
-    seen = norm.select(F.explode(shingles(F.col("norm"), n)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
-    shared = grams.join(seen, "gram").groupBy(id_col).agg(F.count(F.lit(1)).alias("shared"))
-    joined = items.join(exact, "norm", "left").join(shared, id_col, "left")
-    count = F.coalesce("shared", F.lit(0))
-    status = F.when(F.col("is_exact"), "exact").when(count >= least, "overlap").otherwise("clean")
-    return joined.select(id_col, status.alias("status"), count.cast("long").alias("shared"))
+        wanted = F.broadcast(wanted)
+    words = train.select(normal_words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    seen = words.select(F.explode(_marks(F.col("w"), n)).alias("m")).select("m.*").join(wanted, ["kind", "h1", "h2"], "left_semi").distinct().withColumn("hit", F.lit(1))
+    found = items.join(seen, ["kind", "h1", "h2"], "left").groupBy(id_col).agg(F.count_if((F.col("kind") == "T") & F.col("hit").isNotNull()).alias("exact"), F.count_if((F.col("kind") == "G") & F.col("hit").isNotNull()).alias("shared"))
+    status = F.when(F.col("exact") > 0, "exact").when(F.col("shared") >= least, "overlap").otherwise("clean")
+    return found.select(id_col, status.alias("status"), F.col("shared").cast("long").alias("shared"))
 
 
 def partition_counts(status: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import registers as R
 from ..functions import steps as S
 from ..functions import text as T
 from ..operators import contamination, curriculum, energy, executor, generators, metrics, receipts, rewards, stats
-from ..sources.fixtures import ARMS, BUDGETS, MAX_TOKENS, RECEIPTS_SQL, TRACES_SQL, power_samples, table, traces
+from ..sources.fixtures import ARMS, BUDGETS, MAX_TOKENS, RECEIPTS_SQL, TRACES_SQL, power_samples, spread, table, traces
 from ..sources.fixtures import receipts as receipts_view
 
 QUERIES: dict = {}
@@ -168,7 +168,7 @@ status AS (SELECT b.item_id, CASE WHEN b.norm IN (SELECT norm FROM d) THEN 'exac
 
 @query(f"WITH {_STATUS} SELECT * FROM status")
 def contamination_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.contamination_status(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination.contamination_status(spread(table(spark, sf_dir, "documents").select("text")), table(spark, sf_dir, "benchmark"))
 
 
 @query(f"WITH {_STATUS} SELECT status, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM status GROUP BY status")
@@ -237,7 +237,7 @@ _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 
 @query(rf"""SELECT doc_id, coalesce(list_sum(list_transform({_WORDS}, lambda w: length(w) - length(translate(w, '{T.OPERATORS}', '')) + greatest(1, length(translate(w, '{T.OPERATORS}', '')) // 4))), 0)::BIGINT AS tokens, len({_WORDS}) AS words FROM documents""")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"), T.word_count(F.col("text")).cast("long").alias("words"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"), T.word_count(F.col("text")).cast("long").alias("words"))
 
 
 def _re(patterns, flags: str = "") -> str:
