@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import SparkSession
 
 #: UTC keeps timestamps comparable; adaptive execution splits skewed partitions and merges small ones.
@@ -28,7 +29,6 @@ def get_spark(name: str = "tracequarry", cpus: int | None = None, partitions: in
 
 def register_functions(spark: SparkSession) -> None:
     """SQL names for what SQL cannot say: ``audit_deduction(text)`` and the table function ``run_scratchpad(text)``."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     from .operators import executor

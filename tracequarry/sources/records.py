@@ -24,8 +24,10 @@ def read_tolerant(spark: SparkSession, path, schema: str) -> DataFrame:
 
 def read_quarantined(spark: SparkSession, path, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good records, malformed lines)."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.select("_corrupt_record").where("_corrupt_record is not null")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    good = rows.where("r._bad is null").select("r.*").drop("_bad")
+    return good, rows.where("r._bad is not null").select(F.col("value").alias("line"))
 
 
 def read_report_items(spark: SparkSession, path) -> DataFrame:
