@@ -1,36 +1,44 @@
-"""A corpus pipeline of operators; each stage is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of operators; each stage is written as Parquet and read again as the next one's documents.
+
+When a stage begins, its predecessor's result has been written, so it deletes the tables that one worked with.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequarry.llm import mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup
-from tracequarry.llm.common import cut, table
+from tracequarry.llm.common import drop_cuts, table, write_shared
 from tracequarry.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the text rules and whose host is not rejected."""
+    drop_cuts(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    drop_cuts(spark)
     return ngram_jaccard.keep_one_of_each(docs, words=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes that also occur elsewhere."""
+    drop_cuts(spark)
     return suffix_dedup.remove_repeats(docs)
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that bring domains to their target weights."""
+    drop_cuts(spark)
     return mixing.mixture(docs, table(spark, sf_dir, "labels"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and decoded text of each document."""
+    drop_cuts(spark)
     return sentencepiece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
 
 
@@ -48,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs, _ = write_shared(stage(spark, docs, sf_dir), "stage")
     return docs

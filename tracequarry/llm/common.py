@@ -14,7 +14,10 @@ PASS_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder.  A small one in fewer splits than there are cores is dealt out; larger ones stay as their files are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: later reads survive lost executors."""
+_cuts: list[str] = []
+
+
+def write_shared(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` has written so far; only for a caller whose earlier results are all written."""
+    sc = spark.sparkContext
+    while _cuts:
+        p = sc._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: later reads survive lost executors.
+
+    What was shuffled for it is not needed any more; Spark deletes such files once the driver's garbage
+    collector has found their plan unused, so it is asked to look.
+    """
+    out, path = write_shared(df, "cut")
+    _cuts.append(path)
+    return out
 
 
 def text_slices(column: pa.Array, limit: int = PASS_BYTES):

@@ -22,9 +22,9 @@ TARGETS = {"good": 0.90, "low": 0.095, "toxic": 0.005}
 #: smallest hash), texts and deviations a bucket needs to count at all, and the fixed point of its log odds.
 BUCKETS, TAILS, FIT_ROWS, LEAST_TEXTS, LEAST_DEVIATION, UNIT = 1 << 16, 256, 20_000, 5, 5.0, 1000
 #: Steps of the descent, their size, pull of each rate to 1, and the relative miss at which it stops.
-STEPS, STEP, PULL, CLOSE = 40, 0.8, 0.15, 2e-3
+STEPS, STEP, PULL, CLOSE = 40, 0.8, 0.1, 2e-3
 #: Rates this near to a whole number are that number, so texts that clearly belong to one domain are not drawn for.
-NEAR_WHOLE = 0.1
+NEAR_WHOLE = 0.2
 #: No text is taken more often than this.
 MOST_RATE = 1.0
 BLANKS = " \t\n\x0b\f\r"
@@ -44,8 +44,9 @@ def word_buckets(text: Column) -> Column:
     return F.concat(stems, tails)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], list[int]]:
-    """(prior of each domain, packed log odds of each bucket against the first domain) from at most ``fit_rows`` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], list[int], dict[str, float]]:
+    """(prior of each domain, packed log odds of each bucket against the first domain, shares of the domains among texts
+    without a telling bucket) from at most ``fit_rows`` labelled rows.
 
     A bucket counts for a domain if the texts of that domain that hold it are ``LEAST_DEVIATION`` standard deviations
     more or fewer than chance gives.  Priors are counted over all labels.  Without labels all priors are equal and all odds 0.
@@ -75,16 +76,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             odds.append(math.log((counts[d][b] + q) / (texts[d] + 1) / q) if told else 0.0)
         for k in range(1, len(DOMAINS)):
             packed[b] += round(UNIT * (odds[k] - odds[0])) << (32 * (k - 1))
-    return priors, packed
+    told = F.from_json(F.lit(str(packed)), "array<bigint>")
+    mute = {r["_domain"]: r["n"] for r in held.where(~F.exists("_b", lambda b: F.get(told, b) != 0)).groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    silent = {d: (mute.get(d, 0) + 1) / (sum(mute.values()) + len(DOMAINS)) for d in DOMAINS}
+    return priors, packed, silent
 
 
 def with_posteriors(docs: DataFrame, model, *, text_col: str = "text") -> DataFrame:
     """All columns, the words ``_tokens`` and the domain posteriors ``_p`` (array in the order of ``DOMAINS``).
 
-    A text without words has the priors.  The odds of a text are one sum over its buckets; the two domains'
+    A text without a telling bucket, so also one without words, has the shares of such texts.  The odds of a text are one sum over its buckets; the two domains'
     sums are its lower and upper 32 bits.
     """
-    priors, packed = model
+    priors, packed, silent = model
     base = DOMAINS[0]
     table = F.from_json(F.lit(str(packed)), "array<bigint>")
     rows = docs.withColumn("_buckets", word_buckets(F.col(text_col)))
@@ -92,8 +96,9 @@ def with_posteriors(docs: DataFrame, model, *, text_col: str = "text") -> DataFr
     low = F.pmod(F.col("_sum") + (1 << 31), F.lit(1 << 32)) - (1 << 31)
     rows = rows.withColumn("_low", low)
     sums = [F.col("_low"), F.shiftright(F.col("_sum") - F.col("_low"), 32)]
-    exps = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), math.log(priors[d] / priors[base]) + x / float(UNIT)))) for d, x in zip(DOMAINS[1:], sums)]
-    rows = rows.select(*docs.columns, "_tokens", F.array(*exps).alias("_e"))
+    odds_of = [F.lit(0.0)] + [F.when(F.col("_sum") == 0, math.log(silent[d] / silent[base])).otherwise(math.log(priors[d] / priors[base]) + x / float(UNIT)) for d, x in zip(DOMAINS[1:], sums)]
+    rows = rows.select(*docs.columns, "_tokens", F.array(*odds_of).alias("_o"))
+    rows = rows.select(*docs.columns, "_tokens", F.transform("_o", lambda x: F.exp(F.greatest(F.lit(-50.0), x - F.array_max("_o")))).alias("_e"))
     return rows.select(*docs.columns, "_tokens", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).alias("_p"))
 
 

@@ -1,14 +1,17 @@
 """N-gram Jaccard join in metric space: regions around pivots, triangle-inequality windows, exact recursion.
 
 Jaccard distance is a metric, but in a corpus nearly all pairs of texts are at distance exactly 1, so cells of
-pivots drawn at random say nothing about them.  The first level therefore forms its cells around what can be near at
-all: two texts within the threshold share a shingle among the first few of each in a common order (rarest
-first), so each such shingle is a cell and its smallest class of equal texts the cell's pivot.  Every member is compared with the
-pivot exactly; a text belongs to every cell it may share with a partner, which replicates it across boundaries.
-Members linked to the pivot are connected already.  Only cells that still hold several components recurse: new pivots are
-drawn from them, and a pair is compared only if its distances to the last pivot differ by no more than the threshold
-(the triangle inequality excludes the others).  Small cells are finished at once.  No pair within the threshold is missed;
-pairs inside one component need no comparison, since only components are asked for.
+pivots drawn at random say nothing about them.  Pivots are therefore drawn from what can be near at all: two texts
+within the threshold share a shingle among the first few of each in a common order (rarest first), and the
+smallest class of equal texts that has such a shingle is a pivot for all that have it.  A text belongs to the region of each of its
+pivots, which replicates it across boundaries: two texts within the threshold meet in a region.
+Each text carries a small histogram of its shingles; the sum of two histograms' differences never exceeds the sets'
+symmetric difference, so it bounds the distance from below and only pairs it leaves are compared by their texts.
+Members linked to the pivot are connected already.  Only regions that still hold several components are taken further:
+a pair is compared only if its distances to the pivot differ by no more than the threshold (the triangle inequality excludes
+the others).  Small regions compare what is left at once; larger ones are dealt into blocks of which every two meet, and
+there each member outside the largest component becomes a pivot in turn.  No pair within the threshold is
+missed; pairs inside one component need no comparison, since only components are asked for.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +29,21 @@ from .common import cut, text_slices
 from .graph import connected_components
 
 WORDS, PERCENT = 4, 85
-#: Cells up to this size are finished by comparing all that windows and components leave.
-LEAF = 48
+#: Regions up to the first size are finished by joining the pairs that windows and components leave, up to the second by
+#: comparing histograms in one task; members of a block of a larger one.
+LEAF, BLOCK = 48, 256
+#: Places of a text's histogram (a power of two).
+PLACES = 128
 #: Frequent shingles that are ordered last, and the rows of one pivot that are compared in one run of rows.
 HOT_SHINGLES, ROWS_A_RUN = 200_000, 256
+#: Up to so many classes whose texts are wanted are broadcast to the corpus; beyond that both sides are joined.
+BROADCAST_CLASSES = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_TOP = np.uint64(64 - PLACES.bit_length() + 1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _B
     x = (x ^ (x >> np.uint64(27))) * _C
@@ -56,8 +68,8 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray, words: int = WORDS, seed:
     powers = np.multiply.accumulate(np.full(int(within.max()) + 1, _A | np.uint64(1)))
     word = _mix(np.add.reduceat((low[solid].astype(np.uint64) + np.uint64(1 + seed)) * powers[within], first) + np.uint64(seed))
     row = np.searchsorted(offsets, starts, side="right") - 1
-    count = np.bincount(row, minlength=n_rows)
-    begin = np.cumsum(count) - count
+    number = np.bincount(row, minlength=n_rows)
+    begin = np.cumsum(number) - number
     full = len(word) - words + 1
     if full > 0:
         h = word[:full].copy()
@@ -66,7 +78,7 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray, words: int = WORDS, seed:
         h = _mix(h)
     out = []
     for i in range(n_rows):
-        c, b = int(count[i]), int(begin[i])
+        c, b = int(number[i]), int(begin[i])
         if c >= words:
             out.append(np.unique(h[b : b + c - words + 1]))
         elif c:
@@ -93,24 +105,25 @@ def _measure(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, seen, distinct = [], [], set(), []
+            sizes, keys, sketches, seen, distinct = [], [], [], set(), []
             for _, sets in _sets(batch, 2, words, seed):
                 for u in sets:
                     sizes.append(len(u))
                     keys.append(_class_of(u))
+                    sketches.append(np.minimum(np.bincount((u >> _TOP).astype(np.int64), minlength=PLACES), 255).astype(np.uint8).tobytes())
                     if keys[-1] not in seen and len(u):
                         seen.add(keys[-1])
                         distinct.append(u)
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sketches, pa.binary())], names=names)
             if distinct:
                 hashes, counts = np.unique(np.concatenate(distinct), return_counts=True)
                 often = counts >= 4
                 k = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(hashes[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(hashes[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(k, pa.binary())], names=names)
 
-    names = ["id", "digest", "n", "klass", "check"]
-    return docs.mapInArrow(measured, f"id {docs.schema['id'].dataType.simpleString()}, digest bigint, n bigint, klass bigint, check bigint")
+    names = ["id", "digest", "n", "klass", "check", "sketch"]
+    return docs.mapInArrow(measured, f"id {docs.schema['id'].dataType.simpleString()}, digest bigint, n bigint, klass bigint, check bigint, sketch binary")
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> DataFrame:
@@ -144,6 +157,38 @@ def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> Data
     return docs.mapInArrow(found, "shingle bigint, klass bigint")
 
 
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, only_near: bool = False) -> DataFrame:
+    """(x, p, n, low, near): the size of x, a lower bound of the distance from sizes and histograms, and whether it leaves the pair open."""
+    x = classes.select(F.col("klass").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    p = classes.select(F.col("klass").alias("p"), F.col("n").alias("np"), F.col("sketch").alias("sp"))
+    rows = pairs.join(x, "x").join(p, "p").select("x", "p", "nx", "np", "sx", "sp")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nx, np_ = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PLACES).astype(np.int16) for k in (4, 5))
+            apart = np.maximum(np.abs(a - b).sum(axis=1, dtype=np.int64), np.abs(nx - np_))
+            total = nx + np_
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(2 * apart / (total + apart)), pa.array(100 * (total - apart) >= percent * (total + apart))], names=["x", "p", "n", "low", "near"])
+            yield out.filter(out.column(4)) if only_near else out
+
+    return rows.mapInArrow(bounded, "x bigint, p bigint, n bigint, low double, near boolean")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("klass")).union(pairs.select(F.col("p").alias("klass")))
+
+
+def _texts(own: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(klass, text) of one row of each wanted class; the corpus itself is not shuffled while the classes are few."""
+    wanted = cut(nodes.distinct().join(classes, "klass").select("klass", "one.*"))
+    few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    w, t = (F.broadcast(wanted) if few else wanted).alias("w"), own.alias("t")
+    return cut(t.join(w, (F.col("t.digest") == F.col("w.digest")) & F.col("t.id").eqNullSafe(F.col("w.id"))).select("klass", "text").dropDuplicates(["klass"]))
+
+
 def _distances(pairs: DataFrame, texts: DataFrame, words: int, seed: int) -> DataFrame:
     """(x, p, both, either) for distinct pairs of classes: sizes of intersection and union.
 
@@ -176,6 +221,55 @@ def _distances(pairs: DataFrame, texts: DataFrame, words: int, seed: int) -> Dat
     return rows.mapInArrow(measured, "x bigint, p bigint, both bigint, either bigint")
 
 
+def _near_in_region(percent: int, slack: float):
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of a region's members that windows, components, sizes and histograms leave open."""
+        rows = rows.sort_values("klass").reset_index(drop=True)
+        klass, n, low, high, component = (rows[c].to_numpy() for c in ("klass", "n", "low", "high", "component"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, PLACES).astype(np.int16)
+        out = []
+        for i in range(1, len(rows)):
+            apart = np.maximum(np.abs(sketch[:i] - sketch[i]).sum(axis=1, dtype=np.int64), np.abs(n[:i] - n[i]))
+            total = n[:i] + n[i]
+            open_ = (component[:i] != component[i]) & (low[:i] - high[i] <= slack) & (low[i] - high[:i] <= slack) & (100 * (total - apart) >= percent * (total + apart))
+            out.extend((klass[i], klass[j]) for j in np.flatnonzero(open_))
+        return pd.DataFrame(out, columns=["x", "p"]).astype("int64")
+
+    return near
+
+
+def _join_blocks(words: int, percent: int, seed: int, slack: float):
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between components of one region's block, or of two blocks; each outsider is a pivot for all others."""
+        rows = rows.sort_values("klass").reset_index(drop=True)
+        sets = [u for _, part in _sets(pa.RecordBatch.from_pandas(rows[["text"]].astype({"text": "string"})), 0, words, seed) for u in part]
+        size = np.array([len(u) for u in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        holders, bounds = owner[order], np.searchsorted(number[order], np.arange(number.max() + 2))
+        mine = np.split(number, np.cumsum(size)[:-1])
+        klass, low, high, half, cross = rows["klass"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy(), rows["half"].to_numpy(), rows["b1"].iloc[0] != rows["b2"].iloc[0]
+        component = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        largest = np.bincount(component).argmax()
+        src, dst = [], []
+        for i in np.flatnonzero(component != largest):
+            open_ = (component != component[i]) & (low - high[i] <= slack) & (low[i] - high <= slack)
+            if cross:
+                open_ &= half != half[i]
+            if not open_.any():
+                continue
+            both = np.bincount(np.concatenate([holders[bounds[k] : bounds[k + 1]] for k in mine[i]]), minlength=len(sets))
+            for j in np.flatnonzero(open_ & (100 * both >= percent * (size + size[i] - both))):
+                if component[j] != component[i]:
+                    src.append(klass[i])
+                    dst.append(klass[j])
+                    component[component == component[j]] = component[i]
+        return pd.DataFrame({"src": src, "dst": dst}).astype("int64")
+
+    return joined
+
+
 def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest id reachable by links, itself included.
 
@@ -192,7 +286,7 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
         clash = rows.groupBy("klass").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
         if clash.isEmpty():
             break
-    classes = cut(rows.where("n > 0").groupBy("klass").agg(F.min(F.struct("id", "digest")).alias("one"), F.first("n").alias("n")))
+    classes = cut(rows.where("n > 0").groupBy("klass").agg(F.min(F.struct("id", "digest")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     frequent = measured.where("n is null").groupBy(F.col("klass").alias("shingle")).agg(F.sum("check").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES)
     listed = frequent.toPandas()  # bounded by HOT_SHINGLES; only an order, no decision depends on it
     values = np.append(listed["shingle"].to_numpy(np.int64).view(np.uint64), np.uint64(2**64 - 1))
@@ -202,42 +296,35 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
 
     firsts = _prefixes(own, words, percent, seed, hot)
     shared = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
-    cells = firsts.join(shared, "shingle").distinct()
-    cells = cut(cells)
+    cells = cut(firsts.join(shared, "shingle"))
     pivots = cells.groupBy("shingle").agg(F.min("klass").alias("p"), F.max("klass").alias("q")).where("p <> q").select("shingle", "p")
-    members = cut(cells.join(pivots, "shingle").where("klass <> p"))
-    nodes = members.select("klass").union(members.select(F.col("p").alias("klass"))).distinct()
-    wanted = nodes.join(classes, "klass").select("klass", "one.*").alias("w")
-    t = own.alias("t")
-    texts = cut(t.join(wanted, (F.col("t.digest") == F.col("w.digest")) & F.col("t.id").eqNullSafe(F.col("w.id"))).select("klass", "text").dropDuplicates(["klass"]))
-
-    pairs = cut(members.select(F.col("klass").alias("x"), "p").distinct())
-    known = cut(_distances(pairs, texts, words, seed))
+    members = cut(cells.join(pivots, "shingle").where("klass <> p").distinct())
+    pairs = cut(_bounded(members.select(F.col("klass").alias("x"), "p").distinct(), classes, percent))
+    close = pairs.where("near").select("x", "p")
+    known = cut(_distances(close, _texts(own, classes, _ends(close)), words, seed))
     linked = f"100 * both >= {percent} * either"
     links = known.where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
     labels = cut(connected_components(links))
     slack = 1 - percent / 100 + 1e-9
-    far = known.select(F.col("x").alias("klass"), "p", (1 - F.col("both") / F.col("either")).alias("far"))
-    region = members.join(far, ["klass", "p"]).select("shingle", "klass", "far")
-    while True:
-        named = region.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("shingle", "klass", "far", F.coalesce("component", "klass").alias("component"))
-        named = cut(named)
-        open_ = named.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size"), F.min("klass").alias("p"), F.max("klass").alias("q")).where("a <> b").drop("a", "b")
-        live = cut(named.join(open_, "shingle"))
-        if live.isEmpty():
-            break
-        small, large = live.where(F.col("size") <= LEAF), live.where(F.col("size") > LEAF)
-        other = small.select("shingle", F.col("klass").alias("k2"), F.col("far").alias("f2"), F.col("component").alias("c2"))
-        near = (F.col("component") != F.col("c2")) & (F.abs(F.col("far") - F.col("f2")) <= slack)
-        pairs = small.join(other, "shingle").where(near & (F.col("klass") > F.col("k2"))).select(F.col("klass").alias("x"), F.col("k2").alias("p"))
-        heads = [large.where(F.col("klass") == F.col(c)).select("shingle", F.col("klass").alias("k2"), F.col("far").alias("f2"), F.col("component").alias("c2")) for c in ("p", "q")]
-        for h in heads:
-            pairs = pairs.union(large.join(h, "shingle").where(near).select(F.greatest("klass", "k2").alias("x"), F.least("klass", "k2").alias("p")))
-        pairs = cut(pairs.distinct())
-        more = cut(_distances(pairs, texts, words, seed)).where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
-        links = links.union(more)
-        labels = cut(connected_components(links))
-        region = large.where("klass <> p and klass <> q").select("shingle", "klass", "far")
+    exact = known.select("x", "p", (1 - F.col("both") / F.col("either")).alias("far"))
+    bounds = pairs.join(exact, ["x", "p"], "left").select(F.col("x").alias("klass"), "p", "n", F.coalesce("far", "low").alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
+    named = cut(bounds.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("klass", "p", "n", "low", "high", F.coalesce("component", "klass").alias("component")))
+    open_ = named.groupBy("p").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").drop("a", "b")
+    live = cut(named.join(open_, "p"))
+    small, medium, large = live.where(F.col("size") <= LEAF), live.where((F.col("size") > LEAF) & (F.col("size") <= BLOCK)), live.where(F.col("size") > max(LEAF, BLOCK))
+    other = small.select("p", F.col("klass").alias("k2"), F.col("n").alias("n2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("component").alias("c2"))
+    near = (F.col("component") != F.col("c2")) & (F.col("low") - F.col("high2") <= slack) & (F.col("low2") - F.col("high") <= slack)
+    near &= F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    pairs = small.join(other, "p").where(near & (F.col("klass") > F.col("k2"))).select(F.col("klass").alias("x"), F.col("k2").alias("p"))
+    drawn = medium.drop("size").join(classes.select("klass", "sketch"), "klass").groupBy("p").applyInPandas(_near_in_region(percent, slack), "x bigint, p bigint")
+    open_pairs = cut(_bounded(pairs.distinct(), classes, percent, only_near=True).select("x", "p").union(drawn).distinct())
+    texts = _texts(own, classes, _ends(open_pairs).union(large.select("klass")))
+    more = _distances(open_pairs, texts, words, seed).where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = large.select("*", F.pmod(F.xxhash64("klass"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = dealt.select("p", "klass", "low", "high", "component", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("half")).join(texts, "klass")
+    within = met.groupBy("p", "b1", "b2").applyInPandas(_join_blocks(words, percent, seed, slack), "src bigint, dst bigint")
+    labels = cut(connected_components(links.union(more).union(within)))
     placed = rows.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("id", "n", F.coalesce("component", "klass").alias("component"))
     least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     joined = placed.join(least, "component", "left")

@@ -57,6 +57,7 @@ def find_anchors(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH) ->
     g ^= g >> np.uint64(29)
     g *= _MIX[4]
     g ^= g >> np.uint64(32)
+    g = np.maximum(g, np.uint64(1))  # 0 stands for no window
     low = sliding(g, width, np.minimum, np.uint64(2**64 - 1))
     ends = np.zeros(len(low) + 1, np.int32)
     first, last = offsets[:-1], offsets[1:] - length + 1
