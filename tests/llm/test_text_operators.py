@@ -105,14 +105,13 @@ def test_bad_hosts_go(spark):
 def test_mixing_reaches_targets_and_keeps_clean(spark):
     fill = [f"word{i}" for i in range(400)]
     text = lambda extra, n=60: " ".join(random.choice(fill) for _ in range(n)) + " " + " ".join(extra)
-    rows = [(i, text([])) for i in range(600)] + [(1000 + i, text(["vile", "nasty"] * 3)) for i in range(200)] + [(2000 + i, text([w + "###" for w in fill[:30]])) for i in range(200)]
+    rows = [(i, text([])) for i in range(600)] + [(1000 + i, text(["vile", "nasty"] * 3)) for i in range(200)] + [(2000 + i, text([f"junk{k}###" for k in range(30)])) for i in range(200)]
     docs = spark.createDataFrame(rows + [(9000, None), (9001, "")], "doc_id long, text string").withColumn("rate", F.lit("clash"))
     labels = spark.createDataFrame([(i, 0 if i >= 2000 else 1, int(1000 <= i < 2000)) for i, _ in rows if i % 2] + [(5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in mixing.rate_table(docs, labels).collect()}
     assert len(got) == 1002
     share = lambda a, b: np.mean([got[i].copies for i, _ in rows if a <= i < b and not i % 2])
-    # a seventh of the clean texts hold a word whose bucket a junk word shares; all others must stay
-    assert share(0, 1000) > 0.85 and share(1000, 2000) < 0.2 and share(2000, 3000) < 0.5
+    assert share(0, 1000) == 1.0 and share(1000, 2000) < 0.2 and share(2000, 3000) < 0.5
     assert all(got[i].copies == 1 for i, _ in rows if got[i].p_good > 0.9)
     assert mixing.mixture(docs, labels).columns == docs.columns
     assert mixing.mixture(docs, labels.limit(0)).count() > 0 and mixing.mixture(docs.limit(0), labels).count() == 0
