@@ -32,6 +32,8 @@ WORDS, PERCENT = 4, 85
 #: Regions up to the first size are finished by joining the pairs that windows and components leave, up to the second by
 #: comparing histograms in one task; members of a block of a larger one.
 LEAF, BLOCK = 48, 256
+#: Hashes that frequent shingles are counted over at a time.
+COUNTED = 1_000_000
 #: Places of a text's histogram (a power of two).
 PLACES = 128
 #: Frequent shingles that are ordered last, and the rows of one pivot that are compared in one run of rows.
@@ -116,11 +118,22 @@ def _measure(docs: DataFrame, words: int, seed: int) -> DataFrame:
                         distinct.append(u)
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sketches, pa.binary())], names=names)
-            if distinct:
-                hashes, counts = np.unique(np.concatenate(distinct), return_counts=True)
-                often = counts >= 4
-                k = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(hashes[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(k, pa.binary())], names=names)
+            yield from frequent(distinct, batch.schema.field(0).type)
+
+    def frequent(distinct: list[np.ndarray], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """Shingles that several of about COUNTED hashes' texts hold; runs keep memory small."""
+        run: list[np.ndarray] = []
+        total = 0
+        for k, u in enumerate(distinct):
+            run.append(u)
+            total += len(u)
+            if total < COUNTED and k + 1 < len(distinct):
+                continue
+            hashes, counts = np.unique(np.concatenate(run), return_counts=True)
+            often = counts >= 4
+            n = int(often.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(hashes[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(n, pa.binary())], names=names)
+            run, total = [], 0
 
     names = ["id", "digest", "n", "klass", "check", "sketch"]
     return docs.mapInArrow(measured, f"id {docs.schema['id'].dataType.simpleString()}, digest bigint, n bigint, klass bigint, check bigint, sketch binary")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Segments (in each of two generations) and piece pairs that a worker remembers, and the longest remembered segment.
-MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 500_000, 1_000_000, 48
+MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 150_000, 500_000, 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
