@@ -9,9 +9,8 @@ Each text carries a small histogram of its shingles; the sum of two histograms'
 symmetric difference, so it bounds the distance from below and only pairs it leaves are compared by their texts.
 Members linked to the pivot are connected already.  Only regions that still hold several components are taken further:
 a pair is compared only if its distances to the pivot differ by no more than the threshold (the triangle inequality excludes
-the others).  Small regions compare what is left at once; larger ones are dealt into blocks of which every two meet, and
-there each member outside the largest component becomes a pivot in turn.  No pair within the threshold is
-missed; pairs inside one component need no comparison, since only components are asked for.
+the others).  Small regions join what is left; larger ones are dealt into blocks of which every two meet, and only
+histograms are compared there.  No pair within the threshold is missed; pairs inside one component need no comparison, since only components are asked for.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from .common import cut, text_slices
 from .graph import connected_components
 
 WORDS, PERCENT = 4, 85
-#: Regions up to the first size are finished by joining the pairs that windows and components leave, up to the second by
-#: comparing histograms in one task; members of a block of a larger one.
+#: Regions up to the first size are finished by joining the pairs that windows and components leave; members of a
+#: block of a larger one, whose histograms are compared in one task.
 LEAF, BLOCK = 48, 256
 #: Hashes that frequent shingles are counted over at a time.
 COUNTED = 1_000_000
@@ -236,53 +235,24 @@ def _distances(pairs: DataFrame, texts: DataFrame, words: int, seed: int) -> Dat
 
 def _near_in_region(percent: int, slack: float):
     def near(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a region's members that windows, components, sizes and histograms leave open."""
+        """Pairs of a region's members (of two blocks: across them) that windows, components, sizes and histograms leave open."""
         rows = rows.sort_values("klass").reset_index(drop=True)
-        klass, n, low, high, component = (rows[c].to_numpy() for c in ("klass", "n", "low", "high", "component"))
+        klass, n, low, high, component, half = (rows[c].to_numpy() for c in ("klass", "n", "low", "high", "component", "half"))
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, PLACES).astype(np.int16)
-        out = []
+        cross, out = rows["b1"].iloc[0] != rows["b2"].iloc[0], []
         for i in range(1, len(rows)):
-            apart = np.maximum(np.abs(sketch[:i] - sketch[i]).sum(axis=1, dtype=np.int64), np.abs(n[:i] - n[i]))
-            total = n[:i] + n[i]
-            open_ = (component[:i] != component[i]) & (low[:i] - high[i] <= slack) & (low[i] - high[:i] <= slack) & (100 * (total - apart) >= percent * (total + apart))
-            out.extend((klass[i], klass[j]) for j in np.flatnonzero(open_))
+            open_ = (component[:i] != component[i]) & (low[:i] - high[i] <= slack) & (low[i] - high[:i] <= slack)
+            if cross:
+                open_ &= half[:i] != half[i]
+            j = np.flatnonzero(open_)
+            apart = np.maximum(np.abs(sketch[j] - sketch[i]).sum(axis=1, dtype=np.int64), np.abs(n[j] - n[i]))
+            total = n[j] + n[i]
+            out.extend((klass[i], klass[k]) for k in j[100 * (total - apart) >= percent * (total + apart)])
         return pd.DataFrame(out, columns=["x", "p"]).astype("int64")
 
     return near
 
 
-def _join_blocks(words: int, percent: int, seed: int, slack: float):
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between components of one region's block, or of two blocks; each outsider is a pivot for all others."""
-        rows = rows.sort_values("klass").reset_index(drop=True)
-        sets = [u for _, part in _sets(pa.RecordBatch.from_pandas(rows[["text"]].astype({"text": "string"})), 0, words, seed) for u in part]
-        size = np.array([len(u) for u in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, number = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        holders, bounds = owner[order], np.searchsorted(number[order], np.arange(number.max() + 2))
-        mine = np.split(number, np.cumsum(size)[:-1])
-        klass, low, high, half, cross = rows["klass"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy(), rows["half"].to_numpy(), rows["b1"].iloc[0] != rows["b2"].iloc[0]
-        component = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
-        largest = np.bincount(component).argmax()
-        src, dst = [], []
-        for i in np.flatnonzero(component != largest):
-            open_ = (component != component[i]) & (low - high[i] <= slack) & (low[i] - high <= slack)
-            if cross:
-                open_ &= half != half[i]
-            if not open_.any():
-                continue
-            both = np.bincount(np.concatenate([holders[bounds[k] : bounds[k + 1]] for k in mine[i]]), minlength=len(sets))
-            for j in np.flatnonzero(open_ & (100 * both >= percent * (size + size[i] - both))):
-                if component[j] != component[i]:
-                    src.append(klass[i])
-                    dst.append(klass[j])
-                    component[component == component[j]] = component[i]
-        return pd.DataFrame({"src": src, "dst": dst}).astype("int64")
-
-    return joined
-
-
 def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest id reachable by links, itself included.
 
@@ -324,20 +294,18 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     named = cut(bounds.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("klass", "p", "n", "low", "high", F.coalesce("component", "klass").alias("component")))
     open_ = named.groupBy("p").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").drop("a", "b")
     live = cut(named.join(open_, "p"))
-    small, medium, large = live.where(F.col("size") <= LEAF), live.where((F.col("size") > LEAF) & (F.col("size") <= BLOCK)), live.where(F.col("size") > max(LEAF, BLOCK))
+    small, large = live.where(F.col("size") <= LEAF), live.where(F.col("size") > LEAF)
     other = small.select("p", F.col("klass").alias("k2"), F.col("n").alias("n2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("component").alias("c2"))
     near = (F.col("component") != F.col("c2")) & (F.col("low") - F.col("high2") <= slack) & (F.col("low2") - F.col("high") <= slack)
     near &= F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     pairs = small.join(other, "p").where(near & (F.col("klass") > F.col("k2"))).select(F.col("klass").alias("x"), F.col("k2").alias("p"))
-    drawn = medium.drop("size").join(classes.select("klass", "sketch"), "klass").groupBy("p").applyInPandas(_near_in_region(percent, slack), "x bigint, p bigint")
-    open_pairs = cut(_bounded(pairs.distinct(), classes, percent, only_near=True).select("x", "p").union(drawn).distinct())
-    texts = _texts(own, classes, _ends(open_pairs).union(large.select("klass")))
-    more = _distances(open_pairs, texts, words, seed).where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = large.select("*", F.pmod(F.xxhash64("klass"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = dealt.select("p", "klass", "low", "high", "component", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("half")).join(texts, "klass")
-    within = met.groupBy("p", "b1", "b2").applyInPandas(_join_blocks(words, percent, seed, slack), "src bigint, dst bigint")
-    labels = cut(connected_components(links.union(more).union(within)))
+    met = dealt.select("p", "klass", "n", "low", "high", "component", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("half")).join(classes.select("klass", "sketch"), "klass")
+    drawn = met.groupBy("p", "b1", "b2").applyInPandas(_near_in_region(percent, slack), "x bigint, p bigint")
+    open_pairs = cut(_bounded(pairs.distinct(), classes, percent, only_near=True).select("x", "p").union(drawn).distinct())
+    more = _distances(open_pairs, _texts(own, classes, _ends(open_pairs)), words, seed).where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
+    labels = cut(connected_components(links.union(more)))
     placed = rows.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("id", "n", F.coalesce("component", "klass").alias("component"))
     least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     joined = placed.join(least, "component", "left")
