@@ -205,3 +205,28 @@ def reward_form(c: Column) -> Column:
 
 def answers_match(answer: Column, truth: Column) -> Column:
     return F.coalesce(reward_form(answer) == reward_form(truth), F.lit(False))
+
+
+def numeric(c: Column) -> Column:
+    """A number written plainly, as ``\\frac{a}{b}`` or as ``a/b``."""
+    latex = r"^\\frac\{([^{}]+)\}\{([^{}]+)\}$"
+    return F.coalesce(number(c), F.try_divide(number(F.regexp_extract(c, latex, 1)), number(F.regexp_extract(c, latex, 2))), fraction(c))
+
+
+def verify_plain(answer: Column, truth: Column, tolerance: float = 1e-4) -> Column:
+    """Equal but for case, equal as yes/no words, close as numbers, or equal once cleaned."""
+    a, b = F.lower(stripped(answer)), F.lower(stripped(truth))
+    flag = lambda x: F.when(x.isin("true", "yes", "1"), True).when(x.isin("false", "no", "0"), False)
+    x, y = numeric(clean_light(answer)), numeric(clean_light(truth))
+    close = F.abs(x - y) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs(x), F.abs(y)))
+    no = F.lit(False)
+    return F.coalesce(a == b, no) | F.coalesce(flag(a) == flag(b), no) | F.coalesce(close, no) | F.coalesce(F.lower(clean_light(answer)) == F.lower(clean_light(truth)), no)
+
+
+def equivalent(answer: Column, truth: Column) -> Column:
+    """Equal once cleaned, close as numbers, or close where either is a fraction."""
+    a, b = F.lower(clean_math(answer)), F.lower(clean_math(truth))
+    slash = F.contains(a, F.lit("/")) | F.contains(b, F.lit("/"))
+    either = lambda c: F.coalesce(number(c), fraction(c))
+    parts = slash & F.coalesce(F.abs(either(a) - either(b)) < 1e-4, F.lit(False))
+    return F.coalesce((a != "") & (b != "") & ((a == b) | _near(number(a), number(b), 1e-4, 1e-3) | parts), F.lit(False))

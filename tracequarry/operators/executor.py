@@ -339,3 +339,27 @@ def composite_reward(traces: DataFrame, id_col: str = "trace_id", text_col: str
     }
     out = done.select(id_col, *[v.alias(k) for k, v in terms.items()])
     return out.withColumn("total", sum((F.col(k) for k in list(terms)[1:]), F.col("correctness")))
+
+
+def verify_symbolic(answers: DataFrame, id_col: str = "trace_id", answer_col: str = "answer", truth_col: str = "ground_truth") -> DataFrame:
+    """(id, method): the expression layer first; only what it fails is compared as polynomials."""
+    from pyspark.sql import functions as F
+
+    from ..functions import answers as A
+
+    rows = answers.select(id_col, A.verify_method(F.col(answer_col), F.col(truth_col)).alias("method"), A.clean_math(F.lower(F.col(answer_col))).alias("a"), A.clean_math(F.lower(F.col(truth_col))).alias("b"))
+    kind = answers.schema[id_col].dataType.simpleString()
+
+    def equal(a: str, b: str) -> bool:
+        try:
+            x, y = (evaluate(t.replace("^", "**")) for t in (a, b))
+            return not isinstance(x, bool) and not isinstance(y, bool) and x == y
+        except (Refused, Unknown):
+            return False
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            part["method"] = [m if m != "fail" or not a or not b or not equal(a, b) else "symbolic" for m, a, b in zip(part["method"], part["a"], part["b"])]
+            yield part[[id_col, "method"]]
+
+    return rows.mapInPandas(compared, f"{id_col} {kind}, method string")
