@@ -103,14 +103,19 @@ def with_posteriors(docs: DataFrame, model, *, text_col: str = "text") -> DataFr
 
 
 def fold_rate(history: list[list[float]]) -> Column:
-    """A document's rate after the steps whose scaled residuals are ``history``."""
+    """A document's rate after the steps whose scaled residuals are ``history``.
+
+    Rates are projected on [0, ``MOST_RATE``], and on 1 at least for texts whose likeliest domain is the first:
+    what is probably clean is never drawn for, whatever the targets ask.
+    """
     if not history:
         return F.lit(1.0)
     p = [F.get("_p", F.lit(k)) for k in range(len(DOMAINS))]
+    least = F.when(p[0] >= F.array_max("_p"), F.lit(1.0)).otherwise(F.lit(0.0))
 
     def step(rate: Column, residual: Column) -> Column:
         slope = sum((p[k] * F.get(residual, F.lit(k)) for k in range(1, len(DOMAINS))), p[0] * F.get(residual, F.lit(0)))
-        return F.greatest(F.lit(0.0), F.least(F.lit(MOST_RATE), rate - STEP * (slope + PULL * (rate - 1.0))))
+        return F.greatest(least, F.least(F.lit(MOST_RATE), rate - STEP * (slope + PULL * (rate - 1.0))))
 
     return F.aggregate(F.lit(history), F.lit(1.0), step)
 
