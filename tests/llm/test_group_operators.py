@@ -167,6 +167,25 @@ def test_vectors(spark, monkeypatch):
     assert cap_filters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_large_label(spark, monkeypatch):
+    """Isolated pairs just above the threshold, with codebooks as for a label of a million vectors."""
+    monkeypatch.setattr(cap_filters, "DIRECTIONS", 8 * 1_000_000 // 1600)
+    rng = np.random.default_rng(8)
+    u, w = rng.standard_normal((2, 800, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    v = 0.981 * u + np.sqrt(1 - 0.981**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    rows = [(2 * i + k, x[i].tolist(), 1) for k, x in enumerate((u, v)) for i in range(800)]
+    got = cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r.component_id == r.vec_id // 2 * 2 and r.n_links == 1 for r in got) >= 0.998 * 1600
+
+
+def test_caps_of_few_dimensions():
+    for dim, largest in ((1, 1000), (2, 1000), (3, 100_000), (8, 100_000), (64, 1_000_000)):
+        words = cap_filters.words_for(dim, largest, 0.98)
+        assert cap_filters.missed(dim, words, 0.98) <= cap_filters.MISSED
+
+
 def test_urls(spark):
     link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head></html>'
     pages = [

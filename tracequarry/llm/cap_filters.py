@@ -3,14 +3,14 @@
 Filter directions are a structured random product code: the space is cut into two halves, each half has a random
 codebook, and every pair of code words is a direction.  Each vector is list-decoded to all directions whose cap it
 exceeds (sorted half products make that a short list), vectors are joined on filters, and pairs are verified in
-double precision.  A pair at the threshold misses all common caps with a probability far below a hundredth.
+double precision.  A vector's cap height is that of its ``CAPS``-th best direction, so every vector has as many caps
+whatever the size of the table.  Codebooks are as large as drawn pairs at the threshold allow: see ``words_for``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -22,50 +22,79 @@ from .common import cut
 from .graph import connected_components
 
 THRESHOLD = 0.98
-#: Caps that a vector exceeds on average; directions per vector of the largest label, and bounds of a half's codebook.
+#: Caps of a vector; directions wanted per vector of the largest label, and bounds of a half's codebook.
 CAPS, DIRECTIONS, LEAST_WORDS, MOST_WORDS = 30, 8, 48, 8192
+#: Pairs drawn at the threshold for a codebook, and how many of them may have no common cap.
+PAIRS, MISSED = 4096, 1
 #: Vectors of one filter that one task compares at once; rows of small filters that one task takes.
 BLOCK, ROWS_A_TASK = 512, 2048
 
 
 def codebooks(dim: int, words: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Two random half codebooks in rotated coordinates: (dim x words) each, so a product is one multiplication.
+
+    The rotation is random, so the chance of a common cap depends on the cosine of a pair only, not on its coordinates.
+    """
     rng = np.random.default_rng([seed, dim, words])
-    halves = []
+    turn, begin, halves = np.linalg.qr(rng.standard_normal((dim, dim)))[0], 0, []
     for size in (dim - dim // 2, dim // 2):
         c = rng.standard_normal((words, size))
         norm = np.linalg.norm(c, axis=1, keepdims=True)
-        halves.append(c / np.where(norm > 0, norm, 1))
+        halves.append(turn[:, begin : begin + size] @ (c / np.where(norm > 0, norm, 1)).T)
+        begin += size
     return halves[0], halves[1]
 
 
-def decode(unit: np.ndarray, books: tuple[np.ndarray, np.ndarray], height: float) -> list[np.ndarray]:
-    """For each unit vector all directions (numbers) whose product with it is ``height`` or more; at least its best one."""
-    split = books[0].shape[1]
-    a, b = unit[:, :split] @ books[0].T, unit[:, split:] @ books[1].T
-    bar = height * math.sqrt(2.0)
-    best_a, best_b = a.max(axis=1), b.max(axis=1)
-    out = []
-    for i in range(len(unit)):
-        ia = np.flatnonzero(a[i] >= bar - best_b[i])
-        ib = np.flatnonzero(b[i] >= bar - best_a[i])
-        x, y = np.nonzero(a[i][ia][:, None] + b[i][ib][None, :] >= bar)
-        if not len(x):
-            out.append(np.array([int(a[i].argmax()) * len(books[1]) + int(b[i].argmax())]))
-        else:
-            out.append(np.sort(ia[x] * len(books[1]) + ib[y]))
+def _best(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the ``k`` largest numbers of each row, largest first."""
+    at = np.argpartition(-x, k - 1, axis=1)[:, :k]
+    value = np.take_along_axis(x, at, axis=1)
+    order = np.argsort(-value, axis=1, kind="stable")
+    return np.take_along_axis(at, order, axis=1), np.take_along_axis(value, order, axis=1)
+
+
+def decode(unit: np.ndarray, books: tuple[np.ndarray, np.ndarray], caps: int) -> np.ndarray:
+    """For each unit vector the sorted numbers of its ``caps`` best directions (all, if there are fewer).
+
+    The direction of the i-th best word of one half and the j-th best of the other has i * j - 1 better ones at least.
+    """
+    words = books[0].shape[1]
+    most = min(words, caps)
+    (at_a, a), (at_b, b) = _best(unit @ books[0], most), _best(unit @ books[1], most)
+    i, j = np.array([(i, j) for i in range(most) for j in range(most) if (i + 1) * (j + 1) <= caps]).T
+    top, _ = _best(a[:, i] + b[:, j], min(caps, len(i)))
+    return np.sort(np.take_along_axis(at_a, i[top], axis=1).astype(np.int64) * words + np.take_along_axis(at_b, j[top], axis=1), axis=1)
+
+
+def missed(dim: int, words: int, cosine: float, pairs: int = PAIRS, caps: int = CAPS) -> int:
+    """How many of ``pairs`` random pairs at ``cosine`` have no cap in common."""
+    rng, books, out = np.random.default_rng([5, dim, words]), codebooks(dim, words), 0
+    norm = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, pairs, 256):
+        u = norm(rng.standard_normal((min(256, pairs - k), dim)))
+        w = rng.standard_normal(u.shape)
+        w -= (w * u).sum(axis=1, keepdims=True) * u
+        v = cosine * u + math.sqrt(max(0.0, 1 - cosine * cosine)) * norm(w) if dim > 1 else u
+        out += int((~(decode(u, books, caps)[:, :, None] == decode(v, books, caps)[:, None, :]).any(axis=(1, 2))).sum())
     return out
 
 
+def words_for(dim: int, largest: int, threshold: float) -> int:
+    """Words of a half for labels of up to ``largest`` vectors: as many as keep the chance of a common cap at ``threshold``."""
+    words = min(MOST_WORDS, max(LEAST_WORDS, math.ceil(math.sqrt(DIRECTIONS * largest))))
+    while words * words > CAPS and missed(dim, words, threshold) > MISSED:
+        words = words * 3 // 4
+    return words
+
+
 def _clean(vec_col: str):
     v = F.transform(vec_col, lambda x: x.cast("double"))
     fine = F.col(vec_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return v, fine
 
 
-def _filter_rows(classes: DataFrame, words: int) -> DataFrame:
-    """(label, dim, filter, one, copies, vector, filters): a row for each cap of each class."""
-    directions = words * words
-    tail = NormalDist().inv_cdf(1 - min(0.5, CAPS / directions))
+def _filter_rows(classes: DataFrame, words: dict[int, int]) -> DataFrame:
+    """(label, dim, filter, one, copies, vector, filters): a row for each cap of each class; ``words`` of each dimension."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: dict[int, tuple] = {}
@@ -75,11 +104,11 @@ def _filter_rows(classes: DataFrame, words: int) -> DataFrame:
                 rows["dim"] = rows["vector"].map(len)
                 for dim, own in rows.groupby("dim"):
                     if dim not in books:
-                        books[dim] = codebooks(dim, words)
+                        books[dim] = codebooks(dim, words[dim])
                     x = np.stack(own["vector"].to_list())
                     unit = x / np.abs(x).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    lists = decode(unit, books[dim], tail / math.sqrt(dim))
+                    lists = list(decode(unit, books[dim], CAPS))
                     own = own.assign(filters=lists, filter=lists, vector=list(unit)).explode("filter")
                     yield pa.RecordBatch.from_pandas(own[["label", "dim", "filter", "one", "copies", "vector", "filters"]].astype({"dim": "int32", "filter": "int64"}), schema=schema, preserve_index=False)
 
@@ -149,8 +178,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     v, fine = _clean(vec_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, F.col(label_col).cast("string")).alias("label"), v.alias("vector"), F.xxhash64(vec_col).alias("k1"), F.xxhash64(F.lit(1), vec_col).alias("k2"))
     classes = cut(rows.where("label is not null").groupBy("label", "k1", "k2").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")))
-    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    words = min(MOST_WORDS, max(LEAST_WORDS, math.ceil(math.sqrt(DIRECTIONS * largest))))
+    sized = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
+    words = {r["dim"]: words_for(r["dim"], r["n"], threshold) if r["n"] > 1 else 1 for r in sized}
     caps = cut(_filter_rows(classes.select("label", "one", "copies", "vector"), words))
     sizes = caps.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = caps.join(sizes, ["label", "dim", "filter"])
