@@ -117,6 +117,18 @@ def test_mixing_reaches_targets_and_keeps_clean(spark):
     assert mixing.mixture(docs, labels.limit(0)).count() > 0 and mixing.mixture(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("mass", [(0.60, 0.30, 0.10), (0.85, 0.10, 0.05)])
+def test_mixing_meets_the_goal_of_known_domains(spark, monkeypatch, mass):
+    rows = [(100 * k + i, int(1000 * m), [float(k == d) for d in range(3)]) for k, m in enumerate(mass) for i in range(10)]
+    docs = spark.createDataFrame([(i, "", t, p) for i, t, p in rows], "doc_id long, text string, _tokens long, _p array<double>")
+    monkeypatch.setattr(mixing, "fit", lambda *a, **k: None)
+    monkeypatch.setattr(mixing, "with_posteriors", lambda docs, model, **k: docs)
+    got = {r.doc_id: r["_rate"] for r in mixing.with_rates(docs, docs).collect()}
+    total = [sum(got[i] * t * p[k] for i, t, p in rows) for k in range(3)]
+    goal = [min(10_000 * mass[k], 10_000 * mass[0] * mixing.TARGETS[d] / mixing.TARGETS["good"]) for k, d in enumerate(mixing.DOMAINS)]
+    assert all(abs(x - g) <= 2 * mixing.CLOSE * 10_000 * m for x, g, m in zip(total, goal, mass))
+
+
 def test_html(spark):
     rng = random.Random(123)
     pages = [H.write_page(rng) for _ in range(120)]

@@ -21,10 +21,8 @@ TARGETS = {"good": 0.90, "low": 0.095, "toxic": 0.005}
 #: Hash buckets of words, those of them for words' last letters, labelled rows the classifier is fitted on (those of
 #: smallest hash), texts and deviations a bucket needs to count at all, and the fixed point of its log odds.
 BUCKETS, TAILS, FIT_ROWS, LEAST_TEXTS, LEAST_DEVIATION, UNIT = 1 << 16, 256, 20_000, 5, 5.0, 1000
-#: Steps of the descent, their size, pull of each rate to 1, and the relative miss at which it stops.
-STEPS, STEP, PULL, CLOSE = 40, 0.8, 0.1, 2e-3
-#: Rates this near to a whole number are that number, so texts that clearly belong to one domain are not drawn for.
-NEAR_WHOLE = 0.2
+#: Steps of the descent, their size, and the relative miss at which it stops.
+STEPS, STEP, CLOSE = 40, 0.8, 2e-3
 #: No text is taken more often than this.
 MOST_RATE = 1.0
 BLANKS = " \t\n\x0b\f\r"
@@ -115,7 +113,7 @@ def fold_rate(history: list[list[float]]) -> Column:
 
     def step(rate: Column, residual: Column) -> Column:
         slope = sum((p[k] * F.get(residual, F.lit(k)) for k in range(1, len(DOMAINS))), p[0] * F.get(residual, F.lit(0)))
-        return F.greatest(least, F.least(F.lit(MOST_RATE), rate - STEP * (slope + PULL * (rate - 1.0))))
+        return F.greatest(least, F.least(F.lit(MOST_RATE), rate - STEP * slope))
 
     return F.aggregate(F.lit(history), F.lit(1.0), step)
 
@@ -152,9 +150,7 @@ def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     scored = cut(with_posteriors(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col=text_col))
     history = descend(scored, targets)
     draw = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.round(fold_rate(history), 6)
-    whole = F.round(rate)
-    rated = scored.withColumn("_rate", F.when(F.abs(rate - whole) <= NEAR_WHOLE, whole).otherwise(rate))
+    rated = scored.withColumn("_rate", F.round(fold_rate(history), 6))
     return rated.withColumn("_copies", F.floor(F.col("_rate") + draw).cast("int"))
 
 
