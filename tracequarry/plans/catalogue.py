@@ -478,6 +478,12 @@ def scratchpad_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", "depth", "domain", "n_steps", "answer", "failures", "cycle", "is_valid")
 
 
+@query()
+def scratchpad_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scratchpad_summary`` over every trace; its SQL holds for answers from 100 on only."""
+    return executor.scratchpad_summary(traces(spark, sf_dir)).select("trace_id", "depth", "domain", "n_steps", "answer", "failures", "cycle", "is_valid")
+
+
 @query(f"""{T_} SELECT trace_id, trace_id % 10 = 3 AND trace_id % 2 = 0 AS is_valid, CAST(NULL AS VARCHAR) AS certified_answer, CASE WHEN trace_id % 10 = 3 AND trace_id % 2 = 0 THEN 'DEDUCING' ELSE 'ROLLBACK' END AS state FROM traces WHERE trace_id % 10 IN (2, 3)""")
 def terminal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return executor.terminal_audit(traces(spark, sf_dir)).select("trace_id", "is_valid", "certified_answer", "state")
@@ -532,6 +538,12 @@ def reward_stage4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", rewards.stage4(F.col("completion"), F.col("ground_truth"), F.lit("symbolic_deductive")).alias("reward"))
 
 
+@query()
+def reward_stage4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reward_stage4`` over every trace; its SQL leaves out scratchpads, whose tail it reads by other tags."""
+    return traces(spark, sf_dir).select("trace_id", rewards.stage4(F.col("completion"), F.col("ground_truth"), F.lit("symbolic_deductive")).alias("reward"))
+
+
 @query()
 def reward_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = F.col("completion"), F.col("ground_truth")
@@ -612,8 +624,8 @@ def receipts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
     base = f"{shared.rstrip('/')}/receipts-{os.urandom(8).hex()}"
     rows = receipts_view(spark, sf_dir).select("problem_id", "arm", "budget", "is_correct", "truncated", "tokens_emitted", "mj")
-    rows.where("budget = 256").write.parquet(f"{base}/in")
-    rows.where("budget = 256 and arm in ('A', 'B')").write.mode("append").parquet(f"{base}/in")
+    rows.write.parquet(f"{base}/in")
+    rows.where("arm in ('A', 'B')").write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     append_once(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return metrics.cell_summary(spark.read.parquet(f"{base}/out"))
