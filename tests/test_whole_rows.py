@@ -23,3 +23,8 @@ def test_stage4_rewards_of_scratchpads(spark):
     """47 tokens, right, none of this reward's tags, so an empty tail: 1.2 + 0.5 * 3 / 50; a wrong one within 50 tokens gets 0."""
     got = {r.trace_id: r.reward for r in QUERIES["reward_stage4_all"](spark, SF).collect()}
     assert len(got) == 1500 and abs(got[17] - 1.23) < 1e-9 and got[7] == 0.0
+
+
+def test_bootstrap_draws_as_many_as_the_reference(spark):
+    got = QUERIES["paired_bootstrap"](spark, SF).collect()
+    assert got and all(9_000 < r.n_reps <= 10_000 and r.lo <= r.hi for r in got)

@@ -43,7 +43,7 @@ def paired(receipts: DataFrame, arm: str, base: str) -> DataFrame:
     return both.where("ok_a is not null and ok_b is not null")
 
 
-def paired_bootstrap(receipts: DataFrame, arm: str, base: str, reps: int = 1000, seed: int = 42) -> DataFrame:
+def paired_bootstrap(receipts: DataFrame, arm: str, base: str, reps: int = 10_000, seed: int = 42) -> DataFrame:
     """95 % interval of (joules per correct of base minus arm), resampling problems, by budget.
 
     Each problem gets a Poisson(1) weight in each replicate, drawn from a hash of problem and replicate, so a
