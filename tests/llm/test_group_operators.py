@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracequarry.llm import cap_filters, kk_sharding, ngram_jaccard, queries, suffix_dedup, url_filters
 from tracequarry.llm.graph import connected_components
@@ -144,6 +145,18 @@ def test_repeats_of_repeated_rows(spark):
     assert out.columns == df.columns and sorted((r.text, r.n_chars) for r in out.collect()) == [("", 0), ("", 0), ("!", 1), ("short", 5)]
 
 
+def test_repeated_rows_through_two_stages(spark):
+    """One of repeated rows stays and keeps its text; a text that shares its id with a copy stays."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(999)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, b), (2, b), (5, a), (5, c), (None, b), (7, ""), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    kept = ngram_jaccard.keep_one_of_each(df, words=5, percent=80)
+    want = sorted([(1, a), (2, b), (5, c), (7, ""), (7, "")])
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == want
+    assert sorted((r.doc_id, r.text) for r in suffix_dedup.remove_repeats(kept).collect()) == want
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(cap_filters, "BLOCK", 16)
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")

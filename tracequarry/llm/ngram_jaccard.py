@@ -253,14 +253,8 @@ def _near_in_region(percent: int, slack: float):
     return near
 
 
-def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the smallest id reachable by links, itself included.
-
-    Two rows link when ``100 * |intersection| >= percent * |union|`` of their sets of distinct word shingles.
-    Null and empty texts and texts without words have no shingles and link with nothing (their component is
-    their own id).  Equal sets are one class from the start, so copies cost one row each.  Repeated rows stay;
-    other columns are not read.
-    """
+def _placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest of the text, n, component) for every row; the component is a number of its own, not an id."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.col(text_col).alias("text"))
     for seed in range(16):  # classes go by 64 bits; the other 64 tell whether two classes share them
@@ -306,17 +300,37 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     open_pairs = cut(_bounded(pairs.distinct(), classes, percent, only_near=True).select("x", "p").union(drawn).distinct())
     more = _distances(open_pairs, _texts(own, classes, _ends(open_pairs)), words, seed).where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
     labels = cut(connected_components(links.union(more)))
-    placed = rows.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("id", "n", F.coalesce("component", "klass").alias("component"))
+    return rows.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("id", "digest", "n", F.coalesce("component", "klass").alias("component"))
+
+
+def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row: the smallest id reachable by links, itself included.
+
+    Two rows link when ``100 * |intersection| >= percent * |union|`` of their sets of distinct word shingles.
+    Null and empty texts and texts without words have no shingles and link with nothing (their component is
+    their own id).  Equal sets are one class from the start, so copies cost one row each.  Repeated rows stay;
+    other columns are not read.
+    """
+    placed = _placed(docs, words, percent, id_col, text_col)
     least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     joined = placed.join(least, "component", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows without near-duplicates: of each component the row of smallest id stays (one of repeated rows).
+    """The rows without near-duplicates: of each component one row of smallest id (then digest of its text) stays.
 
+    So one of repeated rows stays, and of different texts that share an id only those go that are copies.
     Rows without shingles are all kept.  All columns stay as they are.
     """
-    found = near_components(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
-    gone = found.where(f"{id_col} <> component_id").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    placed = cut(_placed(docs, words, percent, id_col, text_col).where("n > 0").select(F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"), "component"))
+    stays = placed.groupBy("component").agg(F.min("row").alias("first"))
+    gone = placed.join(stays, "component").where("row <> first").select("row.*").distinct()
+    digest = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    same = lambda rows: docs[id_col].eqNullSafe(rows["id"]) & (digest == rows["digest"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    again = cut(placed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row.*"))
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, same(again), "left_semi").withColumn("_digest", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    return kept.join(again, same(again), "left_anti").union(one)
