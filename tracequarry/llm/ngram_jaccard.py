@@ -1,4 +1,7 @@
-"""N-gram Jaccard join in metric space: regions around pivots, triangle-inequality windows, exact recursion.
+"""N-gram Jaccard components: a prefix-filter join with regions around pivots and triangle-inequality windows.
+
+There is no Voronoi assignment and no recursion: one pass over pivots, then open pairs or pairs of blocks.  Only components
+come out, not all links or their counts.
 
 Jaccard distance is a metric, but in a corpus nearly all pairs of texts are at distance exactly 1, so cells of
 pivots drawn at random say nothing about them.  Pivots are therefore drawn from what can be near at all: two texts
