@@ -74,10 +74,12 @@ def near_texts():
     return rows + [(900, None), (901, ""), (902, "  \t"), (903, "A b"), (904, "a B"), (905, "a b c")]
 
 
-@pytest.mark.parametrize("leaf,block", [(48, 256), (3, 30), (2, 2)])
-def test_jaccard_components(spark, monkeypatch, leaf, block):
+@pytest.mark.parametrize("leaf,weight,saved", [(2048, 4_000_000, 0.25), (12, 4_000_000, 0.01), (5, 200, -3.0), (4, 4_000_000, 2.0)])
+def test_jaccard_components(spark, monkeypatch, leaf, weight, saved):
+    """Whole leaves; Voronoi regions where they save pairs; splitting always; blocks only."""
     monkeypatch.setattr(ngram_jaccard, "LEAF", leaf)
-    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "WEIGHT", weight)
+    monkeypatch.setattr(ngram_jaccard, "SAVED", saved)
     rows = near_texts()
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n_shingles int, klass string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.near_components(df).collect()}

@@ -1,19 +1,20 @@
-"""N-gram Jaccard components: a prefix-filter join with regions around pivots and triangle-inequality windows.
-
-There is no Voronoi assignment and no recursion: one pass over pivots, then open pairs or pairs of blocks.  Only components
-come out, not all links or their counts.
-
-Jaccard distance is a metric, but in a corpus nearly all pairs of texts are at distance exactly 1, so cells of
-pivots drawn at random say nothing about them.  Pivots are therefore drawn from what can be near at all: two texts
-within the threshold share a shingle among the first few of each in a common order (rarest first), and the
-smallest class of equal texts that has such a shingle is a pivot for all that have it.  A text belongs to the region of each of its
-pivots, which replicates it across boundaries: two texts within the threshold meet in a region.
-Each text carries a small histogram of its shingles; the sum of two histograms' differences never exceeds the sets'
-symmetric difference, so it bounds the distance from below and only pairs it leaves are compared by their texts.
-Members linked to the pivot are connected already.  Only regions that still hold several components are taken further:
-a pair is compared only if its distances to the pivot differ by no more than the threshold (the triangle inequality excludes
-the others).  Small regions join what is left; larger ones are dealt into blocks of which every two meet, and only
-histograms are compared there.  No pair within the threshold is missed; pairs inside one component need no comparison, since only components are asked for.
+"""N-gram Jaccard components: an exact metric-space join by pivots, Voronoi regions and triangle-inequality windows.
+
+In a corpus nearly all pairs of texts are at Jaccard distance exactly 1, where no pivot tells them apart.  So the first
+regions are drawn around what can be near at all: two texts within the threshold share a shingle among the first few of
+each in a common order (rarest first); texts that share such a shingle belong to the region of the smallest of them.
+
+Inside a region the metric is that of sketches.  A sketch is a histogram of a set's shingles over their leading bits;
+the weighted Jaccard distance of two histograms of equal resolution is a metric, and it never exceeds the Jaccard
+distance of the sets.  A region beyond ``LEAF`` members (or ``WEIGHT`` shingles) is split again: some members are
+pivots, each member is at home in the region of its nearest pivot (Voronoi), and it is replicated into every region
+whose pivot is no more than two thresholds farther than its own (triangle inequality), so the home of either end of a near pair
+holds the other end.  Regions are split recursively.  A region that does not shrink, as windows of a dense group hold everybody, is
+dealt into blocks of which every two meet.
+
+In a leaf the sketches leave a few pairs open.  The texts of members with an open pair are fetched once a leaf, all
+intersections within the leaf are counted exactly, and only a spanning forest of the links leaves the task.  No pair within the
+threshold is missed.  Components come out, not all links or their counts.
 """
 
 from __future__ import annotations
@@ -27,27 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices
+from .common import cut, fresh, text_slices
 from .graph import connected_components
 
 WORDS, PERCENT = 4, 85
-#: Regions up to the first size are finished by joining the pairs that windows and components leave; members of a
-#: block of a larger one, whose histograms are compared in one task.
-LEAF, BLOCK = 48, 256
+#: Members and shingles that one task compares at once.
+LEAF, WEIGHT = 2048, 4_000_000
+#: Pivots of a split region at most, levels of splitting, and the share of pairs that a split has to save.
+PIVOTS, LEVELS, SAVED = 16, 6, 0.25
 #: Hashes that frequent shingles are counted over at a time.
 COUNTED = 1_000_000
-#: Places of a text's histogram (a power of two).
-PLACES = 128
-#: Frequent shingles that are ordered last, and the rows of one pivot that are compared in one run of rows.
-HOT_SHINGLES, ROWS_A_RUN = 200_000, 256
-#: Up to so many classes whose texts are wanted are broadcast to the corpus; beyond that both sides are joined.
+#: Shingles that a place of a text's sketch holds on average, at most, and the least places (powers of two).
+DENSITY, PLACES = 4, 16
+#: Frequent shingles that are ordered last.
+HOT_SHINGLES = 200_000
+#: Up to so many classes whose texts are wanted are broadcast to the corpus (three numbers each); beyond that both sides are joined.
 BROADCAST_CLASSES = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-_TOP = np.uint64(64 - PLACES.bit_length() + 1)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _B
     x = (x ^ (x >> np.uint64(27))) * _C
@@ -99,13 +98,35 @@ def _class_of(u: np.ndarray) -> bytes:
     return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """Histogram of a set over its leading bits; empty if a place holds too many to be told, which bounds nothing."""
+    bits = PLACES.bit_length() - 1
+    while (DENSITY << bits) < len(u):
+        bits += 1
+    counts = np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of numbers at the coarsest resolution among them; without places if one is unknown."""
+    places = min(map(len, sketches))
+    if not places:
+        return np.zeros((len(sketches), 0), np.int32)
+    return np.stack([np.frombuffer(x, np.uint8).reshape(places, -1).sum(axis=1, dtype=np.int32) for x in sketches])
+
+
+def apart(a: np.ndarray, na, b: np.ndarray, nb) -> np.ndarray:
+    """Lower bounds of the symmetric difference of sets of sizes ``na`` and ``nb`` with sketches ``a`` and ``b``."""
+    return np.maximum(np.abs(a - b).sum(axis=-1, dtype=np.int64), np.abs(na - nb))
+
+
 def _sets(batch: pa.RecordBatch, column: int, words: int, seed: int):
     for first, offsets, raw in text_slices(batch.column(column)):
         yield first, shingle_sets(offsets, raw, words, seed)
 
 
 def _measure(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """Rows of texts (id, digest, n, class, check) and, with null ``n``, counts of shingles frequent within a batch."""
+    """Rows of texts (id, digest, n, class, check, sketch) and, with null ``n``, counts of shingles frequent within a batch."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +135,9 @@ def _measure(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 for u in sets:
                     sizes.append(len(u))
                     keys.append(_class_of(u))
-                    sketches.append(np.minimum(np.bincount((u >> _TOP).astype(np.int64), minlength=PLACES), 255).astype(np.uint8).tobytes())
-                    if keys[-1] not in seen and len(u):
+                    new = keys[-1] not in seen and len(u) > 0
+                    sketches.append(sketch(u) if new else None)
+                    if new:
                         seen.add(keys[-1])
                         distinct.append(u)
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -172,101 +194,196 @@ def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> Data
     return docs.mapInArrow(found, "shingle bigint, klass bigint")
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, only_near: bool = False) -> DataFrame:
-    """(x, p, n, low, near): the size of x, a lower bound of the distance from sizes and histograms, and whether it leaves the pair open."""
-    x = classes.select(F.col("klass").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-    p = classes.select(F.col("klass").alias("p"), F.col("n").alias("np"), F.col("sketch").alias("sp"))
-    rows = pairs.join(x, "x").join(p, "p").select("x", "p", "nx", "np", "sx", "sp")
+# -- regions ------------------------------------------------------------------------------------------------
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(region, size, weight, places) of regions in which something is to be compared; ``size`` counts loads of a leaf in members."""
+    load = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * LEAF / F.lit(WEIGHT)))
+    return rows.groupBy("region").agg(load.cast("long").alias("size"), F.count(F.lit(1)).alias("rows"), F.max(F.col("home").cast("int")).alias("lived"), F.min(F.length("sketch")).alias("places")).where("lived = 1 and rows > 1").drop("lived", "rows")
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nx, np_ = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PLACES).astype(np.int16) for k in (4, 5))
-            apart = np.maximum(np.abs(a - b).sum(axis=1, dtype=np.int64), np.abs(nx - np_))
-            total = nx + np_
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(2 * apart / (total + apart)), pa.array(100 * (total - apart) >= percent * (total + apart))], names=["x", "p", "n", "low", "near"])
-            yield out.filter(out.column(4)) if only_near else out
 
-    return rows.mapInArrow(bounded, "x bigint, p bigint, n bigint, low double, near boolean")
+def _split(rows: DataFrame, level: int, percent: int) -> DataFrame:
+    """Members of large regions (with ``size`` and ``places``) in the Voronoi regions of some members, with windows: ``parent`` added."""
+    wide = 2 * (1 - percent / 100) + 1e-9
+    wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("size") / LEAF) * 2)
+    drawn = rows.where(F.pmod(F.xxhash64("klass", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("size") / (2 * wanted)))) == 0)
+    pivots = drawn.groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct("klass", "n", "sketch"))), 1, PIVOTS).alias("pivots"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.to_pandas()
+            for region, own in frame.groupby("region", sort=False):
+                pivot, places = own["pivots"].iloc[0], int(own["places"].iloc[0])
+                mine = folded([*own["sketch"], *[p["sketch"] for p in pivot], b"\0" * places])[:-1]
+                mine, theirs = mine[: len(own)], mine[len(own) :]
+                n, far = own["n"].to_numpy(), np.empty((len(own), len(pivot)))
+                for k, p in enumerate(pivot):
+                    gap = np.abs(mine - theirs[k]).sum(axis=1, dtype=np.int64)
+                    total = mine.sum(axis=1) + theirs[k].sum()
+                    far[:, k] = np.where(total > 0, 2 * gap / np.maximum(1, total + gap), 0.0)
+                nearest = far.argmin(axis=1)
+                row, k = np.nonzero(far <= far.min(axis=1, keepdims=True) + wide)
+                codes = np.array([np.frombuffer(hashlib.blake2b(f"{region} {j}".encode(), digest_size=8).digest(), np.int64)[0] for j in range(len(pivot))])
+                out = own.iloc[row].assign(parent=region, region=codes[k], home=own["home"].to_numpy()[row] & (nearest[row] == k))
+                yield pa.RecordBatch.from_pandas(out[["parent", "region", "klass", "n", "sketch", "home"]], schema=schema, preserve_index=False)
+
+    schema = pa.schema([("parent", pa.int64()), ("region", pa.int64()), ("klass", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("home", pa.bool_())])
+    return rows.join(pivots, "region").mapInArrow(placed, "parent bigint, region bigint, klass bigint, n bigint, sketch binary, home boolean")
+
+
+def _leaves(members: DataFrame, percent: int) -> DataFrame:
+    """(b0, b1, b2, region, klass, n, sketch, home, half): regions split until they are leaves; blocks b1, b2 of those that do not shrink."""
+    done, dense, rows = [], [], cut(members)
+    for level in range(LEVELS + 1):
+        sizes = cut(_sizes(rows))
+        done.append(rows.join(sizes.where(F.col("size") <= LEAF).select("region"), "region"))
+        large = sizes.where(F.col("size") > LEAF)
+        if large.isEmpty():
+            break
+        live = rows.join(large, "region")
+        if level == LEVELS:
+            dense.append(live)
+            break
+        parts = cut(_split(live, level, percent))
+        pairs = parts.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("home").cast("int")).alias("lived")).groupBy("parent").agg(F.sum(F.col("c").cast("double") * F.col("c") * F.col("lived")).alias("pairs"))
+        before = live.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("m"), F.first("size").alias("size")).withColumnRenamed("region", "parent")
+        shrunk = cut(before.join(pairs, "parent", "left").select("parent", F.coalesce(F.col("pairs") <= (1 - SAVED) * F.col("m") * F.col("m"), F.lit(False)).alias("ok")))
+        dense.append(live.join(shrunk.where("not ok").select(F.col("parent").alias("region")), "region"))
+        rows = cut(parts.join(shrunk.where("ok").select("parent"), "parent").drop("parent"))
+    small = done[0]
+    for d in done[1:]:
+        small = small.unionByName(d)
+    small = cut(small)
+    total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = max(1, total[0] // LEAF, 4 * total[1] // WEIGHT)
+    none = F.lit(-1)
+    out = small.select("region", "klass", "n", "sketch", "home", F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("b0"), none.alias("b1"), none.alias("b2"), F.lit(False).alias("half"))
+    for d in dense:
+        blocks = F.ceil(2 * F.col("size") / LEAF).cast("int")
+        dealt = d.select("region", "klass", "n", "sketch", "home", blocks.alias("blocks"), F.pmod(F.xxhash64("klass"), blocks).cast("int").alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        out = out.unionByName(dealt.select("region", "klass", "n", "sketch", "home", F.col("region").alias("b0"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("half")))
+    return out
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("x").alias("klass")).union(pairs.select(F.col("p").alias("klass")))
+def _regions(rows: pd.DataFrame):
+    """Runs of rows of one region, and which pairs of them count: one end at home, and ends of two blocks if there are two."""
+    rows = rows.sort_values(["region", "klass"], kind="stable").reset_index(drop=True)
+    region = rows["region"].to_numpy()
+    edge = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True]) if len(rows) else np.zeros(1, int)
+    for begin, end in zip(edge[:-1], edge[1:]):
+        if end - begin > 1:
+            own = rows.iloc[begin:end]
+            home = own["home"].to_numpy()
+            meets = home[:, None] | home[None, :]
+            if own["b1"].iloc[0] != own["b2"].iloc[0]:
+                half = own["half"].to_numpy()
+                meets &= half[:, None] != half[None, :]
+            np.fill_diagonal(meets, False)
+            yield own, meets
+
+
+def _with_open_pairs(percent: int):
+    def active(rows: pd.DataFrame) -> pd.DataFrame:
+        """Members of leaves that sizes and sketches leave within the threshold of another member."""
+        out = []
+        for own, meets in _regions(rows):
+            n, h = own["n"].to_numpy(), folded(list(own["sketch"]))
+            near = np.zeros(len(own), bool)
+            step = max(1, 2_000_000 // max(1, h.size))
+            for k in range(0, len(own), step):
+                gap = apart(h[k : k + step, None, :], n[k : k + step, None], h[None, :, :], n[None, :])
+                total = n[k : k + step, None] + n[None, :]
+                near[k : k + step] = ((100 * (total - gap) >= percent * (total + gap)) & meets[k : k + step]).any(axis=1)
+            out.append(own.loc[near, KEYS])
+        return pd.concat(out) if out else rows.loc[[], KEYS]
+
+    return active
+
+
+KEYS = ["b0", "b1", "b2", "region", "klass", "home", "half"]
+_KEYS = "b0 bigint, b1 int, b2 int, region bigint, klass bigint, home boolean, half boolean"
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets, from the elements that several of them hold."""
+    m = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(u) for u in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    element = np.cumsum(new) - 1
+    held = np.bincount(element)
+    keep = held[element] > 1
+    element, owner = np.unique(element[keep], return_inverse=True)[1], owner[keep]
+    columns, work = int(element.max(initial=-1)) + 1, float((held[held > 1].astype(float) ** 2).sum())
+    if columns and m * m * columns / 1e10 < work / 1e8 + 0.01:
+        both = np.zeros((m, m), np.float32)
+        for k in range(0, columns, 4096):  # elements are in order, so a slice of them is a run of rows
+            a, b = np.searchsorted(element, (k, k + 4096))
+            held_by = np.zeros((m, min(4096, columns - k)), np.float32)
+            held_by[owner[a:b], element[a:b] - k] = 1
+            both += held_by @ held_by.T
+        return both.astype(np.int64)
+    both, begin = np.zeros((m, m), np.int64), np.searchsorted(element, np.arange(columns + 1))
+    by_owner = np.argsort(owner, kind="stable")
+    edge = np.searchsorted(owner[by_owner], np.arange(m + 1))
+    for i in range(m):
+        mine = element[by_owner[edge[i] : edge[i + 1]]]
+        length = begin[mine + 1] - begin[mine]
+        at = np.repeat(begin[mine] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum())) if len(mine) else np.zeros(0, np.int64)
+        both[i] = np.bincount(owner[at], minlength=m)
+    return both
+
+
+def roots(near: np.ndarray) -> np.ndarray:
+    """For each member the smallest one reachable, by a symmetric matrix of links."""
+    out = np.arange(len(near))
+    i, j = np.nonzero(near)
+    while True:
+        low = out.copy()
+        np.minimum.at(low, i, out[j])
+        low = low[low]
+        if (low == out).all():
+            return out
+        out = low
+
+
+def _linked(words: int, percent: int, seed: int):
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the links among the members of each leaf."""
+        out = []
+        for own, meets in _regions(rows):
+            sets: list[np.ndarray] = []
+            for _, part in _sets(pa.RecordBatch.from_arrays([pa.array(own["text"], pa.large_string())], names=["text"]), 0, words, seed):
+                sets += part
+            n, both = np.array([len(u) for u in sets]), intersections(sets)
+            near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & meets
+            root, klass = roots(near), own["klass"].to_numpy()
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            out.append(pd.DataFrame({"x": klass[tied], "y": klass[root[tied]]}))
+        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": []}).astype("int64")
+
+    return linked
 
 
 def _texts(own: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(klass, text) of one row of each wanted class; the corpus itself is not shuffled while the classes are few."""
-    wanted = cut(nodes.distinct().join(classes, "klass").select("klass", "one.*"))
+    wanted = cut(nodes.distinct().join(classes, "klass").select("klass", F.col("one.digest").alias("digest"), F.xxhash64("one.id").alias("key")))
     few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     w, t = (F.broadcast(wanted) if few else wanted).alias("w"), own.alias("t")
-    return cut(t.join(w, (F.col("t.digest") == F.col("w.digest")) & F.col("t.id").eqNullSafe(F.col("w.id"))).select("klass", "text").dropDuplicates(["klass"]))
-
-
-def _distances(pairs: DataFrame, texts: DataFrame, words: int, seed: int) -> DataFrame:
-    """(x, p, both, either) for distinct pairs of classes: sizes of intersection and union.
-
-    Rows of a pivot are dealt into runs, each begun by the pivot's own text, so no pivot is held by one task
-    and a task holds two sets at a time.
-    """
-    runs = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", F.ceil(F.col("n") / ROWS_A_RUN).cast("int").alias("runs"))
-    dealt = pairs.join(runs, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.col("runs")).cast("int").alias("run"))
-    others = dealt.join(texts.select(F.col("klass").alias("x"), "text"), "x").select("p", "run", F.lit(1).alias("turn"), "x", "text")
-    heads = runs.select("p", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run")).join(texts.select(F.col("klass").alias("p"), "text"), "p")
-    rows = others.unionByName(heads.select("p", "run", F.lit(0).alias("turn"), F.col("p").alias("x"), "text"))
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "p", "run").sortWithinPartitions("p", "run", "turn")
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.uint64)
-        for batch in batches:
-            turn, p, x = batch.column(2).to_numpy(), batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            out = []
-            for first, sets in _sets(batch, 4, words, seed):
-                for i, u in enumerate(sets, first):
-                    if turn[i] == 0:
-                        own = u
-                        continue
-                    both = len(np.intersect1d(own, u, assume_unique=True))
-                    out.append((x[i], p[i], both, len(own) + len(u) - both))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["x", "p", "both", "either"])
-
-    return rows.mapInArrow(measured, "x bigint, p bigint, both bigint, either bigint")
-
-
-def _near_in_region(percent: int, slack: float):
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a region's members (of two blocks: across them) that windows, components, sizes and histograms leave open."""
-        rows = rows.sort_values("klass").reset_index(drop=True)
-        klass, n, low, high, component, half = (rows[c].to_numpy() for c in ("klass", "n", "low", "high", "component", "half"))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, PLACES).astype(np.int16)
-        cross, out = rows["b1"].iloc[0] != rows["b2"].iloc[0], []
-        for i in range(1, len(rows)):
-            open_ = (component[:i] != component[i]) & (low[:i] - high[i] <= slack) & (low[i] - high[:i] <= slack)
-            if cross:
-                open_ &= half[:i] != half[i]
-            j = np.flatnonzero(open_)
-            apart = np.maximum(np.abs(sketch[j] - sketch[i]).sum(axis=1, dtype=np.int64), np.abs(n[j] - n[i]))
-            total = n[j] + n[i]
-            out.extend((klass[i], klass[k]) for k in j[100 * (total - apart) >= percent * (total + apart)])
-        return pd.DataFrame(out, columns=["x", "p"]).astype("int64")
-
-    return near
+    return cut(t.join(w, (F.col("t.digest") == F.col("w.digest")) & (F.xxhash64("t.id") == F.col("w.key"))).select("klass", "text").dropDuplicates(["klass"]))
 
 
 def _placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest of the text, n, component) for every row; the component is a number of its own, not an id."""
+    """(id, digest of the text, n, first) for every row; ``first`` is the first row (none, id, digest) of its component."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.col(text_col).alias("text"))
     for seed in range(16):  # classes go by 64 bits; the other 64 tell whether two classes share them
         measured = cut(_measure(own, words, seed))
         rows = measured.where("n is not null")
-        clash = rows.groupBy("klass").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
-        if clash.isEmpty():
+        row = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+        classes = cut(rows.where("n > 0").groupBy("klass").agg(F.min(row).alias("one"), F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.min("check").alias("a"), F.max("check").alias("b")))
+        if classes.where("a <> b").isEmpty():
             break
-    classes = cut(rows.where("n > 0").groupBy("klass").agg(F.min(F.struct("id", "digest")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     frequent = measured.where("n is null").groupBy(F.col("klass").alias("shingle")).agg(F.sum("check").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES)
     listed = frequent.toPandas()  # bounded by HOT_SHINGLES; only an order, no decision depends on it
     values = np.append(listed["shingle"].to_numpy(np.int64).view(np.uint64), np.uint64(2**64 - 1))
@@ -274,36 +391,20 @@ def _placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     order = np.argsort(values)
     hot = spark.sparkContext.broadcast((values[order], ranks[order]))
 
-    firsts = _prefixes(own, words, percent, seed, hot)
+    firsts = cut(_prefixes(own, words, percent, seed, hot))
     shared = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
-    cells = cut(firsts.join(shared, "shingle"))
-    pivots = cells.groupBy("shingle").agg(F.min("klass").alias("p"), F.max("klass").alias("q")).where("p <> q").select("shingle", "p")
-    members = cut(cells.join(pivots, "shingle").where("klass <> p").distinct())
-    pairs = cut(_bounded(members.select(F.col("klass").alias("x"), "p").distinct(), classes, percent))
-    close = pairs.where("near").select("x", "p")
-    known = cut(_distances(close, _texts(own, classes, _ends(close)), words, seed))
-    linked = f"100 * both >= {percent} * either"
-    links = known.where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
-    labels = cut(connected_components(links))
-    slack = 1 - percent / 100 + 1e-9
-    exact = known.select("x", "p", (1 - F.col("both") / F.col("either")).alias("far"))
-    bounds = pairs.join(exact, ["x", "p"], "left").select(F.col("x").alias("klass"), "p", "n", F.coalesce("far", "low").alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
-    named = cut(bounds.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("klass", "p", "n", "low", "high", F.coalesce("component", "klass").alias("component")))
-    open_ = named.groupBy("p").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").drop("a", "b")
-    live = cut(named.join(open_, "p"))
-    small, large = live.where(F.col("size") <= LEAF), live.where(F.col("size") > LEAF)
-    other = small.select("p", F.col("klass").alias("k2"), F.col("n").alias("n2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("component").alias("c2"))
-    near = (F.col("component") != F.col("c2")) & (F.col("low") - F.col("high2") <= slack) & (F.col("low2") - F.col("high") <= slack)
-    near &= F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    pairs = small.join(other, "p").where(near & (F.col("klass") > F.col("k2"))).select(F.col("klass").alias("x"), F.col("k2").alias("p"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = large.select("*", F.pmod(F.xxhash64("klass"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = dealt.select("p", "klass", "n", "low", "high", "component", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("half")).join(classes.select("klass", "sketch"), "klass")
-    drawn = met.groupBy("p", "b1", "b2").applyInPandas(_near_in_region(percent, slack), "x bigint, p bigint")
-    open_pairs = cut(_bounded(pairs.distinct(), classes, percent, only_near=True).select("x", "p").union(drawn).distinct())
-    more = _distances(open_pairs, _texts(own, classes, _ends(open_pairs)), words, seed).where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst"))
-    labels = cut(connected_components(links.union(more)))
-    return rows.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("id", "digest", "n", F.coalesce("component", "klass").alias("component"))
+    cells = cut(firsts.join(shared, "shingle").distinct())
+    pivots = cells.groupBy("shingle").agg(F.min("klass").alias("region"), F.max("klass").alias("last")).where("region <> last").select("shingle", "region")
+    members = cells.join(pivots, "shingle").select("region", "klass").distinct().join(classes.select("klass", "n", "sketch"), "klass")
+    leaves = _leaves(members.select("region", "klass", "n", "sketch", F.lit(True).alias("home")), percent)
+    active = cut(leaves.groupBy("b0", "b1", "b2").applyInPandas(_with_open_pairs(percent), _KEYS))
+    texts = _texts(own, classes, active.select("klass"))
+    links = cut(active.join(texts, "klass").groupBy("b0", "b1", "b2").applyInPandas(_linked(words, percent, seed), "x bigint, y bigint"))
+    node = lambda side: classes.select(F.col("klass").alias(side), F.struct("one.*", "klass").alias("end_" + side))
+    edges = links.distinct().join(node("x"), "x").join(node("y"), "y").select(F.col("end_x").alias("src"), F.col("end_y").alias("dst"))
+    labels = connected_components(edges).select(F.col("node.klass").alias("klass"), F.struct("component.none", "component.id", "component.digest").alias("first"))
+    named = classes.join(labels, "klass", "left").select("klass", F.coalesce("first", "one").alias("first"))
+    return rows.join(named, "klass", "left").select("id", "digest", "n", "first")
 
 
 def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,28 +413,26 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     Two rows link when ``100 * |intersection| >= percent * |union|`` of their sets of distinct word shingles.
     Null and empty texts and texts without words have no shingles and link with nothing (their component is
     their own id).  Equal sets are one class from the start, so copies cost one row each.  Repeated rows stay;
-    other columns are not read.
+    other columns are not read, whatever their names.
     """
     placed = _placed(docs, words, percent, id_col, text_col)
-    least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
-    joined = placed.join(least, "component", "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without near-duplicates: of each component one row of smallest id (then digest of its text) stays.
 
-    So one of repeated rows stays, and of different texts that share an id only those go that are copies.
-    Rows without shingles are all kept.  All columns stay as they are.
+    So one of repeated rows stays (which one, where their other columns differ, is left open), and of different texts that
+    share an id only those go that are copies.  Rows without shingles all stay.  All columns stay as they are.
     """
-    placed = cut(_placed(docs, words, percent, id_col, text_col).where("n > 0").select(F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"), "component"))
-    stays = placed.groupBy("component").agg(F.min("row").alias("first"))
-    gone = placed.join(stays, "component").where("row <> first").select("row.*").distinct()
+    placed = cut(_placed(docs, words, percent, id_col, text_col).where("n > 0").select(F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"), "first"))
+    gone = placed.where("row <> first").select("row.*").distinct()
     digest = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     same = lambda rows: docs[id_col].eqNullSafe(rows["id"]) & (digest == rows["digest"])
     kept = docs.join(gone, same(gone), "left_anti")
     again = cut(placed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row.*"))
     if again.isEmpty():
         return kept
-    one = kept.join(again, same(again), "left_semi").withColumn("_digest", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    (name,) = fresh(docs, "digest")
+    one = kept.join(again, same(again), "left_semi").withColumn(name, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, name]).drop(name)
     return kept.join(again, same(again), "left_anti").union(one)
