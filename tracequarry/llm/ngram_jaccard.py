@@ -2,7 +2,8 @@
 
 In a corpus nearly all pairs of texts are at Jaccard distance exactly 1, where no pivot tells them apart.  So the first
 regions are drawn around what can be near at all: two texts within the threshold share a shingle among the first few of
-each in a common order (rarest first); texts that share such a shingle belong to the region of the smallest of them.
+each in a common order (rarest first); texts that share such a shingle belong to the region of the first of them, one
+for each band of sizes (a set also visits the bands that its smaller partners may be of).
 
 Inside a region the metric is that of sketches.  A sketch is a histogram of a set's shingles over their leading bits;
 the weighted Jaccard distance of two histograms of equal resolution is a metric, and it never exceeds the Jaccard
@@ -392,11 +393,11 @@ def _placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     hot = spark.sparkContext.broadcast((values[order], ranks[order]))
 
     firsts = cut(_prefixes(own, words, percent, seed, hot))
-    shared = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
-    cells = cut(firsts.join(shared, "shingle").distinct())
-    pivots = cells.groupBy("shingle").agg(F.min("klass").alias("region"), F.max("klass").alias("last")).where("region <> last").select("shingle", "region")
-    members = cells.join(pivots, "shingle").select("region", "klass").distinct().join(classes.select("klass", "n", "sketch"), "klass")
-    leaves = _leaves(members.select("region", "klass", "n", "sketch", F.lit(True).alias("home")), percent)
+    pivots = firsts.groupBy("shingle").agg(F.min("klass").alias("region"), F.max("klass").alias("last")).where("region <> last").select("shingle", "region")
+    members = firsts.join(pivots, "shingle").select("region", "klass").distinct().join(classes.select("klass", "n", "sketch"), "klass")
+    band = F.floor(F.log2("n"))  # near sets are of one band of sizes, or the larger one visits the smaller one's
+    banded = members.select("region", "klass", "n", "sketch", band.alias("own"), F.explode(F.sequence(F.floor(F.log2(F.expr(f"(n * {percent} + 99) div 100"))), band)).alias("band"))
+    leaves = _leaves(banded.select(F.xxhash64("region", "band").alias("region"), "klass", "n", "sketch", (F.col("own") == F.col("band")).alias("home")), percent)
     active = cut(leaves.groupBy("b0", "b1", "b2").applyInPandas(_with_open_pairs(percent), _KEYS))
     texts = _texts(own, classes, active.select("klass"))
     links = cut(active.join(texts, "klass").groupBy("b0", "b1", "b2").applyInPandas(_linked(words, percent, seed), "x bigint, y bigint"))
