@@ -13,8 +13,8 @@ whose pivot is no more than two thresholds farther than its own (triangle inequa
 holds the other end.  Regions are split recursively.  A region that does not shrink, as windows of a dense group hold everybody, is
 dealt into blocks of which every two meet.
 
-In a leaf the sketches leave a few pairs open.  The texts of members with an open pair are fetched once a leaf, all
-intersections within the leaf are counted exactly, and only a spanning forest of the links leaves the task.  No pair within the
+In a leaf the sketches leave a few pairs open.  The texts of each group tied by open pairs are fetched, all
+intersections within the group are counted exactly, and only a spanning forest of the links leaves the task.  No pair within the
 threshold is missed.  Components come out, not all links or their counts.
 """
 
@@ -165,7 +165,7 @@ def _measure(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> DataFrame:
-    """(shingle, klass): of each class within a batch the first shingles, of which any near partner shares one."""
+    """(shingle, klass, n, at): of each class within a batch the first shingles, of which any near partner shares one, and their places."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, rank = hot.value
@@ -174,7 +174,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> Data
         for batch in batches:
             seen = set()
             for _, sets in _sets(batch, 2, words, seed):
-                shingles, klasses = [], []
+                shingles, klasses, sizes, places = [], [], [], []
                 for u in sets:
                     n = len(u)
                     key = _class_of(u)
@@ -189,17 +189,42 @@ def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> Data
                         u = u[np.lexsort((u, late))]
                     shingles.append(u[:keep])
                     klasses.append(np.full(min(keep, n), np.frombuffer(key, np.int64)[0]))
+                    sizes.append(np.full(min(keep, n), n, np.int32))
+                    places.append(np.arange(min(keep, n), dtype=np.int32))
                 if shingles:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(klasses))], names=["shingle", "klass"])
+                    columns = [np.concatenate(shingles).view(np.int64), *map(np.concatenate, (klasses, sizes, places))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "klass", "n", "at"])
 
-    return docs.mapInArrow(found, "shingle bigint, klass bigint")
+    return docs.mapInArrow(found, "shingle bigint, klass bigint, n int, at int")
+
+
+def _members(firsts: DataFrame, percent: int) -> DataFrame:
+    """(region, klass, home): texts that share a leading shingle, by the first of them and by bands of sizes, where places allow near pairs.
+
+    If a shingle is the first that two texts share, what they share is no more than what either has from its place on: that
+    caps the size of a partner.  It tells for a cell of two rows; in a larger one a text is left out if nobody's cap admits it or
+    its own admits nobody.  Near sets are of one band of sizes, or the larger one visits the smaller one's.
+    """
+    often = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
+    held = cut(firsts.join(often, "shingle").withColumn("cap", F.expr(f"cast((n - at) * {100 + percent}L div {percent} - n as int)")))
+    entry = F.struct("klass", "n", "cap")
+    cells = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(entry).alias("a"), F.max(entry).alias("b"), F.max("cap").alias("cap"), F.min("n").alias("least"))
+    kept = cells.where("a.klass <> b.klass and if(rows = 2, a.n <= b.cap and b.n <= a.cap, cap >= least)")
+    pairs = kept.where("rows = 2").select(F.col("a.klass").alias("region"), F.explode(F.array(F.struct("a.klass", "a.n"), F.struct("b.klass", "b.n"))).alias("end")).select("region", "end.*")
+    large = kept.where("rows > 2").select("shingle", F.col("a.klass").alias("region"), F.col("cap").alias("most"), "least")
+    more = held.join(large, "shingle").where("n <= most and least <= cap").select("region", "klass", "n")
+    band = F.floor(F.log2("n"))
+    rows = pairs.union(more).distinct().select("region", "klass", band.alias("own"), F.explode(F.sequence(F.floor(F.log2(F.expr(f"(n * {percent}L + 99) div 100"))), band)).alias("band"))
+    rows = cut(rows.select(F.xxhash64("region", "band").alias("region"), "klass", (F.col("own") == F.col("band")).alias("home")))
+    alive = rows.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("home").cast("int")).alias("lived")).where("rows > 1 and lived = 1").select("region")
+    return rows.join(alive, "region")
 
 
 # -- regions ------------------------------------------------------------------------------------------------
 def _sizes(rows: DataFrame) -> DataFrame:
-    """(region, size, weight, places) of regions in which something is to be compared; ``size`` counts loads of a leaf in members."""
+    """(region, size, rows, weight, places) of regions in which something is to be compared; ``size`` counts loads of a leaf in members."""
     load = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * LEAF / F.lit(WEIGHT)))
-    return rows.groupBy("region").agg(load.cast("long").alias("size"), F.count(F.lit(1)).alias("rows"), F.max(F.col("home").cast("int")).alias("lived"), F.min(F.length("sketch")).alias("places")).where("lived = 1 and rows > 1").drop("lived", "rows")
+    return rows.groupBy("region").agg(load.cast("long").alias("size"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"), F.max(F.col("home").cast("int")).alias("lived"), F.min(F.length("sketch")).alias("places")).where("lived = 1 and rows > 1").drop("lived")
 
 
 def _split(rows: DataFrame, level: int, percent: int) -> DataFrame:
@@ -233,14 +258,16 @@ def _split(rows: DataFrame, level: int, percent: int) -> DataFrame:
 
 def _leaves(members: DataFrame, percent: int) -> DataFrame:
     """(b0, b1, b2, region, klass, n, sketch, home, half): regions split until they are leaves; blocks b1, b2 of those that do not shrink."""
-    done, dense, rows = [], [], cut(members)
+    done, dense, rows, total = [], [], cut(members), [0, 0]
     for level in range(LEVELS + 1):
         sizes = cut(_sizes(rows))
-        done.append(rows.join(sizes.where(F.col("size") <= LEAF).select("region"), "region"))
+        leaf = sizes.where(F.col("size") <= LEAF)
+        done.append(rows.join(leaf.select("region"), "region"))
+        total = [a + b for a, b in zip(total, leaf.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "weight")]).first())]
         large = sizes.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        live = rows.join(large, "region")
+        live = rows.join(large.drop("rows", "weight"), "region")
         if level == LEVELS:
             dense.append(live)
             break
@@ -253,8 +280,6 @@ def _leaves(members: DataFrame, percent: int) -> DataFrame:
     small = done[0]
     for d in done[1:]:
         small = small.unionByName(d)
-    small = cut(small)
-    total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(1, total[0] // LEAF, 4 * total[1] // WEIGHT)
     none = F.lit(-1)
     out = small.select("region", "klass", "n", "sketch", "home", F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("b0"), none.alias("b1"), none.alias("b2"), F.lit(False).alias("half"))
@@ -282,26 +307,29 @@ def _regions(rows: pd.DataFrame):
             yield own, meets
 
 
-def _with_open_pairs(percent: int):
-    def active(rows: pd.DataFrame) -> pd.DataFrame:
-        """Members of leaves that sizes and sketches leave within the threshold of another member."""
+def _open_groups(percent: int):
+    def groups(rows: pd.DataFrame) -> pd.DataFrame:
+        """(group, klass, n): members of leaves tied by pairs that sizes and sketches leave open; equal groups have equal numbers."""
         out = []
         for own, meets in _regions(rows):
-            n, h = own["n"].to_numpy(), folded(list(own["sketch"]))
-            near = np.zeros(len(own), bool)
+            n, h, klass = own["n"].to_numpy(), folded(list(own["sketch"])), own["klass"].to_numpy()
+            near = np.zeros(meets.shape, bool)
             step = max(1, 2_000_000 // max(1, h.size))
             for k in range(0, len(own), step):
                 gap = apart(h[k : k + step, None, :], n[k : k + step, None], h[None, :, :], n[None, :])
                 total = n[k : k + step, None] + n[None, :]
-                near[k : k + step] = ((100 * (total - gap) >= percent * (total + gap)) & meets[k : k + step]).any(axis=1)
-            out.append(own.loc[near, KEYS])
-        return pd.concat(out) if out else rows.loc[[], KEYS]
-
-    return active
-
+                near[k : k + step] = 100 * (total - gap) >= percent * (total + gap)
+            near &= meets
+            if not near.any():
+                continue
+            root = roots(near)
+            for r in np.flatnonzero(np.bincount(root) > 1):
+                mine = np.flatnonzero(root == r)
+                number = hashlib.blake2b(np.sort(klass[mine]).tobytes(), digest_size=8).digest()
+                out.append(pd.DataFrame({"group": np.frombuffer(number, np.int64)[0], "klass": klass[mine], "n": n[mine]}))
+        return pd.concat(out) if out else pd.DataFrame({"group": [], "klass": [], "n": []}).astype("int64")
 
-KEYS = ["b0", "b1", "b2", "region", "klass", "home", "half"]
-_KEYS = "b0 bigint, b1 int, b2 int, region bigint, klass bigint, home boolean, half boolean"
+    return groups
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -350,17 +378,17 @@ def roots(near: np.ndarray) -> np.ndarray:
 
 def _linked(words: int, percent: int, seed: int):
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the links among the members of each leaf."""
+        """A spanning forest of the links among the members of each group."""
         out = []
-        for own, meets in _regions(rows):
+        for _, own in rows.groupby("group", sort=False):
             sets: list[np.ndarray] = []
             for _, part in _sets(pa.RecordBatch.from_arrays([pa.array(own["text"], pa.large_string())], names=["text"]), 0, words, seed):
                 sets += part
             n, both = np.array([len(u) for u in sets]), intersections(sets)
-            near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & meets
-            root, klass = roots(near), own["klass"].to_numpy()
+            root, klass = roots(100 * both >= percent * (n[:, None] + n[None, :] - both)), own["klass"].to_numpy()
             tied = np.flatnonzero(root != np.arange(len(root)))
-            out.append(pd.DataFrame({"x": klass[tied], "y": klass[root[tied]]}))
+            if len(tied):
+                out.append(pd.DataFrame({"x": klass[tied], "y": klass[root[tied]]}))
         return pd.concat(out) if out else pd.DataFrame({"x": [], "y": []}).astype("int64")
 
     return linked
@@ -393,18 +421,17 @@ def _placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     hot = spark.sparkContext.broadcast((values[order], ranks[order]))
 
     firsts = cut(_prefixes(own, words, percent, seed, hot))
-    pivots = firsts.groupBy("shingle").agg(F.min("klass").alias("region"), F.max("klass").alias("last")).where("region <> last").select("shingle", "region")
-    members = firsts.join(pivots, "shingle").select("region", "klass").distinct().join(classes.select("klass", "n", "sketch"), "klass")
-    band = F.floor(F.log2("n"))  # near sets are of one band of sizes, or the larger one visits the smaller one's
-    banded = members.select("region", "klass", "n", "sketch", band.alias("own"), F.explode(F.sequence(F.floor(F.log2(F.expr(f"(n * {percent} + 99) div 100"))), band)).alias("band"))
-    leaves = _leaves(banded.select(F.xxhash64("region", "band").alias("region"), "klass", "n", "sketch", (F.col("own") == F.col("band")).alias("home")), percent)
-    active = cut(leaves.groupBy("b0", "b1", "b2").applyInPandas(_with_open_pairs(percent), _KEYS))
-    texts = _texts(own, classes, active.select("klass"))
-    links = cut(active.join(texts, "klass").groupBy("b0", "b1", "b2").applyInPandas(_linked(words, percent, seed), "x bigint, y bigint"))
+    members = _members(firsts, percent).join(classes.select("klass", "n", "sketch"), "klass")
+    leaves = _leaves(members.select("region", "klass", "n", "sketch", "home"), percent)
+    groups = cut(leaves.groupBy("b0", "b1", "b2").applyInPandas(_open_groups(percent), "group bigint, klass bigint, n bigint").distinct())
+    texts = _texts(own, classes, groups.select("klass"))
+    total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bucket = F.pmod(F.xxhash64("group"), F.lit(max(1, total[0] // LEAF, 4 * total[1] // WEIGHT)))
+    links = cut(groups.select("group", "klass").join(texts, "klass").groupBy(bucket.alias("bucket")).applyInPandas(_linked(words, percent, seed), "x bigint, y bigint"))
     node = lambda side: classes.select(F.col("klass").alias(side), F.struct("one.*", "klass").alias("end_" + side))
     edges = links.distinct().join(node("x"), "x").join(node("y"), "y").select(F.col("end_x").alias("src"), F.col("end_y").alias("dst"))
     labels = connected_components(edges).select(F.col("node.klass").alias("klass"), F.struct("component.none", "component.id", "component.digest").alias("first"))
-    named = classes.join(labels, "klass", "left").select("klass", F.coalesce("first", "one").alias("first"))
+    named = cut(classes.join(labels, "klass", "left").select("klass", F.coalesce("first", "one").alias("first")))
     return rows.join(named, "klass", "left").select("id", "digest", "n", "first")
 
 
