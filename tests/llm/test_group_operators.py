@@ -80,6 +80,8 @@ def test_jaccard_components(spark, monkeypatch, leaf, weight, saved):
     monkeypatch.setattr(ngram_jaccard, "LEAF", leaf)
     monkeypatch.setattr(ngram_jaccard, "WEIGHT", weight)
     monkeypatch.setattr(ngram_jaccard, "SAVED", saved)
+    monkeypatch.setattr(ngram_jaccard, "HOT_CELL", 6 if leaf < 12 else 256)
+    monkeypatch.setattr(ngram_jaccard, "SMALL_CELL", leaf)
     rows = near_texts()
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n_shingles int, klass string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.near_components(df).collect()}

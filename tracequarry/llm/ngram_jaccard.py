@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, text_slices
@@ -41,8 +41,10 @@ PIVOTS, LEVELS, SAVED = 16, 6, 0.25
 COUNTED = 1_000_000
 #: Shingles that a place of a text's sketch holds on average, at most, and the least places (powers of two).
 DENSITY, PLACES = 4, 16
-#: Frequent shingles that are ordered last.
-HOT_SHINGLES = 200_000
+#: Frequent shingles that are ordered last, and how often one has been counted whose cells are pre-aggregated instead of gathered.
+HOT_SHINGLES, HOT_CELL = 200_000, 256
+#: Rows of a cell whose pairs are tested by sizes at once.
+SMALL_CELL = 16
 #: Up to so many classes whose texts are wanted are broadcast to the corpus (three numbers each); beyond that both sides are joined.
 BROADCAST_CLASSES = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -165,16 +167,20 @@ def _measure(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> DataFrame:
-    """(shingle, klass, n, at): of each class within a batch the first shingles, of which any near partner shares one, and their places."""
+    """(shingle, klass, n, cap, hot): of each class within a batch the first shingles, of which any near partner shares one.
+
+    If a shingle is the first that two texts share, what they share is no more than what either has from its place on:
+    that caps the size of a partner.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered, rank = hot.value
+        ordered, rank, many = hot.value
         marked = np.zeros(1 << 20, bool)
         marked[(ordered >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
             seen = set()
             for _, sets in _sets(batch, 2, words, seed):
-                shingles, klasses, sizes, places = [], [], [], []
+                shingles, klasses, sizes, caps, frequent = [], [], [], [], []
                 for u in sets:
                     n = len(u)
                     key = _class_of(u)
@@ -182,39 +188,43 @@ def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> Data
                         continue
                     seen.add(key)
                     keep = n - (percent * n + 99) // 100 + 1
-                    maybe = marked[(u >> np.uint64(44)).astype(np.int64)]
+                    maybe, heavy = marked[(u >> np.uint64(44)).astype(np.int64)], np.zeros(n, bool)
                     if maybe.any():
                         at = np.minimum(np.searchsorted(ordered, u), len(ordered) - 1)
-                        late = np.where(ordered[at] == u, rank[at], 0)
-                        u = u[np.lexsort((u, late))]
+                        known = ordered[at] == u
+                        order = np.lexsort((u, np.where(known, rank[at], 0)))
+                        u, heavy = u[order], (known & many[at])[order]
                     shingles.append(u[:keep])
                     klasses.append(np.full(min(keep, n), np.frombuffer(key, np.int64)[0]))
                     sizes.append(np.full(min(keep, n), n, np.int32))
-                    places.append(np.arange(min(keep, n), dtype=np.int32))
+                    caps.append(((n - np.arange(min(keep, n))) * (100 + percent) // percent - n).astype(np.int32))
+                    frequent.append(heavy[:keep])
                 if shingles:
-                    columns = [np.concatenate(shingles).view(np.int64), *map(np.concatenate, (klasses, sizes, places))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "klass", "n", "at"])
+                    columns = [np.concatenate(shingles).view(np.int64), *map(np.concatenate, (klasses, sizes, caps, frequent))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "klass", "n", "cap", "hot"])
 
-    return docs.mapInArrow(found, "shingle bigint, klass bigint, n int, at int")
+    return docs.mapInArrow(found, "shingle bigint, klass bigint, n int, cap int, hot boolean")
 
 
 def _members(firsts: DataFrame, percent: int) -> DataFrame:
-    """(region, klass, home): texts that share a leading shingle, by the first of them and by bands of sizes, where places allow near pairs.
+    """(region, klass, home): texts that share a leading shingle, by the first of them and by bands of sizes, where caps allow near pairs.
 
-    If a shingle is the first that two texts share, what they share is no more than what either has from its place on: that
-    caps the size of a partner.  It tells for a cell of two rows; in a larger one a text is left out if nobody's cap admits it or
-    its own admits nobody.  Near sets are of one band of sizes, or the larger one visits the smaller one's.
+    Pairs of a small cell are tested; from a larger one a text is left out if nobody's cap admits it or its own admits nobody.
+    Cells of very frequent shingles are told by partial sums and by a join with their at most ``HOT_SHINGLES`` rows.
+    Near sets are of one band of sizes, or the larger one visits the smaller one's.
     """
-    often = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
-    held = cut(firsts.join(often, "shingle").withColumn("cap", F.expr(f"cast((n - at) * {100 + percent}L div {percent} - n as int)")))
-    entry = F.struct("klass", "n", "cap")
-    cells = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(entry).alias("a"), F.max(entry).alias("b"), F.max("cap").alias("cap"), F.min("n").alias("least"))
-    kept = cells.where("a.klass <> b.klass and if(rows = 2, a.n <= b.cap and b.n <= a.cap, cap >= least)")
-    pairs = kept.where("rows = 2").select(F.col("a.klass").alias("region"), F.explode(F.array(F.struct("a.klass", "a.n"), F.struct("b.klass", "b.n"))).alias("end")).select("region", "end.*")
-    large = kept.where("rows > 2").select("shingle", F.col("a.klass").alias("region"), F.col("cap").alias("most"), "least")
-    more = held.join(large, "shingle").where("n <= most and least <= cap").select("region", "klass", "n")
+    told = {"rows": F.count(F.lit(1)), "region": F.min("klass"), "last": F.max("klass"), "most": F.max("cap"), "least": F.min("n")}
+    partner = "region <> last and n <= most and least <= cap"
+    hot = firsts.where("hot")
+    large = hot.join(F.broadcast(hot.groupBy("shingle").agg(*[c.alias(name) for name, c in told.items()])), "shingle").where(partner).select("region", "klass", "n")
+    cell = Window.partitionBy("shingle")
+    cold = cut(firsts.where("not hot").drop("hot").select("*", *[c.over(cell).alias(name) for name, c in told.items()]).where(partner).drop("last", "most", "least"))
+    large = large.union(cold.where(F.col("rows") > SMALL_CELL).select("region", "klass", "n"))
+    small = cold.where(F.col("rows") <= SMALL_CELL).groupBy("shingle").agg(F.collect_set(F.struct("klass", "n", "cap")).alias("s"))
+    near = F.expr("flatten(transform(s, x -> transform(filter(s, y -> y.klass < x.klass and x.n <= y.cap and y.n <= x.cap), y -> struct(x, y))))")
+    pairs = small.select(F.explode(near).alias("pair")).select(F.col("pair.y.klass").alias("region"), F.explode(F.array("pair.x", "pair.y")).alias("end")).select("region", "end.klass", "end.n")
     band = F.floor(F.log2("n"))
-    rows = pairs.union(more).distinct().select("region", "klass", band.alias("own"), F.explode(F.sequence(F.floor(F.log2(F.expr(f"(n * {percent}L + 99) div 100"))), band)).alias("band"))
+    rows = pairs.union(large).distinct().select("region", "klass", band.alias("own"), F.explode(F.sequence(F.floor(F.log2(F.expr(f"(n * {percent}L + 99) div 100"))), band)).alias("band"))
     rows = cut(rows.select(F.xxhash64("region", "band").alias("region"), "klass", (F.col("own") == F.col("band")).alias("home")))
     alive = rows.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("home").cast("int")).alias("lived")).where("rows > 1 and lived = 1").select("region")
     return rows.join(alive, "region")
@@ -418,7 +428,7 @@ def _placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     values = np.append(listed["shingle"].to_numpy(np.int64).view(np.uint64), np.uint64(2**64 - 1))
     ranks = np.append(np.arange(len(listed), 0, -1), 0)
     order = np.argsort(values)
-    hot = spark.sparkContext.broadcast((values[order], ranks[order]))
+    hot = spark.sparkContext.broadcast((values[order], ranks[order], np.append(listed["n"].to_numpy(np.int64) >= HOT_CELL, False)[order]))
 
     firsts = cut(_prefixes(own, words, percent, seed, hot))
     members = _members(firsts, percent).join(classes.select("klass", "n", "sketch"), "klass")
