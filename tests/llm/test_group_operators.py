@@ -114,6 +114,8 @@ def brute_repeats(texts, n=200):
 def test_repeats(spark, monkeypatch, bucket, shard):
     monkeypatch.setattr(suffix_dedup, "BUCKET_CONTEXTS", bucket)
     monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", shard)
+    monkeypatch.setattr(suffix_dedup, "HOT", 4 if shard < 100 else 1000)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_DOCS", shard)
     rng = random.Random(5)
     pool = ["alpha", "beta", "gamma", "de", "é", "zz", "theta", "x"]
     write = lambda n: " ".join(rng.choice(pool) + str(rng.randint(0, 99)) for _ in range(n))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = sc.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-_cuts: list[str] = []
+_recording: list[list[str]] = []
 
 
 def write_shared(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
@@ -55,14 +56,29 @@ def write_shared(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` has written so far; only for a caller whose earlier results are all written."""
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
     sc = spark.sparkContext
-    while _cuts:
-        p = sc._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def recorded():
+    """The list of the tables that ``cut`` writes inside; who has written all results that read them may delete them."""
+    own: list[str] = []
+    _recording.append(own)
+    try:
+        yield own
+    finally:
+        _recording.pop()
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table behind a result of ``cut`` that nothing reads any more."""
+    delete_tables(df.sparkSession, [df._cut_path])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: later reads survive lost executors.
 
@@ -70,7 +86,9 @@ def cut(df: DataFrame) -> DataFrame:
     collector has found their plan unused, so it is asked to look.
     """
     out, path = write_shared(df, "cut")
-    _cuts.append(path)
+    out._cut_path = path
+    if _recording:
+        _recording[-1].append(path)
     return out
 
 

@@ -37,6 +37,8 @@ WORDS, PERCENT = 4, 85
 LEAF, WEIGHT = 2048, 4_000_000
 #: Pivots of a split region at most, levels of splitting, and the share of pairs that a split has to save.
 PIVOTS, LEVELS, SAVED = 16, 6, 0.25
+#: Bytes of text that are hashed at once (a longer text alone).
+PASS = 1 << 20
 #: Hashes that frequent shingles are counted over at a time.
 COUNTED = 1_000_000
 #: Shingles that a place of a text's sketch holds on average, at most, and the least places (powers of two).
@@ -124,7 +126,7 @@ def apart(a: np.ndarray, na, b: np.ndarray, nb) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, column: int, words: int, seed: int):
-    for first, offsets, raw in text_slices(batch.column(column)):
+    for first, offsets, raw in text_slices(batch.column(column), PASS):
         yield first, shingle_sets(offsets, raw, words, seed)
 
 
