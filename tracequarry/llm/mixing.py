@@ -1,8 +1,9 @@
 """Mixing to target weights by soft membership: a labelled-table classifier, then least squares over document rates.
 
-DataFrame functions only.  The classifier is a naive Bayes model over hashed words; its log odds are a literal
-array of fixed size (one number per bucket holds the odds of all domains).  The rates solve a least-squares problem by projected gradient steps.  A step needs of all documents only
-the residuals of the domains' expected token totals, so a document's rate is a fold over the residuals so far: no state
+DataFrame functions only.  The classifier is a naive Bayes model over hashed words; its log odds are literal
+arrays of fixed size (one number per bucket).  The rates solve a least-squares problem by projected gradient steps: rates
+are nonnegative, without any other bound.  A step needs of all documents only the domains' expected token totals and
+the Gram matrix of the posteriors (a few sums), which scales the gradient; a document's rate is a fold over the steps so far.  No state
 is kept per document and a lost executor costs nothing but its own rows.
 """
 
@@ -10,21 +11,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: Domains in order, and the token shares wanted of them.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.095, "toxic": 0.005}
+#: Expected tokens of the first domain after mixing, beside those before: the scale of all targets.
+GROWTH = 1.02
 #: Hash buckets of words, those of them for words' last letters, labelled rows the classifier is fitted on (those of
 #: smallest hash), texts and deviations a bucket needs to count at all, and the fixed point of its log odds.
 BUCKETS, TAILS, FIT_ROWS, LEAST_TEXTS, LEAST_DEVIATION, UNIT = 1 << 16, 256, 20_000, 5, 5.0, 1000
-#: Steps of the descent, their size, and the relative miss at which it stops.
-STEPS, STEP, CLOSE = 40, 0.8, 2e-3
-#: No text is taken more often than this.
-MOST_RATE = 1.0
+#: Steps of the descent at most, and the miss of any domain, beside all tokens wanted, at which it stops.
+STEPS, CLOSE = 60, 1e-5
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -42,9 +44,9 @@ def word_buckets(text: Column) -> Column:
     return F.concat(stems, tails)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], list[int], dict[str, float]]:
-    """(prior of each domain, packed log odds of each bucket against the first domain, shares of the domains among texts
-    without a telling bucket) from at most ``fit_rows`` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], list[list[int]], dict[str, float]]:
+    """(prior of each domain, for each domain but the first the log odds of each bucket against it, shares of the domains among
+    texts without a telling bucket) from at most ``fit_rows`` labelled rows.
 
     A bucket counts for a domain if the texts of that domain that hold it are ``LEAST_DEVIATION`` standard deviations
     more or fewer than chance gives.  Priors are counted over all labels.  Without labels all priors are equal and all odds 0.
@@ -61,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     counts = {d: [0] * BUCKETS for d in DOMAINS}
     for r in counted:
         counts[r["_domain"]][r["b"]] += r["n"]
-    n_all, packed = max(1, sum(texts.values())), [0] * BUCKETS
+    n_all, tables = max(1, sum(texts.values())), [[0] * BUCKETS for _ in DOMAINS[1:]]
     for b in range(BUCKETS):
         here = sum(counts[d][b] for d in DOMAINS)
         if here < LEAST_TEXTS:
@@ -73,94 +75,136 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             told = abs(counts[d][b] - texts[d] * q) >= LEAST_DEVIATION * spread
             odds.append(math.log((counts[d][b] + q) / (texts[d] + 1) / q) if told else 0.0)
         for k in range(1, len(DOMAINS)):
-            packed[b] += round(UNIT * (odds[k] - odds[0])) << (32 * (k - 1))
-    told = F.from_json(F.lit(str(packed)), "array<bigint>")
+            tables[k - 1][b] = round(UNIT * (odds[k] - odds[0]))
+    told = _literal([int(any(t[b] for t in tables)) for b in range(BUCKETS)])
     mute = {r["_domain"]: r["n"] for r in held.where(~F.exists("_b", lambda b: F.get(told, b) != 0)).groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     silent = {d: (mute.get(d, 0) + 1) / (sum(mute.values()) + len(DOMAINS)) for d in DOMAINS}
-    return priors, packed, silent
+    return priors, tables, silent
 
 
-def with_posteriors(docs: DataFrame, model, *, text_col: str = "text") -> DataFrame:
-    """All columns, the words ``_tokens`` and the domain posteriors ``_p`` (array in the order of ``DOMAINS``).
+def _literal(numbers: list[int]) -> Column:
+    return F.from_json(F.lit(str(numbers)), "array<bigint>")
 
-    A text without a telling bucket, so also one without words, has the shares of such texts.  The odds of a text are one sum over its buckets; the two domains'
-    sums are its lower and upper 32 bits.
+
+def _sums(buckets: Column, tables: list[list[int]]) -> Column:
+    """An array of the sums of each of two tables over ``buckets``.
+
+    Two sums are one, as its lower and upper 32 bits, for as many buckets as cannot overflow; longer texts are summed table by table.
     """
-    priors, packed, silent = model
-    base = DOMAINS[0]
-    table = F.from_json(F.lit(str(packed)), "array<bigint>")
-    rows = docs.withColumn("_buckets", word_buckets(F.col(text_col)))
-    rows = rows.select(*docs.columns, (F.size("_buckets") / 2).cast("long").alias("_tokens"), F.aggregate("_buckets", F.lit(0).cast("bigint"), lambda s, b: s + F.get(table, b)).alias("_sum"))
-    low = F.pmod(F.col("_sum") + (1 << 31), F.lit(1 << 32)) - (1 << 31)
-    rows = rows.withColumn("_low", low)
-    sums = [F.col("_low"), F.shiftright(F.col("_sum") - F.col("_low"), 32)]
-    odds_of = [F.lit(0.0)] + [F.when(F.col("_sum") == 0, math.log(silent[d] / silent[base])).otherwise(math.log(priors[d] / priors[base]) + x / float(UNIT)) for d, x in zip(DOMAINS[1:], sums)]
-    rows = rows.select(*docs.columns, "_tokens", F.array(*odds_of).alias("_o"))
-    rows = rows.select(*docs.columns, "_tokens", F.transform("_o", lambda x: F.exp(F.greatest(F.lit(-50.0), x - F.array_max("_o")))).alias("_e"))
-    return rows.select(*docs.columns, "_tokens", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).alias("_p"))
-
-
-def fold_rate(history: list[list[float]]) -> Column:
-    """A document's rate after the steps whose scaled residuals are ``history``.
-
-    Rates are projected on [0, ``MOST_RATE``], and on 1 at least for texts whose likeliest domain is the first:
-    what is probably clean is never drawn for, whatever the targets ask.
+    low, high = tables
+    most = max(1, *(abs(x) for t in tables for x in t))
+    one = _literal([a + (b << 32) for a, b in zip(low, high)])
+    fold = lambda table: F.aggregate(buckets, F.lit(0).cast("bigint"), lambda s, b: s + F.get(table, b))
+    halves = lambda s: F.array(F.pmod(s + (1 << 31), F.lit(1 << 32)) - (1 << 31), F.shiftright(s + (1 << 31), 32))
+    both = F.element_at(F.transform(F.array(fold(one)), halves), 1)
+    return F.when(F.size(buckets) <= ((1 << 31) - 1) // most, both).otherwise(F.array(fold(_literal(low)), fold(_literal(high))))
+
+
+def with_posteriors(docs: DataFrame, model, tokens: str, p: str, *, text_col: str = "text") -> DataFrame:
+    """All columns, the number of words ``tokens`` and the domain posteriors ``p`` (array in the order of ``DOMAINS``).
+
+    A text without a telling bucket, so also one without words, has the shares of such texts.
     """
-    if not history:
+    priors, tables, silent = model
+    base, names = DOMAINS[0], docs.columns
+    (mine,) = fresh(docs, "mine")
+    rows = docs.withColumn(mine, word_buckets(F.col(text_col)))
+    rows = rows.select(*names, (F.size(mine) / 2).cast("long").alias(tokens), _sums(F.col(mine), tables).alias(p))
+    mute = F.forall(p, lambda x: x == 0)
+    odds = [F.lit(0.0)] + [F.when(mute, math.log(silent[d] / silent[base])).otherwise(math.log(priors[d] / priors[base]) + F.get(p, F.lit(k)) / float(UNIT)) for k, d in enumerate(DOMAINS[1:])]
+    rows = rows.select(*names, tokens, F.array(*odds).alias(p))
+    rows = rows.select(*names, tokens, F.transform(p, lambda x: F.exp(F.greatest(F.lit(-50.0), x - F.array_max(p)))).alias(p))
+    return rows.select(*names, tokens, F.transform(p, lambda e: e / F.aggregate(p, F.lit(0.0), lambda a, x: a + x)).alias(p))
+
+
+def fold_rate(p: str, steps: list[list[float]]) -> Column:
+    """A document's rate after ``steps`` from rates of 1, each followed by the projection on what is not negative."""
+    if not steps:
         return F.lit(1.0)
-    p = [F.get("_p", F.lit(k)) for k in range(len(DOMAINS))]
-    least = F.when(p[0] >= F.array_max("_p"), F.lit(1.0)).otherwise(F.lit(0.0))
 
-    def step(rate: Column, residual: Column) -> Column:
-        slope = sum((p[k] * F.get(residual, F.lit(k)) for k in range(1, len(DOMAINS))), p[0] * F.get(residual, F.lit(0)))
-        return F.greatest(least, F.least(F.lit(MOST_RATE), rate - STEP * slope))
+    def step(rate: Column, d: Column) -> Column:
+        return F.greatest(F.lit(0.0), rate - sum((F.get(p, F.lit(k)) * F.get(d, F.lit(k)) for k in range(1, len(DOMAINS))), F.get(p, F.lit(0)) * F.get(d, F.lit(0))))
+
+    return F.aggregate(F.lit(steps), F.lit(1.0), step)
 
-    return F.aggregate(F.lit(history), F.lit(1.0), step)
 
+def wanted_totals(now: list[float], targets: dict[str, float]) -> list[float]:
+    """Token totals of the domains: their target shares, on the scale at which the first domain has ``GROWTH`` of its tokens."""
+    return [now[0] * GROWTH * targets[d] / targets[DOMAINS[0]] for d in DOMAINS]
 
-def descend(scored: DataFrame, targets: dict[str, float] = TARGETS) -> list[list[float]]:
-    """Residuals of each step.  The first domain is wanted as it is, the others at their share beside it or as far as they go."""
-    small = cut(scored.select("_tokens", "_p").where("_tokens > 0").groupBy("_p").agg(F.sum("_tokens").alias("_tokens")))
-    history: list[list[float]] = []
-    goal: list[float] = []
-    shares: list[float] = []
+
+def descend(scored: DataFrame, targets: dict[str, float], tokens: str, p: str) -> tuple[list[list[float]], list[float]]:
+    """(steps, miss of each domain beside all tokens wanted): the miss is what the targets ask beyond any nonnegative rates.
+
+    The gradient of a rate is the document's posteriors times the misses.  Misses are scaled by the inverse Gram matrix of the
+    posteriors, weighted by tokens, of the documents that are free to move; its diagonal is raised until a step comes closer.
+    """
+    small = cut(scored.where(F.col(tokens) > 0).select(tokens, F.transform(p, lambda x: F.round(x, 9)).alias(p)).groupBy(p).agg(F.sum(tokens).alias(tokens)))
+    each = range(len(DOMAINS))
+    (rate,) = fresh(small, "rate")
+    part = [F.get(p, F.lit(k)) for k in each]
+
+    def sums(steps: list[list[float]], terms: list[Column]) -> np.ndarray:
+        row = small.withColumn(rate, fold_rate(p, steps)).agg(*[F.sum(F.col(tokens) * x) for x in terms]).first()
+        return np.array([x or 0.0 for x in row])
+
+    def totals(steps: list[list[float]]) -> np.ndarray:
+        return sums(steps, [F.col(rate) * x for x in part])
+
+    def gram(steps: list[list[float]], miss: np.ndarray) -> np.ndarray:
+        free = (F.col(rate) > 0) | (sum(x * float(m) for x, m in zip(part, miss)) < 0)
+        return sums(steps, [F.when(free, x * y).otherwise(0.0) for x in part for y in part]).reshape(len(each), -1)
+
+    now = totals([])
+    if not now.sum():
+        return [], [0.0 for _ in each]
+    goal = np.array(wanted_totals(list(now), targets))
+    miss, raised, steps = (now - goal) / goal.sum(), 1e-6, []
+    matrix = gram(steps, miss) / goal.sum()
     for _ in range(STEPS):
-        mass = F.col("_tokens") * F.col("_rate")
-        row = small.withColumn("_rate", fold_rate(history)).agg(*[F.sum(mass * F.get("_p", F.lit(k))).alias(d) for k, d in enumerate(DOMAINS)]).first()
-        now = [row[d] or 0.0 for d in DOMAINS]
-        if not goal:
-            if not sum(now):
-                return []
-            goal = [min(now[k], now[0] * targets[d] / targets[DOMAINS[0]]) for k, d in enumerate(DOMAINS)]
-            shares = [max(x, 1e-9 * sum(now)) for x in now]
-        miss = [(x - g) / s for x, g, s in zip(now, goal, shares)]
-        if all(abs(m) < CLOSE for m in miss):
+        if np.abs(miss).max() < CLOSE or raised > 1e4:
+            break
+        step = np.linalg.solve(matrix + np.eye(len(each)) * (raised * np.trace(matrix) + 1e-12), miss)
+        tried = [*steps, [float(x) for x in step]]
+        there = (totals(tried) - goal) / goal.sum()
+        closer = 1 - np.linalg.norm(there) / np.linalg.norm(miss)
+        if closer <= 0:
+            raised = max(30 * raised, 1e-4)
+            continue
+        steps, miss, raised = tried, there, max(1e-9, raised / 10)
+        if closer < 1e-4:
             break
-        history.append(miss)
-    return history
+        matrix = gram(steps, miss) / goal.sum()
+    return steps, [float(x) for x in miss]
 
 
-def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns with ``_tokens``, ``_p``, ``_rate`` and ``_copies`` (how often the row is taken) for every row.
+def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], names: list[str], *, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, then words, posteriors, rate and copies (how often the row is taken) under ``names``, for every row.
 
-    ``_copies`` is the rate rounded down or up by a hash of id and text, so it is the same at each run and
-    repeated rows share their fate.  Null and empty texts have no tokens and the priors' rate.  The scored
+    Copies are the rate rounded down or up by a hash of id and text, so they are the same at each run and
+    repeated rows share their fate.  Null and empty texts have no tokens and the rate of texts that tell nothing.  The scored
     rows are written once; the descent reads two of their columns.
     """
-    scored = cut(with_posteriors(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col=text_col))
-    history = descend(scored, targets)
+    tokens, p, rate, copies = names
+    scored = with_posteriors(docs, fit(docs, labels, id_col=id_col, text_col=text_col), tokens, p, text_col=text_col)
     draw = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 20)) / float(1 << 20)
-    rated = scored.withColumn("_rate", F.round(fold_rate(history), 6))
-    return rated.withColumn("_copies", F.floor(F.col("_rate") + draw).cast("int"))
+    scored = cut(scored.select(*keep, tokens, p, draw.alias(copies)))
+    steps, _ = descend(scored, targets, tokens, p)
+    rated = scored.withColumn(rate, F.round(fold_rate(p, steps), 6))
+    return rated.select(*keep, tokens, p, rate, F.floor(F.col(rate) + F.col(copies)).cast("int").alias(copies))
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows drawn at their rates, with their own columns; a row with a rate of 2 or more comes several times."""
-    rated = with_rates(docs, labels, targets, id_col=id_col, text_col=text_col).where("_copies > 0")
-    return rated.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows drawn at their rates, with their own columns (of any names); a row with a rate above 1 may come several times."""
+    names = fresh(docs, "tokens", "p", "rate", "copies", "again")
+    rated = with_rates(docs, labels, targets, names[:4], id_col=id_col, text_col=text_col, keep=docs.columns).where(F.col(names[3]) > 0)
+    return rated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(names[3]))).alias(names[4])).select(*docs.columns)
 
 
 def rate_table(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, p_<domain>..., rate, copies) for every row; text is not carried."""
-    rated = with_rates(docs.select(id_col, text_col), labels, targets, id_col=id_col, text_col=text_col)
-    return rated.select(id_col, F.col("_tokens").alias("n_tokens"), *[F.round(F.get("_p", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    """(id, n_tokens, p_<domain>..., rate, copies) for every row; text is not carried and other columns are not read."""
+    own = docs.select(id_col, text_col)
+    names = fresh(own, "tokens", "p", "rate", "copies")
+    rated = with_rates(own, labels, targets, names, id_col=id_col, text_col=text_col, keep=[id_col])
+    tokens, p, rate, copies = names
+    return rated.select(id_col, F.col(tokens).alias("n_tokens"), *[F.round(F.get(p, F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], F.col(rate).alias("rate"), F.col(copies).alias("copies"))
