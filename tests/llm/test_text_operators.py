@@ -128,12 +128,13 @@ def test_mixing_of_clashing_names_and_repeated_rows(spark):
 
 
 def test_mixing_of_a_very_long_text(spark):
-    """Twelve million bytes of one word that tells much: its sum is beyond 32 bits."""
-    rows = [(i, "vile " * 10 if i % 2 else "fine " * 10) for i in range(200)] + [(1000, "vile " * 2_400_000), (1001, "fine " * 2_400_000)]
+    """Twelve million bytes of one word that tells."""
+    filler = lambda i: " ".join(f"w{i}x{k}" for k in range(8))
+    rows = [(i, filler(i) + (" vile " if i % 2 else " fine ") * 10) for i in range(200)] + [(1000, "vile " * 2_400_000), (1001, "fine " * 2_400_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in mixing.rate_table(docs, labels).collect()}
-    assert got[1000].n_tokens == 2_400_000 and got[1000].p_toxic > 0.999 and got[1001].p_good > 0.999
+    assert got[1000].n_tokens == 2_400_000 and got[1000].p_toxic > 0.99 and got[1001].p_good > 0.99
 
 
 def least_squares(mass, p, goal):

@@ -1,7 +1,6 @@
 """Mixing to target weights by soft membership: a labelled-table classifier, then least squares over document rates.
 
-DataFrame functions only.  The classifier is a naive Bayes model over hashed words; its log odds are literal
-arrays of fixed size (one number per bucket).  The rates solve a least-squares problem by projected gradient steps: rates
+DataFrame functions only.  The classifier is a naive Bayes model over telling words, a literal array of bounded size.  The rates solve a least-squares problem by projected gradient steps: rates
 are nonnegative, without any other bound.  A step needs of all documents only the domains' expected token totals and
 the Gram matrix of the posteriors (a few sums), which scales the gradient; a document's rate is a fold over the steps so far.  No state
 is kept per document and a lost executor costs nothing but its own rows.
@@ -21,10 +20,11 @@ from .common import cut, fresh
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.095, "toxic": 0.005}
 #: Expected tokens of the first domain after mixing, beside those before: the scale of all targets.
-GROWTH = 1.02
-#: Hash buckets of words, those of them for words' last letters, labelled rows the classifier is fitted on (those of
-#: smallest hash), texts and deviations a bucket needs to count at all, and the fixed point of its log odds.
-BUCKETS, TAILS, FIT_ROWS, LEAST_TEXTS, LEAST_DEVIATION, UNIT = 1 << 16, 256, 20_000, 5, 5.0, 1000
+GROWTH = 1.005
+#: Labelled rows the classifier is fitted on (those of smallest hash), telling words at most, texts and likelihood ratio (twice its
+#: logarithm; also for each text fitted on) a word needs to tell at all, and the fixed point of its log odds.  Words that tell
+#: little are many and tell the same, so their odds must not be added up.
+FIT_ROWS, MOST_WORDS, LEAST_TEXTS, LEAST_RATIO, LEAST_RATIO_A_TEXT, UNIT = 20_000, 1024, 5, 25.0, 0.06, 1000
 #: Steps of the descent at most, and the miss of any domain, beside all tokens wanted, at which it stops.
 STEPS, CLOSE = 60, 1e-5
 BLANKS = " \t\n\x0b\f\r"
@@ -35,21 +35,30 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
 
 
-def word_buckets(text: Column) -> Column:
-    """Two buckets for each word: of its stem and of its last letter."""
+def text_words(text: Column) -> Column:
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(body), r"[\x20\x09-\x0D]+"))
-    stems = F.transform(words, lambda w: F.pmod(F.xxhash64(F.btrim(w, F.lit(".,;:!?\"'()"))), F.lit(BUCKETS - TAILS)).cast("int"))
-    tails = F.transform(words, lambda w: (F.pmod(F.xxhash64(F.right(w, F.lit(1))), F.lit(TAILS)) + (BUCKETS - TAILS)).cast("int"))
-    return F.concat(stems, tails)
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(body), r"[\x20\x09-\x0D]+"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], list[list[int]], dict[str, float]]:
-    """(prior of each domain, for each domain but the first the log odds of each bucket against it, shares of the domains among
-    texts without a telling bucket) from at most ``fit_rows`` labelled rows.
+def word_marks(words: Column) -> Column:
+    """Hashes of 64 bits, two for each word: of its stem and of its last letter."""
+    stems = F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit(".,;:!?\"'()"))))
+    return F.concat(stems, F.transform(words, lambda w: F.xxhash64(F.lit("last"), F.right(w, F.lit(1)))))
 
-    A bucket counts for a domain if the texts of that domain that hold it are ``LEAST_DEVIATION`` standard deviations
-    more or fewer than chance gives.  Priors are counted over all labels.  Without labels all priors are equal and all odds 0.
+
+def least_runs(words: Column) -> Column:
+    """Three least hashes of a text's runs of three words: near copies are likely to share one."""
+    runs = F.zip_with(words, F.zip_with(F.slice(words, 2, 1 << 30), F.slice(words, 3, 1 << 30), lambda b, c: F.xxhash64(b, c)), lambda a, bc: F.xxhash64(a, bc))
+    seeded = lambda k: F.array_min(F.transform(runs, lambda h: F.xxhash64(h, F.lit(k))))
+    return F.array(*[seeded(k) for k in range(3)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], dict[int, list[int]], list[float]]:
+    """(prior of each domain, for each telling mark its log odds against the first domain, log odds of texts that hold
+    none) from at most ``fit_rows`` labelled rows.
+
+    Of near copies few count, else what only they share would tell.  A mark tells of a domain if the texts of that domain that
+    hold it are so many or few that ``LEAST_RATIO`` speaks against chance.  Priors are counted over all labels.  Without labels all priors are equal and nothing tells.
     """
     named = labels.select(F.col(id_col).alias("_id"), label_domain().alias("_domain")).where("_id is not null and _domain is not null")
     share = {r["_domain"]: r["n"] for r in named.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -57,61 +66,51 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     priors = {d: (share.get(d, 0) + 1) / (total + len(DOMAINS)) for d in DOMAINS}
     some = named.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     seen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
-    held = cut(seen.select("_domain", F.array_distinct(word_buckets(F.col("_text"))).alias("_b")))
+    worded = seen.select("_domain", text_words(F.col("_text")).alias("_w"))
+    sample = cut(worded.select("_domain", F.array_distinct(word_marks(F.col("_w"))).alias("_b"), least_runs(F.col("_w")).alias("_m")).select("_domain", "_b", *[F.get("_m", F.lit(k)).alias(f"_m{k}") for k in range(3)]))
+    few = sample
+    for k in range(3):
+        few = few.where(f"_m{k} is null").union(few.where(f"_m{k} is not null").dropDuplicates([f"_m{k}"]))
+    held = cut(few.select("_domain", "_b"))
     texts = {d: 0 for d in DOMAINS} | {r["_domain"]: r["n"] for r in held.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = held.select("_domain", F.explode("_b").alias("b")).groupBy("_domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # at most domains x buckets
-    counts = {d: [0] * BUCKETS for d in DOMAINS}
-    for r in counted:
-        counts[r["_domain"]][r["b"]] += r["n"]
-    n_all, tables = max(1, sum(texts.values())), [[0] * BUCKETS for _ in DOMAINS[1:]]
-    for b in range(BUCKETS):
-        here = sum(counts[d][b] for d in DOMAINS)
-        if here < LEAST_TEXTS:
-            continue
-        q = here / n_all
-        odds = []
-        for d in DOMAINS:
-            spread = math.sqrt(max(texts[d] * q * (1 - q), 1e-9))
-            told = abs(counts[d][b] - texts[d] * q) >= LEAST_DEVIATION * spread
-            odds.append(math.log((counts[d][b] + q) / (texts[d] + 1) / q) if told else 0.0)
-        for k in range(1, len(DOMAINS)):
-            tables[k - 1][b] = round(UNIT * (odds[k] - odds[0]))
-    told = _literal([int(any(t[b] for t in tables)) for b in range(BUCKETS)])
-    mute = {r["_domain"]: r["n"] for r in held.where(~F.exists("_b", lambda b: F.get(told, b) != 0)).groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    silent = {d: (mute.get(d, 0) + 1) / (sum(mute.values()) + len(DOMAINS)) for d in DOMAINS}
-    return priors, tables, silent
-
+    n_all = max(1, sum(texts.values()))
+    counted = held.select("_domain", F.explode("_b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("here"), *[F.count_if(F.col("_domain") == d).alias(d) for d in DOMAINS]).where(F.col("here") >= LEAST_TEXTS)
+    least = max(LEAST_RATIO, LEAST_RATIO_A_TEXT * n_all)
 
-def _literal(numbers: list[int]) -> Column:
-    return F.from_json(F.lit(str(numbers)), "array<bigint>")
+    def ratio(d: str) -> Column:
+        chance = F.col("here") * (texts[d] / n_all)
+        return 2 * (F.when(F.col(d) > 0, F.col(d) * F.ln(F.col(d) / chance)).otherwise(0.0) - F.col(d) + chance)
 
+    most = F.greatest(*[ratio(d) for d in DOMAINS])
+    rows = counted.select("b", "here", *DOMAINS, most.alias("most")).where(F.col("most") >= least).orderBy(F.desc("most"), "b").limit(MOST_WORDS).collect()
+    marks, without = {}, [math.log(priors[d] / priors[DOMAINS[0]]) for d in DOMAINS[1:]]
+    for r in rows:
+        q = r["here"] / n_all
+        held_by = [min(1 - 1e-6, (r[d] + q) / (texts[d] + 1)) for d in DOMAINS]
+        marks[r["b"]] = [round(UNIT * (math.log(x / (1 - x)) - math.log(held_by[0] / (1 - held_by[0])))) for x in held_by[1:]]
+        without = [w + math.log((1 - x) / (1 - held_by[0])) for w, x in zip(without, held_by[1:])]
+    return priors, marks, without
 
-def _sums(buckets: Column, tables: list[list[int]]) -> Column:
-    """An array of the sums of each of two tables over ``buckets``.
 
-    Two sums are one, as its lower and upper 32 bits, for as many buckets as cannot overflow; longer texts are summed table by table.
-    """
-    low, high = tables
-    most = max(1, *(abs(x) for t in tables for x in t))
-    one = _literal([a + (b << 32) for a, b in zip(low, high)])
-    fold = lambda table: F.aggregate(buckets, F.lit(0).cast("bigint"), lambda s, b: s + F.get(table, b))
-    halves = lambda s: F.array(F.pmod(s + (1 << 31), F.lit(1 << 32)) - (1 << 31), F.shiftright(s + (1 << 31), 32))
-    both = F.element_at(F.transform(F.array(fold(one)), halves), 1)
-    return F.when(F.size(buckets) <= ((1 << 31) - 1) // most, both).otherwise(F.array(fold(_literal(low)), fold(_literal(high))))
+def _literal(numbers: list[int]) -> Column:
+    return F.from_json(F.lit(str(numbers)), "array<bigint>")
 
 
 def with_posteriors(docs: DataFrame, model, tokens: str, p: str, *, text_col: str = "text") -> DataFrame:
     """All columns, the number of words ``tokens`` and the domain posteriors ``p`` (array in the order of ``DOMAINS``).
 
-    A text without a telling bucket, so also one without words, has the shares of such texts.
+    The telling marks that a text holds count once each, however often it holds them, and so does the lack of each.  A text
+    without words has the priors.
     """
-    priors, tables, silent = model
+    priors, marks, without = model
     base, names = DOMAINS[0], docs.columns
     (mine,) = fresh(docs, "mine")
-    rows = docs.withColumn(mine, word_buckets(F.col(text_col)))
-    rows = rows.select(*names, (F.size(mine) / 2).cast("long").alias(tokens), _sums(F.col(mine), tables).alias(p))
-    mute = F.forall(p, lambda x: x == 0)
-    odds = [F.lit(0.0)] + [F.when(mute, math.log(silent[d] / silent[base])).otherwise(math.log(priors[d] / priors[base]) + F.get(p, F.lit(k)) / float(UNIT)) for k, d in enumerate(DOMAINS[1:])]
+    told = _literal(list(marks))
+    rows = docs.withColumn(mine, text_words(F.col(text_col)))
+    rows = rows.select(*names, F.size(mine).cast("long").alias(tokens), F.array_intersect(word_marks(F.col(mine)), told).alias(mine))
+    table = lambda k: _literal([odds[k] for odds in marks.values()])
+    added = lambda k: F.aggregate(mine, F.lit(0).cast("bigint"), lambda s, b: s + F.get(table(k), (F.array_position(told, b) - 1).cast("int")))
+    odds = [F.lit(0.0)] + [F.when(F.col(tokens) == 0, math.log(priors[d] / priors[base])).otherwise(without[k] + added(k) / float(UNIT)) for k, d in enumerate(DOMAINS[1:])]
     rows = rows.select(*names, tokens, F.array(*odds).alias(p))
     rows = rows.select(*names, tokens, F.transform(p, lambda x: F.exp(F.greatest(F.lit(-50.0), x - F.array_max(p)))).alias(p))
     return rows.select(*names, tokens, F.transform(p, lambda e: e / F.aggregate(p, F.lit(0.0), lambda a, x: a + x)).alias(p))
@@ -128,12 +127,16 @@ def fold_rate(p: str, steps: list[list[float]]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(1.0), step)
 
 
-def wanted_totals(now: list[float], targets: dict[str, float]) -> list[float]:
-    """Token totals of the domains: their target shares, on the scale at which the first domain has ``GROWTH`` of its tokens."""
-    return [now[0] * GROWTH * targets[d] / targets[DOMAINS[0]] for d in DOMAINS]
+def wanted_totals(now: list[float], targets: dict[str, float], ceilings: bool = False) -> list[float]:
+    """Token totals of the domains: their target shares, on the scale at which the first domain has ``GROWTH`` of its tokens.
 
+    With ``ceilings`` a domain that has less than its target keeps what it has.
+    """
+    wanted = [now[0] * GROWTH * targets[d] / targets[DOMAINS[0]] for d in DOMAINS]
+    return [min(w, x * GROWTH) for w, x in zip(wanted, now)] if ceilings else wanted
 
-def descend(scored: DataFrame, targets: dict[str, float], tokens: str, p: str) -> tuple[list[list[float]], list[float]]:
+
+def descend(scored: DataFrame, targets: dict[str, float], tokens: str, p: str, ceilings: bool = False) -> tuple[list[list[float]], list[float]]:
     """(steps, miss of each domain beside all tokens wanted): the miss is what the targets ask beyond any nonnegative rates.
 
     The gradient of a rate is the document's posteriors times the misses.  Misses are scaled by the inverse Gram matrix of the
@@ -158,7 +161,7 @@ def descend(scored: DataFrame, targets: dict[str, float], tokens: str, p: str) -
     now = totals([])
     if not now.sum():
         return [], [0.0 for _ in each]
-    goal = np.array(wanted_totals(list(now), targets))
+    goal = np.array(wanted_totals(list(now), targets, ceilings))
     miss, raised, steps = (now - goal) / goal.sum(), 1e-6, []
     matrix = gram(steps, miss) / goal.sum()
     for _ in range(STEPS):
@@ -178,26 +181,30 @@ def descend(scored: DataFrame, targets: dict[str, float], tokens: str, p: str) -
     return steps, [float(x) for x in miss]
 
 
-def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], names: list[str], *, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], names: list[str], *, id_col: str, text_col: str, keep: list[str], ceilings: bool = False) -> DataFrame:
     """The columns ``keep``, then words, posteriors, rate and copies (how often the row is taken) under ``names``, for every row.
 
     Copies are the rate rounded down or up by a hash of id and text, so they are the same at each run and
-    repeated rows share their fate.  Null and empty texts have no tokens and the rate of texts that tell nothing.  The scored
+    repeated rows share their fate.  Null and empty texts have no tokens and the rate of the priors.  The scored
     rows are written once; the descent reads two of their columns.
     """
     tokens, p, rate, copies = names
     scored = with_posteriors(docs, fit(docs, labels, id_col=id_col, text_col=text_col), tokens, p, text_col=text_col)
     draw = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 20)) / float(1 << 20)
     scored = cut(scored.select(*keep, tokens, p, draw.alias(copies)))
-    steps, _ = descend(scored, targets, tokens, p)
+    steps, _ = descend(scored, targets, tokens, p, ceilings)
     rated = scored.withColumn(rate, F.round(fold_rate(p, steps), 6))
     return rated.select(*keep, tokens, p, rate, F.floor(F.col(rate) + F.col(copies)).cast("int").alias(copies))
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows drawn at their rates, with their own columns (of any names); a row with a rate above 1 may come several times."""
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, id_col: str = "doc_id", text_col: str = "text", ceilings: bool = False) -> DataFrame:
+    """The rows drawn at their rates, with their own columns (of any names); a row with a rate above 1 may come several times.
+
+    Targets are met as given, if need be by many copies of the few texts of a scarce domain and by fewer of all others; with
+    ``ceilings`` a domain that has less than its target keeps what it has.
+    """
     names = fresh(docs, "tokens", "p", "rate", "copies", "again")
-    rated = with_rates(docs, labels, targets, names[:4], id_col=id_col, text_col=text_col, keep=docs.columns).where(F.col(names[3]) > 0)
+    rated = with_rates(docs, labels, targets, names[:4], id_col=id_col, text_col=text_col, keep=docs.columns, ceilings=ceilings).where(F.col(names[3]) > 0)
     return rated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(names[3]))).alias(names[4])).select(*docs.columns)
 
 
