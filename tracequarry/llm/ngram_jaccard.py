@@ -273,11 +273,11 @@ def _leaves(members: DataFrame, percent: int) -> DataFrame:
     done, dense, rows, total = [], [], cut(members), [0, 0]
     for level in range(LEVELS + 1):
         sizes = cut(_sizes(rows))
-        leaf = sizes.where(F.col("size") <= LEAF)
-        done.append(rows.join(leaf.select("region"), "region"))
+        leaf, large = sizes.where(F.col("size") <= LEAF), sizes.where(F.col("size") > LEAF)
+        ended = large.isEmpty()
+        done.append(rows if ended else rows.join(leaf.select("region"), "region"))
         total = [a + b for a, b in zip(total, leaf.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "weight")]).first())]
-        large = sizes.where(F.col("size") > LEAF)
-        if large.isEmpty():
+        if ended:
             break
         live = rows.join(large.drop("rows", "weight"), "region")
         if level == LEVELS:
@@ -466,7 +466,7 @@ def keep_one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERC
     share an id only those go that are copies.  Rows without shingles all stay.  All columns stay as they are.
     """
     placed = cut(_placed(docs, words, percent, id_col, text_col).where("n > 0").select(F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"), "first"))
-    gone = placed.where("row <> first").select("row.*").distinct()
+    gone = cut(placed.where("row <> first").select("row.*").distinct())
     digest = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     same = lambda rows: docs[id_col].eqNullSafe(rows["id"]) & (digest == rows["digest"])
     kept = docs.join(gone, same(gone), "left_anti")
