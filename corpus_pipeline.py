@@ -44,9 +44,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that bring domains to their target weights."""
+    """Documents drawn at the rates that bring domains down to their target weights."""
     with _stage(spark, sf_dir, "target_weights", "repeated_passages"):
-        return mixing.mixture(docs, table(spark, sf_dir, "labels"))
+        return mixing.mixture(docs, table(spark, sf_dir, "labels"), ceilings=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
