@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -92,6 +93,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def release() -> None:
+    """Give freed memory of this worker back, so that an idle worker does not hold what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def text_slices(column: pa.Array, limit: int = PASS_BYTES):
     """Yield (first row, row offsets, bytes) for runs of whole texts of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, text_slices
+from .common import cut, fresh, release, text_slices
 from .graph import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -38,7 +38,7 @@ LEAF, WEIGHT = 2048, 4_000_000
 #: Pivots of a split region at most, levels of splitting, and the share of pairs that a split has to save.
 PIVOTS, LEVELS, SAVED = 16, 6, 0.25
 #: Bytes of text that are hashed at once (a longer text alone).
-PASS = 1 << 20
+PASS = 1 << 19
 #: Hashes that frequent shingles are counted over at a time.
 COUNTED = 1_000_000
 #: Shingles that a place of a text's sketch holds on average, at most, and the least places (powers of two).
@@ -148,6 +148,8 @@ def _measure(docs: DataFrame, words: int, seed: int) -> DataFrame:
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sketches, pa.binary())], names=names)
             yield from frequent(distinct, batch.schema.field(0).type)
+            del distinct
+            release()
 
     def frequent(distinct: list[np.ndarray], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """Shingles that several of about COUNTED hashes' texts hold; runs keep memory small."""
@@ -204,6 +206,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, hot) -> Data
                 if shingles:
                     columns = [np.concatenate(shingles).view(np.int64), *map(np.concatenate, (klasses, sizes, caps, frequent))]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "klass", "n", "cap", "hot"])
+            release()
 
     return docs.mapInArrow(found, "shingle bigint, klass bigint, n int, cap int, hot boolean")
 
@@ -401,6 +404,7 @@ def _linked(words: int, percent: int, seed: int):
             tied = np.flatnonzero(root != np.arange(len(root)))
             if len(tied):
                 out.append(pd.DataFrame({"x": klass[tied], "y": klass[root[tied]]}))
+        release()
         return pd.concat(out) if out else pd.DataFrame({"x": [], "y": []}).astype("int64")
 
     return linked
@@ -466,11 +470,13 @@ def keep_one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERC
     share an id only those go that are copies.  Rows without shingles all stay.  All columns stay as they are.
     """
     placed = cut(_placed(docs, words, percent, id_col, text_col).where("n > 0").select(F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"), "first"))
-    gone = cut(placed.where("row <> first").select("row.*").distinct())
-    digest = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    same = lambda rows: docs[id_col].eqNullSafe(rows["id"]) & (digest == rows["digest"])
-    kept = docs.join(gone, same(gone), "left_anti")
-    again = cut(placed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row.*"))
+    key = F.xxhash64(F.col("row.none"), F.col("row.id"))
+    gone = cut(placed.where("row <> first").select(key.alias("key"), F.col("row.digest").alias("digest")).distinct())
+    digest, mine = F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), F.xxhash64(docs[id_col].isNull(), docs[id_col])
+    few = lambda rows: F.broadcast(rows) if rows.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else rows
+    same = lambda rows: (mine == rows["key"]) & (digest == rows["digest"])
+    kept = docs.join(few(gone), same(gone), "left_anti")
+    again = cut(placed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key.alias("key"), F.col("row.digest").alias("digest")).distinct())
     if again.isEmpty():
         return kept
     (name,) = fresh(docs, "digest")

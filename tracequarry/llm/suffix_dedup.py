@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, fresh, text_slices
+from .common import cut, drop_cut, fresh, release, text_slices
 
 LENGTH, GRAM = 200, 32
 #: Contexts that a bucket holds; an anchor with more than the second number is dealt over several shards.
@@ -209,6 +209,7 @@ def _compare(length: int):
         shard = Shard(list(rows["context"]), np.minimum(rows["place"].to_numpy(np.int64), length - GRAM), rows["half"].to_numpy(), length)
         least, most = shard.extents()
         place = rows["place"].to_numpy(np.int64)
+        release()
         return rows[["_digest", "_who"]].assign(a=place - most, b=place - least + length)[(most >= 0) & rows["alone"].to_numpy()]
 
     return compared
@@ -227,7 +228,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, offsets, raw in text_slices(batch.column(2), 1 << 20):
+            for first, offsets, raw in text_slices(batch.column(2), 1 << 19):
                 row, place, anchor = find_anchors(offsets, raw, length)
                 if not len(row):
                     continue
@@ -243,6 +244,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                     [pa.array(anchor), pa.array(np.frombuffer(around, np.int64)), pa.array(hl), pa.array(hr), batch.column(0).take(at), batch.column(1).take(at), pa.array((place - begin).astype(np.int32))],
                     names=["anchor", "around", "hl", "hr", "_digest", "_who", "place"],
                 )
+            release()
 
     return keyed.mapInArrow(found, "anchor bigint, around bigint, hl int, hr int, _digest bigint, _who bigint, place int")
 
