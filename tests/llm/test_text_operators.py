@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracequarry.llm.dom import parse
 from tracequarry.llm import html_extract as H
 from tracequarry.llm import mixing, quality_rules, sentencepiece_codec, token_counts
 from tracequarry.llm.queries import vocabulary
@@ -161,6 +163,13 @@ def test_mixing_is_the_least_squares_fit(spark, case):
         assert max(map(abs, miss)) < mixing.CLOSE
 
 
+@pytest.mark.parametrize("page", ["<a " * 500_000, "<div>" * 16_000 + "</p>" * 16_000, "<b>" * 200_000 + "</i>" * 200_000, "<div>" * 16_000 + "<p>x<div>" * 5_000, "<!x" * 300_000])
+def test_html_reader_is_linear(page):
+    began = time.time()
+    parse(page)
+    assert time.time() - began < 6
+
+
 def test_html(spark):
     rng = random.Random(123)
     pages = [H.write_page(rng) for _ in range(120)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -16,6 +17,7 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+))>", re.DOTALL
 )
+_ENDLESS = re.compile(r"<[!?].*", re.DOTALL)
 _ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
 
@@ -48,7 +50,8 @@ class Block:
 def parse(page: str) -> Node:
     root = Node("html", "", None)
     top, stack = root, [root]
-    open_inline: list[str] = []
+    held: Counter[str] = Counter()  # tags on the stack
+    open_inline: Counter[str] = Counter()
     run: list[str] = []
     linked = 0
 
@@ -63,34 +66,39 @@ def parse(page: str) -> Node:
                 top.kids.append(Block(text, min(linked, len(text))))
             run, linked = [], 0
 
-    at, n = 0, len(page)
+    def leave(k: int):
+        nonlocal top
+        held.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+        top = stack[-1]
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
+        # Behind the last end of a tag only what needs no end is markup; a tag would be sought up to the end each time.
+        m = (_TOKEN if at <= last else _ENDLESS).search(page, at)
         if not m:
             run.append(page[at:])
             break
         if m.start() > at:
             piece = page[at : m.start()]
             run.append(piece)
-            if "a" in open_inline:
+            if open_inline["a"] > 0:
                 linked += len(piece)
         at = m.end()
+        if m.re is _ENDLESS:
+            break
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if m["end"]:
             if name in INLINE:
-                if name in open_inline:
-                    del open_inline[len(open_inline) - 1 - open_inline[::-1].index(name)]
+                open_inline[name] = max(0, open_inline[name] - 1)
             elif name not in VOID:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        del stack[k:]
-                        top = stack[-1]
-                        open_inline.clear()
-                        break
+                if held[name] > 0:
+                    leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name))
+                    open_inline.clear()
             continue
         if name in RAW:
             if not m["attrs"].rstrip().endswith("/"):
@@ -104,7 +112,7 @@ def parse(page: str) -> Node:
                 run.append(" ")
             continue
         if name in INLINE:
-            open_inline.append(name)
+            open_inline[name] += 1
             if name == "a":
                 top.links += 1
             continue
@@ -112,21 +120,19 @@ def parse(page: str) -> Node:
             continue
         flush()
         if name in CLOSES_P and any(x.tag == "p" for x in stack[-4:]):
-            k = max(i for i, x in enumerate(stack) if x.tag == "p")
-            del stack[k:]
-            top = stack[-1]
+            leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"))
         elif name in IMPLIED:
             kinds, limits = IMPLIED[name]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in kinds:
-                    del stack[k:]
-                    top = stack[-1]
+                    leave(k)
                     break
                 if stack[k].tag in limits:
                     break
         node = Node(name, m["attrs"], top)
         top.kids.append(node)
         stack.append(node)
+        held[name] += 1
         top = node
     flush()
     return root
