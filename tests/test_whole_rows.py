@@ -14,14 +14,14 @@ def test_receipts_stream_holds_all_budgets(spark):
 
 def test_scratchpads_of_small_answers(spark):
     """7 checks x == 94 on x = 93 and ends wrong; 17 marks a true check as false; 27 is right after one mend."""
-    got = {r.trace_id: (r.depth, r.domain, r.n_steps, r.answer, r.failures, r.is_valid) for r in QUERIES["scratchpad_summary_all"](spark, SF).collect()}
+    got = {r.trace_id: (r.depth, r.domain, r.n_steps, r.answer, r.failures, r.is_valid) for r in QUERIES["scratchpad_summary"](spark, SF).collect()}
     assert len(got) == 150
     assert got[7] == ("3", "algebra", 8, "94", 1, False) and got[17] == ("3", "algebra", 8, "99", 0, False) and got[27] == ("3", "algebra", 8, "131", 1, True)
 
 
 def test_stage4_rewards_of_scratchpads(spark):
     """47 tokens, right, none of this reward's tags, so an empty tail: 1.2 + 0.5 * 3 / 50; a wrong one within 50 tokens gets 0."""
-    got = {r.trace_id: r.reward for r in QUERIES["reward_stage4_all"](spark, SF).collect()}
+    got = {r.trace_id: r.reward for r in QUERIES["reward_stage4"](spark, SF).collect()}
     assert len(got) == 1500 and abs(got[17] - 1.23) < 1e-9 and got[7] == 0.0
 
 
