@@ -102,6 +102,9 @@ def test_bad_hosts_go(spark):
     kept = {r.doc_id for r in quality_rules.judge_quality(df).where("kept").collect()}
     assert kept == {i for i in range(400) if i % 20} | {2000, 2001}
     assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == kept and quality_rules.keep_good(df).columns == df.columns
+    clash = df.withColumns({c: F.lit(c) for c in ("_m", "_h", "host", "n_words", "_row")})
+    out = quality_rules.keep_good(clash)
+    assert out.columns == clash.columns and {(r.doc_id, r._m, r.n_words) for r in out.collect()} == {(i, "_m", "n_words") for i in kept}
 
 
 def test_mixing_reaches_targets_and_keeps_clean(spark):

@@ -96,10 +96,14 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", most_failures: float = MOST_HOST_FAILURES) -> DataFrame:
-    """The rows that pass, with all their columns.
+    """The rows that pass, with all their columns, whatever their names.
 
     Base failures follow from the row alone, so texts are not moved: the measures are written beside the rows' own columns.
     """
-    measured = cut(text_measures(docs, id_col=id_col, text_col=text_col, host_col=host_col, keep=docs.columns))
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*inner.values())
+    host = inner[host_col] if host_col else None
+    measured = cut(text_measures(own, id_col=inner[id_col], text_col=inner[text_col], host_col=host, keep=own.columns))
     bad = _rejected_hosts(measured.select("_m.*"), most_failures)
-    return measured.where(~F.col("_m.base_failed")).join(bad, F.col("_m.host") == F.col("_h"), "left_anti").select(*docs.columns)
+    good = measured.where(~F.col("_m.base_failed")).join(bad, F.col("_m.host") == F.col("_h"), "left_anti")
+    return good.select(*own.columns).toDF(*docs.columns)
