@@ -113,3 +113,24 @@ def test_invariants():
 def test_self_correction():
     assert self_correction("verify(2+2 == 5)✓ ∴", True) == -0.4 and self_correction("verify(2+2 == 4)✓ ∴", True) == 0.4
     assert self_correction("verify(66 > 0)✓ ∴ ans", True) == 0.0 and self_correction("✗ backtrack ∴ ans=1", True) == 0.4
+
+
+def test_audit_over_tables(spark):
+    from tracequarry.operators import executor
+
+    df = spark.createDataFrame([(1, "<reg:plan>sum</reg:plan><reg:deduce>n=1 | n=2</reg:deduce>"), (2, "<reg:deduce>n=1 ∴ ans=1</reg:deduce>"), (3, None), (4, "<reg:bypass>6</reg:bypass><reg:deduce>n=1</reg:deduce>"), (5, "</reg:deduce>")], "trace_id long, completion string")
+    got = {r.trace_id: r for r in executor.terminal_audit(df).collect()}
+    assert sorted(got) == [1, 2, 4] and (got[1].state, got[1].rollbacks, got[1].error_context) == ("ROLLBACK", 1, "[TINY_TERMINAL_ERR] step 2, n=2: Contradiction: n is 1, not 2; try hyp [n = 1]")
+    assert got[1].recovery_prompt == f"\n{got[1].error_context}\n<think>\n<reg:plan>sum</reg:plan>\n<reg:deduce>"
+    assert (got[2].state, got[2].certified_answer, got[2].recovery_prompt, got[4].state) == ("VERIFIED", "1", None, "BYPASS")
+    pads = spark.createDataFrame([(1, '<reg:scratchpad depth="2">a=1 | | state(b=x+1) |ans = 1</reg:scratchpad>'), (2, "none")], "trace_id long, completion string")
+    end = executor.scratchpad_summary(pads).collect()
+    assert [(r.trace_id, r.depth, r.domain, r.n_steps, r.answer, r.is_valid) for r in end] == [(1, "2", "general", 3, "1", True)]
+    assert end[0].rendered == '<reg:scratchpad depth="2" domain="general">\n  a=1\n  | state(b=x+1)\n  | ans = 1\n</reg:scratchpad>\n<ans>1</ans>'
+    assert [r.value for r in executor.scratchpad_steps(pads).orderBy("step_index").collect()] == ["1", "{'a': 1, 'b': 'x + 1'}", "1"]
+
+
+def test_failures_count_by_checkpoint():
+    s = Scratchpad().run("a=1 | verify(a == 2)✗ | verify(a == 2)✗ | checkpoint(A) | verify(a == 2)✗ | ans=1")
+    assert (s.failures, s.cycle, s.valid) == (3, False, True)
+    assert invariants([{"kind": "transform", "lhs": "/2", "rhs": "x=20"}, {"kind": "transform", "lhs": "eat-=3", "rhs": "13"}]) == []

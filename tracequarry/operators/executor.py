@@ -1,246 +1,28 @@
-"""Sequential execution of traces: scratchpad with rollback, deduction audit, step invariants, self-correction.
+"""Execution of traces over tables: scratchpads, audits and invariants, rewards and symbolic equality.
 
-These are state machines over the steps of one trace, so they run per row in Arrow batches; a failing step is a
-diagnostic, never an exception.
+What is sequential within a trace (``scratchpad``, ``deduction``) runs per row in Arrow batches, for rows that have such
+a part at all; the rest are expressions.  A failing step is a diagnostic, never an exception.
 """
 
 from __future__ import annotations
 
-import copy
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .evaluator import Poly, Refused, Unknown, check_equality, evaluate, grounded, roots, same, terminal_value
+from ..functions import answers as A
+from ..functions import registers as R
+from ..functions import steps as S
+from ..functions import text as T
+from .deduction import audit, engine_report, invariants, self_correction
+from .evaluator import Refused, Unknown, evaluate
+from .scratchpad import Scratchpad, render, unit_step
 
-
-def _plain(value):
-    return value.plain() if isinstance(value, Poly) else value
-
-
-def unit_step(text: str, env: dict) -> tuple[object, dict]:
-    """(value, new environment) of an assignment, a known function or an expression; text that is neither is its own value."""
-    env, text = dict(env), text.strip()
-    inner = text[4:-1].strip() if text.startswith("let(") and text.endswith(")") else text
-    if "=" in inner and (inner is not text or not any(op in text for op in ("==", "<=", ">=", "!="))):
-        name, expr = inner.split("=", 1)
-        value = unit_step(expr, env)[0]
-        env[name.strip()] = value
-        return value, env
-    m = re.fullmatch(r"(inv_mod|legendre)\((.*)\)", text)
-    if m and m[2].count(",") == 1:
-        try:
-            a, b = (int(unit_step(x, env)[0]) for x in m[2].split(","))
-            if m[1] == "inv_mod":
-                return pow(a, -1, b), env
-            total, power = 0, b
-            while b > 1 and power <= a:
-                total, power = total + a // power, power * b
-            return total, env
-        except (ValueError, TypeError):
-            return text, env
-    try:
-        value = _plain(evaluate(text.replace("^", "**"), env))
-        return (str(value) if isinstance(value, Poly) and not value.names() else value), env
-    except (Refused, Unknown):
-        return text, env
-
-
-class Scratchpad:
-    """Executes the steps of a scratchpad; checkpoints are deep copies of the environment."""
-
-    def __init__(self, max_backtracks: int = 15):
-        self.env, self.points, self.stack, self.rows = {}, {}, [], []
-        self.failures, self.signatures, self.diagnostics = 0, {}, []
-        self.answer, self.cycle, self.max_backtracks = None, False, max_backtracks
-
-    def _add(self, kind: str, text: str, expression=None, value=None, passed=None, point=None):
-        self.rows.append({"step_index": len(self.rows), "raw_text": text, "step_type": kind, "expression": expression, "value": None if value is None else str(value), "passed": passed, "checkpoint_id": point})
-
-    def rollback(self, target: str | None) -> bool:
-        target = target or (self.stack[-1] if self.stack else None)
-        if not self.points:
-            self.diagnostics.append("Rollback failed: no checkpoint")
-        elif target not in self.points:
-            self.diagnostics.append(f"Rollback failed: checkpoint {target} not found")
-        elif self.failures > self.max_backtracks:
-            self.diagnostics.append(f"More than {self.max_backtracks} backtracks")
-        else:
-            self.env = copy.deepcopy(self.points[target])
-            while self.stack and self.stack[-1] != target:
-                self.stack.pop()
-            return True
-        return False
-
-    def step(self, text: str) -> None:
-        if m := re.match(r"^checkpoint\((.*?)\)$", text):
-            name = m[1].strip()
-            self.points[name] = copy.deepcopy(self.env)
-            self.stack.append(name)
-            self._add("checkpoint", text, point=name)
-        elif m := re.match(r"^backtrack(?:\((.*?)\))?$", text):
-            name = m[1].strip() if m[1] else None
-            self._add("backtrack", text, passed=self.rollback(name), point=name)
-        elif m := re.match(r"^replan\((.*?)\)$", text):
-            self._add("replan", text, expression=m[1].strip())
-        elif text.startswith("state(") and text.endswith(")"):
-            for pair in re.split(r",\s*(?![^\[]*\])", text[6:-1].strip()):
-                if "=" in pair:
-                    k, v = pair.split("=", 1)
-                    self.env[k.strip()] = unit_step(v, self.env)[0]
-            self._add("state", text, value=dict(self.env))
-        elif m := re.match(r"^verify\((.*?)\)([✓✗])$", text):
-            self._verify(text, m[1].strip(), m[2])
-        elif "∴" in text or text.startswith("ans"):
-            clean = text.replace("∴", "").strip()
-            m = re.search(r"ans\s*=\s*(.+)", clean)
-            self.answer = m[1].strip() if m else clean
-            self._add("conclusion", text, expression=self.answer, value=self.answer)
-        else:
-            value, self.env = unit_step(text, self.env)
-            self._add("assignment" if "=" in text else "operation", text, expression=text, value=value)
-
-    def _verify(self, text: str, condition: str, mark: str) -> None:
-        passed, reason = grounded(condition, self.env)
-        if passed != (mark == "✓"):
-            self.diagnostics.append(f"Assertion hallucination in step {len(self.rows)}: claimed {mark}, found {passed} ({reason})")
-        if not passed:
-            point = self.stack[-1] if self.stack else "root"
-            self.failures += 1
-            seen = self.signatures[condition, point] = self.signatures.get((condition, point), 0) + 1
-            if seen >= 3:
-                self.cycle = True
-                self.diagnostics.append(f"Oscillation detected: {condition} failed {seen} times at {point}")
-        self._add("verify", text, expression=condition, value=reason, passed=passed)
-
-    def run(self, trace: str) -> Scratchpad:
-        for part in trace.split("|"):
-            if part.strip():
-                self.step(part.strip())
-        return self
-
-    @property
-    def valid(self) -> bool:
-        return not self.diagnostics and self.answer is not None
-
-
-def audit(block: str) -> dict:
-    """Checks a deduction step by step and stops at the first contradiction."""
-    env: dict = {}
-    n, answer = 0, None
-    for n, step in enumerate((s.strip() for s in re.split(r"[|\n]", re.sub(r"</?reg:deduce>", "", block).strip()) if s.strip()), 1):
-        parts = step.split("=")
-        if "∴" in step or re.match(r"^ans\s*=", step):
-            answer = parts[-1].strip() if len(parts) >= 2 else step.replace("∴", "").strip()
-            continue
-        if "=" not in step or any(op in step for op in ("<=", ">=", "!=")) or len(parts) != 2:
-            continue
-        left, right = (p.strip() for p in parts)
-        error = repair = None
-        if re.match(r"^[a-zA-Z_][a-zA-Z0-9_]*$", left):
-            ok, value, problem = terminal_value(right, env)
-            if not ok:
-                error = f"invalid: {problem}"
-            elif left in env and not same(value, env[left]):
-                error, repair = f"Contradiction: Variable '{left}' was already computed as {env[left]}, but step claims {value}", f"hyp [{left} = {env[left]}]"
-            else:
-                env[left] = value
-        else:
-            found = check_equality(left, right, env)
-            error, repair = (found["error"], found["repair"]) if not found["valid"] else (None, None)
-        if error:
-            return {"is_valid": False, "certified_answer": answer, "n_steps": n, "error_context": f"[TINY_TERMINAL_ERR]: Step {n} '{step}' -> {error}" + (f" | Suggest: {repair}" if repair else "")}
-    return {"is_valid": True, "certified_answer": answer, "n_steps": n, "error_context": None}
-
-
-def engine_state(found: dict, bypass: bool) -> str:
-    """The state an engine ends in: bypassed, recovering from a contradiction, verified or still deducing."""
-    if bypass:
-        return "BYPASS"
-    if not found["is_valid"]:
-        return "ROLLBACK"
-    return "VERIFIED" if found["certified_answer"] is not None else "DEDUCING"
-
-
-def invariants(steps: list[dict]) -> list[str]:
-    """Codes of steps that break truth: E201 for a transformation, E202 for a verification."""
-    env: dict = {}
-    codes: list[str] = []
-    for s in steps:
-        try:
-            if s["kind"] == "declaration":
-                env[s["var_name"]] = evaluate(s["expression"].replace("^", "**"))
-            elif s["kind"] == "verify" and "==" in s["condition"]:
-                a, b = s["condition"].split("==", 1)
-                if (Poly.of(evaluate(a.replace("^", "**"), env)) == Poly.of(evaluate(b.replace("^", "**"), env))) != s["passed"]:
-                    codes.append("E202")
-            elif s["kind"] == "transform":
-                if not _holds(s["lhs"].replace("^", "**"), s["rhs"].replace("^", "**"), env):
-                    codes.append("E201")
-        except (Refused, Unknown, AttributeError):
-            continue
-    return codes
-
-
-def _holds(lhs: str, rhs: str, env: dict) -> bool:
-    if m := re.match(r"^([a-zA-Z0-9_]+)\s*([-+*/])=\s*(.+)$", lhs):
-        key = m[1] if m[1] in env else next(iter(env)) if len(env) == 1 else None
-        if key is not None:
-            try:
-                new = evaluate(f"_v {m[2]} ({m[3]})", {"_v": env[key]})
-                if new != evaluate(rhs):
-                    return False
-                env[key] = new
-                return True
-            except (Refused, Unknown):
-                pass
-    if m := re.match(r"^[a-zA-Z0-9_]+\s*\((.+)\)$", lhs):
-        try:
-            return evaluate(m[1]) == evaluate(rhs)
-        except (Refused, Unknown):
-            pass
-    if "=" in rhs and not any(op in rhs for op in ("==", "<=", ">=")):
-        try:
-            a, b = (re.sub(r"(\d+)([a-zA-Z])", r"\1*\2", x) for x in rhs.split("=", 1))
-            equation = evaluate(f"({a}) - ({b})")
-            before, now = env.get("__equation__"), roots(equation)
-            old = roots(before) if before is not None else None
-            env["__equation__"] = equation
-            if now and len(equation.names()) == 1:
-                env[next(iter(equation.names()))] = Poly.of(now[0])
-            return not (old and now and old != now)
-        except (Refused, Unknown):
-            pass
-    if any(c in lhs for c in "+-*/^0123456789") and rhs and lhs != rhs:
-        return Poly.of(evaluate(lhs, env)) == Poly.of(evaluate(rhs, env))
-    return True
-
-
-def self_correction(text: str, correct: bool) -> float:
-    """-0.4 for a false check, 0.4 for a true one, or a mended path, of a right answer."""
-    closed = "∴" in text or "<ans>" in text
-    checks = re.findall(r"verify\((.*?)\)\s*([✓✗])?", text)
-    for condition, mark in checks:
-        condition = condition.strip()
-        if grounded(condition, {})[1] == "rejected_trivial_tautology":
-            continue
-        plain = "=" in condition and not any(op in condition for op in ("<=", ">=", "!="))
-        if "==" in condition or plain:
-            a, b = condition.split("==" if "==" in condition else "=", 1)
-            valid = check_equality(a.strip(), b.strip(), {})["valid"]
-        else:
-            ok, value, _ = terminal_value(condition, {})
-            valid = ok and not isinstance(value, Poly) and bool(value)
-        claimed = mark == "✓" or "✓" in text
-        if claimed and not valid:
-            return -0.4
-        if claimed and valid and correct:
-            return 0.4
-    if correct and closed and ("✗" in text or re.search(r"\bbacktrack\b|\btry\(", text)):
-        return 0.4
-    return 0.4 if correct and closed and not checks and ("verify(" in text or "✓" in text) else 0.0
+__all__ = ["Scratchpad", "audit", "composite_reward", "invariant_rows", "invariants", "scratchpad_steps", "scratchpad_summary", "self_correction", "terminal_audit", "unit_step", "verify_symbolic"]
 
 
 # -- over tables ----------------------------------------------------------------------------------------------
@@ -261,34 +43,50 @@ def _rows(df: DataFrame, id_col: str, text_col: str, make, fields: str) -> DataF
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, {fields}")
 
 
+PAD_FIELDS = "step_index int, raw_text string, step_type string, expression string, value string, passed boolean, checkpoint_id string"
+SUMMARY_FIELDS = "depth string, domain string, n_steps int, answer string, failures int, cycle boolean, is_valid boolean, n_diagnostics int, env string, rendered string"
+
+
+def _with(traces: DataFrame, text_col: str, tag: str) -> DataFrame:
+    """Only rows that can hold the part, so others never reach a Python worker."""
+    return traces.where(F.contains(F.col(text_col), F.lit(f"</reg:{tag}>")))
+
+
 def scratchpad_steps(traces: DataFrame, id_col: str = "trace_id", text_col: str = "completion") -> DataFrame:
     """A row for each executed step of each scratchpad."""
-    make = lambda t: Scratchpad().run(m[3].strip()).rows if (m := PAD.search(t)) else []
-    return _rows(traces, id_col, text_col, make, "step_index int, raw_text string, step_type string, expression string, value string, passed boolean, checkpoint_id string")
+    make = lambda t: (row for m in [PAD.search(t)] if m for _, row in Scratchpad().rows(m[3]))
+    return _rows(_with(traces, text_col, "scratchpad"), id_col, text_col, make, PAD_FIELDS)
 
 
 def scratchpad_summary(traces: DataFrame, id_col: str = "trace_id", text_col: str = "completion") -> DataFrame:
+    """How each scratchpad ends, with its canonical form."""
+
     def make(t: str):
         if m := PAD.search(t):
-            s = Scratchpad().run(m[3].strip())
-            yield {"depth": m[1] or "1", "domain": m[2] or "general", "n_steps": len(s.rows), "answer": s.answer, "failures": s.failures, "cycle": s.cycle, "is_valid": s.valid, "n_diagnostics": len(s.diagnostics), "env": str(sorted((k, str(v)) for k, v in s.env.items()))}
+            depth, domain = m[1] or "1", m[2] or "general"
+            end, said = Scratchpad(), []
+            for end, row in end.rows(m[3]):
+                said.append(row["raw_text"])
+            env = str(sorted((k, str(v)) for k, v in end.env.items()))
+            yield {"depth": depth, "domain": domain, "n_steps": end.n_steps, "answer": end.answer, "failures": end.failures, "cycle": end.cycle, "is_valid": end.valid, "n_diagnostics": len(end.diagnostics), "env": env, "rendered": render(depth, domain, said, end.answer)}
 
-    return _rows(traces, id_col, text_col, make, "depth string, domain string, n_steps int, answer string, failures int, cycle boolean, is_valid boolean, n_diagnostics int, env string")
+    return _rows(_with(traces, text_col, "scratchpad"), id_col, text_col, make, SUMMARY_FIELDS)
 
 
 def terminal_audit(traces: DataFrame, id_col: str = "trace_id", text_col: str = "completion") -> DataFrame:
+    """The audit of each deduction, the engine's end state and, behind a contradiction, the prompt to resume from."""
+
     def make(t: str):
         if m := DEDUCE.search(t):
+            plan = re.search(r"(?s)<reg:plan>(.*?)</reg:plan>", t)
             found = audit(m[1])
-            yield found | {"state": engine_state(found, "<reg:bypass>" in t)}
+            yield found | engine_report(found, plan[1].strip() if plan else None, "<reg:bypass>" in t)
 
-    return _rows(traces, id_col, text_col, make, "is_valid boolean, certified_answer string, n_steps int, error_context string, state string")
+    return _rows(_with(traces, text_col, "deduce"), id_col, text_col, make, "is_valid boolean, certified_answer string, n_steps int, error_context string, state string, rollbacks int, recovery_prompt string")
 
 
 def invariant_rows(traces: DataFrame, id_col: str = "trace_id", steps_col: str = "steps") -> DataFrame:
     """(id, n_steps, codes) from steps parsed to JSON."""
-    import json
-
     make = lambda t: [{"n_steps": len(s := json.loads(t) if t else []), "codes": ",".join(invariants(s))}]
     return _rows(traces, id_col, steps_col, make, "n_steps int, codes string")
 
@@ -300,18 +98,9 @@ BASELINE_TOKENS = 55
 
 def composite_reward(traces: DataFrame, id_col: str = "trace_id", text_col: str = "completion", truth_col: str = "ground_truth", multi_step: bool = True) -> DataFrame:
     """(id, total and the ten terms).  All terms are expressions but the two that execute the trace."""
-    from pyspark.sql import functions as F
-
-    from ..functions import answers as A
-    from ..functions import registers as R
-    from ..functions import steps as S
-    from ..functions import text as T
-
     c = F.col(text_col)
     think = r"(?s)<think>(.*?)</think>"
     rows = traces.withColumn("_body", S.trace_body(c)).select(id_col, c, "_body", F.when(c.rlike(think), T.stripped(F.regexp_extract(c, think, 1))).otherwise(T.stripped(c)).alias("_trace"), A.answers_match(A.grammar(c), F.col(truth_col)).alias("_ok"), S.document(c, F.col("_body")).alias("_doc"), F.to_json(F.transform(S.raw_steps(F.col("_body")), S.parse_step)).alias("_steps"))
-    import json
-
     kind = traces.schema[id_col].dataType.simpleString()
 
     def executed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,10 +132,6 @@ def composite_reward(traces: DataFrame, id_col: str = "trace_id", text_col: str
 
 def verify_symbolic(answers: DataFrame, id_col: str = "trace_id", answer_col: str = "answer", truth_col: str = "ground_truth") -> DataFrame:
     """(id, method): the expression layer first; only what it fails is compared as polynomials."""
-    from pyspark.sql import functions as F
-
-    from ..functions import answers as A
-
     rows = answers.select(id_col, A.verify_method(F.col(answer_col), F.col(truth_col)).alias("method"), A.clean_math(F.lower(F.col(answer_col))).alias("a"), A.clean_math(F.lower(F.col(truth_col))).alias("b"))
     kind = answers.schema[id_col].dataType.simpleString()
 

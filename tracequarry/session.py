@@ -40,7 +40,7 @@ def register_functions(spark: SparkSession) -> None:
     @udtf(returnType="step_index int, raw_text string, step_type string, expression string, value string, passed boolean, checkpoint_id string")
     class RunScratchpad:
         def eval(self, text: str):
-            for row in executor.Scratchpad().run(text or "").rows:
+            for _, row in executor.Scratchpad().rows(text or ""):
                 yield tuple(row.values())
 
     spark.udf.register("audit_deduction", audit_deduction)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.executor import Scratchpad
+from ..operators.scratchpad import Scratchpad
 
 STEP = "trace_id string, step_index int, raw_text string, step_type string, value string, passed boolean"
 
@@ -26,12 +26,11 @@ def run_steps(steps: DataFrame, timeout_ms: int | None = None) -> DataFrame:
             return
         pad = pickle.loads(state.get[0]) if state.exists else Scratchpad()
         rows = pd.concat(list(batches)).sort_values("step_index")
-        before = len(pad.rows)
+        done = []
         for text in rows["step"]:
             if text and text.strip():
-                pad.step(text.strip())
-        done = pad.rows[before:]
-        pad.rows = [{"step_index": r["step_index"]} for r in pad.rows]  # only their number is needed from here on
+                pad, row = pad.advance(text.strip())
+                done.append(row)
         state.update((pickle.dumps(pad),))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
