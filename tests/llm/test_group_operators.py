@@ -220,6 +220,58 @@ def test_urls(spark):
     assert url_filters.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+#: Examples of RFC 3986, section 5.4, against http://a/b/c/d;p?q.
+RFC = {"g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h"}
+
+
+def test_links_are_resolved(spark, tmp_path):
+    import duckdb
+
+    page = "http://a/b/c/d;p?q"
+    assert all(url_filters.resolve(page, None, k) == v for k, v in RFC.items()) and url_filters.resolve(page, None, "x?a=1&amp;b=&#50;") == "http://a/b/c/x?a=1&b=2"
+    assert url_filters.resolve(page, "/z/", "y") == "http://a/z/y" and url_filters.resolve(page, None, "http://[") is None
+    # each link leads from a page of its own host to a page that only this link makes an alias of a blocked url
+    html = lambda to, base="": f"<head>{base}<link href='{to}' rel=canonical></head>"
+    pages = []
+    for n, (link, full) in enumerate(RFC.items()):
+        if link != "//g":
+            host = f"h{n}.com"
+            pages += [(f"http://{host}/b/c/d;p?q", html(link)), (full.replace("http://a/", f"http://{host}/"), html("http://x.net/bad")), (f"http://{host}/free", None)]
+    pages += [("HTTP://Up.com/x/y", html("z")), ("http://up.com/x/z", html("//sub.net/q")), ("http://based.com/x/y", html("z", "<base href='http://based.com/else/'>")), ("http://based.com/else/z", html("http://b.net/")), ("http://based.com/x/z", None)]
+    pages += [("http://long.com/", "<link " * 100_000), ("http://deep.com/", html("../" * 100_000)), ("no scheme", html("x")), (None, html("http://b.net/")), ("http://same.com", html("#top")), ("http://same.com", html(""))]
+    df = spark.createDataFrame([(i, u, h, "a", "b") for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, _n string, host string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(df.drop("host")).collect()}
+    want = {i: "block" if h and i < len(pages) - 6 else "allow" for i, (_, h) in enumerate(pages)}
+    assert got == want
+    df.drop("host").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet' WHERE url IS NULL OR url NOT LIKE 'http://deep%'")
+    said = {r[0]: r[-1] for r in con.sql(queries.ORACLES["op4_url_filters"]).fetchall()}
+    assert said == {i: v for i, v in want.items() if i in said} and len(said) == len(pages) - 1
+
+
+def test_aliases_against_brute_force(spark):
+    rng = random.Random(7)
+    hosts = ["a.com", "b.org", "x.net", "www.example.net", "example.com"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'de/', 'fr/', ''])}{i % 150}" for i in range(400)]
+    links = [rng.choice(urls) if rng.random() < 0.4 else None for _ in urls]
+    s = Sets(set(urls))
+    for u, to in zip(urls, links):
+        if to:
+            s.join(u, to)
+
+    def own(u):
+        host, _, path = u.split("://")[1].partition("/")
+        fits = [(len(r), v) for v, r in url_filters.RULES for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    bad = {s.find(u) for u in urls if own(u) == "block"}
+    want = {i: own(u) or ("block" if s.find(u) in bad else "allow") for i, u in enumerate(urls)}
+    rows = [(i, u, f'<meta content="0; url={to}" http-equiv="Refresh">' if to else None) for i, (u, to) in enumerate(zip(urls, links))]
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and {"block", "allow"} <= set(want.values())
+
+
 def test_differencing():
     parts = [([0, n], [[], [i]]) for i, n in enumerate([8, 7, 6, 5, 4])]
     a, b = kk_sharding.difference(parts, 2)

@@ -56,21 +56,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op5_cap_filters, op6_quality_rules, op7_html_extraction, op8_mixing, op9_suffix_dedup, op10_sharding)}
 
+# Of character references only &amp; is decoded here.
 OP4_SQL = r"""
 WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM pages),
+  SELECT url, regexp_extract(html, '(?is)<base\s[^<>]*>') AS own, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^<>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
 hrefs AS (
-  SELECT url, trim(replace(CASE
+  SELECT url, replace(trim(regexp_extract(own, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)), '&amp;', '&') AS own, trim(replace(CASE
       WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?[^"''>]*canonical') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
       WHEN regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)url\s*=\s*["'']?([^"''>]+)', 1)
       ELSE '' END, '&amp;', '&')) AS h FROM tags),
+based AS (SELECT h, CASE WHEN strpos(own, '://') > 0 THEN own ELSE url END AS url, url AS a FROM hrefs WHERE h <> ''),
+joined AS (
+  SELECT a, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(url, '(?s)^[^#]*', 0) AS whole, h, regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AS complete FROM based),
+placed AS (
+  SELECT a, CASE WHEN complete THEN regexp_extract(h, '(?s)^(.*?://[^/?#]*)', 1) WHEN h LIKE '//%' THEN scheme || ':' || regexp_extract(h, '(?s)^//[^/?#]*') ELSE site END AS site,
+    CASE WHEN h LIKE '#%' THEN whole WHEN complete OR h LIKE '//%' THEN NULL WHEN h LIKE '?%' THEN site || path || h END AS done, complete, h,
+    CASE WHEN h LIKE '//%' THEN regexp_extract(h, '(?s)^//[^/?#]*([^?#]*)', 1) WHEN h LIKE '/%' THEN regexp_extract(h, '(?s)^[^?#]*') ELSE regexp_replace('/' || ltrim(path, '/'), '[^/]*$', '') || regexp_extract(h, '(?s)^[^?#]*') END AS path,
+    regexp_extract(h, '(?s)^[^?#]*(.*)$', 1) AS rest FROM joined),
 edges0 AS (
-  SELECT url AS a, CASE WHEN h LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || h WHEN strpos(h, '://') > 0 THEN h
-    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || CASE WHEN h LIKE '/%' THEN h ELSE '/' || h END END AS b
-  FROM hrefs WHERE h <> ''),
+  SELECT a, CASE WHEN complete THEN h WHEN done IS NOT NULL THEN done ELSE site || list_reduce(list_prepend('', string_split(path, '/')[2:]),
+      lambda kept, x: CASE WHEN x = '..' THEN regexp_replace(kept, '/[^/]*$', '') WHEN x = '.' THEN kept ELSE kept || '/' || x END)
+    || CASE WHEN regexp_matches(path, '/\.{1,2}$') THEN '/' ELSE '' END || rest END AS b FROM placed),
 node AS (
-  SELECT DISTINCT u, regexp_extract(u, '(?s)^(.*?://)', 1) || translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS n
+  SELECT DISTINCT u, translate(regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS n
   FROM (SELECT url AS u FROM pages UNION SELECT b FROM edges0) WHERE strpos(u, '://') > 0),
 edges AS (SELECT DISTINCT x.n AS a, y.n AS b FROM edges0 e JOIN node x ON x.u = e.a JOIN node y ON y.u = e.b WHERE x.n <> y.n),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import cut
 from .graph import connected_components
@@ -12,7 +17,8 @@ from .graph import connected_components
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK_TAG = r"(?is)<(?:link|meta)\s[^>]*>"
+#: Tags end at the next bracket of either kind, so unclosed ones cost no second look at what follows.
+_LINK_TAG, _BASE_TAG = r"(?is)<(?:link|meta)\s[^<>]*>", r"(?is)<base\s[^<>]*>"
 
 
 def url_host(url: Column) -> Column:
@@ -24,8 +30,8 @@ def url_path(url: Column) -> Column:
 
 
 def url_node(url: Column) -> Column:
-    """The url without its fragment and with its host in lower case: what a server sees."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?://)", 1)
+    """The url without its fragment and with its scheme and host in lower case: what a server sees."""
+    scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?://)", 1), UPPER, LOWER)
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
     return F.when(F.locate("://", url) > 0, F.concat(scheme, url_host(url), rest))
 
@@ -49,28 +55,39 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
+
+def resolve(page: str | None, base: str | None, target: str | None) -> str | None:
+    """The full url that a link of a page means (RFC 3986), with character references decoded; null where there is none."""
+    try:
+        return urljoin(urljoin(page, html.unescape(base or "").strip()), html.unescape(target).strip())
+    except (TypeError, ValueError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _resolved(page: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([resolve(*link) for link in zip(page, base, target)], dtype=object)
+
+
 def alias_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) between a page's url and the targets of its canonical links and meta refreshes."""
-    tags = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINK_TAG), F.lit(0)))
-    found = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), tags.alias("tag"))
-    def value(name: str) -> Column:
-        pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-        return F.concat(*[F.regexp_extract("tag", pattern, k) for k in (1, 2, 3)])
-
-    tags = found.select("url", "tag", value("href").alias("href"), F.lower(value("rel")).alias("rel"), F.lower(value("http-equiv")).alias("equiv"), value("content").alias("content"))
-    canonical = F.when(F.col("rel").rlike(r"(^|\s)canonical(\s|$)"), F.col("href"))
-    refresh = F.when(F.col("equiv") == "refresh", F.regexp_extract("content", r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1))
-    target = F.trim(F.coalesce(canonical, refresh))
-    named = cut(tags.select("url", F.nullif(target, F.lit("")).alias("target"), F.regexp_extract("url", r"(?s)^(.*?)://", 1).alias("scheme"), url_host(F.col("url")).alias("host")))
-    target, scheme, host = F.col("target"), F.col("scheme"), F.col("host")
-    full = (
-        F.when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.locate("://", target) > 0, target)
-        .when(F.startswith(target, F.lit("/")), F.concat(scheme, F.lit("://"), host, target))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.lit("/"), target))
-    )
-    linked = named.where("target is not null").select("url", F.regexp_replace(full, "&amp;", "&").alias("to"))
-    return cut(linked.select(url_node(F.col("url")).alias("src"), url_node(F.col("to")).alias("dst")))
+    """(src, dst) between a page's url and the targets of its canonical links and meta refreshes.
+
+    Only the tags of pages that hold such links reach Python, where they are resolved against the page or its ``base``.
+    """
+    text = F.col(html_col)
+    tags = F.explode(F.regexp_extract_all(text, F.lit(_LINK_TAG), F.lit(0)))
+    base = _attribute(F.regexp_extract(text, _BASE_TAG, 0), "href")
+    held = pages.where(text.rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), base.alias("base"), tags.alias("tag"))
+    tag = F.col("tag")
+    refresh = F.regexp_extract(_attribute(tag, "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1)
+    canonical = F.lower(_attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
+    target = F.when(canonical, _attribute(tag, "href")).when(F.lower(_attribute(tag, "http-equiv")) == "refresh", refresh)
+    linked = held.select("url", "base", F.trim(target).alias("target")).where("url is not null and target <> ''")
+    return cut(linked.select(url_node(F.col("url")).alias("src"), url_node(_resolved("url", "base", "target")).alias("dst")))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, *, edges: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
