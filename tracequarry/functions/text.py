@@ -88,23 +88,27 @@ def trailing_noise(c: Column, open_tags: bool = True) -> Column:
     return F.when(noisy | c.rlike(OPEN_TAG_AT_END) if open_tags else noisy, F.lit(-1.0)).otherwise(F.lit(0.0))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(x)`` for x = value, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repeats(c: Column) -> Column:
     """Whether one to three words come three times in a row.  The last possible place is not looked at, as defined."""
-    w = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_.-]+"), F.lit(0))
-    out = F.lit(False)
-    for n in (1, 2, 3):
-        places = F.sequence(F.lit(1), F.size(w) - 3 * n)
-        same = _thrice(w, places, n)
-        out = out | ((F.size(w) > 3 * n) & same)
-    return F.coalesce((F.size(w) >= 6) & out, F.lit(False))
 
+    def in_words(w: Column) -> Column:
+        def at(i: Column) -> Column:
+            out = F.lit(False)
+            for n in (1, 2, 3):
+                same = i < F.size(w) - 3 * n
+                for k in range(2 * n):
+                    same = same & (F.get(w, i + k) == F.get(w, i + (k + n)))
+                out = out | same
+            return out
 
-def _thrice(w: Column, places: Column, n: int) -> Column:
-    def at(i: Column) -> Column:
-        first = F.slice(w, i, F.lit(n))
-        return (first == F.slice(w, i + n, F.lit(n))) & (first == F.slice(w, i + 2 * n, F.lit(n)))
+        return (F.size(w) >= 6) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 4, F.lit(0))), at)
 
-    return F.exists(places, at)
+    return F.coalesce(bound(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_.-]+"), F.lit(0)), in_words), F.lit(False))
 
 
 def filler_score(c: Column) -> Column:

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_words
+from ..functions.text import bound, normal_words
 
 #: Up to so many distinct benchmark runs are broadcast to the corpus; beyond that both sides are joined by run.
 BROADCAST_GRAMS = 500_000
 
 
 def _marks(words: Column, n: int) -> Column:
-    """128-bit hashes of the whole text (kind T) and of each distinct run of ``n`` words (kind G); a shorter text is one run."""
-    mark = lambda kind, w: F.struct(F.lit(kind).alias("kind"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"))
-    size = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: mark("G", F.slice(words, i, F.lit(n))))
-    return F.concat(F.array(mark("T", words)), F.when(size == 0, F.slice(runs, 1, 0)).otherwise(F.array_distinct(runs)))
+    """128-bit hashes of the whole text (kind T) and of each run of ``n`` words (kind G); a shorter text is one run.
+
+    Each word is hashed once; runs are told by the hashes of their words.  Repeated runs stay.
+    """
+    mark = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+    def of(h: Column) -> Column:
+        run = lambda i: mark("G", *[F.coalesce(F.get(h, i + k), F.lit(0).cast("long")) for k in range(n)])
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), run)
+        return F.concat(F.array(mark("T", h)), F.when(F.size(h) == 0, F.slice(runs, 1, 0)).otherwise(runs))
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def contamination_status(train: DataFrame, bench: DataFrame, *, text_col: str = "text", id_col: str = "item_id", n: int = 8, least: int = 2) -> DataFrame:
@@ -25,7 +32,7 @@ def contamination_status(train: DataFrame, bench: DataFrame, *, text_col: str =
     The corpus is read once and turned into hashes of its texts and word runs; only those that the benchmark has
     as well get past the scan, so what is shuffled is at most the benchmark's own size per task.
     """
-    items = bench.select(id_col, F.explode(_marks(normal_words(F.coalesce(F.col(text_col), F.lit(""))), n)).alias("m")).select(id_col, "m.*")
+    items = bench.select(id_col, F.explode(_marks(normal_words(F.coalesce(F.col(text_col), F.lit(""))), n)).alias("m")).select(id_col, "m.*").distinct()
     wanted = items.select("kind", "h1", "h2").distinct()
     if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
         wanted = F.broadcast(wanted)

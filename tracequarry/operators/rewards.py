@@ -15,7 +15,7 @@ DEPTH_LIMITS = {"Δ0": (10, 15, 0.08), "Δ1": (30, 45, 0.04), "Δ2": (55, 80, 0.
 
 
 def is_correct(c: Column, truth: Column) -> Column:
-    return A.answers_match(A.grammar(c), truth)
+    return T.bound(A.grammar(c), lambda answer: A.answers_match(answer, truth))
 
 
 def waste(c: Column) -> Column:
@@ -30,16 +30,24 @@ def by_depth(depth: Column, values: dict, part: int | None = None) -> Column:
 
 
 def closure(c: Column, long: int, bonus: float, malus: float, tags=R.CLOSING_TAGS) -> Column:
-    tail = T.word_count(R.answer_tail(c, tags))
-    return F.when(tail <= 4, bonus).when(tail > long, malus).otherwise(0.0)
+    return T.bound(T.word_count(R.answer_tail(c, tags)), lambda tail: F.when(tail <= 4, bonus).when(tail > long, malus).otherwise(0.0))
+
+
+def measured(c: Column, truth: Column, body) -> Column:
+    """``body(tokens, waste, right)``; each measure reads the completion once."""
+    measures = F.struct(T.token_estimate(c).cast("double").alias("tokens"), waste(c).alias("waste"), is_correct(c, truth).alias("right"))
+    return T.bound(measures, lambda m: body(m["tokens"], m["waste"], m["right"]))
 
 
 def parsimony(c: Column, truth: Column, depth: Column | None = None, base: float = 2.5, scale: float = 35.0, floor: float = 0.4, friction: float = 0.001) -> Column:
     """Falls smoothly with length and never below the floor; a wrong answer is -1 less waste."""
-    tokens, omega = T.token_estimate(c).cast("double"), waste(c)
     k = F.lit(scale) if depth is None else by_depth(depth, DEPTH_SCALE)
-    value = base * (floor + (1 - floor) * (k / (k + F.greatest(F.lit(1.0), tokens)))) - friction * tokens - omega
-    return F.when(is_correct(c, truth), value + F.when(omega == 0, closure(c, 25, 0.5, -0.5)).otherwise(0.0)).otherwise(-1.0 - omega)
+
+    def value(tokens: Column, omega: Column, right: Column) -> Column:
+        smooth = base * (floor + (1 - floor) * (k / (k + F.greatest(F.lit(1.0), tokens)))) - friction * tokens - omega
+        return F.when(right, smooth + F.when(omega == 0, closure(c, 25, 0.5, -0.5)).otherwise(0.0)).otherwise(-1.0 - omega)
+
+    return measured(c, truth, value)
 
 
 def parsimony_scalar(tokens: Column, correct: Column, depth: Column, closed: Column, base: float = 2.5, floor: float = 0.4, friction: float = 0.001) -> Column:
@@ -50,20 +58,28 @@ def parsimony_scalar(tokens: Column, correct: Column, depth: Column, closed: Col
 def gradient(c: Column, truth: Column, depth: Column | None = None) -> Column:
     """Economy below the free length, a linear penalty above the hard one, by depth."""
     depth = R.cognitive_depth(c) if depth is None else depth
-    free, hard, slope = (by_depth(depth, DEPTH_LIMITS, i) for i in range(3))
-    tokens, omega, right = T.token_estimate(c).cast("double"), waste(c), is_correct(c, truth)
-    economy = F.when(right, 2.0 * (1.0 + 0.5 * F.greatest(F.lit(0.0), (free - tokens) / free))).otherwise(-0.8)
-    return economy - F.greatest(F.lit(0.0), tokens - hard) * slope - omega + F.when(right & (omega == 0), closure(c, 25, 0.5, -0.5)).otherwise(0.0)
+
+    def value(tokens: Column, omega: Column, right: Column) -> Column:
+        def of(limits: Column) -> Column:
+            economy = F.when(right, 2.0 * (1.0 + 0.5 * F.greatest(F.lit(0.0), (limits["free"] - tokens) / limits["free"]))).otherwise(-0.8)
+            return economy - F.greatest(F.lit(0.0), tokens - limits["hard"]) * limits["slope"] - omega + F.when(right & (omega == 0), closure(c, 25, 0.5, -0.5)).otherwise(0.0)
+
+        return T.bound(depth, lambda d: T.bound(F.struct(*[by_depth(d, DEPTH_LIMITS, i).alias(name) for i, name in enumerate(("free", "hard", "slope"))]), of))
+
+    return measured(c, truth, value)
 
 
 def stage4(c: Column, truth: Column, register: Column) -> Column:
     """Token economy and a clean end, with a target length by register."""
-    tokens, omega, right = T.token_estimate(c).cast("double"), waste(c), is_correct(c, truth)
     target = F.when(register.isin("factual_bypass", "bypass"), 15.0).when(register.isin("intent_dialogue", "intent"), 75.0).otherwise(50.0)
-    good = right & (omega == 0)
     tags = ("</ans>", "</reg:deduce>", "</reg:bypass>", "</reg:intent>", "</think>")
-    length = F.when(tokens > target, -F.least(F.lit(1.5), 0.03 * (tokens - target))).when(good, 0.5 * F.greatest(F.lit(0.0), (target - tokens) / target)).otherwise(0.0)
-    return F.when(good, closure(c, 20, 1.2, -1.0, tags)).otherwise(0.0) - omega + length
+
+    def value(tokens: Column, omega: Column, right: Column) -> Column:
+        good = right & (omega == 0)
+        length = F.when(tokens > target, -F.least(F.lit(1.5), 0.03 * (tokens - target))).when(good, 0.5 * F.greatest(F.lit(0.0), (target - tokens) / target)).otherwise(0.0)
+        return F.when(good, closure(c, 20, 1.2, -1.0, tags)).otherwise(0.0) - omega + length
+
+    return measured(c, truth, value)
 
 
 def correctness(c: Column, truth: Column) -> Column:
@@ -71,7 +87,10 @@ def correctness(c: Column, truth: Column) -> Column:
 
 
 def efficiency_and_bypass(c: Column, truth: Column, register: Column) -> Column:
-    right = is_correct(c, truth)
+    return T.bound(is_correct(c, truth), lambda right: _by_register(c, right, register))
+
+
+def _by_register(c: Column, right: Column, register: Column) -> Column:
     tag = F.contains(c, F.lit("<reg:bypass>"))
     closed = c.rlike(r"(?s)<reg:bypass>.*?</reg:bypass>")
     thought = F.length(T.stripped(F.regexp_extract(c, r"(?s)<think>(.*?)</think>", 1)))

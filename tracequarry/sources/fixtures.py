@@ -73,7 +73,7 @@ receipts AS (
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trace_id, completion, ground_truth, tokens_emitted, category) for each order."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     rows = orders.select("*", *[F.expr(e).alias(k) for k, e in PARTS.items()])
     return rows.select(
         F.col("o_orderkey").alias("trace_id"), F.expr(TRACE).alias("completion"), F.col("t").alias("ground_truth"), (8 + F.col("o_orderkey") * 31 % 700).alias("tokens_emitted"), F.col("o_orderpriority").alias("category")
