@@ -230,3 +230,18 @@ def equivalent(answer: Column, truth: Column) -> Column:
     either = lambda c: F.coalesce(number(c), fraction(c))
     parts = slash & F.coalesce(F.abs(either(a) - either(b)) < 1e-4, F.lit(False))
     return F.coalesce((a != "") & (b != "") & ((a == b) | _near(number(a), number(b), 1e-4, 1e-3) | parts), F.lit(False))
+
+
+#: Where English solutions name their result, in order.
+ENGLISH_RESULTS = tuple(rf"(?id){words}(-?\d+(?:\.\d+)?){end}" for words, end in ((r"answer is[:\s]+", ""), ("= ", r"[\.\s]*$"), ("total.*?", r"[\.\s]*$"), ("result.*?", r"[\.\s]*$"), ("so.*?", r"[\.\s]*$")))
+
+
+def english(c: Column) -> Column:
+    """The number that an English solution names as its result, else its last one."""
+    named = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in ENGLISH_RESULTS]
+    return F.coalesce(*named, F.try_element_at(F.regexp_extract_all(c, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1)))
+
+
+def cut_off(tokens: Column, limit: Column, c: Column, closure: str = "\\boxed") -> Column:
+    """Whether a completion ran into its budget without the mark that closes it."""
+    return (tokens >= limit) & ~F.contains(c, F.lit(closure))

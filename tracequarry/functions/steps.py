@@ -139,3 +139,24 @@ def corrupt_last_equality(c: Column) -> Column:
     return F.when(~c.rlike(r"=\s*[0-9]"), F.concat(c, F.lit(" + 7 = 999"))).otherwise(
         F.concat(F.regexp_extract(c, last, 1), F.when(F.contains(value, F.lit(".")), F.format_string("%.2f", value.try_cast("double") + 7)).otherwise((value.try_cast("bigint") + 7).cast("string")), F.regexp_extract(c, last, 3))
     )
+
+
+def step_counts(body: Column) -> Column:
+    """struct(total, declarations, transformations, verifications, plans) of a trace's steps."""
+    kinds = F.transform(raw_steps(body), step_kind)
+    of = lambda kind: F.size(F.filter(kinds, lambda k: k == kind))
+    names = {"declarations": "declaration", "transformations": "transform", "verifications": "verify", "plans": "plan"}
+    return F.struct(F.size(kinds).alias("total"), *[of(kind).alias(name) for name, kind in names.items()])
+
+
+def concept_matches(expected: Column, found: Column) -> Column:
+    """Whether either concept's name holds the other; no expectation matches nothing."""
+    a, b = F.lower(expected), F.lower(found)
+    return F.coalesce((a != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))
+
+
+def declared_concept(c: Column, kind: Column) -> Column:
+    """The concept of a completion's plan; null where its register keeps no plan."""
+    plan = r"(?s)<reg:plan>(.*?)</reg:plan>"
+    concept = plan_directive(stripped(F.regexp_extract(c, plan, 1)))["concept"]
+    return F.when(c.rlike(plan) & ~kind.isin("bypass", "intent", "malformed"), concept)

@@ -132,3 +132,29 @@ def validation(c: Column) -> Column:
 
 def compression(english: Column, symbolic: Column) -> Column:
     return F.when(english == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - symbolic / english))
+
+
+def head(c: Column, n: int = 800) -> Column:
+    """What is stored of a text."""
+    return F.substring(c, 1, n)
+
+
+def tail(c: Column, n: int = 120) -> Column:
+    return F.right(c, F.lit(n))
+
+
+def numbers(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0))
+
+
+def code_blocks(c: Column) -> Column:
+    """Bodies of Python fences; they are only ever read."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"(?s)```python\s*(.*?)```"), F.lit(1)), stripped)
+
+
+#: Families by a part of the tokenizer's name, first match first.
+FAMILIES = (("qwen", "Qwen"), ("llama", "LLaMA"), ("gemma", "Gemma"), ("mistral", "Mistral"))
+
+
+def model_family(name: Column) -> Column:
+    return F.coalesce(*[F.when(F.contains(F.lower(name), F.lit(part)), family) for part, family in FAMILIES], F.lit("Universal CausalLM"))

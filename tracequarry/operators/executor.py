@@ -96,21 +96,25 @@ WEIGHTS = {"correctness": 1.0, "efficiency": 0.4, "format": 0.2, "invariant": 0.
 BASELINE_TOKENS = 55
 
 
-def composite_reward(traces: DataFrame, id_col: str = "trace_id", text_col: str = "completion", truth_col: str = "ground_truth", multi_step: bool = True) -> DataFrame:
-    """(id, total and the ten terms).  All terms are expressions but the two that execute the trace."""
+def composite_reward(traces: DataFrame, id_col: str = "trace_id", text_col: str = "completion", truth_col: str = "ground_truth", multi_step: bool = True, concept_col: str | None = None) -> DataFrame:
+    """(id, total and the ten terms).  All terms are expressions but the two that execute the trace.
+
+    With ``concept_col``, a plan that names the expected concept is worth more.
+    """
     c = F.col(text_col)
     think = r"(?s)<think>(.*?)</think>"
-    rows = traces.withColumn("_body", S.trace_body(c)).select(id_col, c, "_body", F.when(c.rlike(think), T.stripped(F.regexp_extract(c, think, 1))).otherwise(T.stripped(c)).alias("_trace"), A.answers_match(A.grammar(c), F.col(truth_col)).alias("_ok"), S.document(c, F.col("_body")).alias("_doc"), F.to_json(F.transform(S.raw_steps(F.col("_body")), S.parse_step)).alias("_steps"))
+    expected = F.col(concept_col) if concept_col else F.lit(None).cast("string")
+    rows = traces.withColumn("_body", S.trace_body(c)).select(id_col, c, expected.alias("_expected"), "_body", F.when(c.rlike(think), T.stripped(F.regexp_extract(c, think, 1))).otherwise(T.stripped(c)).alias("_trace"), A.answers_match(A.grammar(c), F.col(truth_col)).alias("_ok"), S.document(c, F.col("_body")).alias("_doc"), F.to_json(F.transform(S.raw_steps(F.col("_body")), S.parse_step)).alias("_steps"))
     kind = traces.schema[id_col].dataType.simpleString()
 
     def executed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             part["_corrected"] = [self_correction(t or "", bool(ok)) for t, ok in zip(part[text_col], part["_ok"])]
             part["_broken"] = [bool(invariants(json.loads(s) if s else [])) for s in part["_steps"]]
-            yield part[[id_col, text_col, "_trace", "_ok", "_kind", "_valid", "_n", "_corrected", "_broken"]]
+            yield part[[id_col, text_col, "_trace", "_ok", "_kind", "_valid", "_n", "_match", "_corrected", "_broken"]]
 
-    flat = rows.select(id_col, text_col, "_trace", "_ok", F.col("_doc.register_type").alias("_kind"), F.col("_doc.is_valid").alias("_valid"), F.size(S.raw_steps(F.col("_body"))).alias("_n"), "_steps")
-    done = flat.mapInPandas(executed, f"{id_col} {kind}, {text_col} string, _trace string, _ok boolean, _kind string, _valid boolean, _n int, _corrected double, _broken boolean")
+    flat = rows.select(id_col, text_col, "_trace", "_ok", F.col("_doc.register_type").alias("_kind"), F.col("_doc.is_valid").alias("_valid"), F.size(S.raw_steps(F.col("_body"))).alias("_n"), S.concept_matches(F.col("_expected"), S.declared_concept(c, F.col("_doc.register_type"))).alias("_match"), "_steps")
+    done = flat.mapInPandas(executed, f"{id_col} {kind}, {text_col} string, _trace string, _ok boolean, _kind string, _valid boolean, _n int, _match boolean, _corrected double, _broken boolean")
     tokens = T.token_estimate(F.col("_trace"))
     plan = F.contains(c, F.lit("<reg:plan>")) & ~F.col("_kind").isin("bypass", "intent")
     has_tree = ~F.col("_kind").isin("bypass", "malformed", "none", "empty")
@@ -119,7 +123,7 @@ def composite_reward(traces: DataFrame, id_col: str = "trace_id", text_col: str
         "efficiency": F.when(F.col("_ok"), F.greatest(F.lit(0.0), F.least(F.lit(0.5), 1.0 - tokens / float(BASELINE_TOKENS)))).otherwise(0.0) * WEIGHTS["efficiency"],
         "format": F.when(F.col("_valid"), 0.2).otherwise(-0.15) * WEIGHTS["format"],
         "invariant": F.when(~has_tree, 0.0).when(F.col("_broken"), -0.3).otherwise(0.3) * WEIGHTS["invariant"],
-        "concept": F.when(plan, 0.25).otherwise(0.0) * WEIGHTS["concept"],
+        "concept": (F.when(plan, 0.25).otherwise(0.0) + F.when(plan & F.col("_match"), 0.2).otherwise(0.0)) * WEIGHTS["concept"],
         "anti_guess": F.when(F.lit(multi_step) & (((tokens <= 5) & ~plan & (F.col("_n") <= 1)) | F.contains(c, F.lit("<reg:bypass>"))), -0.8).otherwise(0.0),
         "length": tokens * -WEIGHTS["length"],
         "leak": T.filler_score(F.col("_trace")) * -WEIGHTS["leak"],

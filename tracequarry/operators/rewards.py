@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import registers as R
+from ..functions import steps as S
 from ..functions import text as T
 
 #: Scale, free and hard length and slope of each depth.
@@ -99,3 +100,14 @@ def _by_register(c: Column, right: Column, register: Column) -> Column:
     saved = F.greatest(F.lit(0.0), F.least(F.lit(0.6), (60 - T.token_estimate(c)) / 60.0))
     proof = F.when(tag | ((thought == 0) & ~right), -0.8).when(~right, 0.0).otherwise(saved * 0.5 + F.when(F.contains(c, F.lit("<reg:plan>")), 0.25).otherwise(0.0))
     return F.when(register.isin("factual_bypass", "bypass"), fact).when(register.isin("intent_dialogue", "intent"), talk).otherwise(proof)
+
+
+def form_and_noise(c: Column, valid: Column) -> Column:
+    """Trailing noise, a valid document (``valid`` as parsed), a conclusion and few fillers."""
+    concluded = F.contains(c, F.lit("∴")) | F.contains(c, F.lit("<ans>"))
+    return T.trailing_noise(c) + F.when(valid, 0.5).otherwise(-0.3) + F.when(concluded, 0.2).otherwise(0.0) - F.when(T.filler_score(c) > 0.25, 0.3).otherwise(0.0)
+
+
+def concept_alignment(concept: Column, expected: Column) -> Column:
+    """A declared concept, more so the expected one."""
+    return F.when(concept.isNull(), 0.0).otherwise(F.lit(0.3) + F.when(S.concept_matches(expected, concept), 0.2).otherwise(0.0))

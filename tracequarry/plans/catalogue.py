@@ -13,7 +13,7 @@ from ..functions import mathx as M
 from ..functions import registers as R
 from ..functions import steps as S
 from ..functions import text as T
-from ..operators import contamination, curriculum, energy, executor, generators, metrics, receipts, rewards, stats
+from ..operators import contamination, curriculum, energy, executor, generators, metrics, receipts, rewards, stats, summaries
 from ..sources.fixtures import ARMS, BUDGETS, MAX_TOKENS, RECEIPTS_SQL, TRACES_SQL, power_samples, spread, table, traces
 from ..sources.fixtures import receipts as receipts_view
 
@@ -503,6 +503,115 @@ def falsification_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return executor.terminal_audit(bad).groupBy("is_valid").agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- summaries ----------------------------------------------------------------------------------------------------
+_TIMED = f"{R_}, timed AS (SELECT *, tokens_emitted * (18 + ix) AS latency_ms, ix = 4 AND problem_id % 64 = 0 AS is_estimate FROM receipts)"
+
+
+def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts with a latency, and some energies that are estimates."""
+    ix = F.col("ix")
+    return receipts_view(spark, sf_dir).select("*", (F.col("tokens_emitted") * (ix + 18)).alias("latency_ms"), ((ix == 4) & (F.col("problem_id") % 64 == 0)).alias("is_estimate"))
+
+
+@query(f"""{_TIMED}, c AS (SELECT budget, arm, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct, sum(mj)::BIGINT AS mj, sum(latency_ms)::BIGINT AS ms, sum(tokens_emitted)::BIGINT AS tokens, bool_or(is_estimate) AS is_estimate FROM timed GROUP BY ALL)
+SELECT budget, arm, n, correct, correct::DOUBLE / n AS accuracy, mj / 1000.0e0 AS total_joules, mj::DOUBLE / nullif(correct * 1000, 0) AS joules_per_correct, ms::DOUBLE / nullif(correct * 1000, 0) AS latency_per_correct,
+  ms::DOUBLE / (n * 1000) AS mean_latency, tokens::DOUBLE / n AS mean_tokens, is_estimate FROM c""")
+def valuation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.valuation(timed(spark, sf_dir), ("budget", "arm"))
+
+
+@query(f"""{_TIMED}, c AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct, sum(latency_ms)::BIGINT AS ms, sum(tokens_emitted)::BIGINT AS tokens, min(tokens_emitted) AS min_tokens, max(tokens_emitted) AS max_tokens FROM timed GROUP BY arm)
+SELECT arm, n, correct, correct::DOUBLE / n AS accuracy, {LO} AS ci_lo, {HI} AS ci_hi, tokens::DOUBLE / n AS mean_tokens, min_tokens, max_tokens, ms::DOUBLE / (n * 1000) AS mean_latency,
+  correct::DOUBLE / n * 100.0e0 / (tokens::DOUBLE / n) AS pass_per_token, (SELECT tokens::DOUBLE / n FROM c WHERE arm = 'A') / (tokens::DOUBLE / n) AS compression FROM c""")
+def ablation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.ablation(timed(spark, sf_dir))
+
+
+_CONVERTED = f"{T_}, conv AS (SELECT category AS source, strpos(completion, '∴') > 0 AS converted, octet_length(encode(completion)) AS english_tokens, length(completion) // 2 AS symbolic_tokens, tokens_emitted * 20 AS latency_ms FROM traces)"
+
+
+def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("completion")
+    return traces(spark, sf_dir).select(F.col("category").alias("source"), F.contains(c, F.lit("∴")).alias("converted"), F.octet_length(c).cast("long").alias("english_tokens"), F.floor(F.length(c) / 2).alias("symbolic_tokens"), (F.col("tokens_emitted") * 20).alias("latency_ms"))
+
+
+@query(f"""{_CONVERTED}, c AS (SELECT source, count(*) AS processed, count(*) FILTER (WHERE converted) AS converted, sum(round((1 - symbolic_tokens::DOUBLE / greatest(english_tokens, 1)) * 1e9)::BIGINT) FILTER (WHERE converted)::BIGINT AS saved FROM conv GROUP BY source)
+SELECT source, processed, converted, processed - converted AS rejected, saved::DOUBLE / nullif(converted, 0) / 1e9 AS mean_compression FROM c""")
+def conversion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.conversion(converted(spark, sf_dir))
+
+
+@query(f"""{_CONVERTED} SELECT sum(english_tokens)::BIGINT AS english_tokens, sum(symbolic_tokens)::BIGINT AS symbolic_tokens, (1 - sum(symbolic_tokens)::DOUBLE / sum(english_tokens)::DOUBLE) * 100.0e0 AS savings, sum(latency_ms) / 1000.0e0 AS seconds FROM conv""")
+def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.token_savings(converted(spark, sf_dir))
+
+
+@query()
+def plain_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.plain_pass_rate(traces(spark, sf_dir), A.grammar(F.col("completion")), A.verify_plain)
+
+
+@query(f"""{R_} SELECT 'arm' AS dimension, arm AS value FROM receipts GROUP BY arm UNION ALL SELECT 'budget', budget::VARCHAR FROM receipts GROUP BY budget UNION ALL SELECT 'category', category FROM receipts GROUP BY category""")
+def receipt_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.dimensions(receipts_view(spark, sf_dir), "arm", "budget", "category")
+
+
+@query(f"""{R_}, s AS (SELECT problem_id, is_correct FROM receipts WHERE arm = 'C' AND budget = 512 AND problem_id % 3 <> 0) SELECT o_orderkey AS problem_id, coalesce(is_correct, false) AS is_correct FROM orders LEFT JOIN s ON problem_id = o_orderkey""")
+def audited_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item, with a verdict for those that a run has scored."""
+    scored = receipts_view(spark, sf_dir).where("arm = 'C' and budget = 512 and problem_id % 3 <> 0")
+    return summaries.audited(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id")), scored, "problem_id")
+
+
+@query("""WITH h AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) AS place FROM part) SELECT p_partkey, place, 'EVAL-200-' || CASE WHEN place < 1000 THEN lpad(place::VARCHAR, 3, '0') ELSE place::VARCHAR END AS label FROM h""")
+def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.numbered(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+
+
+@query("""SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part QUALIFY place <= 3""")
+def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.first_of_each(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], 3)
+
+
+@query("""SELECT p_type, min(p_partkey) AS p_partkey FROM part GROUP BY p_type""")
+def vocabulary_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.ordered_distinct(table(spark, sf_dir, "part"), "p_type", "p_partkey")
+
+
+@query(f"""{R_} SELECT category, count(*) AS n FROM receipts GROUP BY category""")
+def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.histogram(receipts_view(spark, sf_dir), "category")
+
+
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '-?[0-9]+(?:\.[0-9]+)?')) AS n_numbers, substring(text, 1, 800) AS head, right(text, 120) AS tail FROM documents""")
+def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.numbers(c)).cast("long").alias("n_numbers"), T.head(c).alias("head"), T.tail(c).alias("tail"))
+
+
+@query()
+def extract_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces(spark, sf_dir).select("trace_id", A.english(F.col("completion")).alias("answer"))
+
+
+@query()
+def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces(spark, sf_dir).select("trace_id", S.step_counts(S.trace_body(F.col("completion"))).alias("s")).select("trace_id", "s.*")
+
+
+@query()
+def decision_with_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.decision_with_interval(receipts_view(spark, sf_dir), "C", "D")
+
+
+@query()
+def reward_form_and_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("completion")
+    rows = traces(spark, sf_dir).withColumn("_body", S.trace_body(c)).select("trace_id", "completion", S.document(c, F.col("_body")).alias("d"))
+    concept = S.declared_concept(c, F.col("d.register_type"))
+    return rows.select("trace_id", rewards.form_and_noise(c, F.col("d.is_valid")).alias("form"), rewards.concept_alignment(concept, F.lit("linear_sum")).alias("concept"))
+
+
 # -- rewards ------------------------------------------------------------------------------------------------------
 _TOK = rf"coalesce(list_sum(list_transform(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''), lambda w: length(w) - length(translate(w, '{T.OPERATORS}', '')) + greatest(1, length(translate(w, '{T.OPERATORS}', '')) // 4))), 0)::DOUBLE"
 _TAIL = "CASE " + " ".join(f"WHEN strpos(x, '{t}') > 0 THEN trim(string_split(x, '{t}')[-1])" for t in R.CLOSING_TAGS) + " ELSE '' END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators import metrics, receipts, stats
+from ..operators import metrics, receipts, stats, summaries
 
 
 def markdown_table(df: DataFrame, limit: int = 500) -> str:
@@ -40,3 +40,39 @@ def rescoring_report(traces: DataFrame, limit: int = 512) -> str:
 
 def efficiency_report(rows: DataFrame) -> str:
     return f"# Efficiency\n\n{markdown_table(metrics.information_efficiency(rows).orderBy('budget', 'arm'))}\n\n{markdown_table(metrics.ock_score(rows).orderBy('arm'))}\n"
+
+
+def _sections(title: str, parts) -> str:
+    return f"# {title}\n\n" + "\n\n".join(f"## {name}\n\n{text}" for name, text in parts) + "\n"
+
+
+def latex_table(df: DataFrame, caption: str, limit: int = 500) -> str:
+    """An aggregate as a LaTeX table."""
+    safe = lambda v: ("-" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)).replace("_", r"\_").replace("%", r"\%")
+    line = lambda cells: " & ".join(safe(c) for c in cells) + r" \\"
+    rows = [line(r) for r in df.limit(limit).collect()]
+    return "\n".join([r"\begin{table}[h]", r"\centering", rf"\caption{{{caption}}}", r"\begin{tabular}{l" + "c" * (len(df.columns) - 1) + "}", r"\hline", line(df.columns), r"\hline", *rows, r"\hline", r"\end{tabular}", r"\end{table}"])
+
+
+def valuation_report(rows: DataFrame, arm: str = "C", control: str = "D", reps: int = 10_000) -> str:
+    """Energy and latency by arm, the same by budget, and the test of an arm against its control."""
+    return _sections("Valuation", [
+        ("Arms", markdown_table(summaries.valuation(rows).orderBy("arm"))),
+        ("Arms by budget", markdown_table(summaries.valuation(rows, ("budget", "arm")).orderBy("budget", "arm"))),
+        (f"Test of {arm} against {control}", markdown_table(stats.decision_with_interval(rows, arm, control, reps=reps).orderBy("budget"))),
+    ])
+
+
+def ablation_report(rows: DataFrame, base: str = "A", arm: str = "C", control: str = "D") -> str:
+    """Accuracy with intervals, compression against the base arm, and what the control changes."""
+    return _sections("Ablation", [
+        ("Arms", markdown_table(summaries.ablation(rows, base).orderBy("arm"))),
+        (f"Change from {control} to {arm}", markdown_table(stats.decision(rows, arm, control).orderBy("budget"))),
+    ])
+
+
+def comparison_report(rows: DataFrame, base: str = "A") -> str:
+    """Arms side by side at each budget, with the same as a LaTeX table."""
+    shown = metrics.information_efficiency(rows, base).orderBy("budget", "arm")
+    brief = shown.select("budget", "arm", "pass_at_1", (shown["tokens"] / shown["n"]).alias("mean_tokens"), "per_hundred", "traffic")
+    return _sections("Comparison", [("Arms", markdown_table(shown)), ("LaTeX", f"```latex\n{latex_table(brief, 'Arms by budget')}\n```")])
