@@ -13,7 +13,7 @@ from ..functions import mathx as M
 from ..functions import registers as R
 from ..functions import steps as S
 from ..functions import text as T
-from ..operators import contamination, curriculum, energy, executor, generators, metrics, receipts, rewards, stats, summaries
+from ..operators import contamination, contrast, curriculum, energy, executor, generators, metrics, receipts, rewards, stats, summaries
 from ..sources.fixtures import ARMS, BUDGETS, MAX_TOKENS, RECEIPTS_SQL, TRACES_SQL, power_samples, spread, table, traces
 from ..sources.fixtures import receipts as receipts_view
 
@@ -701,6 +701,11 @@ def concept_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.concept_curriculum(spark, per_family=100)
 
 
+@query()
+def contrastive_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contrast.contrastive(generators.concept_curriculum(spark, per_family=100))
+
+
 @query()
 def depth_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.depth_curriculum(spark)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.receipts import KEY
 
+#: A batch that touches more partitions than this reads the keys of all of them.
+MOST_PARTITIONS = 200
+
 
 def read_receipts(spark: SparkSession, path: str, schema: str, files_a_batch: int = 4) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(path)
@@ -19,14 +24,19 @@ def append_once(stream: DataFrame, target: str, checkpoint: str, key=KEY):
     """
 
     def write(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
         fresh = batch.dropDuplicates(key)
+        touched = batch.select("arm", "budget").distinct().limit(MOST_PARTITIONS + 1).collect()
         try:
             old = batch.sparkSession.read.parquet(target).select(*key)
+            if touched and len(touched) <= MOST_PARTITIONS:
+                old = old.where(reduce(Column.__or__, [F.col("arm").eqNullSafe(t.arm) & F.col("budget").eqNullSafe(t.budget) for t in touched]))
             fresh = fresh.join(old, key, "left_anti")
         except Exception as e:  # the first batch: no table yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         fresh.write.mode("append").partitionBy("arm", "budget").parquet(target)
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
