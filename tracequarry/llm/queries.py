@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, html_extract, kk_sharding, merkle, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
-from .audit_sql import OP12_SQL
+from . import cap_filters, divergence, html_extract, kk_sharding, merkle, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
+from .audit_sql import OP12_SQL, OP13_SQL
 from .common import table
 
 
@@ -59,7 +59,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op5_cap_filters, op6_quality_rules, op7_html_extraction, op8_mixing, op9_suffix_dedup, op10_sharding, op12_merkle_manifest)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverging_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op5_cap_filters, op6_quality_rules, op7_html_extraction, op8_mixing, op9_suffix_dedup, op10_sharding, op12_merkle_manifest, op13_source_divergence)}
 
 # Of character references only &amp; is decoded here.
 OP4_SQL = r"""
@@ -133,4 +137,4 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
-ORACLES = {"op4_url_filters": OP4_SQL, "op6_quality_rules": OP6_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {"op4_url_filters": OP4_SQL, "op6_quality_rules": OP6_SQL, "op12_merkle_manifest": OP12_SQL, "op13_source_divergence": OP13_SQL}
