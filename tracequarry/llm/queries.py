@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, divergence, html_extract, kk_sharding, merkle, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
+from . import cap_filters, divergence, html_extract, kk_sharding, merkle, mil_quality, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filters
 from .audit_sql import OP12_SQL, OP13_SQL
 from .common import table
 
@@ -55,6 +55,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_sharding.shard_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_audit(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.diverging_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op5_cap_filters, op6_quality_rules, op7_html_extraction, op8_mixing, op9_suffix_dedup, op10_sharding, op12_merkle_manifest, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sentencepiece, op4_url_filters, op5_cap_filters, op6_quality_rules, op7_html_extraction, op8_mixing, op9_suffix_dedup, op10_sharding, op11_mil_quality, op12_merkle_manifest, op13_source_divergence)}
 
 # Of character references only &amp; is decoded here.
 OP4_SQL = r"""
