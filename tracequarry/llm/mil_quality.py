@@ -20,6 +20,8 @@ from .common import cut, release, text_slices
 PASSAGE, SECTION, CHUNK = 1 << 10, 1 << 16, 1 << 19
 #: Labelled documents of each class that the fit may use, the longest text among them, and their bytes in all.
 FIT_ROWS, FIT_LONGEST, FIT_BYTES = 2048, 1 << 18, 24 << 20
+#: Features are cut at so many standard deviations.
+CLIP = 3
 #: A document is predicted good from this score on.
 ACCEPT = 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -109,7 +111,7 @@ class Attention:
     params: dict[str, np.ndarray]
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.middle) / self.spread, -6, 6)
+        return np.clip((x - self.middle) / self.spread, -CLIP, CLIP)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encoding and attention of each (scaled) passage."""
@@ -168,12 +170,13 @@ def loss_and_slopes(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray,
     return float(loss), slopes
 
 
-def train(x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray, *, hidden: int = 16, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Attention:
+def train(x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray, *, hidden: int = 16, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 5e-4, seed: int = 3) -> Attention:
     """Adam over shuffled batches of bags; always the same for the same input."""
     middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     model = Attention(middle, spread, start(x.shape[1], hidden, seed))
     x, sizes, rng = model.scaled(x), np.diff(np.r_[first, len(x)]), np.random.default_rng(seed)
     p, at = model.params, 0
+    p["out0"][:] = np.log((weight[label > 0].sum() + 0.5) / (weight[label <= 0].sum() + 0.5))
     moment = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in p.items()}
     for _ in range(epochs):
         order = rng.permutation(len(first))
