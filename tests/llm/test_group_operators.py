@@ -186,6 +186,20 @@ def test_vectors(spark, monkeypatch):
     assert cap_filters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_null_repeated_and_named_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((2, 16))
+    near = [(a + rng.normal(0, 0.01, 16)).tolist() for _ in range(5)]
+    ids = [None, 7, 7, 3, None]
+    rows = [(i, v, "x") for i, v in zip(ids, near)] + [(None, b.tolist(), "x"), (None, b.tolist(), "x"), (9, b.tolist(), None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumns({c: F.lit(1) for c in ("one", "node", "id", "component", "links", "filter")})
+    got = sorted([(r.vec_id is not None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in cap_filters.near_vectors(df).collect()], key=str)
+    want = [(False, 0, 4, 3, False)] * 2 + [(True, 7, 4, 3, False)] * 2 + [(True, 3, 4, 3, True)] + [(False, 0, 1, None, False)] * 2 + [(True, 9, 0, 9, True)]
+    assert got == sorted(want, key=str)
+    named = df.select(F.concat(F.lit("v"), F.col("vec_id")).alias("vec_id"), "embedding", "label")
+    assert {(r.vec_id, r.component_id) for r in cap_filters.near_vectors(named).collect()} == {(None, "v3"), ("v7", "v3"), ("v3", "v3"), (None, None), ("v9", "v9")}
+
+
 def test_vectors_of_a_large_label(spark, monkeypatch):
     """Isolated pairs just above the threshold, with codebooks as for a label of a million vectors."""
     monkeypatch.setattr(cap_filters, "DIRECTIONS", 8 * 1_000_000 // 1600)

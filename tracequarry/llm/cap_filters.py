@@ -94,7 +94,7 @@ def _clean(vec_col: str):
 
 
 def _filter_rows(classes: DataFrame, words: dict[int, int]) -> DataFrame:
-    """(label, dim, filter, one, copies, vector, filters): a row for each cap of each class; ``words`` of each dimension."""
+    """(label, dim, filter, node, copies, vector, filters): a row for each cap of each class; ``words`` of each dimension."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: dict[int, tuple] = {}
@@ -110,10 +110,10 @@ def _filter_rows(classes: DataFrame, words: dict[int, int]) -> DataFrame:
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     lists = list(decode(unit, books[dim], CAPS))
                     own = own.assign(filters=lists, filter=lists, vector=list(unit)).explode("filter")
-                    yield pa.RecordBatch.from_pandas(own[["label", "dim", "filter", "one", "copies", "vector", "filters"]].astype({"dim": "int32", "filter": "int64"}), schema=schema, preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(own[["label", "dim", "filter", "node", "copies", "vector", "filters"]].astype({"dim": "int32", "filter": "int64"}), schema=schema, preserve_index=False)
 
-    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("filter", pa.int64()), ("one", pa.int64()), ("copies", pa.int64()), ("vector", pa.list_(pa.float64())), ("filters", pa.list_(pa.int64()))])
-    return classes.mapInArrow(decoded, "label string, dim int, filter bigint, one bigint, copies bigint, vector array<double>, filters array<bigint>")
+    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("filter", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("vector", pa.list_(pa.float64())), ("filters", pa.list_(pa.int64()))])
+    return classes.mapInArrow(decoded, "label string, dim int, filter bigint, node bigint, copies bigint, vector array<double>, filters array<bigint>")
 
 
 def _first_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -146,13 +146,13 @@ def _verify(threshold: float):
             i, j = np.nonzero(np.triu(near, 1))
             if not len(i):
                 continue
-            one, copies = rows["one"].to_numpy()[begin:end], rows["copies"].to_numpy()[begin:end]
+            node, copies = rows["node"].to_numpy()[begin:end], rows["copies"].to_numpy()[begin:end]
             lists, number = rows["filters"].iloc[begin:end].to_list(), rows["filter"].iloc[begin]
             counts = _first_common([lists[k] for k in i], [lists[k] for k in j]) == number
             links = np.zeros(end - begin, np.int64)
             np.add.at(links, i[counts], copies[j[counts]])
             np.add.at(links, j[counts], copies[i[counts]])
-            root = one.copy()  # smallest class reachable within this bucket
+            root = node.copy()  # smallest class reachable within this bucket
             while True:
                 low = root.copy()
                 np.minimum.at(low, i, root[j])
@@ -160,8 +160,8 @@ def _verify(threshold: float):
                 if (low == root).all():
                     break
                 root = low
-            out.append(pd.DataFrame({"one": one, "links": links, "root": root})[(links > 0) | (root != one)])
-        return pd.concat(out) if out else pd.DataFrame({"one": [], "links": [], "root": []}).astype("int64")
+            out.append(pd.DataFrame({"node": node, "links": links, "root": root})[(links > 0) | (root != node)])
+        return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
 
     return verified
 
@@ -172,28 +172,34 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     Two rows link when their labels are equal and not null and their cosine in double precision is at least
     ``threshold``; the search is by filters, so a link may be missed (measured recall: see the tests), none is
     added.  Null, zero, empty and non-finite vectors link with nothing; vectors of different sizes do not link.  Equal vectors
-    of one label are one class, so copies cost one row.  Ids are integers; repeated rows count as other vectors; other columns are not read.
+    of one label are one class, so copies cost one row; classes have numbers of their own.  Ids are of any type with an order; repeated ids count as
+    other vectors.  A null id is never a component's id: a component's id is null only if all its rows' ids are, and a row without an id is not kept.
+    Other columns are not read.
     Filters with many vectors are dealt into blocks of which every two meet.
     """
     v, fine = _clean(vec_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, F.col(label_col).cast("string")).alias("label"), v.alias("vector"), F.xxhash64(vec_col).alias("k1"), F.xxhash64(F.lit(1), vec_col).alias("k2"))
-    classes = cut(rows.where("label is not null").groupBy("label", "k1", "k2").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, F.col(label_col).cast("string")).alias("label"), v.alias("vector"), F.xxhash64(vec_col).alias("k1"), F.xxhash64(F.lit(1), vec_col).alias("k2"))
+    classes = rows.where("label is not null").groupBy("label", "k1", "k2").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     sized = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     words = {r["dim"]: words_for(r["dim"], r["n"], threshold) if r["n"] > 1 else 1 for r in sized}
-    caps = cut(_filter_rows(classes.select("label", "one", "copies", "vector"), words))
+    caps = cut(_filter_rows(classes.select("label", "node", "copies", "vector"), words))
     sizes = caps.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = caps.join(sizes, ["label", "dim", "filter"])
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(1, total // ROWS_A_TASK)
     plain = shared.where(F.col("n") <= BLOCK).select("*", F.pmod(F.xxhash64("label", "dim", "filter"), F.lit(tasks)).alias("b0"), F.lit(-1).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("half"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = shared.where(F.col("n") > BLOCK).select("*", F.pmod(F.xxhash64("one"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = shared.where(F.col("n") > BLOCK).select("*", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     hot = dealt.select(*shared.columns, F.xxhash64("label", "dim", "filter").alias("b0"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("half"))
     buckets = plain.union(hot).drop("n").withColumn("cross", F.col("b1") != F.col("b2"))
-    found = cut(buckets.groupBy("b0", "b1", "b2").applyInPandas(_verify(threshold), "one bigint, links bigint, root bigint"))
-    links = found.groupBy("one").agg(F.sum("links").alias("links"))
-    component = connected_components(found.select(F.col("one").alias("src"), F.col("root").alias("dst")))
-    named = classes.select("label", "k1", "k2", "one", "copies").join(links, "one", "left").join(component.withColumnRenamed("node", "one"), "one", "left")
-    named = named.select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "one").alias("component_id"))
+    found = cut(buckets.groupBy("b0", "b1", "b2").applyInPandas(_verify(threshold), "node bigint, links bigint, root bigint"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    reached = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    members = classes.select("label", "k1", "k2", "node", "one", "copies").join(links, "node", "left").join(reached, "node", "left")
+    smallest = members.where("component is not null").groupBy("component").agg(F.min("one").alias("least"))
+    named = members.join(smallest, "component", "left")
+    named = named.select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("one")).otherwise(F.col("least")).alias("component_id"))
     out = rows.drop("vector").join(named, ["label", "k1", "k2"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
+    component = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
