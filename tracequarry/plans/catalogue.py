@@ -16,20 +16,7 @@ from ..functions import text as T
 from ..operators import contamination, contrast, curriculum, energy, executor, generators, metrics, receipts, rewards, stats, summaries
 from ..sources.fixtures import ARMS, BUDGETS, MAX_TOKENS, RECEIPTS_SQL, TRACES_SQL, power_samples, spread, table, traces
 from ..sources.fixtures import receipts as receipts_view
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLES, QUERIES, query
 
 def wilson_sql(k: str, n: str, z: str = "1.96e0") -> tuple[str, str]:
     zz = f"({z} * {z})"
@@ -729,3 +716,6 @@ def receipts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     append_once(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return metrics.cell_summary(spark.read.parquet(f"{base}/out"))
+
+
+from . import mechanisms  # noqa: E402, F401  registers its queries

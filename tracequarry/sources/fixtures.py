@@ -37,6 +37,37 @@ PARTS = {
 }
 
 
+#: Completions by the answer grammar, whole and broken in eight ways; the rest as above.
+TAGGED = """CASE o_orderkey % 14
+ WHEN 0 THEN '<think>' || nl || '<reg:bypass>' || w || '</reg:bypass>' || nl || '</think>' || nl || '<ans>' || w || '</ans>'
+ WHEN 1 THEN '<think>' || nl || '<reg:plan>concept: sum</reg:plan>' || nl || '<reg:deduce>' || a || '+' || b || '→' || w || '</reg:deduce>' || nl || '<reg:verify>✓</reg:verify>' || nl || '</think>' || nl || '<ans>' || w || '</ans>'
+ WHEN 2 THEN '<think>' || nl || '<reg:plan>concept: sum' || nl || 'level: 1</reg:plan>' || nl || '<reg:deduce>' || w || '</reg:deduce>' || nl || '</think>' || nl || '<ans>' || w || '</ans>'
+ WHEN 3 THEN '<think><reg:plan>concept: sum</reg:plan></think>'
+ WHEN 4 THEN '<think>' || nl || '<reg:deduce>' || w || '</reg:deduce>' || nl || '</think>' || nl || '<ans>' || w || '</ans>'
+ WHEN 5 THEN '<think>' || nl || '<reg:bypass></reg:bypass>' || nl || '</think>'
+ WHEN 6 THEN '<think>' || nl || '<reg:plan>p</reg:plan>' || nl || '<reg:deduce>' || w || '</reg:deduce><reg:verify>✓</reg:verify>' || nl || '</think>' || nl || '<ans>' || w || '</ans>'
+ WHEN 7 THEN '<think>' || nl || '<reg:plan>p</reg:plan>' || nl || '<reg:deduce>' || a || ' < ' || w || '</reg:deduce>' || nl || '</think>' || nl || '<ans>' || w || '</ans>'
+ WHEN 8 THEN '<think>' || nl || '<reg:plan>p</reg:plan>' || nl || '<reg:deduce>' || w || '</reg:deduce>' || nl || '<reg:verify>' || b || '</reg:verify>' || nl || '</think>'
+ WHEN 9 THEN '<think>' || nl || '<reg:bypass>' || w || '</reg:bypass>' || nl || '</think>' || nl || '<ans>' || w || '</ans>' || nl
+ WHEN 10 THEN '<think>' || nl || '<reg:plan>p</reg:plan>' || nl || '<reg:deduce>' || w
+ WHEN 11 THEN '<think>' || nl || '<reg:bypass>' || w || '</reg:bypass>' || nl || '</think>' || nl || '<ans>' || substring('</ans>', 1, CAST(o_orderkey % 7 AS INT))
+ ELSE completion END"""
+
+
+def tagged_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, completion): traces that follow the answer grammar for a while, each to another point."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    rows = orders.select("*", *[F.expr(e).alias(k) for k, e in PARTS.items()], F.lit("\n").alias("nl"))
+    return rows.withColumn("completion", F.expr(TRACE)).select(F.col("o_orderkey").alias("trace_id"), F.expr(TAGGED).alias("completion"))
+
+
+TAGGED_SQL = f"""
+tagged AS (
+  SELECT o_orderkey AS trace_id, {TAGGED.replace("AS INT)", "AS INTEGER)")} AS completion
+  FROM (SELECT *, {TRACE} AS completion, chr(10) AS nl FROM (SELECT *, {", ".join(f"{e} AS {k}" for k, e in PARTS.items())} FROM orders)))
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
