@@ -6,14 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.answers import BOXED
 from ..operators.stopping import Rule
 
-#: What a query with this state needs of its session.
-STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-
 
 def box_is_closed(tail: str) -> bool:
     """Whether the last box of a tail is balanced."""
@@ -36,47 +33,36 @@ def shown(tail: str, rule: Rule, arm: str | None = None) -> str | None:
     return next((c for c in reversed(rule.by_arm.get(arm, ())) if c in tail), None)
 
 
-class _Ring(StatefulProcessor):
-    """State of a key: the ring (list of tokens, with a time to live) and (tokens seen, whether it has stopped)."""
-
-    def __init__(self, rule: Rule, key: list[str], arm_at: int | None, ttl_ms: int | None):
-        self.rule, self.key, self.arm_at, self.ttl_ms = rule, key, arm_at, ttl_ms
+def stop_stream(tokens: DataFrame, key: list[str], rule: Rule, *, arm_col: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """(key, pos, reason) as soon as a generation stops, from a stream of (key, pos, token); ``arm_col`` must be part of the key.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", "token string", self.ttl_ms)
-        self.seen = handle.getValueState("seen", "number long, stopped boolean", self.ttl_ms)
+    Tokens of a key arrive in order over micro-batches and are put in order within one.  A key's state is a list of the latest tokens with a schema of its own.
+    With ``ttl_ms`` it is dropped so long after its last change, so generations that end without a closure do not stay; Spark then runs batches
+    for the timeouts alone, and a trigger that ends with the data never ends.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*key, "pos"]) + ", reason string"
+    arm_at = key.index(arm_col) if arm_col else None
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        number, stopped = self.seen.get() if self.seen.exists() else (0, False)
+    def advance(of: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ring, number, stopped = state.get if state.exists else ([], 0, False)
         if stopped:
             return
-        tail = [t for (t,) in self.ring.get()] if self.ring.exists() else []
-        arm = key[self.arm_at] if self.arm_at is not None else None
+        tail, reason = list(ring), None
         batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
         for pos, token in zip(batch["pos"], batch["token"]):
             number += 1
-            tail = [*tail, token if isinstance(token, str) else ""][-self.rule.window :]
-            reason = shown("".join(tail), self.rule, arm) if number >= self.rule.least else None
+            tail = [*tail, token if isinstance(token, str) else ""][-rule.window :]
+            reason = shown("".join(tail), rule, of[arm_at] if arm_col else None) if number >= rule.least else None
             if reason is not None:
-                self.ring.clear()
-                self.seen.update((number, True))
-                yield pd.DataFrame({**{k: [v] for k, v in zip(self.key, key)}, "pos": [pos], "reason": [reason]})
-                return
-        self.ring.put([(t,) for t in tail])
-        self.seen.update((number, False))
-
-    def close(self) -> None:
-        pass
-
-
-def stop_stream(tokens: DataFrame, key: list[str], rule: Rule, *, arm_col: str | None = None, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """(key, pos, reason) as soon as a generation stops, from a stream of (key, pos, token); ``arm_col`` must be part of the key.
-
-    Tokens of a key arrive in order over micro-batches and are put in order within one.  A key's state is dropped ``ttl_ms`` after its last change,
-    so generations that end without a closure do not stay.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*key, "pos"]) + ", reason string"
-    ring = _Ring(rule, key, key.index(arm_col) if arm_col else None, ttl_ms)
-    mode = "ProcessingTime" if ttl_ms else "None"
-    return tokens.groupBy(*key).transformWithStateInPandas(ring, outputStructType=schema, outputMode="Append", timeMode=mode)
+                yield pd.DataFrame({**{k: [v] for k, v in zip(key, of)}, "pos": [pos], "reason": [reason]})
+                break
+        state.update(([] if reason else tail, number, reason is not None))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return tokens.groupBy(*key).applyInPandasWithState(advance, schema, "ring array<string>, number long, stopped boolean", "append", timeout)
