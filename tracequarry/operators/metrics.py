@@ -30,13 +30,21 @@ def wilson(k: Column, n: Column, z: float = Z_ROUNDED) -> tuple[Column, Column]:
     return F.coalesce(F.greatest(F.lit(0.0), (centre - half) / den), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), (centre + half) / den), F.lit(0.0))
 
 
-def cell_summary(receipts: DataFrame, keys=("arm", "budget"), z: float = Z_ROUNDED) -> DataFrame:
-    """n, correct, accuracy, interval, truncated, joules, joules per correct (null for none) and mean tokens per cell."""
-    cells = receipts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), count_if(F.col("is_correct")).alias("correct"), count_if(F.col("truncated")).alias("truncated"), F.sum("mj").alias("mj"), F.sum("tokens_emitted").alias("tokens"))
+def cells_of(receipts: DataFrame, keys=("arm", "budget")) -> DataFrame:
+    """The sums of each cell that its summary is made of; sums of parts add up to those of the whole."""
+    return receipts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), count_if(F.col("is_correct")).alias("correct"), count_if(F.col("truncated")).alias("truncated"), F.sum("mj").cast("long").alias("mj"), F.sum("tokens_emitted").cast("long").alias("tokens"))
+
+
+def summarised(cells: DataFrame, keys=("arm", "budget"), z: float = Z_ROUNDED) -> DataFrame:
     lo, hi = wilson(F.col("correct"), F.col("n"), z)
     return cells.select(*keys, "n", "correct", ratio(F.col("correct"), F.col("n")).alias("accuracy"), lo.alias("ci_lo"), hi.alias("ci_hi"), "truncated", (F.col("mj") / 1000.0).alias("total_joules"), ratio(F.col("mj"), F.col("correct") * 1000).alias("joules_per_correct"), ratio(F.col("tokens"), F.col("n")).alias("mean_tokens"))
 
 
+def cell_summary(receipts: DataFrame, keys=("arm", "budget"), z: float = Z_ROUNDED) -> DataFrame:
+    """n, correct, accuracy, interval, truncated, joules, joules per correct (null for none) and mean tokens per cell."""
+    return summarised(cells_of(receipts, keys), keys, z)
+
+
 def category_accuracy(receipts: DataFrame, low: int = 5) -> DataFrame:
     cells = receipts.groupBy("budget", "category", "arm").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("is_correct")).alias("correct"))
     lo, hi = wilson(F.col("correct"), F.col("n"))

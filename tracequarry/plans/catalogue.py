@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -703,19 +700,4 @@ def convert_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.convert_solutions(traces(spark, sf_dir).select("trace_id", "completion"))
 
 
-@query()
-def receipts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts arrive as files twice over and are appended once each; the result is the summary of what was stored."""
-    from ..streaming.receipts import append_once
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    base = f"{shared.rstrip('/')}/receipts-{os.urandom(8).hex()}"
-    rows = receipts_view(spark, sf_dir).select("problem_id", "arm", "budget", "is_correct", "truncated", "tokens_emitted", "mj")
-    rows.write.parquet(f"{base}/in")
-    rows.where("arm in ('A', 'B')").write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    append_once(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return metrics.cell_summary(spark.read.parquet(f"{base}/out"))
-
-
 from . import mechanisms  # noqa: E402, F401  registers its queries

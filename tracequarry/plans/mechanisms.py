@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..operators import stopping
+from ..session import delete_folder, shared_folder
 from ..sources.fixtures import TAGGED_SQL, spread, table, tagged_traces
-from .registry import query
+from ..sources.fixtures import receipts as receipts_view
+from ..streaming.ledger import Ledger
+from .registry import ORACLES, query
 
 # A viable prefix of the grammar as nested optional groups, written by hand from its rules.
 _TAIL = "</think>(\n(<ans>([^<]+(</ans>)?)?)?)?"
@@ -61,3 +64,19 @@ def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tagged_traces(spark, sf_dir).select("trace_id", F.when(F.col("trace_id") % 3 == 0, "C").otherwise("A").alias("arm"), "completion")
     stops = stopping.stop_points(stopping.pieces(rows, "completion"), ["trace_id", "arm"], stopping.ROBUST, arm_col="arm")
     return stops.groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("long").alias("tokens"))
+
+
+@query(ORACLES["arm_budget_summary"])
+def receipts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts arrive in five micro-batches, one of them twice; the result is the summary of what was stored, merged from the batches' sums."""
+    base = shared_folder(spark, "receipts")
+    rows = receipts_view(spark, sf_dir).select("problem_id", "arm", "budget", "is_correct", "truncated", "tokens_emitted", "mj")
+    ledger = Ledger(spark, f"{base}/ledger", rows.schema)
+    for k in (0, 1, 2, 3, 1):
+        rows.where(F.pmod("problem_id", F.lit(4)) == k).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        ledger.run(source, f"{base}/checkpoint", every=2, report=lambda summary: summary.collect()).awaitTermination()
+    summary = ledger.refresh()
+    told = spark.createDataFrame(summary.collect(), summary.schema)  # a row for each arm and budget
+    delete_folder(spark, base)
+    return told

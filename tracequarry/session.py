@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -27,6 +29,22 @@ def get_spark(name: str = "tracequarry", cpus: int | None = None, partitions: in
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where that is unset and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def register_functions(spark: SparkSession) -> None:
     """SQL names for what SQL cannot say: ``audit_deduction(text)`` and the table function ``run_scratchpad(text)``."""
     from pyspark.sql.functions import pandas_udf, udtf
