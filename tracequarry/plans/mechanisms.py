@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar
-from ..operators import stopping
+from ..operators import collate, stopping
 from ..session import delete_folder, shared_folder
+from ..sources import versions
 from ..sources.fixtures import TAGGED_SQL, spread, table, tagged_traces
 from ..sources.fixtures import receipts as receipts_view
 from ..streaming.ledger import Ledger
@@ -80,3 +81,25 @@ def receipts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = spark.createDataFrame(summary.collect(), summary.schema)  # a row for each arm and budget
     delete_folder(spark, base)
     return told
+
+
+@query("""WITH d AS (SELECT greatest(1, (len(string_split(text, ' ')) + 7) // 8) AS q, len(string_split(text, ' ')) AS tokens FROM documents WHERE text IS NOT NULL),
+w AS (SELECT tokens, CASE WHEN q <= 16 THEN q ELSE (q + (1 << (length(bin(q - 1)) - 4)) - 1) // (1 << (length(bin(q - 1)) - 4)) * (1 << (length(bin(q - 1)) - 4)) END * 8 AS width FROM d)
+SELECT width::BIGINT AS width, count(*) AS n, sum(tokens)::BIGINT AS tokens, (sum(width) - sum(tokens))::BIGINT AS padding, 0::BIGINT AS over_budget FROM w GROUP BY width""")
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one padded batch of at most 16384 places; rows, tokens and padding by width, counted from the batches' masks."""
+    words = F.split("text", " ")
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL")).select("doc_id", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(50_000)).cast("int")).alias("ids"))
+    return collate.padding_report(collate.collate(docs, id_col="doc_id", ids_col="ids"), 16_384)
+
+
+@query("""WITH f AS (SELECT doc_id // 200 AS run, doc_id AS modified, strlen(text)::BIGINT AS bytes, doc_id % 23 <> 11 AS synced FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY modified DESC) AS rank, sum(bytes) OVER (PARTITION BY run ORDER BY modified DESC) AS bytes_so_far,
+  sum(bytes) OVER (PARTITION BY run) AS whole, (SELECT min(x.modified) FROM f x WHERE x.run = f.run AND NOT x.synced) AS stop FROM f)
+SELECT run, modified, rank::INTEGER AS rank, bytes_so_far::BIGINT AS bytes_so_far, rank > 20 AND (whole >= 500000 OR stop IS NULL OR modified < stop) AS "delete" FROM r""")
+def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of a run go: documents as files, 200 a run, of which the 20 newest stay and 500 KB force."""
+    files = table(spark, sf_dir, "documents").select(
+        F.expr("doc_id div 200").alias("run"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("modified"), F.octet_length("text").cast("long").alias("bytes"), (F.col("doc_id") % 23 != 11).alias("synced")
+    )
+    return versions.retention(files, keep=20, group=["run"], limit_bytes=500_000).select("run", "modified", "rank", "bytes_so_far", "delete")
