@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -18,7 +18,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+))>", re.DOTALL
 )
 _ENDLESS = re.compile(r"<[!?].*", re.DOTALL)
-_ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# A name is tried where it begins only, and whole.
+_ATTR = re.compile(r"""(?<![^\s"'>/=])([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -50,7 +51,7 @@ class Block:
 def parse(page: str) -> Node:
     root = Node("html", "", None)
     top, stack = root, [root]
-    held: Counter[str] = Counter()  # tags on the stack
+    held: dict[str, list[int]] = defaultdict(list)  # places of each tag on the stack
     open_inline: Counter[str] = Counter()
     run: list[str] = []
     linked = 0
@@ -68,10 +69,14 @@ def parse(page: str) -> Node:
 
     def leave(k: int):
         nonlocal top
-        held.subtract(x.tag for x in stack[k:])
+        for x in stack[k:]:
+            held[x.tag].pop()
         del stack[k:]
         top = stack[-1]
 
+    def latest(tags) -> int:
+        return max((held[t][-1] for t in tags if held.get(t)), default=0)
+
     at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         # Behind the last end of a tag only what needs no end is markup; a tag would be sought up to the end each time.
@@ -96,14 +101,15 @@ def parse(page: str) -> Node:
                 open_inline[name] = max(0, open_inline[name] - 1)
             elif name not in VOID:
                 flush()
-                if held[name] > 0:
-                    leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name))
+                if held.get(name):
+                    leave(held[name][-1])
                     open_inline.clear()
             continue
         if name in RAW:
             if not m["attrs"].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else n
+                close = re.compile(f"</{re.escape(name)}", re.IGNORECASE).search(page, at)
+                at = page.find(">", close.end()) + 1 if close else 0
+                at = at or n
             if name not in ("option",):
                 run.append(" ")
             continue
@@ -119,20 +125,16 @@ def parse(page: str) -> Node:
         if name in ("html", "body"):
             continue
         flush()
-        if name in CLOSES_P and any(x.tag == "p" for x in stack[-4:]):
-            leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"))
+        if name in CLOSES_P and latest("p") >= max(1, len(stack) - 4):
+            leave(latest("p"))
         elif name in IMPLIED:
             kinds, limits = IMPLIED[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in kinds:
-                    leave(k)
-                    break
-                if stack[k].tag in limits:
-                    break
+            if latest(kinds - limits) > latest(limits - kinds):
+                leave(latest(kinds - limits))
         node = Node(name, m["attrs"], top)
         top.kids.append(node)
+        held[name].append(len(stack))
         stack.append(node)
-        held[name] += 1
         top = node
     flush()
     return root
