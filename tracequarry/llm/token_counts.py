@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Pre-tokens remembered by a worker, and the longest that is remembered; others are merged anew.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 NO_RANK = np.int32(2**31 - 1)
+#: A longer pre-token is merged alone: then only the neighbours of merged places are looked up again.
+LONG_WORD = 2048
 
 
 def byte_letters() -> list[str]:
@@ -59,7 +62,9 @@ class MergeTable:
         """
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         left = lengths.copy()
-        alive = np.flatnonzero(lengths > 1)
+        alive = np.flatnonzero((lengths > 1) & (lengths <= LONG_WORD))
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            left[i] = self.count_long(words[i])
         symbols = self.first[np.frombuffer(b"".join(words[i] for i in alive), dtype=np.uint8)]
         word = np.repeat(np.arange(len(alive)), lengths[alive])
         while len(alive):
@@ -87,6 +92,59 @@ class MergeTable:
         return left
 
 
+    def count_long(self, word: bytes) -> int:
+        """Symbols left of one long word: all its pairs of the lowest rank are merged at once, rank by rank.
+
+        Places wait in lists by their pair's rank; a merge looks only at the two pairs beside it, so a place costs its own merges and no passes.
+        """
+        n = len(word)
+        symbols = np.append(self.first[np.frombuffer(word, dtype=np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n is the end
+        rank = np.full(n + 1, NO_RANK, dtype=np.int32)
+        rank[: n - 1] = self.rank(symbols[: n - 1], symbols[1:n])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < NO_RANK]
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            own = rank[places]
+            edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                r = int(own[i])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places[i:j])
+
+        wait(np.arange(n))
+        left = n
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[rank[places] == r]  # others have been merged since
+            if not len(places):
+                continue
+            chained = np.r_[False, after[places[:-1]] == places[1:]]  # of a run of overlapping pairs every second is taken
+            at = np.arange(len(places))
+            since = at - np.maximum.accumulate(np.where(chained, 0, at))
+            take = places[since % 2 == 0]
+            gone = after[take]
+            beyond = after[gone]
+            symbols[take], after[take] = self.made[r], beyond
+            before[beyond] = take
+            rank[gone] = NO_RANK
+            left -= len(take)
+            touched = np.unique(np.r_[take, before[take][before[take] >= 0]])
+            follows = after[touched]
+            inside = follows < n
+            rank[touched] = NO_RANK
+            rank[touched[inside]] = self.rank(symbols[touched[inside]], symbols[follows[inside]])
+            wait(touched)
+        return left
+
+
 class TokenCounter:
     """Counts tokens of whole texts; remembers the counts of short pre-tokens."""
 
