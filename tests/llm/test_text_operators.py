@@ -43,6 +43,23 @@ def test_token_counts_match_library(spark):
     assert token_counts.count_tokens(frame(spark, TEXTS).limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_long_words_match_library():
+    """Words beyond ``LONG_WORD`` are merged alone; a megabyte without a blank takes seconds."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.TokenCounter(token_counts.MergeTable.load(path))
+    rng = random.Random(12)
+    letters = "etaoinshrdlu"
+    words = ["a" * n for n in (2049, 2050, 5000, 9999)] + ["ab" * 3000, "aab" * 2000, "é" * 3000, "the" * 4000, "".join(rng.choice(letters) for _ in range(20_000)), "".join(rng.choice("ab") for _ in range(5000))]
+    assert counter.count(words) == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    for w in words:
+        assert counter.merges.count_long(w[:40].encode()) == counter.merges.count([w[:40].encode()])[0]
+    began = time.time()
+    counter.count(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))])
+    assert time.time() - began < 30
+
+
 def test_pieces_match_library():
     import sentencepiece
 
@@ -173,6 +190,32 @@ def test_html_reader_is_linear(page):
     assert time.time() - began < 6
 
 
+@pytest.mark.parametrize("page", ["<div>" * 140_000 + "<li></li>" * 140_000, "<div>" * 140_000 + "<td></td>" * 140_000, "<div " + "a" * 2_000_000 + ">", "<script>" + "</script " * 220_000])
+def test_html_of_two_megabytes(page):
+    """Lists without a list, cells without a table, one long attribute, ends that do not end: time grows with the page, features included."""
+    took = []
+    for part in (page[: len(page) // 4], page):
+        began = time.time()
+        H.Tree(part).features()
+        took.append(time.time() - began)
+    assert took[1] < 30 and took[1] < 12 * max(took[0], 0.2)
+
+
+def test_html_tree_of_implied_ends():
+    """Trees as a walk over the whole stack would give them; a row ends the cell before it, not its row."""
+    show = lambda n: f"{n.tag}({' '.join(show(k) if hasattr(k, 'tag') else k.text for k in n.kids)})"
+    cases = {
+        "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": "html(ul(li(a) li(b ul(li(c))) li(d)))",
+        "<table><tr><td>a<td>b<tr><th>c<table><tr><td>d</table>e</table>": "html(table(tr(td(a) td(b) tr(th(c table(tr(td(d))) e)))))",
+        "<dl><dt>a<dd>b<dt>c</dl><li>x<li>y": "html(dl(dt(a) dd(b) dt(c)) li(x) li(y))",
+        "<p>a<p>b<div>c</div><p>d<div><div><div><div><p>e<ul>f": "html(p(a) p(b) div(c) p(d) div(div(div(div(p(e) ul(f))))))",
+        "<script>a</SCRIPT >b<style>c</style": "html(b)",
+        "<div a=1 class='x y' CLASS = \"z\" b id=q/ r>t": "html(div(t))",
+    }
+    assert {page: show(parse(page)) for page in cases} == cases
+    assert parse("<div a=1 class='x y' CLASS = \"z\" b id=q/ r>t").kids[0].tokens() == {"x", "y", "z", "q"}
+
+
 def test_html(spark):
     rng = random.Random(123)
     pages = [H.write_page(rng) for _ in range(120)]
