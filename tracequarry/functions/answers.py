@@ -113,11 +113,12 @@ def ablation(c: Column, tokens: Column, limit: Column) -> Column:
     return _ruled(rules, [_empty(c), (gate, "truncated_incomplete_derivation")])
 
 
-def lenient(c: Column, back_reference: bool = True) -> Column:
+def lenient(c: Column) -> Column:
     """The permissive policy: down to the last whole number behind the thought."""
-    rules = [tag_body(c, "ans"), tag_body(c, "reg:bypass"), intent_body(c), found(c, r"(?i)∴\s*(?:ans\s*=\s*|answer\s*=\s*)?(-?\d+(?:\.\d+)?)")]
-    if back_reference:
-        rules.append(found(c, r"verify\(\s*(-?\d+(?:\.\d+)?)\s*==\s*\1\s*\)\s*→\s*✓"))
+    rules = [
+        tag_body(c, "ans"), tag_body(c, "reg:bypass"), intent_body(c), found(c, r"(?i)∴\s*(?:ans\s*=\s*|answer\s*=\s*)?(-?\d+(?:\.\d+)?)"),
+        found(c, r"verify\(\s*(-?\d+(?:\.\d+)?)\s*==\s*\1\s*\)\s*→\s*✓"),
+    ]
     numbers = F.regexp_extract_all(after_last(c, "</think>"), F.lit(r"[-+]?\d+"), F.lit(0))
     return F.coalesce(*rules, F.get(F.reverse(numbers), F.lit(0)))
 

@@ -13,9 +13,9 @@ WEB_DEBRIS = (r"\bendphp\b", r"\bIconModule\b", r"\btatto\b", r"<\?php", r"\bimp
 SYNTAX_NOISE = ("endphp", "IconModule", "MatButtonModule", "PickerController", "TextInputType", "@endsection", "tatto:", r"\bphp\b", r"\bLaravel\b")
 #: Broken endings (cleanliness is their absence).
 BROKEN_ENDINGS = (r"=\{\.\.\.", r'\?>"', r"<\?xml", r"\{\{[^}]*$", r"\[\[[^\]]*$", r"\bundefined\b", r"\bnull\b\s*$")
-#: Trailing noise; the first is the one without a form that every dialect reads.
+#: Trailing noise, and a tag left open at the end (in a form that every dialect reads).
 TRAILING_NOISE = (r"=\{`?\$\{?", "\\?>[\"']", r"<\s*/\s*<\s*\|", r"[<{]{3,}", r"\$\{[^}]*\}", "\\d+\\s*[?=>\"'}{]{2,}")
-OPEN_TAG_AT_END = r"</?[a-zA-Z0-9_\-]+(?!\w)[^>]*$"
+OPEN_TAG_AT_END = r"</?[a-zA-Z0-9_\-]+(?:[^\p{L}\p{N}_>][^>]*)?$"
 #: Conversational fillers (looked for in lower-case text).
 FILLERS = (r"\blet me\b", r"\bi need to\b", r"\bfirst\b.*\bthen\b", r"\bstep by step\b", r"\btherefore\b", r"\bthus\b", r"\bwe can see\b", r"\bnotice that\b", r"\bsince\b.*\bwe\b")
 FILLER_PHRASES = ("let me think", "first I need to", "step by step", "therefore we see", "in order to")
@@ -83,9 +83,8 @@ def is_clean(c: Column) -> Column:
     return ~matches_any(c, BROKEN_ENDINGS)
 
 
-def trailing_noise(c: Column, open_tags: bool = True) -> Column:
-    noisy = matches_any(c, TRAILING_NOISE)
-    return F.when(noisy | c.rlike(OPEN_TAG_AT_END) if open_tags else noisy, F.lit(-1.0)).otherwise(F.lit(0.0))
+def trailing_noise(c: Column) -> Column:
+    return F.when(matches_any(c, TRAILING_NOISE) | c.rlike(OPEN_TAG_AT_END), F.lit(-1.0)).otherwise(F.lit(0.0))
 
 
 def bound(value: Column, body) -> Column:

@@ -34,7 +34,7 @@ def rescored(traces: DataFrame, limit: int = 512) -> DataFrame:
     """Old lenient and new strict verdict for each completion."""
     c, truth = F.col("completion"), F.col("ground_truth")
     new = A.strict(c, F.col("tokens_emitted"), F.lit(limit))
-    rows = traces.withColumn("_n", new).withColumn("_o", A.lenient(c, back_reference=False))
+    rows = traces.withColumn("_n", new).withColumn("_o", A.lenient(c))
     return rows.select("trace_id", "category", A.verify_lenient(F.col("_o"), truth, F.col("category")).alias("old_correct"), A.verify_strict(F.col("_n.answer"), truth).alias("new_correct"), F.col("_n.method").alias("method"))
 
 

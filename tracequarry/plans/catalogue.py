@@ -13,14 +13,7 @@ from ..functions import text as T
 from ..operators import contamination, contrast, curriculum, energy, executor, generators, metrics, receipts, rewards, stats, summaries
 from ..sources.fixtures import ARMS, BUDGETS, MAX_TOKENS, RECEIPTS_SQL, TRACES_SQL, power_samples, spread, table, traces
 from ..sources.fixtures import receipts as receipts_view
-from .registry import ORACLES, QUERIES, query
-
-def wilson_sql(k: str, n: str, z: str = "1.96e0") -> tuple[str, str]:
-    zz = f"({z} * {z})"
-    p, den, centre = f"({k}::DOUBLE / {n})", f"(1 + {zz} / {n})", f"({k}::DOUBLE / {n} + {zz} / ({n} * 2.0e0))"
-    half = f"(sqrt({p} * (1 - {p}) / {n} + {zz} / ({n}::DOUBLE * {n} * 4.0e0)) * {z})"
-    return f"greatest(0.0e0, ({centre} - {half}) / {den})", f"least(1.0e0, ({centre} + {half}) / {den})"
-
+from .registry import ORACLES, QUERIES, query, wilson_sql
 
 LO, HI = wilson_sql("correct", "n")
 R_ = "WITH " + RECEIPTS_SQL
@@ -241,9 +234,9 @@ def web_debris_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.web_debris(x).alias("debris"), T.syntax_noise(x).alias("noise"), T.is_clean(x).alias("clean"))
 
 
-@query(f"""{T_} SELECT trace_id, CASE WHEN {_re(T.TRAILING_NOISE)} THEN -1.0e0 ELSE 0.0e0 END AS noise FROM (SELECT trace_id, completion AS x FROM traces)""")
+@query(f"""{T_} SELECT trace_id, CASE WHEN {_re(T.TRAILING_NOISE)} OR regexp_matches(x, '{T.OPEN_TAG_AT_END}') THEN -1.0e0 ELSE 0.0e0 END AS noise FROM (SELECT trace_id, completion AS x FROM traces)""")
 def noise_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces(spark, sf_dir).select("trace_id", T.trailing_noise(F.col("completion"), open_tags=False).alias("noise"))
+    return traces(spark, sf_dir).select("trace_id", T.trailing_noise(F.col("completion")).alias("noise"))
 
 
 _LEAK = "(" + " + ".join("CASE WHEN regexp_matches(lower(x), '" + p + "') THEN 1 ELSE 0 END" for p in T.FILLERS) + ") / 9.0e0"
@@ -356,12 +349,14 @@ def extract_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AFTER = "CASE WHEN strpos(x, '</think>') > 0 THEN string_split(x, '</think>')[-1] ELSE x END"
-_LENIENT = rf"coalesce(nullif({_ANS}, ''), nullif({_BYP}, ''), nullif({_INT}, ''), nullif(regexp_extract(x, '(?i)∴\s*(?:ans\s*=\s*|answer\s*=\s*)?(-?\d+(?:\.\d+)?)', 1), ''), regexp_extract_all({_AFTER}, '[-+]?\d+')[-1])"
+_SAME = r"'verify\(\s*(-?\d+(?:\.\d+)?)\s*==\s*(-?\d+(?:\.\d+)?)\s*\)\s*→\s*✓'"
+_VERIFIED = f"list_filter(list_zip(regexp_extract_all(x, {_SAME}, 1), regexp_extract_all(x, {_SAME}, 2)), lambda p: p[1] = p[2])[1][1]"
+_LENIENT = rf"coalesce(nullif({_ANS}, ''), nullif({_BYP}, ''), nullif({_INT}, ''), nullif(regexp_extract(x, '(?i)∴\s*(?:ans\s*=\s*|answer\s*=\s*)?(-?\d+(?:\.\d+)?)', 1), ''), {_VERIFIED}, regexp_extract_all({_AFTER}, '[-+]?\d+')[-1])"
 
 
 @query(f"{T_} SELECT trace_id, {_LENIENT} AS answer FROM {_X}")
 def extract_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces(spark, sf_dir).select("trace_id", A.lenient(F.col("completion"), back_reference=False).alias("answer"))
+    return traces(spark, sf_dir).select("trace_id", A.lenient(F.col("completion")).alias("answer"))
 
 
 _ASSIGN, _LEAD = r"(?:∴\s*)?ans\s*=\s*([^\s|✓✗\n<@]+)", r"^([+-]?\d+(?:\.\d+)?|[Tt]rue|[Ff]alse|[Nn]one)(?:[^0-9a-zA-Z.]|$)"

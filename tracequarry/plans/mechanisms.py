@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar
-from ..operators import collate, stopping
+from ..functions import registers as R
+from ..functions import text as T
+from ..operators import collate, rollups, stopping
 from ..session import delete_folder, shared_folder
 from ..sources import versions
-from ..sources.fixtures import TAGGED_SQL, spread, table, tagged_traces
+from ..sources.fixtures import RECEIPTS_SQL, TAGGED_SQL, TRACES_SQL, spread, table, tagged_traces, traces
 from ..sources.fixtures import receipts as receipts_view
 from ..streaming.ledger import Ledger
-from .registry import ORACLES, query
+from .registry import ORACLES, query, wilson_sql
 
 # A viable prefix of the grammar as nested optional groups, written by hand from its rules.
 _TAIL = "</think>(\n(<ans>([^<]+(</ans>)?)?)?)?"
@@ -103,3 +105,75 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("doc_id div 200").alias("run"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("modified"), F.octet_length("text").cast("long").alias("bytes"), (F.col("doc_id") % 23 != 11).alias("synced")
     )
     return versions.retention(files, keep=20, group=["run"], limit_bytes=500_000).select("run", "modified", "rank", "bytes_so_far", "delete")
+
+
+_R = "WITH " + RECEIPTS_SQL
+_LO, _HI = wilson_sql("correct", "n")
+
+
+@query(f"""{_R}, s AS (SELECT *, unnest(CASE WHEN is_contaminated THEN ['all'] ELSE ['all', 'clean'] END) AS scope FROM receipts),
+c AS (SELECT scope, arm, budget, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct, count(*) FILTER (WHERE truncated) AS truncated, sum(mj)::BIGINT AS mj, sum(tokens_emitted)::BIGINT AS tokens,
+  count(*) FILTER (WHERE is_correct AND problem_id % 11 = 0) AS rescued FROM s GROUP BY GROUPING SETS ((scope, arm, budget), (scope, arm), (scope)))
+SELECT scope, arm, budget, n, correct, round(correct::DOUBLE / n, 4) AS accuracy, round({_LO}, 4) AS ci_lo, round({_HI}, 4) AS ci_hi, truncated, round(mj / 1000.0e0, 2) AS total_joules,
+  CASE WHEN correct > 0 THEN round(mj::DOUBLE / (correct * 1000), 2) END AS joules_per_correct, round(tokens::DOUBLE / n, 1) AS mean_tokens, rescued FROM c""")
+def receipt_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells, arms and the whole, of all and of clean receipts, with the answers that only the symbolic layer accepted."""
+    method = F.when(F.col("is_correct") & (F.col("problem_id") % 11 == 0), rollups.RESCUED).otherwise("string_exact")
+    return rollups.slices(receipts_view(spark, sf_dir).withColumn("verification_method", method))
+
+
+_GRADED = """graded AS (SELECT trace_id, category, completion, CASE WHEN trace_id % 7 <> 3 THEN 2020 + trace_id % 5 END AS year, CASE trace_id % 4 WHEN 0 THEN 'Δ0' WHEN 1 THEN 'Δ1' WHEN 2 THEN '' END AS depth,
+  strpos(completion, '>' || ground_truth || '<') > 0 AS is_correct, tokens_emitted, 40 + trace_id * 17 % 900 AS english_tokens, strpos(completion, '<reg:bypass>') > 0 AS bypass, strpos(completion, '<reg:plan>') > 0 AS plan,
+  strpos(completion, '<reg:intent>') > 0 AS intent FROM traces)"""
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces with a verdict, a year and a depth that some lack, English tokens, and the flags of their registers."""
+    c, i = F.col("completion"), F.col("trace_id")
+    flags = R.presence(c)
+    rows = traces(spark, sf_dir).select(
+        "trace_id", "category", "completion", F.when(i % 7 != 3, 2020 + i % 5).alias("year"), F.when(i % 4 == 0, "Δ0").when(i % 4 == 1, "Δ1").when(i % 4 == 2, "").alias("depth"),
+        F.contains(c, F.concat(F.lit(">"), "ground_truth", F.lit("<"))).alias("is_correct"), "tokens_emitted", (40 + i * 17 % 900).alias("english_tokens"), flags.alias("f"), (T.trailing_noise(c) < 0).alias("noise"),
+    )
+    return rows.select("*", "f.bypass", "f.plan", "f.intent").drop("f")
+
+
+@query(f"""WITH {TRACES_SQL}, {_GRADED}, d AS (SELECT *, unnest([{{'d': 'category', 'v': category}}, {{'d': 'year', 'v': CAST(year AS VARCHAR)}}, {{'d': 'depth', 'v': depth}}]) AS p FROM graded)
+SELECT p.d AS dimension, p.v AS value, count(*) AS total, count(*) FILTER (WHERE is_correct) AS correct, sum(tokens_emitted)::BIGINT AS symbolic_tokens, sum(english_tokens)::BIGINT AS english_tokens,
+  count(*) FILTER (WHERE {" OR ".join(f"regexp_matches(completion, '{x.replace("'", "''")}')" for x in (*T.TRAILING_NOISE, T.OPEN_TAG_AT_END))}) AS noise_count, count(*) FILTER (WHERE bypass) AS bypass_count, count(*) FILTER (WHERE plan) AS plan_count,
+  count(*) FILTER (WHERE intent) AS intent_count, round(count(*) FILTER (WHERE is_correct) * 100.0e0 / count(*), 2) AS accuracy, round((1 - sum(tokens_emitted)::DOUBLE / sum(english_tokens)) * 100.0e0, 2) AS compression
+FROM d WHERE p.v IS NOT NULL AND p.v <> '' GROUP BY p.d, p.v""")
+def rollup_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.by_dimension(graded(spark, sf_dir), "category", "year", "depth")
+
+
+@query(f"""{_R}, r AS (SELECT *, CASE WHEN problem_id % 13 <> 0 THEN category END AS subject, mj // 40 AS ms FROM receipts),
+c AS (SELECT arm, subject, grouping(subject) AS whole, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct, sum(tokens_emitted)::BIGINT AS tokens, min(tokens_emitted) AS min_tokens, max(tokens_emitted) AS max_tokens,
+  count(*) FILTER (WHERE truncated) AS t, sum(ms)::BIGINT AS ms FROM r GROUP BY GROUPING SETS ((arm), (arm, subject)))
+SELECT arm, subject, n, correct, round(correct * 100.0e0 / n, 2) AS pass_at_1, round(tokens::DOUBLE / n, 1) AS mean_tokens, min_tokens, max_tokens, round(t * 100.0e0 / n, 2) AS truncation_rate, round(ms / 1000.0e0 / n, 2) AS mean_latency,
+  round((correct * 100.0e0 / n) / (tokens::DOUBLE / n) * 1000.0e0, 2) AS information_efficiency, round(tokens::DOUBLE / n * 3.0e0, 1) AS traffic FROM c WHERE whole = 1 OR subject IS NOT NULL""")
+def arm_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = receipts_view(spark, sf_dir).withColumns({"subject": F.when(F.col("problem_id") % 13 != 0, F.col("category")), "latency_ms": F.expr("mj div 40")}).withColumnRenamed("tokens_emitted", "tokens")
+    return rollups.arms_by_subject(rows)
+
+
+def _wide(sql: str) -> str:
+    """SQL over receipts whose largest budget is not the usual one for most arms, and lacks for one."""
+    return sql.replace("FROM receipts", "FROM (SELECT * REPLACE (CASE WHEN budget = 2048 THEN CASE arm WHEN 'A' THEN 1500 WHEN 'B' THEN 2048 ELSE 4096 END ELSE budget END AS budget) FROM receipts)")
+
+
+@query(_wide(ORACLES["overthinking_oaa_auc"]).replace("SELECT *, CASE WHEN accuracy + token", """, b AS (SELECT arm, budget, accuracy FROM d), h AS (SELECT arm, coalesce(max(accuracy) FILTER (WHERE budget = 256), 0) AS acc_low,
+  coalesce(max(accuracy) FILTER (WHERE budget = 2048), max(accuracy) FILTER (WHERE budget = 4096), 0) AS acc_high FROM b GROUP BY arm)
+SELECT d.*, h.acc_low, h.acc_high, CASE WHEN acc_high > 1e-6 THEN (acc_high - acc_low) / acc_high WHEN acc_low <= 1e-6 THEN 0.0e0 ELSE -1.0e0 END AS choke_factor, CASE WHEN accuracy + token""").replace("AS overthinking_score FROM d", "AS overthinking_score FROM d JOIN h ON h.arm = d.arm"))
+def overthinking_choke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overthinking with the choke factor where arms differ in their largest budget: at 2048, at the largest of all, or lacking."""
+    wide = F.when(F.col("arm") == "A", 1500).when(F.col("arm") == "B", 2048).otherwise(4096)
+    return rollups.overthinking_with_choke(receipts_view(spark, sf_dir).withColumn("budget", F.when(F.col("budget") == 2048, wide).otherwise(F.col("budget"))))
+
+
+@query(f"""WITH {TRACES_SQL}, {_GRADED}, c AS (SELECT category, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct, count(*) FILTER (WHERE NOT ({" OR ".join(f"regexp_matches(completion, '{x.replace("'", "''")}')" for x in T.BROKEN_ENDINGS)})) AS clean,
+  sum(tokens_emitted)::BIGINT AS tokens, sum(english_tokens)::BIGINT AS english FROM graded GROUP BY category)
+SELECT category, n, correct, round(correct * 100.0e0 / n, 2) AS pass_at_1, round(clean * 100.0e0 / n, 2) AS cleanliness, tokens, english, round((1 - tokens::DOUBLE / english) * 100.0e0, 2) AS savings,
+  round(correct * 100.0e0 / n * (1 + ln(greatest(1.0e0, english::DOUBLE / tokens))), 2) AS ock FROM c""")
+def modern_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.modern_headline(graded(spark, sf_dir), "category", clean=T.is_clean(F.col("completion")))
