@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grammar
 from ..functions import registers as R
 from ..functions import text as T
+from ..functions.sql import register_sql_functions
 from ..operators import collate, rollups, stopping
 from ..session import delete_folder, shared_folder
 from ..sources import versions
@@ -177,3 +178,15 @@ SELECT category, n, correct, round(correct * 100.0e0 / n, 2) AS pass_at_1, round
   round(correct * 100.0e0 / n * (1 + ln(greatest(1.0e0, english::DOUBLE / tokens))), 2) AS ock FROM c""")
 def modern_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.modern_headline(graded(spark, sf_dir), "category", clean=T.is_clean(F.col("completion")))
+
+
+@query(f"""SELECT g.trace_id, g.answer AS by_grammar, l.answer AS by_any, r.register_type, e.tokens FROM ({ORACLES["extract_grammar"]}) g JOIN ({ORACLES["extract_lenient"]}) l USING (trace_id) JOIN ({ORACLES["register_parse"]}) r USING (trace_id)
+JOIN (WITH {TRACES_SQL} SELECT trace_id, list_sum(list_transform(list_filter(string_split_regex(completion, '\\s+'), lambda w: w <> ''), lambda w: length(w) - length(translate(w, '{T.OPERATORS}', '')) + greatest(1, length(translate(w, '{T.OPERATORS}', '')) // 4)))::BIGINT AS tokens FROM traces) e USING (trace_id)""")
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions under their SQL names, called from SQL text."""
+    register_sql_functions(spark)
+    return spark.sql(
+        """SELECT trace_id, extract_answer(completion, 'grammar') AS by_grammar, extract_answer(completion, 'lenient') AS by_any, parse_registers(strip_blanks(completion)).register_type AS register_type,
+             cast(estimate_tokens(completion) AS bigint) AS tokens FROM {traces}""",
+        traces=traces(spark, sf_dir),
+    )
