@@ -433,7 +433,23 @@ def intent_directive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", S.intent_directive(R.register(F.col("completion"), "intent")).alias("p")).select("trace_id", "p.*")
 
 
-@query()
+def _tagged(tag: str) -> str:
+    return f"regexp_matches(x, '(?s)<{tag}>.*?</{tag}>')"
+
+
+_DOCUMENT = f"""body AS (SELECT trace_id, trim(x) AS x, {_BODYX} AS body FROM {_X}),
+parts AS (SELECT *, trim(nullif(regexp_extract(x, '(?s)<ans>(.*?)</ans>', 1), '')) AS answer, contains(body, '∴') AS sign, regexp_matches(x, '{_PAD}') AS pad, {_tagged("reg:plan")} AS has_plan,
+  list_filter(list_transform(string_split(string_split(body, '∴')[1], '|'), lambda p: trim(p)), lambda p: p <> '') AS steps, trim(substr(body, strpos(body, '∴') + 1)) AS rest FROM body),
+kinds AS (SELECT *, CASE WHEN {_tagged("reg:bypass")} THEN 'bypass' WHEN {_tagged("reg:intent")} THEN 'intent' WHEN NOT {_tagged("think")} AND (contains(x, '<think>') OR contains(x, '</think>')) THEN 'malformed'
+  WHEN body = '' AND NOT has_plan AND NOT pad THEN 'empty' WHEN contains(body, 'intent:') THEN 'intent' WHEN NOT sign AND len(steps) = 0 THEN 'none' WHEN pad THEN 'scratchpad' WHEN has_plan THEN 'plan_deduce'
+  WHEN {_tagged("reg:deduce")} THEN 'deduce' ELSE 'trace' END AS kind FROM parts),
+document AS (SELECT *, kind IN ('none', 'scratchpad', 'plan_deduce', 'deduce', 'trace') AS of_trace, CASE WHEN sign THEN coalesce(trim(nullif(regexp_extract(rest, 'ans\\s*=\\s*(.+)', 1), '')), rest) END AS final FROM kinds)"""
+
+
+@query(f"""{T_}, {_DOCUMENT} SELECT trace_id, kind AS register_type, kind NOT IN ('malformed', 'none') AS is_valid,
+  CASE WHEN kind = 'bypass' THEN trim(regexp_extract(x, '(?s)<reg:bypass>(.*?)</reg:bypass>', 1)) WHEN of_trace THEN coalesce(final, answer) ELSE answer END AS extracted,
+  list_filter([CASE WHEN kind = 'malformed' THEN 'E101' END, CASE WHEN of_trace AND NOT sign THEN 'E102' END, CASE WHEN kind = 'none' THEN 'E104' END, CASE WHEN of_trace AND kind <> 'none' AND final <> answer THEN 'E203' END,
+    {", ".join(f"CASE WHEN of_trace AND contains(lower(body), '{p}') THEN 'E301' END" for p in T.FILLER_PHRASES)}], lambda c: c IS NOT NULL) AS codes FROM document""")
 def document_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = traces(spark, sf_dir).select("trace_id", "completion", S.trace_body(F.col("completion")).alias("body"))
     return rows.select("trace_id", S.document(F.col("completion"), F.col("body")).alias("d")).select("trace_id", "d.*")
@@ -526,7 +542,25 @@ def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.token_savings(converted(spark, sf_dir))
 
 
-@query()
+def _light(e: str) -> str:
+    for junk in ("$", "\\text{", "\\mathrm{", "\\mathbf{", "%", ","):
+        e = f"replace({e}, '{junk}', '')"
+    return f"trim({e})"
+
+
+def _written(e: str) -> str:
+    """A number written plainly or as a/b."""
+    return f"coalesce({_num(e)}, {_num(f"string_split({e}, '/')[1]")} / nullif({_num(f"string_split({e}, '/')[2]")}, 0))"
+
+
+def _word(e: str) -> str:
+    return f"CASE WHEN {e} IN ('true', 'yes', '1') THEN true WHEN {e} IN ('false', 'no', '0') THEN false END"
+
+
+@query(f"""{T_}, a AS (SELECT lower(trim({_GRAMMAR})) AS a, lower(trim(truth)) AS b, {_light(_GRAMMAR)} AS la, {_light("truth")} AS lb FROM {_X}),
+v AS (SELECT *, {_written("la")} AS na, {_written("lb")} AS nb FROM a)
+SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(a = b, false) OR coalesce({_word("a")} = {_word("b")}, false) OR coalesce(abs(na - nb) <= greatest(1e-4, 1e-4 * greatest(abs(na), abs(nb))), false) OR coalesce(lower(la) = lower(lb), false)) AS correct,
+  correct::DOUBLE / n AS pass_at_1 FROM v""")
 def plain_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.plain_pass_rate(traces(spark, sf_dir), A.grammar(F.col("completion")), A.verify_plain)
 
@@ -574,7 +608,9 @@ def extract_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).select("trace_id", A.english(F.col("completion")).alias("answer"))
 
 
-@query()
+@query(f"""{T_}, {_STEPS}, c AS (SELECT trace_id, count(*) AS total, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {n}" for n, k in (("declarations", "declaration"), ("transformations", "transform"), ("verifications", "verify"), ("plans", "plan")))}
+  FROM k GROUP BY trace_id)
+SELECT t.trace_id, {", ".join(f"coalesce(c.{n}, 0)::INTEGER AS {n}" for n in ("total", "declarations", "transformations", "verifications", "plans"))} FROM traces t LEFT JOIN c USING (trace_id)""")
 def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).select("trace_id", S.step_counts(S.trace_body(F.col("completion"))).alias("s")).select("trace_id", "s.*")
 
@@ -584,7 +620,10 @@ def decision_with_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.decision_with_interval(receipts_view(spark, sf_dir), "C", "D")
 
 
-@query()
+@query(f"""{T_}, {_DOCUMENT}, q AS (SELECT trace_id, x, kind, CASE WHEN {_tagged("reg:plan")} AND kind NOT IN ('bypass', 'intent', 'malformed') THEN trim(regexp_extract(regexp_extract(x, '(?s)<reg:plan>(.*?)</reg:plan>', 1), 'concept:([^|]*)', 1)) END AS concept FROM document)
+SELECT trace_id, CASE WHEN {_re(T.TRAILING_NOISE)} OR regexp_matches(x, '{T.OPEN_TAG_AT_END}') THEN -1.0e0 ELSE 0.0e0 END + CASE WHEN kind NOT IN ('malformed', 'none') THEN 0.5e0 ELSE -0.3e0 END
+    + CASE WHEN contains(x, '∴') OR contains(x, '<ans>') THEN 0.2e0 ELSE 0.0e0 END - CASE WHEN {_LEAK} > 0.25 THEN 0.3e0 ELSE 0.0e0 END AS form,
+  CASE WHEN concept IS NULL THEN 0.0e0 ELSE 0.3e0 + CASE WHEN contains(lower(concept), 'linear_sum') OR contains('linear_sum', lower(concept)) THEN 0.2e0 ELSE 0.0e0 END END AS concept FROM q""")
 def reward_form_and_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("completion")
     rows = traces(spark, sf_dir).withColumn("_body", S.trace_body(c)).select("trace_id", "completion", S.document(c, F.col("_body")).alias("d"))
@@ -614,12 +653,24 @@ def reward_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).select("trace_id", rewards.gradient(F.col("completion"), F.col("ground_truth")).alias("reward"))
 
 
-@query()
+# Waste is told by its rules, whatever the template: a run of one to three words three times over, and web residue.
+_REPEATS = "len(w) >= 6 AND (" + " OR ".join(f"len(list_filter(range(1, len(w) - {3 * n} + 2), lambda i: w[i:i + {n - 1}] = w[i + {n}:i + {2 * n - 1}] AND w[i:i + {n - 1}] = w[i + {2 * n}:i + {3 * n - 1}])) > 0" for n in (1, 2, 3)) + ")"
+_MEASURED = rf"""{T_}, m0 AS (SELECT *, {_TOK} AS tok, coalesce({_GRAMMAR} = truth, false) AS good, regexp_extract_all(x, '[\p{{L}}\p{{N}}_.-]+') AS w FROM {_X}),
+m AS (SELECT *, CASE WHEN {_REPEATS} THEN 2.5e0 ELSE 0.0e0 END + CASE WHEN {_re(T.WEB_DEBRIS, "(?i)")} THEN 2.0e0 ELSE 0.0e0 END AS omega FROM m0)"""
+
+
+@query(f"""{_MEASURED}, q AS (SELECT trace_id, tok, omega, good, len(list_filter(string_split_regex(CASE {" ".join(f"WHEN strpos(x, '{t}') > 0 THEN trim(string_split(x, '{t}')[-1])" for t in ("</ans>", "</reg:deduce>", "</reg:bypass>", "</reg:intent>", "</think>"))} ELSE '' END, '\\s+'), lambda v: v <> '')) AS tt FROM m)
+SELECT trace_id, CASE WHEN good AND omega = 0 THEN CASE WHEN tt <= 4 THEN 1.2e0 WHEN tt > 20 THEN -1.0e0 ELSE 0.0e0 END ELSE 0.0e0 END - omega
+  + CASE WHEN tok > 50 THEN -least(1.5e0, 0.03e0 * (tok - 50)) WHEN good AND omega = 0 THEN 0.5e0 * greatest(0.0e0, (50 - tok) / 50.0e0) ELSE 0.0e0 END AS reward FROM q""")
 def reward_stage4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).select("trace_id", rewards.stage4(F.col("completion"), F.col("ground_truth"), F.lit("symbolic_deductive")).alias("reward"))
 
 
-@query()
+@query(f"""{_MEASURED}, q AS (SELECT *, length(trim(regexp_extract(x, '(?s)<think>(.*?)</think>', 1))) AS thought FROM m)
+SELECT trace_id, CASE WHEN good THEN 1.0e0 ELSE -0.6e0 END AS correctness,
+  CASE WHEN {_tagged("reg:bypass")} OR thought = 0 THEN CASE WHEN good THEN 0.9e0 ELSE -0.3e0 END WHEN thought < 20 THEN CASE WHEN good THEN 0.2e0 ELSE -0.2e0 END ELSE -0.8e0 END AS bypass,
+  CASE WHEN regexp_matches(x, '(?:<reg:intent>|intent:)\\s*[^|\\n<]+') THEN 0.6e0 ELSE -0.3e0 END AS intent,
+  CASE WHEN contains(x, '<reg:bypass>') OR (thought = 0 AND NOT good) THEN -0.8e0 WHEN NOT good THEN 0.0e0 ELSE greatest(0.0e0, least(0.6e0, (60 - tok) / 60.0e0)) * 0.5e0 + CASE WHEN contains(x, '<reg:plan>') THEN 0.25e0 ELSE 0.0e0 END END AS symbolic_deductive FROM q""")
 def reward_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = F.col("completion"), F.col("ground_truth")
     return traces(spark, sf_dir).select("trace_id", rewards.correctness(c, t).alias("correctness"), *[rewards.efficiency_and_bypass(c, t, F.lit(r)).alias(r) for r in ("bypass", "intent", "symbolic_deductive")])

@@ -9,7 +9,7 @@ from ..functions import grammar
 from ..functions import registers as R
 from ..functions import text as T
 from ..functions.sql import register_sql_functions
-from ..operators import collate, rollups, stopping
+from ..operators import collate, energy, rollups, stopping
 from ..session import delete_folder, shared_folder
 from ..sources import versions
 from ..sources.fixtures import RECEIPTS_SQL, TAGGED_SQL, TRACES_SQL, spread, table, tagged_traces, traces
@@ -190,3 +190,18 @@ def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
              cast(estimate_tokens(completion) AS bigint) AS tokens FROM {traces}""",
         traces=traces(spark, sf_dir),
     )
+
+
+@query("""WITH s AS (SELECT CASE WHEN event_type = 'error' THEN 1000000 + event_id ELSE user_id END AS run_id, epoch_us(ts) AS t, floor(value * 1000)::BIGINT AS mw FROM events),
+w AS (SELECT *, greatest(mw - 6750, 0) + lag(greatest(mw - 6750, 0)) OVER o AS q, t - lag(t) OVER o AS dt FROM s WINDOW o AS (PARTITION BY run_id ORDER BY t, mw)),
+e AS (SELECT run_id, count(*) AS n, coalesce(sum(q::HUGEINT * dt)::DOUBLE, 0.0e0) / 2e9 AS joules, greatest(max(mw) - 6750, 0) AS above FROM w GROUP BY run_id),
+r AS (SELECT run_id, greatest(max(t) - min(t), 1000000) AS us FROM s GROUP BY run_id UNION ALL SELECT 500000 + user_id, 2000000 FROM events GROUP BY user_id)
+SELECT r.run_id, CASE WHEN run_id % 4 = 1 THEN us / 1e6 * greatest(0, 38250 - 6750) / 1000.0e0 WHEN n >= 2 THEN joules ELSE coalesce(above, 0) / 1000.0e0 * us / 1e6 END AS joules, run_id % 4 = 1 AS is_estimate FROM r LEFT JOIN e USING (run_id)""")
+def energy_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of runs by the trapezoid rule, from a single sample (each error is a run of its own), from none, or estimated where there is no meter."""
+    events = table(spark, sf_dir, "events")
+    run = F.when(F.col("event_type") == "error", 1_000_000 + F.col("event_id")).otherwise(F.col("user_id"))
+    samples = events.select(run.alias("run_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.floor(F.col("value") * 1000).cast("long").alias("mw"))
+    runs = samples.groupBy("run_id").agg(F.greatest(F.max("t") - F.min("t"), F.lit(1_000_000)).alias("duration_us"))
+    silent = events.select((500_000 + F.col("user_id")).alias("run_id")).distinct().withColumn("duration_us", F.lit(2_000_000).cast("long"))
+    return energy.dynamic(samples, runs.unionByName(silent).withColumn("has_meter", F.col("run_id") % 4 != 1))
