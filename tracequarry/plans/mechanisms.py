@@ -15,6 +15,7 @@ from ..sources import versions
 from ..sources.fixtures import RECEIPTS_SQL, TAGGED_SQL, TRACES_SQL, spread, table, tagged_traces, traces
 from ..sources.fixtures import receipts as receipts_view
 from ..streaming.ledger import Ledger
+from . import prompts
 from .registry import ORACLES, query, wilson_sql
 
 # A viable prefix of the grammar as nested optional groups, written by hand from its rules.
@@ -205,3 +206,19 @@ def energy_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = samples.groupBy("run_id").agg(F.greatest(F.max("t") - F.min("t"), F.lit(1_000_000)).alias("duration_us"))
     silent = events.select((500_000 + F.col("user_id")).alias("run_id")).distinct().withColumn("duration_us", F.lit(2_000_000).cast("long"))
     return energy.dynamic(samples, runs.unionByName(silent).withColumn("has_meter", F.col("run_id") % 4 != 1))
+
+
+_TEMPLATES = {"plain": "steps, then \\boxed{}: {prompt}", "answer_only": "only \\boxed{}: {prompt}", "registers": "registers and <ans>: {prompt}", "bypass": "bypass: {prompt}", "sandbox": "code allowed: {prompt}"}
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_size % 4 = 0 THEN 'atomic_scientific_fact' ELSE p_brand END AS category FROM part),
+a(arm, letter) AS (VALUES ('Arm A: plain', 'A'), ('Arm B: answer', 'B'), ('Arm C: registers', 'C'), ('Arm D: router', 'D'), ('Arm E: code', 'E')),
+t AS (SELECT p.*, a.*, category = 'atomic_scientific_fact' AS atomic, CASE letter WHEN 'A' THEN 'plain' WHEN 'B' THEN 'answer_only' WHEN 'C' THEN 'registers' WHEN 'E' THEN 'sandbox' ELSE CASE WHEN category = 'atomic_scientific_fact' THEN 'bypass' ELSE 'plain' END END AS template FROM p, a)
+SELECT p_partkey, arm, template, CASE template WHEN 'plain' THEN 'steps, then \\boxed{}: ' WHEN 'answer_only' THEN 'only \\boxed{}: ' WHEN 'registers' THEN 'registers and <ans>: ' WHEN 'bypass' THEN 'bypass: ' ELSE 'code allowed: ' END || p_name AS prompt,
+  letter IN ('C', 'D') AND atomic AS bypass FROM t""")
+def valuation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arms = F.explode(F.array(*map(F.lit, ("Arm A: plain", "Arm B: answer", "Arm C: registers", "Arm D: router", "Arm E: code")))).alias("arm")
+    category = F.when(F.col("p_size") % 4 == 0, "atomic_scientific_fact").otherwise(F.col("p_brand"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", category.alias("category"), arms)
+    made = prompts.valuation_prompt(F.col("arm"), F.col("p_name"), F.col("category"), _TEMPLATES)
+    return rows.select("p_partkey", "arm", made.alias("m")).select("p_partkey", "arm", "m.*")

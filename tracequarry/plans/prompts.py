@@ -24,3 +24,17 @@ def plan_prefix(category: Column, plans: dict[str, str], default: str) -> Column
 
 def is_atomic(category: Column) -> Column:
     return category == "atomic_scientific_fact"
+
+
+def valuation_prompt(arm: Column, prompt: Column, category: Column, templates: dict[str, str]) -> Column:
+    """struct(template, prompt, bypass) of a valuation arm.
+
+    ``templates`` has ``plain``, ``answer_only``, ``registers``, ``bypass`` and ``sandbox``.  Arms are told by the letter behind ``Arm``.  The router arm D takes the
+    bypass template for atomic facts and the plain one otherwise; C keeps its registers and only marks atomic facts.  Another arm is an error.
+    """
+    letter, atomic = F.regexp_extract(arm, r"^Arm ([A-E])\b", 1), F.coalesce(is_atomic(category), F.lit(False))
+    name = (
+        F.when(letter == "A", "plain").when(letter == "B", "answer_only").when(letter == "C", "registers").when(letter == "E", "sandbox")
+        .when(letter == "D", F.when(atomic, "bypass").otherwise("plain")).otherwise(F.raise_error(F.concat(F.lit("unknown arm: "), F.coalesce(arm, F.lit("null")))).cast("string"))
+    )
+    return F.struct(name.alias("template"), prompt_for(name, prompt, templates).alias("prompt"), (letter.isin("C", "D") & atomic).alias("bypass"))
