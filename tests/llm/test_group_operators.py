@@ -1,10 +1,11 @@
 """Near duplicates, repeated strings, vectors, urls, components and shards: against brute force and edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -312,6 +313,46 @@ def test_shards(spark):
     assert {r.shard for r in kk_sharding.shard_groups(df.where("text = 'same text'")).collect()} <= set(range(16))
 
 
+@pytest.mark.parametrize("hot", [0, 900])
+def test_shards_by_levels(spark, monkeypatch, hot):
+    """Buckets of six groups, twelve at most for the driver: two levels between, with and without a group beyond a fair share."""
+    monkeypatch.setattr(kk_sharding, "GROUPS_A_BUCKET", 6)
+    monkeypatch.setattr(kk_sharding, "MOST_BUCKETS", 12)
+    rng = random.Random(8)
+    texts = [f"{i} " + "x" * rng.randint(0, 90) for i in range(900)] + ["hot " * 5] * hot
+    ids = [rng.choice([None, 3, 3, k]) for k in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumns({c: F.lit(0) for c in ("bucket", "local", "group", "up", "place", "cell", "bytes")}).repartition(5)
+    got = kk_sharding.shard_groups(df).collect()
+    size, slots, where = defaultdict(int), defaultdict(list), defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[r.text_crc32, r.size].add(r.shard)
+    assert Counter(r.doc_id for r in got) == Counter(ids) and Counter((r.text_crc32, r.size) for r in got) == Counter((zlib.crc32(t.encode()), len(t) + 1) for t in texts)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and all(len(w) == 1 for w in where.values())
+    heavy = next(iter(where[zlib.crc32(b"hot " * 5), 21])) if hot else None
+    others = [v for k, v in size.items() if k != heavy]
+    assert len(others) >= 15 and max(others) - min(others) <= (300 if hot else 100)  # of 192 parts
+    if hot:  # one group beyond a fair share is alone on its shard, or all but
+        assert hot * 21 <= size[heavy] <= hot * 21 + 300
+
+
+def test_differencing_against_enumeration():
+    rng = random.Random(4)
+    for case in range(60):
+        k, sizes = 2 + case % 2, [rng.randrange(1, 60) for _ in range(rng.randrange(1, 9))]
+        best = min(max(sum(s for s, at in zip(sizes, put) if at == j) for j in range(k)) for put in itertools.product(range(k), repeat=len(sizes)))
+        found = kk_sharding.difference([([0] * (k - 1) + [s], [[] for _ in range(k - 1)] + [[i]]) for i, s in enumerate(sizes)], k)
+        assert sorted(i for part in found for i in part) == list(range(len(sizes)))
+        assert best <= max(sum(sizes[i] for i in part) for part in found) <= best * (4 / 3)  # its bound for the largest sum
+
+
+def test_a_very_long_text_is_sharded(spark):
+    rows = [(1, "long " * 2_000_000), (2, "short"), (None, "long " * 2_000_000)]
+    got = kk_sharding.shard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.size for r in got) == [6, 10_000_001, 10_000_001] and len({r.shard for r in got if r.size > 6}) == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     import duckdb

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Groups in a bucket that one task differences, the most buckets (what the driver combines), rows of a slot cell.
+#: Groups in a bucket (or buckets in a larger one) that one task differences, the most buckets that the driver combines, rows of a slot cell.
 GROUPS_A_BUCKET, MOST_BUCKETS, ROWS_A_CELL = 512, 4096, 256
+#: Parts that the buckets are cut into, all together, where that is more than one for each shard and bucket.
+PARTS = 4096
 
 
 def difference(parts: list[tuple[list[int], list[list]]], k: int) -> list[list]:
@@ -47,35 +49,56 @@ def difference(parts: list[tuple[list[int], list[list]]], k: int) -> list[list]:
     return heap[0][3]
 
 
-def _bucket_labels(k: int, held: list[int]):
-    """Differences a bucket's groups.  ``held``: bytes that large groups put on each shard, as this bucket's share."""
+def _single(size: int, member, k: int) -> tuple[list[int], list[list]]:
+    return [0] * (k - 1) + [size], [[] for _ in range(k - 1)] + [[member]]
+
+
+def _bucket_labels(k: int):
+    """Differences a bucket's groups into ``k`` parts; where there are no more groups than that, each is a part."""
 
     def labelled(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "group"], ascending=[False, True]).reset_index(drop=True)
-        parts = [(list(held), [[-1 - s] for s in range(k)])] if any(held) else []
-        parts += [([0] * (k - 1) + [int(b)], [[] for _ in range(k - 1)] + [[i]]) for i, b in enumerate(rows["bytes"])]
-        local = [0] * len(rows)
-        for label, members in enumerate(difference(parts, k)):
-            label = next((-1 - i for i in members if i < 0), label)
-            for i in members:
-                if i >= 0:
+        local = list(range(len(rows)))
+        if len(rows) > k:
+            for label, members in enumerate(difference([_single(int(b), i, k) for i, b in enumerate(rows["bytes"])], k)):
+                for i in members:
                     local[i] = label
         return rows.assign(local=local)[["group", "bucket", "bytes", "rows", "local"]]
 
     return labelled
 
 
+def _bucket_places(k: int):
+    """Differences the partial partitions of the buckets of a larger one: where each bucket's parts go."""
+
+    def placed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "local"]).reset_index(drop=True)
+        parts = []
+        for _, own in rows.groupby("bucket", sort=True):
+            sums, members = [0] * k, [[] for _ in range(k)]
+            for i, local, size in zip(own.index, own["local"], own["bytes"]):
+                sums[local], members[local] = int(size), [i]
+            parts.append((sums, members))
+        place = [0] * len(rows)
+        for label, members in enumerate(difference(parts, k)):
+            for i in members:
+                place[i] = label
+        return rows.assign(place=place)[["bucket", "local", "bytes", "rows", "up", "place"]]
+
+    return placed
+
+
 def shard_groups(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row; law ``bytes``: shard sizes near equal.
 
     Size is the UTF-8 length plus 1.  Null text counts as empty and belongs to the group of empty texts.
     Rows of equal texts are one indivisible group, so one huge group bounds how even the shards can be;
-    it only raises its own shard.  Repeated rows keep their places; an empty table gives an empty result.
+    it only raises its own shard.  Repeated rows and rows with equal or null ids are rows of their own, with slots of their own; an empty table gives an
+    empty result.  Other columns are not read.
 
-    Groups above a bucket's share of a shard (fewer than shards x buckets of them) are differenced on the
-    driver.  The others are dealt into buckets by hash; each bucket is differenced in one task into
-    ``shards`` partial sums, together with its share of what the large groups hold.  Without large groups
-    the driver differences the buckets' sums (at most ``MOST_BUCKETS`` x shards numbers, whatever the input).
+    Groups are dealt into buckets of a bounded number by hash, and each bucket is differenced in one task into parts.  While there are more buckets than
+    ``MOST_BUCKETS``, theirs are differenced into those of larger buckets, level by level.  The driver differences what is left: the parts (some
+    ten thousand numbers, whatever the input) and the groups too large for a bucket (fewer than shards x ``MOST_BUCKETS``).
     Slots are running numbers within (shard, cell) plus the cell's start.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -85,31 +108,29 @@ def shard_groups(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", t
     groups = digest.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     groups = cut(groups)
     n_groups, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    buckets = max(1, min(MOST_BUCKETS, math.ceil(n_groups / GROUPS_A_BUCKET)))
-    bar = max(1, total // (shards * buckets))
-    large = groups.where(F.col("bytes") > bar).orderBy(F.desc("bytes"), "group").collect()  # fewer than shards x buckets
-    of_large = difference([([0] * (shards - 1) + [r["bytes"]], [[] for _ in range(shards - 1)] + [[r]]) for r in large], shards)
-    held = [sum(r["bytes"] for r in own) // buckets for own in of_large]
-    dealt = groups.where(F.col("bytes") <= bar).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
-    local = cut(dealt.groupBy("bucket").applyInPandas(_bucket_labels(shards, held), "group binary, bucket int, bytes bigint, rows bigint, local int"))
-    sums = local.groupBy("bucket", "local").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
-    if large:  # local labels are shards already, evened against the large groups
-        place = {(r["bucket"], r["local"]): r["local"] for r in sums}
-    else:
-        parts: dict[int, list[int]] = {}
-        for r in sums:
-            parts.setdefault(r["bucket"], [0] * shards)[r["local"]] = r["bytes"]
-        found = difference([(s, [[(b, i)] for i in range(shards)]) for b, s in sorted(parts.items())], shards)
-        place = {bl: shard for shard, members in enumerate(found) for bl in members}
-    rows_in = [sum(r["rows"] for r in own) for own in of_large]
-    for r in sums:
-        rows_in[place[r["bucket"], r["local"]]] += r["rows"]
+    buckets = max(1, math.ceil(n_groups / GROUPS_A_BUCKET))
+    bar = max(1, total // (shards * min(buckets, MOST_BUCKETS)))
+    large = groups.where(F.col("bytes") > bar).orderBy(F.desc("bytes"), "group").collect()  # fewer than shards x MOST_BUCKETS
+    parts = max(shards, min(GROUPS_A_BUCKET, PARTS // buckets))
+    dealt = groups.where(F.col("bytes") <= bar).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
+    local = cut(dealt.groupBy("bucket").applyInPandas(_bucket_labels(parts), "group binary, bucket bigint, bytes bigint, rows bigint, local int"))
+    part = local.groupBy("bucket", "local").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    of_group = local.select("group", "bucket", "local")
+    while buckets > MOST_BUCKETS:
+        buckets = max(MOST_BUCKETS, math.ceil(buckets / GROUPS_A_BUCKET))
+        up = part.withColumn("up", F.pmod("bucket", F.lit(buckets)))
+        moved = cut(up.groupBy("up").applyInPandas(_bucket_places(shards), "bucket bigint, local int, bytes bigint, rows bigint, up bigint, place int"))
+        of_group = of_group.join(moved.select("bucket", "local", "up", "place"), ["bucket", "local"]).select("group", F.col("up").alias("bucket"), F.col("place").alias("local"))
+        part = moved.groupBy(F.col("up").alias("bucket"), F.col("place").alias("local")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    sums = sorted(part.collect(), key=lambda r: (-r["bytes"], r["bucket"], r["local"]))
+    found = difference([_single(r["bytes"], r, shards) for r in (*large, *sums)], shards)
+    rows_in = [sum(r["rows"] for r in own) for own in found]
     spark = docs.sparkSession
-    lookup = spark.createDataFrame([(b, i, s) for (b, i), s in sorted(place.items())], "bucket int, local int, shard int")
-    put_large = spark.createDataFrame([(bytearray(r["group"]), s) for s, own in enumerate(of_large) for r in own], "group binary, shard int")
+    lookup = spark.createDataFrame([(r["bucket"], r["local"], s) for s, own in enumerate(found) for r in own if "bucket" in r], "bucket long, local int, shard int")
+    of_group = of_group.join(F.broadcast(lookup), ["bucket", "local"]).select("group", "shard")
+    put_large = spark.createDataFrame([(bytearray(r["group"]), s) for s, own in enumerate(found) for r in own if "group" in r], "group binary, shard int")
     cells = F.array(*[F.lit(max(1, math.ceil(n / ROWS_A_CELL))) for n in rows_in])
-    of_group = local.join(F.broadcast(lookup), ["bucket", "local"]).select("group", "shard").union(put_large)
-    put = digest.join(of_group, "group").drop("group")
+    put = digest.join(of_group.union(put_large), "group").drop("group")
     put = cut(put.withColumn("cell", F.pmod(F.xxhash64(id_col, "text_crc32"), F.element_at(cells, F.col("shard") + 1)).cast("int")))
     counts = put.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
