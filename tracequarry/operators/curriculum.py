@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import number
 from ..functions.text import stripped
 
 
@@ -67,3 +68,22 @@ def replay_mix(new: DataFrame, old: DataFrame, id_col: str, anchors: int = 200,
 def chat_format(df: DataFrame, prompt: str, answer: str, system: str) -> DataFrame:
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), stripped(c).alias("content"))
     return df.withColumn("messages", F.array(turn("system", F.lit(system)), turn("user", F.col(prompt)), turn("assistant", F.col(answer))))
+
+
+def quality_gate(rows: DataFrame, extracted: Column, *, least: float = 0.5, confidence_col: str = "confidence", answer_col: str = "answer") -> DataFrame:
+    """Converted rows that may stay: sure enough, and with the answer that was asked for.
+
+    A conversion whose trace shows no answer stays.  Numbers may differ by 1e-4; other answers must be equal but for blanks around them.
+    """
+    answer = F.col(answer_col)
+    x, y = number(stripped(extracted)), number(stripped(answer))
+    same = F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= 1e-4).otherwise(stripped(extracted) == stripped(answer))
+    silent = F.coalesce(extracted, F.lit("")) == ""
+    return rows.where((F.coalesce(confidence_col, F.lit(0.0)) >= least) & (silent | F.coalesce(same, F.lit(False))))
+
+
+def split_report(rows: DataFrame, split_col: str = "split", source_col: str = "source") -> DataFrame:
+    """The stats of a split data set: for each split, and for each source in it, its rows and mean compression (3 digits)."""
+    saved = 1 - F.col("symbolic_tokens") / F.greatest("english_tokens", F.lit(1)).cast("double")
+    sets = rows.select(split_col, source_col, saved.alias("_saved")).groupingSets([[split_col], [split_col, source_col]], split_col, source_col)
+    return sets.agg(F.grouping(source_col).cast("boolean").alias("whole"), F.count(F.lit(1)).alias("n"), F.round(F.avg("_saved"), 3).alias("avg_compression"))

@@ -9,9 +9,9 @@ from ..functions import grammar
 from ..functions import registers as R
 from ..functions import text as T
 from ..functions.sql import register_sql_functions
-from ..operators import collate, energy, rollups, stopping
+from ..operators import collate, contrast, curriculum, energy, rollups, stopping, summaries
 from ..session import delete_folder, shared_folder
-from ..sources import versions
+from ..sources import records, versions
 from ..sources.fixtures import RECEIPTS_SQL, TAGGED_SQL, TRACES_SQL, spread, table, tagged_traces, traces
 from ..sources.fixtures import receipts as receipts_view
 from ..streaming.ledger import Ledger
@@ -222,3 +222,69 @@ def valuation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", category.alias("category"), arms)
     made = prompts.valuation_prompt(F.col("arm"), F.col("p_name"), F.col("category"), _TEMPLATES)
     return rows.select("p_partkey", "arm", made.alias("m")).select("p_partkey", "arm", "m.*")
+
+
+_PROMPTED = """s AS (SELECT p_partkey AS id, p_size AS z, ['polynomial_invariant', 'chinese_remainder', 'legendre_valuation', 'factual_bypass', 'geometry'][p_partkey % 5 + 1] AS concept,
+  '<think>' || chr(10) || '<reg:plan>concept: ' || p_brand || '</reg:plan>' || chr(10) || '<reg:deduce>d' || p_size || '</reg:deduce></think><ans>' || p_size || '</ans>' AS full_target FROM part)"""
+
+
+def prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curriculum rows from parts: concepts whose prompts name the numbers that a wrong first guess is made of."""
+    z, k = F.col("p_size"), F.col("p_partkey") % 5
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    prompt = (
+        F.when(k == 0, text("If x + 1/x = ", z, ", what is x^2 + 1/x^2?")).when(k == 1, text("Find n with n = ", z % 7, " (mod 7) and n = ", z % 11, " (mod 11)."))
+        .when(k == 2, text("Which power of the prime 5 divides ", z + 10, "!?")).otherwise(text("What is item ", z, "?"))
+    )
+    concept = F.element_at(F.array(*map(F.lit, ("polynomial_invariant", "chinese_remainder", "legendre_valuation", "factual_bypass", "geometry"))), (k + 1).cast("int"))
+    target = text("<think>\n<reg:plan>concept: ", F.col("p_brand"), "</reg:plan>\n<reg:deduce>d", z, "</reg:deduce></think><ans>", z, "</ans>")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), concept.alias("concept"), prompt.alias("prompt"), text("d", z).alias("canonical_deduce"), z.cast("string").alias("ground_truth"), target.alias("full_target"))
+
+
+@query(f"""WITH {_PROMPTED}, n AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS place, CASE WHEN (z % 7 + 7) % 11 = z % 11 THEN z % 7 + 14 ELSE z % 7 + 7 END AS g FROM s),
+c AS (SELECT *, place % 3 = 0 AND concept <> 'factual_bypass' AS picked FROM n),
+w AS (SELECT *, CASE concept WHEN 'polynomial_invariant' THEN 'x^2 + 1/x^2 = ' || z * z WHEN 'chinese_remainder' THEN 'n = ' || g WHEN 'legendre_valuation' THEN 'v = ' || (z + 10) || ' // 5 = ' || (z + 10) // 5 ELSE 'first idea' END AS hypothesis,
+  CASE concept WHEN 'polynomial_invariant' THEN z * z || ' == ' || z || '^2 - 2' WHEN 'chinese_remainder' THEN g || ' % 11 == ' || z % 11 WHEN 'legendre_valuation' THEN 'all powers are counted' ELSE 'the conditions hold' END AS condition,
+  CASE concept WHEN 'polynomial_invariant' THEN 'the cross term 2 is missing' WHEN 'chinese_remainder' THEN g % 11 || ' is not ' || z % 11 WHEN 'legendre_valuation' THEN 'powers of 5 from the second on are missing' ELSE 'one of them does not' END AS reason FROM c)
+SELECT id, concept, picked AS is_contrastive_negative, CASE WHEN picked THEN '<think>' || chr(10) || regexp_extract(full_target, '<reg:plan>.*?</reg:plan>') || chr(10) || '<checkpoint:CP1>' || chr(10) || '<reg:deduce>hyp [' || hypothesis || ']</reg:deduce>' || chr(10)
+  || '<reg:verify>verify(' || condition || ')✗ [' || reason || ']</reg:verify>' || chr(10) || '<backtrack:CP1>' || chr(10) || '<reg:deduce>replan: d' || z || '</reg:deduce>' || chr(10) || '<reg:verify>verify(ans == ' || z || ')✓</reg:verify>' || chr(10)
+  || '</think>' || chr(10) || '<ans>' || z || '</ans>' ELSE full_target END AS full_target FROM w""")
+def contrastive_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third place of a shuffle begins with a guess read from its prompt, which fails its check and is taken back."""
+    placed = summaries.numbered(prompted(spark, sf_dir), "id").withColumn("place", F.col("place") - 1)
+    return contrast.contrastive(placed).select("id", "concept", "is_contrastive_negative", "full_target")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, 'Question ' || o_custkey AS q, 'a' || o_custkey AS a FROM orders),
+p AS (SELECT id, '<｜begin of sentence｜><｜User｜>' || CASE WHEN k = 3 THEN '' ELSE q END || '<｜Assistant｜><think>' || chr(10) AS prompt_text, CASE k WHEN 0 THEN a || ' <think>' ELSE a END AS body FROM o)
+SELECT id, prompt_text, prompt_text || body || '<｜end of sentence｜>' AS full_text FROM p""")
+def training_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records of both shapes, with and without thought marks, with and without a question, wrapped for training."""
+    k, q, a = F.col("o_orderkey") % 4, F.concat(F.lit("Question "), "o_custkey"), F.concat(F.lit("a"), "o_custkey")
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    target = F.when(k == 0, F.concat(F.lit("<think>\n"), a, F.lit(" <think>"))).when(k == 1, F.concat(F.lit("<think>"), a))
+    messages = F.when(k == 2, F.array(turn("system", F.lit("s")), turn("user", q), turn("assistant", F.concat(F.lit("<think>\n"), a, F.lit("<think>"))))).when(k == 3, F.array(turn("assistant", a)))
+    return records.wrapped_text(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), q.alias("prompt"), target.alias("full_target"), messages.alias("messages")))
+
+
+_CONVERTED = f"""{TRACES_SQL}, conv AS (SELECT trace_id, completion AS x, ground_truth AS answer, CASE trace_id % 4 WHEN 0 THEN 0.85 WHEN 1 THEN 0.80 WHEN 2 THEN 0.75 ELSE 0.4 END AS confidence FROM traces)"""
+
+
+@query(f"""WITH {_CONVERTED}, e AS (SELECT *, trim(regexp_extract(x, '<ans>([^<]*)</ans>', 1)) AS got FROM conv)
+SELECT trace_id, got FROM e WHERE confidence >= 0.5 AND (got = '' OR abs(CAST(got AS DOUBLE) - CAST(answer AS DOUBLE)) <= 1e-4)""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversions that are sure enough and show the answer asked for, or none."""
+    i, got = F.col("trace_id"), F.trim(F.regexp_extract("completion", "<ans>([^<]*)</ans>", 1))
+    sure = F.when(i % 4 == 0, 0.85).when(i % 4 == 1, 0.80).when(i % 4 == 2, 0.75).otherwise(0.4)
+    rows = traces(spark, sf_dir).select("trace_id", F.col("ground_truth").alias("answer"), sure.alias("confidence"), got.alias("got"))
+    return curriculum.quality_gate(rows, F.col("got")).select("trace_id", "got")
+
+
+@query(f"""WITH {TRACES_SQL}, h AS (SELECT *, ascii(substr(md5('42:' || trace_id), 1, 1)) AS h, category AS source, 40 + trace_id * 17 % 900 AS english FROM traces), s AS (SELECT *, CASE WHEN h < 50 THEN 'test' WHEN h < 52 THEN 'val' ELSE 'train' END AS split FROM h)
+SELECT split, source, grouping(source) = 1 AS whole, count(*) AS n, round(avg(1 - tokens_emitted / greatest(english, 1)::DOUBLE), 3) AS avg_compression FROM s GROUP BY GROUPING SETS ((split), (split, source))""")
+def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and mean compression of each split and of each source in it."""
+    h = F.ascii(F.substring(curriculum.hash_order("trace_id", 42), 1, 1))
+    split = F.when(h < 50, "test").when(h < 52, "val").otherwise("train")
+    rows = traces(spark, sf_dir).select(split.alias("split"), F.col("category").alias("source"), F.col("tokens_emitted").alias("symbolic_tokens"), (40 + F.col("trace_id") * 17 % 900).alias("english_tokens"))
+    return curriculum.split_report(rows)

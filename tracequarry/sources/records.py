@@ -128,6 +128,27 @@ def training_text(rows: DataFrame) -> DataFrame:
     return rows.select("id", _prompt().alias("prompt"), F.regexp_replace(chosen, r"^<think>\n", "").alias("target")).where("target is not null")
 
 
+#: The marks that a training text is wrapped in.
+WRAPPING = {"begin": "<｜begin of sentence｜>", "user": "<｜User｜>", "assistant": "<｜Assistant｜>", "end": "<｜end of sentence｜>"}
+
+
+def wrapped_text(rows: DataFrame, marks: dict[str, str] = WRAPPING) -> DataFrame:
+    """(id, prompt_text, full_text) of training records of either shape: the prompt up to the opened thought, and the whole.
+
+    A record with ``full_target`` loses the thought mark that its target begins with.  One with ``messages`` takes its last turn as the answer and the one before as the
+    prompt; thought marks inside the answer go.  A record with neither is an error, as a file of another kind would otherwise pass unseen.
+    """
+    target, messages = F.col("full_target"), F.col("messages")
+    answer = F.coalesce(F.try_element_at(messages, F.lit(-1))["content"], F.lit(""))
+    asked = F.when(F.size(messages) > 1, F.coalesce(F.try_element_at(messages, F.lit(-2))["content"], F.lit(""))).otherwise(F.lit(""))
+    plain = F.replace(F.replace(answer, F.lit("<think>\n"), F.lit("")), F.lit("<think>"), F.lit(""))
+    other = F.raise_error(F.concat(F.lit("neither full_target nor messages: "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("string")
+    body = F.when(target.isNotNull(), F.regexp_replace(target, r"^<think>\n?", "")).when(messages.isNotNull(), plain).otherwise(other)
+    prompt = F.when(target.isNotNull(), F.coalesce("prompt", F.lit(""))).otherwise(asked)
+    opened = F.concat(F.lit(marks["begin"] + marks["user"]), prompt, F.lit(marks["assistant"] + "<think>\n"))
+    return rows.select("id", opened.alias("prompt_text"), F.concat(opened, body, F.lit(marks["end"])).alias("full_text"))
+
+
 # -- sinks ------------------------------------------------------------------------------------------------------
 def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines; letters outside ASCII stay as they are, absent values are left out."""
