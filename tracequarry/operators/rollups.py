@@ -95,3 +95,29 @@ def modern_headline(rows: DataFrame, *keys: str, clean: Column) -> DataFrame:
         *keys, "n", "correct", F.round(accuracy, 2).alias("pass_at_1"), F.round(F.col("clean") * 100.0 / F.col("n"), 2).alias("cleanliness"), "tokens", "english",
         F.round(saved, 2).alias("savings"), F.round(accuracy * (1 + F.log(F.greatest(F.lit(1.0), fewer))), 2).alias("ock"),
     )
+
+
+def proxy_grid(receipts: DataFrame, decay: float = 500.0, tight: int = 256) -> DataFrame:
+    """The grid of arms and budgets with stand-ins for the curve metrics: an economy that falls off with the mean length.
+
+    ``auc_proxy`` is accuracy times economy, ``overthinking_proxy`` their harmonic mean; joules per correct answer are null without one.
+    """
+    right = F.count_if("is_correct")
+    cells = receipts.groupBy("arm", "budget").agg(
+        F.count(F.lit(1)).alias("n"), right.alias("correct"), F.avg("tokens_emitted").alias("mean_tokens"), (F.sum("mj") / 1000.0 / F.count(F.lit(1))).alias("mean_joules"),
+        F.count_if(F.col("is_correct") & (F.col("tokens_emitted") <= tight)).alias("_within"),
+    )
+    share, economy = F.col("correct") / F.col("n").cast("double"), F.exp(-F.col("mean_tokens") / decay)
+    lo, hi = wilson(F.col("correct"), F.col("n"))
+    return cells.select(
+        "arm", "budget", "n", "correct", (share * 100.0).alias("accuracy"), (lo * 100.0).alias("ci_lo"), (hi * 100.0).alias("ci_hi"), "mean_tokens", "mean_joules", F.try_divide(F.col("mean_joules"), share).alias("joules_per_correct"),
+        (F.col("_within") * 100.0 / F.col("n")).alias("oaa_tight"), (share * economy).alias("auc_proxy"), F.when(share + economy > 0, 2 * share * economy / (share + economy)).otherwise(0.0).alias("overthinking_proxy"),
+    )
+
+
+def cache_footprint(receipts: DataFrame, *, layers: int = 28, heads: int = 12, head_dim: int = 128, bytes_each: int = 2, memory_mb: int = 4096) -> DataFrame:
+    """What an arm's sequences hold of a key-value cache: bytes a token, MB of the mean sequence, and how many fit ``memory_mb`` at once."""
+    a_token = 2 * layers * heads * head_dim * bytes_each
+    mb = F.avg("tokens_emitted") * a_token / F.lit(1048576.0)
+    cells = receipts.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("tokens_emitted").alias("mean_tokens"), mb.alias("mb"))
+    return cells.select("arm", "n", F.lit(a_token).cast("long").alias("bytes_a_token"), "mean_tokens", "mb", F.floor(F.try_divide(F.lit(float(memory_mb)), F.col("mb"))).alias("concurrent"))

@@ -288,3 +288,17 @@ def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(h < 50, "test").when(h < 52, "val").otherwise("train")
     rows = traces(spark, sf_dir).select(split.alias("split"), F.col("category").alias("source"), F.col("tokens_emitted").alias("symbolic_tokens"), (40 + F.col("trace_id") * 17 % 900).alias("english_tokens"))
     return curriculum.split_report(rows)
+
+
+@query(f"""{_R}, c AS (SELECT arm, budget, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct, sum(tokens_emitted)::DOUBLE / count(*) AS mean_tokens, sum(mj) / 1000.0e0 / count(*) AS mean_joules,
+  count(*) FILTER (WHERE is_correct AND tokens_emitted <= 256) AS w FROM receipts GROUP BY arm, budget), d AS (SELECT *, correct::DOUBLE / n AS a, exp(-mean_tokens / 500.0e0) AS e FROM c)
+SELECT arm, budget, n, correct, a * 100.0e0 AS accuracy, {_LO} * 100.0e0 AS ci_lo, {_HI} * 100.0e0 AS ci_hi, mean_tokens, mean_joules, CASE WHEN a > 0 THEN mean_joules / a END AS joules_per_correct, w * 100.0e0 / n AS oaa_tight, a * e AS auc_proxy,
+  CASE WHEN a + e > 0 THEN 2 * a * e / (a + e) ELSE 0.0e0 END AS overthinking_proxy FROM d""")
+def proxy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.proxy_grid(receipts_view(spark, sf_dir))
+
+
+@query(f"""{_R}, c AS (SELECT arm, count(*) AS n, sum(tokens_emitted)::DOUBLE / count(*) AS mean_tokens FROM receipts GROUP BY arm)
+SELECT arm, n, {2 * 28 * 12 * 128 * 2}::BIGINT AS bytes_a_token, mean_tokens, mean_tokens * {2 * 28 * 12 * 128 * 2} / 1048576.0e0 AS mb, floor(4096.0e0 / (mean_tokens * {2 * 28 * 12 * 128 * 2} / 1048576.0e0))::BIGINT AS concurrent FROM c""")
+def cache_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.cache_footprint(receipts_view(spark, sf_dir))

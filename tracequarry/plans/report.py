@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import metrics, receipts, stats, summaries
+from ..operators import metrics, receipts, rollups, stats, summaries
 
 
 def markdown_table(df: DataFrame, limit: int = 500) -> str:
@@ -25,8 +26,11 @@ def evaluation_report(rows: DataFrame, base: str = "A", arm: str = "C", control:
         (f"P({arm} below {base})", stats.common_language(rows, arm, base).orderBy("budget")),
         ("Categories", metrics.category_accuracy(rows).orderBy("budget", "category", "arm")),
         ("Contamination", metrics.contamination_gap(rows).orderBy("arm", "budget")),
+        (f"Saved energy of {arm} against {control}", stats.paired_bootstrap(rows, arm, control).orderBy("budget")),
         (f"Decision {arm} against {control}", stats.decision(rows, arm, control).orderBy("budget")),
     ]
+    if "verification_method" in rows.columns:  # answers that only the symbolic layer accepted
+        parts.insert(1, ("All and clean receipts", rollups.slices(rows).orderBy("scope", F.asc_nulls_first("arm"), F.asc_nulls_first("budget"))))
     return "# Evaluation\n\n" + "\n\n".join(f"## {title}\n\n{markdown_table(df)}" for title, df in parts) + "\n"
 
 
@@ -76,3 +80,29 @@ def comparison_report(rows: DataFrame, base: str = "A") -> str:
     shown = metrics.information_efficiency(rows, base).orderBy("budget", "arm")
     brief = shown.select("budget", "arm", "pass_at_1", (shown["tokens"] / shown["n"]).alias("mean_tokens"), "per_hundred", "traffic")
     return _sections("Comparison", [("Arms", markdown_table(shown)), ("LaTeX", f"```latex\n{latex_table(brief, 'Arms by budget')}\n```")])
+
+
+def proxy_report(rows: DataFrame) -> str:
+    """The grid with stand-in metrics, and joules per correct answer with a column for each budget beside the choke factor."""
+    grid = rollups.proxy_grid(rows)
+    budgets = sorted(r["budget"] for r in grid.select("budget").distinct().collect())
+    energy = grid.groupBy("arm").pivot("budget", budgets).agg(F.first("joules_per_correct")).join(metrics.budget_choke_factor(rows).select("arm", "choke_factor"), "arm")
+    return f"# Grid\n\n{markdown_table(grid.orderBy('arm', 'budget'))}\n\n## Joules per correct answer\n\n{markdown_table(energy.orderBy('arm'))}\n"
+
+
+def yearly_summary(items: DataFrame, fallbacks: dict[int, dict[str, float]] | None = None) -> str:
+    """Accuracy and tokens of graded items by year; a year without items shows the figures given for it, marked as given."""
+    measured = {r["year"]: r for r in items.where("year IS NOT NULL").groupBy("year").agg(F.count(F.lit(1)).alias("n"), (F.count_if("is_correct") * 100.0 / F.count(F.lit(1))).alias("accuracy"), F.avg("tokens_emitted").alias("mean_tokens")).collect()}
+    lines = ["| year | n | accuracy | mean tokens | |", "|---|---|---|---|---|"]
+    for year in sorted({*measured, *(fallbacks or {})}):
+        r = measured.get(year)
+        own = (r["n"], r["accuracy"], r["mean_tokens"], "measured") if r else (0, fallbacks[year]["accuracy"], fallbacks[year]["mean_tokens"], "given")
+        lines.append(f"| {year} | {own[0]} | {own[1]:.1f} | {own[2]:.1f} | {own[3]} |")
+    return "\n".join(lines) + "\n"
+
+
+def domain_summary(items: DataFrame, routes: dict[str, str]) -> str:
+    """Accuracy, tokens and route of graded items by category; a category without a route is marked so."""
+    cells = items.groupBy("category").agg(F.count(F.lit(1)).alias("n"), (F.count_if("is_correct") * 100.0 / F.count(F.lit(1))).alias("accuracy"), F.avg("tokens_emitted").alias("mean_tokens"))
+    table = F.create_map(*[F.lit(x) for k, v in routes.items() for x in (k, v)]) if routes else F.create_map().cast("map<string,string>")
+    return markdown_table(cells.withColumn("route", F.coalesce(F.try_element_at(table, F.col("category")), F.lit("none"))).orderBy("category")) + "\n"
