@@ -1,6 +1,9 @@
 """Queries that once ran over a part of their rows, on all of them."""
 
-from tracequarry.operators import metrics
+import numpy as np
+from pyspark.sql import functions as F
+
+from tracequarry.operators import metrics, stats
 from tracequarry.plans.catalogue import QUERIES
 from tracequarry.sources.fixtures import receipts as receipts_view
 
@@ -28,3 +31,19 @@ def test_stage4_rewards_of_scratchpads(spark):
 def test_bootstrap_draws_as_many_as_the_reference(spark):
     got = QUERIES["paired_bootstrap"](spark, SF).collect()
     assert got and all(9_000 < r.n_reps <= 10_000 and r.lo <= r.hi for r in got)
+
+
+def test_bootstrap_draws_once_for_equal_outcomes(spark):
+    """Counts of problems weigh as their sum would, drawn once for each outcome; the normal limit tells the bounds."""
+    w = stats.outcome_weights(np.array([5, 6, 7]), np.array([1, 40, 10**7]), 4000, 42)
+    assert (w[0] == stats.poisson_weights(np.array([5]), 4000, 42)[0]).all()
+    assert all(abs(x.mean() - n) < 0.08 * n**0.5 and abs(x.var() / n - 1) < 0.1 for x, n in zip(w, (1, 40, 10**7)))
+    assert (w == stats.outcome_weights(np.array([5, 6, 7]), np.array([1, 40, 10**7]), 4000, 42)).all()
+    given = spark.range(300_000).select((F.col("id") / 2).cast("long").alias("problem_id"), F.lit(256).alias("budget"), F.when(F.col("id") % 2 == 0, "C").otherwise("D").alias("arm"))
+    k = F.col("problem_id")
+    rows = given.select("*", (k % 3 < 2).alias("is_correct"), F.when(F.col("arm") == "C", 1000 + k % 2 * 10).otherwise(1500).cast("long").alias("mj"))
+    assert stats.paired(rows, "C", "D").groupBy("ok_a", "ok_b", "mj_a", "mj_b").count().count() == 4
+    r = stats.paired_bootstrap(rows, "C", "D").first()
+    point = (1500 - 1005) * 1.5 / 1000
+    spread = (r.hi - r.lo) / 2
+    assert r.n_reps == 10_000 and abs((r.lo + r.hi) / 2 - point) < 0.001 and 0.5 < spread / (1.96 * point * (0.5 / 150_000) ** 0.5) < 1.5

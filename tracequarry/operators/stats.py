@@ -59,15 +59,27 @@ def poisson_weights(keys: np.ndarray, reps: int, seed: int) -> np.ndarray:
     return POISSON[spread(start[:, None] + steps) >> np.uint64(48)]
 
 
+def outcome_weights(keys: np.ndarray, counts: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """The summed weights of ``counts`` problems for each key and replicate: Poisson(count), from a stream of the key's own."""
+    weights = poisson_weights(keys, reps, seed).astype(float)
+    for i in np.flatnonzero(counts > 1):
+        stream = np.random.Philox(key=[int(keys[i]) & (2**64 - 1), seed & (2**64 - 1)])
+        weights[i] = np.random.Generator(stream).poisson(counts[i], reps)
+    return weights
+
+
 def paired_bootstrap(receipts: DataFrame, arm: str, base: str, reps: int = 10_000, seed: int = 42) -> DataFrame:
     """95 % interval of (joules per correct of base minus arm), resampling problems, by budget.
 
-    Each problem gets a Poisson(1) weight in each replicate, drawn from a hash of problem and replicate, so a
-    replicate is a sum and problems need not meet in one task.  Replicates without a correct answer drop out; bounds are
+    Each problem has a Poisson(1) weight in each replicate, so a replicate is a sum and problems need not meet in one
+    task.  Problems of equal outcome count alike, and n such weights add up to a Poisson(n) weight: one is drawn for each
+    distinct outcome and replicate.  Where all outcomes differ that is a draw for each problem and replicate, as it must be.
+    Draws hang on outcome, count and seed only, never on tasks.  Replicates without a correct answer drop out; bounds are
     elements of the sorted replicates, not interpolated.
     """
-    pairs = paired(receipts, arm, base)
-    pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    values = ["ok_a", "ok_b", "mj_a", "mj_b"]
+    outcomes = paired(receipts, arm, base).groupBy("budget", *values).agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64("budget", *values))
+    outcomes = outcomes.repartition(outcomes.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
 
     def sums(batches):
         total = {}
@@ -76,12 +88,11 @@ def paired_bootstrap(receipts: DataFrame, arm: str, base: str, reps: int = 10_00
                 sofar = total.setdefault(int(budget), np.zeros((reps, 4)))
                 for k in range(0, len(own), 128):
                     part = own.iloc[k : k + 128]
-                    keys = part["problem_id"].to_numpy(np.int64) * 1_000_003 + int(budget)
-                    sofar += poisson_weights(keys, reps, seed).T @ part[["ok_a", "ok_b", "mj_a", "mj_b"]].to_numpy(float)
+                    sofar += outcome_weights(part["key"].to_numpy(np.int64), part["n"].to_numpy(np.int64), reps, seed).T @ part[values].to_numpy(float)
         for budget, sofar in total.items():
-            yield pd.DataFrame({"budget": budget, "rep": np.arange(reps)} | {c: sofar[:, i] for i, c in enumerate(("ok_a", "ok_b", "mj_a", "mj_b"))})
+            yield pd.DataFrame({"budget": budget, "rep": np.arange(reps)} | {c: sofar[:, i] for i, c in enumerate(values)})
 
-    partial = pairs.mapInPandas(sums, "budget int, rep int, ok_a double, ok_b double, mj_a double, mj_b double")
+    partial = outcomes.mapInPandas(sums, "budget int, rep int, ok_a double, ok_b double, mj_a double, mj_b double")
     each = partial.groupBy("budget", "rep").agg(*[F.sum(c).alias(c) for c in ("ok_a", "ok_b", "mj_a", "mj_b")]).where("ok_a > 0 and ok_b > 0")
     delta = (F.col("mj_b") / F.col("ok_b") - F.col("mj_a") / F.col("ok_a")) / 1000.0
     listed = each.groupBy("budget").agg(F.sort_array(F.collect_list(delta)).alias("d"))
