@@ -17,3 +17,13 @@ def test_remaining_cells_are_listed(spark):
     assert len(got) == 396 and got == rows(receipts.remaining(receipts.grid(problems, arms, budgets), done))
     listed = QUERIES["resume_remaining_cells"](spark, SF)
     assert listed.columns == ["problem_id", "arm", "budget"] and listed.count() == receipts_view(spark, SF).where("not is_correct").count()
+
+
+def test_replaced_arms_are_broadcast(spark):
+    """Old rows must not be shuffled by arm, which would be a task an arm."""
+    rows = receipts_view(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin" in receipts.replace_arms(rows, rows.where("arm = 'A'"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
