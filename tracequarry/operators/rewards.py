@@ -88,10 +88,10 @@ def correctness(c: Column, truth: Column) -> Column:
 
 
 def efficiency_and_bypass(c: Column, truth: Column, register: Column) -> Column:
-    return T.bound(is_correct(c, truth), lambda right: _by_register(c, right, register))
+    return T.bound(is_correct(c, truth), lambda right: by_register(c, right, register))
 
 
-def _by_register(c: Column, right: Column, register: Column) -> Column:
+def by_register(c: Column, right: Column, register: Column) -> Column:
     tag = F.contains(c, F.lit("<reg:bypass>"))
     closed = c.rlike(r"(?s)<reg:bypass>.*?</reg:bypass>")
     thought = F.length(T.stripped(F.regexp_extract(c, r"(?s)<think>(.*?)</think>", 1)))
@@ -110,4 +110,4 @@ def form_and_noise(c: Column, valid: Column) -> Column:
 
 def concept_alignment(concept: Column, expected: Column) -> Column:
     """A declared concept, more so the expected one."""
-    return F.when(concept.isNull(), 0.0).otherwise(F.lit(0.3) + F.when(S.concept_matches(expected, concept), 0.2).otherwise(0.0))
+    return T.bound(concept, lambda own: F.when(own.isNull(), 0.0).otherwise(F.lit(0.3) + F.when(S.concept_matches(expected, own), 0.2).otherwise(0.0)))
