@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mathx as M
-from ..functions.text import stripped
+from ..functions.text import bound, stripped
 from .summaries import numbered
 
 
@@ -200,7 +200,7 @@ OPERATIONS = (("+", "add|gain|buy|more|earn|receive"), ("-", "lose|give|spend|re
 
 
 def plain_number(x: Column) -> Column:
-    return F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(F.round(x, 4).cast("string"))
+    return bound(x, lambda x: F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(F.round(x, 4).cast("string")))
 
 
 def convert_chain(text: Column) -> Column:
@@ -219,8 +219,9 @@ def convert_chain(text: Column) -> Column:
             out = out.when(low.rlike(words), F.struct(v.alias("v"), F.concat(a["t"], F.lit(f" | x{sign}="), plain_number(n), F.lit("→x="), F.coalesce(plain_number(v), F.lit("undefined"))).alias("t")))
         return out.otherwise(F.struct(a["v"].alias("v"), a["t"].alias("t")))
 
-    end = F.aggregate(sentences, start, step)
-    return F.when(F.size(sentences) > 0, F.struct(F.concat(end["t"], F.lit(" ∴ ans="), plain_number(end["v"])).alias("trace"), plain_number(end["v"]).alias("answer"), F.lit(0.75).alias("confidence")))
+    done = lambda end: F.struct(end["t"].alias("t"), plain_number(end["v"]).alias("v"))
+    row = lambda x: F.struct(F.concat(x["t"], F.lit(" ∴ ans="), x["v"]).alias("trace"), x["v"].alias("answer"), F.lit(0.75).alias("confidence"))
+    return bound(sentences, lambda s: F.when(F.size(s) > 0, bound(F.aggregate(s, start, step, done), row)))
 
 
 def convert_algebra(text: Column) -> Column:
@@ -246,4 +247,6 @@ def convert_syllogism(text: Column) -> Column:
 def convert_solutions(df: DataFrame, id_col: str = "trace_id", text_col: str = "completion", least: float = 0.5) -> DataFrame:
     """The first conversion that fits, algebra before logic before arithmetic; rows that none fits drop out."""
     t = F.col(text_col)
-    return df.select(id_col, F.coalesce(convert_algebra(t), convert_syllogism(t), convert_chain(t)).alias("r")).where(F.col("r.confidence") >= least).select(id_col, "r.*")
+    first = F.coalesce(convert_algebra(t), convert_syllogism(t), convert_chain(t))
+    # Exploded, not filtered: a filter would be pushed below and convert every row a second time.
+    return df.select(id_col, F.explode(F.filter(F.array(first), lambda r: r["confidence"] >= least)).alias("r")).select(id_col, "r.*")
