@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registers import SCRATCHPAD
-from .text import FILLER_PHRASES, found, stripped
+from .text import FILLER_PHRASES, bound, found, stripped
 
 #: Step kinds in the order in which they are tried, with the anchored pattern of each.
 KINDS = (
@@ -93,23 +93,34 @@ def document(c: Column, body: Column | None = None) -> Column:
 
     ``body`` is its ``trace_body`` where a column holds that already; it is used many times.
     """
-    c = stripped(c)
-    has = lambda tag: c.rlike(rf"(?s)<{tag}>.*?</{tag}>")
-    answer = stripped(found(c, r"(?s)<ans>(.*?)</ans>"))
-    unclosed = ~has("think") & (F.contains(c, F.lit("<think>")) | F.contains(c, F.lit("</think>")))
     body = trace_body(c) if body is None else body
+    return bound(F.struct(stripped(c).alias("c"), body.alias("body")), lambda x: _document(x["c"], x["body"]))
+
+
+def _document(c: Column, body: Column) -> Column:
+    """The document of a stripped completion; its kind and its conclusion are computed once, only what is asked for."""
+    has = lambda tag: c.rlike(rf"(?s)<{tag}>.*?</{tag}>")
+    unclosed = (F.contains(c, F.lit("<think>")) | F.contains(c, F.lit("</think>"))) & ~has("think")
     pad, plan = c.rlike(SCRATCHPAD), has("reg:plan")
     empty = (body == "") & ~plan & ~pad
     talk = F.contains(body, F.lit("intent:"))
     sign = F.contains(body, F.lit("∴"))
     lost = ~sign & (F.size(raw_steps(body)) == 0)
     kind = F.when(has("reg:bypass"), "bypass").when(has("reg:intent"), "intent").when(unclosed, "malformed").when(empty, "empty").when(talk, "intent").when(lost, "none").when(pad, "scratchpad").when(plan, "plan_deduce").when(has("reg:deduce"), "deduce").otherwise("trace")
-    is_trace = kind.isin("none", "scratchpad", "plan_deduce", "deduce", "trace")
-    end = F.when(sign, conclusion(body))
-    fillers = F.array(*[F.when(F.contains(F.lower(body), F.lit(p)), "E301") for p in FILLER_PHRASES])
-    codes = F.array_compact(F.concat(F.array(F.when(kind == "malformed", "E101"), F.when(is_trace & ~sign, "E102"), F.when(kind == "none", "E104"), F.when(is_trace & (kind != "none") & (end != answer), "E203")), F.when(is_trace, fillers).otherwise(F.array().cast("array<string>"))))
-    bypass = stripped(F.regexp_extract(c, r"(?s)<reg:bypass>(.*?)</reg:bypass>", 1))
-    return F.struct(kind.alias("register_type"), (~kind.isin("malformed", "none")).alias("is_valid"), F.when(kind == "bypass", bypass).when(is_trace, F.coalesce(end, answer)).otherwise(answer).alias("extracted"), codes.alias("codes"))
+    of_trace = lambda k: k.isin("none", "scratchpad", "plan_deduce", "deduce", "trace")
+    answer = stripped(found(c, r"(?s)<ans>(.*?)</ans>"))
+
+    def parts(k: Column) -> Column:
+        return F.struct(k.alias("kind"), of_trace(k).alias("is_trace"), F.when(of_trace(k) & sign, conclusion(body)).alias("end"), answer.alias("answer"))
+
+    def told(p: Column) -> Column:
+        kind, is_trace, end, answer = p["kind"], p["is_trace"], p["end"], p["answer"]
+        fillers = bound(F.lower(body), lambda low: F.array(*[F.when(F.contains(low, F.lit(x)), "E301") for x in FILLER_PHRASES]))
+        codes = F.array_compact(F.concat(F.array(F.when(kind == "malformed", "E101"), F.when(is_trace & ~sign, "E102"), F.when(kind == "none", "E104"), F.when(is_trace & (kind != "none") & (end != answer), "E203")), F.when(is_trace, fillers).otherwise(F.array().cast("array<string>"))))
+        bypass = stripped(F.regexp_extract(c, r"(?s)<reg:bypass>(.*?)</reg:bypass>", 1))
+        return F.struct(kind.alias("register_type"), (~kind.isin("malformed", "none")).alias("is_valid"), F.when(kind == "bypass", bypass).when(is_trace, F.coalesce(end, answer)).otherwise(answer).alias("extracted"), codes.alias("codes"))
+
+    return bound(bound(kind, parts), told)
 
 
 def step_sentence(s: Column) -> Column:
@@ -143,10 +154,13 @@ def corrupt_last_equality(c: Column) -> Column:
 
 def step_counts(body: Column) -> Column:
     """struct(total, declarations, transformations, verifications, plans) of a trace's steps."""
-    kinds = F.transform(raw_steps(body), step_kind)
-    of = lambda kind: F.size(F.filter(kinds, lambda k: k == kind))
     names = {"declarations": "declaration", "transformations": "transform", "verifications": "verify", "plans": "plan"}
-    return F.struct(F.size(kinds).alias("total"), *[of(kind).alias(name) for name, kind in names.items()])
+
+    def counted(kinds: Column) -> Column:
+        of = lambda kind: F.size(F.filter(kinds, lambda k: k == kind))
+        return F.struct(F.size(kinds).alias("total"), *[of(kind).alias(name) for name, kind in names.items()])
+
+    return bound(F.transform(raw_steps(body), step_kind), counted)
 
 
 def concept_matches(expected: Column, found: Column) -> Column:
