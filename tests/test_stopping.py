@@ -107,3 +107,16 @@ def test_stream_agrees_with_batch_on_conversations(spark, tmp_path):
     got = {(r.conv_id, r.turn): (r.pos, r.reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.conv_id, r.turn): (r.pos, r.reason) for r in stopping.stop_points(tokens, ["conv_id", "turn"], rule).collect()}
     assert got == want and len(want) > 20 and max(p for p, _ in want.values()) > 20
+
+
+def test_stops_of_whole_texts_need_no_shuffle(spark):
+    rng = random.Random(9)
+    parts = ["</ans>", "</reg:verify>", "\\boxed{", "}", "{", "ab", "→", "\n", "x" * 40, "😀", "</reg:bypass>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(300)] + [None, "</ans>", "a</ans>bc" + "z" * 90 + "</ans>"]
+    rows = spark.createDataFrame([(i, "CA"[i % 2], t) for i, t in enumerate(texts)], "i int, arm string, t string")
+    for rule in (stopping.ROBUST, stopping.COMPARING, stopping.Rule(2, 1, ("ab",), True)):
+        arm = "arm" if rule.by_arm else None
+        got = stopping.stop_points_of(rows, "t", ["i", "arm"], rule, arm_col=arm)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = stopping.stop_points(stopping.pieces(rows, "t"), ["i", "arm"], rule, arm_col=arm)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -67,7 +67,7 @@ def stop_points_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why and after how many tokens completions would have been stopped, by arm."""
     rows = tagged_traces(spark, sf_dir).select("trace_id", F.when(F.col("trace_id") % 3 == 0, "C").otherwise("A").alias("arm"), "completion")
-    stops = stopping.stop_points(stopping.pieces(rows, "completion"), ["trace_id", "arm"], stopping.ROBUST, arm_col="arm")
+    stops = stopping.stop_points_of(rows, "completion", ["trace_id", "arm"], stopping.ROBUST, arm_col="arm")
     return stops.groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("long").alias("tokens"))
 
 
