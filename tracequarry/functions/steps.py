@@ -25,8 +25,11 @@ def step_kind(s: Column) -> Column:
 
 def parse_step(s: Column) -> Column:
     """One typed step; every step has a kind, `transform` is what is left."""
+    return bound(step_kind(s), lambda kind: _typed(s, kind))
+
+
+def _typed(s: Column, kind: Column) -> Column:
     at = dict(KINDS)
-    kind = step_kind(s)
     split = F.split(s, "→", 2)
     arrow = F.contains(s, F.lit("→"))
     rhs = F.when(arrow, stripped(F.get(split, F.lit(1)))).otherwise(s)
