@@ -115,7 +115,7 @@ def composite_reward(traces: DataFrame, id_col: str = "trace_id", text_col: str
 
     flat = rows.select(id_col, text_col, "_trace", "_ok", F.col("_doc.register_type").alias("_kind"), F.col("_doc.is_valid").alias("_valid"), F.size(S.raw_steps(F.col("_body"))).alias("_n"), S.concept_matches(F.col("_expected"), S.declared_concept(c, F.col("_doc.register_type"))).alias("_match"), "_steps")
     done = flat.mapInPandas(executed, f"{id_col} {kind}, {text_col} string, _trace string, _ok boolean, _kind string, _valid boolean, _n int, _match boolean, _corrected double, _broken boolean")
-    tokens = T.token_estimate(F.col("_trace"))
+    done, tokens = done.withColumn("_tokens", T.token_estimate(F.col("_trace"))), F.col("_tokens")
     plan = F.contains(c, F.lit("<reg:plan>")) & ~F.col("_kind").isin("bypass", "intent")
     has_tree = ~F.col("_kind").isin("bypass", "malformed", "none", "empty")
     terms = {
