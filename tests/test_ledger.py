@@ -76,3 +76,16 @@ def test_null_keys_and_empty_batches(spark, receipts, tmp_path):
     ledger.append(odd.unionByName(odd), 1)
     ledger.append(odd, 2)
     assert ledger.rows().count() == 6 and ledger.refresh().select(F.sum("n")).first()[0] == 6
+
+
+def test_batches_of_many_keys_ask_no_filter(spark, receipts, tmp_path, monkeypatch):
+    """Beyond a size each filter is hit by chance, so keys of all earlier rows are joined at once; nothing is stored twice."""
+    monkeypatch.setattr("tracequarry.streaming.ledger.MANY", 5000)
+    monkeypatch.setattr(Ledger, "may_hold", lambda *_: pytest.fail("asked"))
+    ledger = Ledger(spark, str(tmp_path / "ledger"), receipts.schema)
+    odd = receipts.limit(2).withColumn("arm", F.lit(None).cast("string"))
+    assert ledger.append(receipts.where("problem_id % 2 = 0").unionByName(odd), 0) == []
+    assert len(ledger.append(receipts.unionByName(odd), 1)) == 32
+    assert bag(ledger.rows()) == bag(receipts.unionByName(odd).unionByName(odd))
+    monkeypatch.undo()
+    assert len(ledger.append(receipts.where("problem_id < 40"), 2)) > 0 and ledger.rows().count() == receipts.count() + 4

@@ -3,21 +3,25 @@
 A batch is a folder of its own, named by its id, so a batch that is run again writes over its own rows and nobody else's.  Only when rows, key
 filter and partial sums are written is the batch entered in the log; readers take what the log names, so a crash before that adds nothing.  A
 batch's rows are dealt into buckets by key, each with a key filter (a Bloom filter, one row for 64 bits), which tell which buckets of which
-earlier batches may hold one of the new keys; only their rows are read.
+earlier batches may hold one of the new keys; only their rows are read.  A batch of so many keys that by chance alone each bucket's filter would
+be hit asks no filter and is joined with the keys of all earlier rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import cells_of, summarised
 from ..operators.receipts import KEY
 
-#: Buckets of a batch, bits of a filter for each key, hashes of a key, and the least bits of a filter.  About one of 9000 foreign keys hits a filter.
-BUCKETS, BITS_A_KEY, HASHES, LEAST_BITS = 32, 24, 6, 1 << 10
+#: Buckets of a batch, bits of a filter for each key, the words of 64 bits that a key marks and its bits in each, and the least bits of a filter.
+#: Far less than one of 9000 foreign keys hits a filter.
+BUCKETS, BITS_A_KEY, WORDS, BITS, LEAST_BITS = 32, 32, 2, 4, 1 << 10
+#: Rows of a batch beyond which filters would be hit by chance in about every bucket.
+MANY = 1 << 20
 CELL = ("arm", "budget")
 
 
@@ -61,11 +65,18 @@ class Ledger:
         return self._read("rows", self._folders("rows", self.batches()), self.schema).drop("batch", "bucket")
 
     # -- filters ------------------------------------------------------------------------------------------------
-    def _places(self, bits: Column) -> Column:
-        """The places of a row's key in a filter of ``bits`` bits (a power of two)."""
-        short = F.lit((1 << 40) - 1)  # so that no sum is beyond a long
-        first, second = F.xxhash64(*self.key).bitwiseAND(short), F.xxhash64(F.lit(1), *self.key).bitwiseAND(short)
-        return F.array(*((first + second * k).bitwiseAND(bits - 1) for k in range(HASHES)))
+    def _marks(self, bits: Column) -> Column:
+        """The words (``word``, ``bits``) that a row's key marks in a filter of ``bits`` bits (a power of two)."""
+
+        def mark(k: int) -> Column:
+            h = F.xxhash64(F.lit(4 + k), *self.key)
+            one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+            own = one(0)
+            for i in range(1, BITS):
+                own = own.bitwiseOR(one(i))
+            return F.struct(F.shiftright(h, 6 * BITS).bitwiseAND((bits / 64).cast("long") - 1).alias("word"), own.alias("bits"))
+
+        return F.array(*map(mark, range(WORDS)))
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.lit(2), *self.key), F.lit(BUCKETS).cast("long"))
@@ -73,23 +84,21 @@ class Ledger:
     def _filter(self, stored: DataFrame, n: int) -> DataFrame:
         """(bucket, size, word, bits): a row for each 64 bits that are not all zero."""
         size = max(LEAST_BITS, 1 << max(0, (n * BITS_A_KEY // BUCKETS - 1).bit_length()))
-        place = stored.select("bucket", F.explode(self._places(F.lit(size).cast("long"))).alias("place"))
-        bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
-        words = place.groupBy("bucket", F.expr("place div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+        marks = stored.select("bucket", F.explode(self._marks(F.lit(size))).alias("m"))
+        words = marks.groupBy("bucket", "m.word").agg(F.bit_or("m.bits").alias("bits"))
         return words.select("bucket", F.lit(size).cast("long").alias("size"), "word", "bits")
 
     def may_hold(self, keys: DataFrame, batches: list[int]) -> list[tuple[int, int]]:
-        """The (batch, bucket) of ``batches`` whose filter has all places of some key."""
+        """The (batch, bucket) of ``batches`` whose filter has all marks of some key."""
         filters = self._read("filters", self._folders("filters", batches), "bucket long, size long, word long, bits long")
         sizes = [r["size"] for r in filters.select("size").distinct().collect()]  # powers of two: a few
         if not sizes:
             return []
         asked = keys.select(*self.key).distinct().withColumn("_id", F.xxhash64(F.lit(3), *self.key)).withColumn("bucket", self._bucket())
         asked = asked.withColumn("size", F.explode(F.array(*(F.lit(s).cast("long") for s in sizes))))
-        asked = asked.select("_id", "bucket", "size", F.explode(F.array_distinct(self._places(F.col("size")))).alias("place"))
-        asked = asked.withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("_id", "size"))).withColumn("word", F.expr("place div 64"))
-        hit = asked.join(filters, ["bucket", "size", "word"]).where(F.expr("shiftright(bits, cast(place % 64 as int)) & 1 = 1"))
-        full = hit.groupBy("_id", "size", "bucket", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("places").alias("places")).where("n = places")
+        asked = asked.select("_id", "bucket", "size", F.explode(self._marks(F.col("size"))).alias("m")).select("_id", "bucket", "size", "m.word", F.col("m.bits").alias("own"))
+        hit = asked.join(filters, ["bucket", "size", "word"]).where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own"))
+        full = hit.groupBy("_id", "size", "bucket", "batch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORDS)
         return sorted((r["batch"], r["bucket"]) for r in full.select("batch", "bucket").distinct().collect())
 
     # -- writing ------------------------------------------------------------------------------------------------
@@ -102,17 +111,27 @@ class Ledger:
         if batch_id in logged:
             return None
         first = batch.where(" OR ".join(f"{k} IS NULL" for k in self.key)).unionByName(batch.dropna(subset=self.key).dropDuplicates(self.key))
-        first = first.persist()
-        held = self.may_hold(first, logged)
-        old = self._read("rows", [f"{self.path}/rows/batch={b}/bucket={c}" for b, c in held], self.schema).select(*self.key)
+        size = batch.count()
+        many = size > MANY
+        if many:
+            held = [(b, c) for b in logged for c in range(BUCKETS)]
+            old = self._read("rows", self._folders("rows", logged), self.schema).select(*self.key)
+        else:
+            first = first.persist()
+            held = self.may_hold(first, logged)
+            old = self._read("rows", [f"{self.path}/rows/batch={b}/bucket={c}" for b, c in held], self.schema).select(*self.key)
         fresh = first.join(old, self.key, "left_anti") if held else first
-        # A folder for each bucket; a bucket's rows are in one task unless adaptive execution splits it.
-        self._write(fresh.select(*self.schema.names, self._bucket().alias("bucket")).repartition("bucket"), "rows", batch_id, "bucket")
+        # A folder for each bucket; a bucket's rows are in as many parts as there are times MANY / BUCKETS of them.
+        parts = -(-size // MANY) if many else 1
+        part = F.pmod(F.xxhash64(F.lit(9), *self.key), F.lit(parts).cast("long"))
+        fresh = fresh.select(*self.schema.names, self._bucket().alias("bucket"))
+        self._write(fresh.repartition(2 * BUCKETS * parts, "bucket", part) if many else fresh.repartition("bucket"), "rows", batch_id, "bucket")
         stored = self._read("rows", self._folders("rows", [batch_id]), self.schema)
         self._write(self._filter(stored, stored.count()), "filters", batch_id)
         self._write(cells_of(stored, self.cell), "sums", batch_id)
         self._enter(batch_id)
-        first.unpersist()
+        if not many:
+            first.unpersist()
         return held
 
     def _write(self, df: DataFrame, kind: str, batch_id: int, *by: str) -> None:
