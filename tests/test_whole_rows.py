@@ -47,3 +47,10 @@ def test_bootstrap_draws_once_for_equal_outcomes(spark):
     point = (1500 - 1005) * 1.5 / 1000
     spread = (r.hi - r.lo) / 2
     assert r.n_reps == 10_000 and abs((r.lo + r.hi) / 2 - point) < 0.001 and 0.5 < spread / (1.96 * point * (0.5 / 150_000) ** 0.5) < 1.5
+
+
+def test_costly_parts_are_computed_once(spark):
+    """A plan names a fold or a parse as often as it is computed; each of these once stood in its plan many times."""
+    plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("document_parse").count("reg:bypass") <= 6 and plan("reward_terms").count("lower(") <= 2 and plan("rescoring_transitions").count("lower(") <= 4
+    assert plan("step_counts").count("replan") <= 3 and plan("invariant_diagnostics").count("replan") <= 6 and plan("convert_english").count("aggregate(") == 1
