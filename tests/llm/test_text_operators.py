@@ -72,6 +72,43 @@ def test_pieces_match_library():
         assert codec.decode(ids) == text.replace("▁", " ")
 
 
+def test_new_words_pass_side_by_side(monkeypatch):
+    """Words that no memo has do not make a pass of their own each; before, 3000 of them made 3000."""
+    import sentencepiece
+
+    path, rng, alone = vocabulary("piece_bpe_32k.model"), random.Random(5), []
+    codec, single = sentencepiece_codec.Codec(sentencepiece_codec.PieceModel.load(path)), sentencepiece_codec.Codec.paths
+    monkeypatch.setattr(sentencepiece_codec.Codec, "paths", lambda self, segment: alone.append(segment) or single(self, segment))
+    monkeypatch.setattr(sentencepiece_codec, "PASS_CHARS", 4000)
+    monkeypatch.setattr(sentencepiece_codec, "SIDE_BY_SIDE", 100)
+    monkeypatch.setattr(sentencepiece_codec, "MEMO_ENTRIES", 700)
+    words = ["".join(rng.choice("etaoinshrdlué'.,ß") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 3000, 100)] + ["", words[0] * 9, "中 \0\n \0x \U0001F600", *words[:20]]
+    got = codec.encode_all(texts)
+    assert [x.tolist() for x in got] == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    assert codec.decode_all(got) == texts and codec.decode_all([]) == [] and codec.encode_all([]) == []
+    assert len(alone) < 10
+
+
+def test_passes_side_by_side_on_other_models():
+    """Merge models as training makes them (a piece joins two earlier ones), some with equal scores or a letter that is no piece."""
+    rng = random.Random(6)
+    for round_ in range(60):
+        plain, names = round_ % 3 > 0, ["a", "b", "c"]
+        while len(names) < 15:
+            joint = rng.choice(names) + rng.choice(names)
+            if joint not in names and len(joint) < 7:
+                names.append(joint)
+        scores = [-float(i // (1 if plain else 2)) for i in range(len(names))]
+        pieces = [("<unk>", 0.0, 2)] + [(p, x, 1) for p, x in zip(names, scores) if plain or p != "c"]
+        codec = sentencepiece_codec.Codec(sentencepiece_codec.PieceModel(pieces, "bpe", False))
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 2 * codec.m.longest))) for _ in range(80)]
+        got = codec.windows(words)
+        assert got == [codec.segment_ids(w) for w in words]
+        if plain:
+            assert [[codec.m.text[i] for i in np.frombuffer(x, np.int32)] for x in got] == [codec.merged(w) for w in words]
+
+
 def test_streamed_unigram_is_the_best_path():
     pieces = [("<unk>", 0.0, 2)] + [(p, s, 1) for p, s in (("a", -2.0), ("b", -2.5), ("ab", -3.0), ("ba", -3.1), ("aab", -3.9), ("bb", -4.0))]
     codec = sentencepiece_codec.Codec(sentencepiece_codec.PieceModel(pieces, "unigram", False))

@@ -8,6 +8,7 @@ For a ``unigram`` model a path's worth is the sum of its piece scores.  A ``bpe`
 sum: it merges the neighbours whose joint piece scores best.  A sequence is what those merges give exactly
 when each two neighbouring pieces are, so for such a model an arc is admitted only if its piece is stable
 beside the piece its predecessor ends with; then each boundary has at most one surviving path.
+Such a model's segments that one window holds make their passes side by side, as arrays.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Segments (in each of two generations) and piece pairs that a worker remembers, and the longest remembered segment.
 MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 150_000, 500_000, 48
+#: Letters of the texts encoded together (a longer text goes alone), segments whose passes run side by side, bits of the slots for their pairs.
+PASS_CHARS, SIDE_BY_SIDE, PAIR_BITS = 1 << 20, 8192, 21
+#: Bits of a letter in a key, and what stands behind a segment's last letter.
+LETTER_BITS, NO_LETTER = 21, (1 << 21) - 1
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -97,6 +102,39 @@ class PieceModel:
         return cls([(p.piece, p.score, p.type) for p in m.pieces], kind, n.add_dummy_prefix)
 
 
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Lookup:
+    """Values of nonnegative keys, all different, asked for by whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slot = _slots(keys, self.bits)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            put = self.keys[slot] == keys
+            self.values[slot[put]] = values[put]
+            keys, values, slot = keys[~put], values[~put], slot[~put] + 1 & len(self.keys) - 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 for a key that is not there."""
+        slot = _slots(keys, self.bits)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            slot[rest] = slot[rest] + 1 & len(self.keys) - 1
+            found = self.keys[slot[rest]]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+
 class Codec:
     def __init__(self, model: PieceModel):
         self.m = model
@@ -108,6 +146,13 @@ class Codec:
         letters = "[" + "".join(map(re.escape, inner)) + (re.escape(SPACE) if spaced else "") + "]" if inner else "(?!)"
         # No piece reaches across the ends of these segments, so all paths converge there.
         self.segments = re.compile(f"{SPACE}*{letters}+|{SPACE}+|.", re.DOTALL)
+        self.raw = pa.array(model.raw, pa.large_binary())
+        if model.kind == "bpe":
+            node = {p: i for i, p in enumerate(["", *model.look])}
+            #: From a beginning of pieces and a letter to the longer beginning, and the piece that a beginning is.
+            self.longer = Lookup(np.array([node[p[:-1]] << LETTER_BITS | ord(p[-1]) for p in model.look], np.int64), np.arange(1, len(node)))
+            self.piece, self.whole = np.array([-1, *model.look.values()], np.int64), np.array(model.whole)
+            self.known = np.full(1 << PAIR_BITS, -1, np.int64)
 
     # -- encoding -------------------------------------------------------------------------------------------
     def merged(self, text: str) -> list[str]:
@@ -144,8 +189,6 @@ class Codec:
         boundary is final once the pass stands on it.
         """
         m, n, out = self.m, len(segment), []
-        if m.kind == "bpe" and n <= 2 * m.longest:
-            return self._window(segment)
         look, score, longest, floor, bpe, pairs = m.look.get, m.score, m.longest, m.floor, m.kind == "bpe", self.pairs
         base, window = 0, 4 * longest
         last: list = [None] * (n + 1 if n <= window else window + longest + 1)
@@ -205,42 +248,57 @@ class Codec:
         self._commit(out, last, back, base, n)
         return out
 
-    def _window(self, segment: str) -> list[int]:
-        """The same for a merge model's segment that one window holds as a whole: nothing is committed before its end."""
-        n, look, longest, known = len(segment), self.m.look.get, self.m.longest, self.pairs.get
-        last: list = [None] * (n + 1)
-        back = [0] * (n + 1)
-        for at in range(n):
-            before = last[at]
-            if before is None and at:
-                continue
-            for end in range(at + 1, min(n, at + longest) + 1):
-                if last[end] is not None:
-                    continue
-                k = look(segment[at:end])
-                if k is None:
-                    if end > at + 1:
-                        break
-                    k = -1 - ord(segment[at])
-                elif k < 0:
-                    if end > at + 1:
-                        continue
-                    k = -1 - ord(segment[at])
-                if before is None:
-                    ok = k < 0 or self.m.whole[k]
-                elif k < 0 or before < 0:
-                    ok = self.merged(self._text(before) + self._text(k)) == [self._text(before), self._text(k)]
-                else:
-                    ok = known(before << 20 | k)
-                    if ok is None:
-                        if len(self.pairs) >= PAIR_ENTRIES:
-                            self.pairs.clear()
-                        ok = self.pairs[before << 20 | k] = self.stable(before, k)
-                if ok:
-                    last[end], back[end] = k, at
-        out: list[int] = []
-        self._commit(out, last, back, 0, n)
-        return out
+    def windows(self, segments: list[str]) -> list[bytes]:
+        """Ids of a merge model's segments that one window holds: the passes of all side by side, nothing is committed before the ends.
+
+        A place of the arrays is the boundary before a letter; each segment has one more, behind its last letter.
+        Arcs are tried in the order of the boundaries that they leave, counted within their segments.
+        """
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
+        ends = np.cumsum(sizes) - 1
+        codes = np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes[ends] = NO_LETTER
+        inside = (np.arange(len(codes)) - np.repeat(ends + 1 - sizes, sizes)).astype(np.int16)
+        start, node, arcs = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
+        for n in range(self.m.longest):
+            node = self.longer(node << LETTER_BITS | codes[start + n])
+            start, node = start[node >= 0], node[node >= 0]
+            k = self.piece[node]
+            arcs.append((start[k >= 0], k[k >= 0], start[k >= 0] + n + 1))
+        start, piece, end = (np.concatenate(x) for x in zip(*arcs))
+        order = np.argsort(inside[start], kind="stable")
+        start, piece, end = start[order], piece[order], end[order]
+        last, back, done = np.full(len(codes), -1, np.int64), np.zeros(len(codes), np.int64), 0
+        for count in np.bincount(inside[start]).tolist():
+            a, k, b = (x[done : done + count] for x in (start, piece, end))
+            if done:
+                live = (last[a] >= 0) & (last[b] < 0)
+                a, k, b = a[live], k[live], b[live]
+                ok = self._stable(last[a], k)
+            else:
+                ok = self.whole[k]
+            last[b[ok]], back[b[ok]] = k[ok], a[ok]
+            done += count
+        passed, at = np.zeros(len(codes), bool), ends[last[ends] >= 0]
+        while len(at):
+            passed[at] = True
+            at = back[at]
+            at = at[inside[at] > 0]
+        ids, stop = last[passed].astype(np.int32).tobytes(), 4 * np.cumsum(passed)[ends]
+        # A segment with a letter that is no piece may have no path here.
+        return [ids[i:j] or self.segment_ids(s) for s, i, j in zip(segments, [0, *stop.tolist()], stop.tolist())]
+
+    def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stable`` of pairs; a slot remembers twice the key of the last pair that met it, and one more if it was stable."""
+        key = a << 20 | b
+        found = self.known[_slots(key, PAIR_BITS)]
+        ok, new = found & 1 == 1, np.flatnonzero(found >> 1 != key)
+        if len(new):
+            pairs, which = np.unique(key[new], return_inverse=True)
+            got = np.array([self.stable(k >> 20, k & 0xFFFFF) for k in pairs.tolist()])
+            ok[new] = got[which]
+            self.known[_slots(pairs, PAIR_BITS)] = pairs << 1 | got
+        return ok
 
     def _text(self, k: int) -> str:
         return self.m.text[k] if k >= 0 else chr(-1 - k)
@@ -266,28 +324,56 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; empty text has none."""
-        if not text:
-            return np.zeros(0, np.int32)
-        text = text.replace(" ", SPACE)
-        memo, words = self.memo, self.segments.findall((SPACE if self.m.add_prefix else "") + text)
-        try:
-            joined = b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > MEMO_ENTRIES:
-                self.older, self.memo = memo, {}
-                memo = self.memo
-            older, long = self.older.get, {}
-            for w in set(words):
-                if w not in memo:
-                    (memo if len(w) <= MEMO_CHARS else long)[w] = older(w) or self.segment_ids(w)
-            joined = b"".join(memo[w] if w in memo else long[w] for w in words)
-        return np.frombuffer(joined, dtype=np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        out, some, size = [], [], 0
+        for text in texts:
+            if some and size + len(text) > PASS_CHARS:
+                out += self._encode(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        m, prefix = self.m, SPACE if self.m.add_prefix else ""
+        words = [self.segments.findall(prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.memo) > MEMO_ENTRIES:
+            self.older, self.memo = self.memo, {}
+        memo, older, long, aside = self.memo, self.older.get, {}, []
+        for w in {w for some in words for w in some if w not in memo}:
+            ids = older(w)
+            if ids is not None:
+                memo[w] = ids
+            elif m.kind == "bpe" and len(w) <= 2 * m.longest:
+                aside.append(w)
+            else:
+                (memo if len(w) <= MEMO_CHARS else long)[w] = self.segment_ids(w)
+        for k in range(0, len(aside), SIDE_BY_SIDE):
+            some = aside[k : k + SIDE_BY_SIDE]
+            for w, ids in zip(some, self.windows(some)):
+                (memo if len(w) <= MEMO_CHARS else long)[w] = ids
+        known = (lambda w: memo[w] if w in memo else long[w]) if long else memo.__getitem__
+        return [np.frombuffer(b"".join(map(known, some)), np.int32) if some else np.zeros(0, np.int32) for some in words]
 
     # -- decoding -------------------------------------------------------------------------------------------
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are no UTF-8 become replacement characters."""
-        raw = b"".join(map(self.m.raw.__getitem__, ids)).decode("utf-8", errors="replace").replace(SPACE, " ")
-        return raw[1:] if self.m.add_prefix and raw.startswith(" ") else raw
+        return self.decode_all([np.asarray(ids, np.int32)])[0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids."""
+        stops = np.cumsum([0, *map(len, ids)])
+        if not stops[-1]:
+            return [""] * len(ids)
+        _, offsets, data = self.raw.take(pa.array(np.concatenate(ids))).buffers()
+        ends, data, out = np.frombuffer(offsets, np.int64)[stops].tolist(), memoryview(data or b""), []
+        for a, b in zip(ends, ends[1:]):
+            text = str(data[a:b], "utf-8", "replace").replace(SPACE, " ")
+            out.append(text[1:] if self.m.add_prefix and text.startswith(" ") else text)
+        return out
 
 
 _worker_codec: Codec | None = None
@@ -315,8 +401,8 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
         for batch in batches:
             for k in range(0, batch.num_rows, rows_a_pass):
                 part = batch.slice(k, rows_a_pass)
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x.tolist()) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
+                ids = codec.encode_all([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode_all(ids), pa.string())], names=[id_col, "ids", "decoded"])
 
     return src.mapInArrow(encoded, f"{id_col} {kind}, ids array<int>, decoded string")
 
@@ -335,8 +421,8 @@ def encoding_digest(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
             for k in range(0, batch.num_rows, rows_a_pass):
                 part = batch.slice(k, rows_a_pass)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [codec.encode(t) for t in texts]
-                same = [codec.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, texts)]
+                ids = codec.encode_all(texts)
+                same = [x == t.replace(SPACE, " ") for x, t in zip(codec.decode_all(ids), texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), pa.array(same)],
                     names=[id_col, "n_bytes", "n_ids", "ids_sha256", "round_trip"],
