@@ -22,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release
+
 SPACE = "▁"
-#: Segments (in each of two generations) and piece pairs that a worker remembers, and the longest remembered segment.
-MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 150_000, 500_000, 48
+#: Segments (in each of two generations, about 200 bytes each) and piece pairs that a worker remembers, and the longest remembered segment.
+MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 50_000, 100_000, 48
 #: Letters of the texts encoded together (a longer text goes alone), segments whose passes run side by side, bits of the slots for their pairs.
-PASS_CHARS, SIDE_BY_SIDE, PAIR_BITS = 1 << 20, 8192, 21
+PASS_CHARS, SIDE_BY_SIDE, PAIR_BITS = 1 << 18, 2048, 19
 #: Bits of a letter in a key, and what stands behind a segment's last letter.
 LETTER_BITS, NO_LETTER = 21, (1 << 21) - 1
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -384,6 +386,7 @@ def _codec(model: PieceModel) -> Codec:
     global _worker_codec
     if _worker_codec is None or _worker_codec.m.key != model.key:
         _worker_codec = Codec(model)
+        release()
     return _worker_codec
 
 
@@ -403,6 +406,8 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
                 part = batch.slice(k, rows_a_pass)
                 ids = codec.encode_all([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode_all(ids), pa.string())], names=[id_col, "ids", "decoded"])
+            batch = part = ids = None
+            release()
 
     return src.mapInArrow(encoded, f"{id_col} {kind}, ids array<int>, decoded string")
 
@@ -427,6 +432,8 @@ def encoding_digest(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
                     [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), pa.array(same)],
                     names=[id_col, "n_bytes", "n_ids", "ids_sha256", "round_trip"],
                 )
+            batch = part = texts = ids = same = None
+            release()
 
     return src.mapInArrow(digested, f"{id_col} {kind}, n_bytes bigint, n_ids bigint, ids_sha256 string, round_trip boolean")
 
