@@ -1,9 +1,12 @@
 """Receipts in batches: each stored once, summaries from partial sums, nothing from a batch that was not finished."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracequarry.operators import metrics
+from tracequarry.plans.catalogue import QUERIES
 from tracequarry.sources.fixtures import receipts as receipts_view
 from tracequarry.streaming.ledger import Ledger
 
@@ -89,3 +92,65 @@ def test_batches_of_many_keys_ask_no_filter(spark, receipts, tmp_path, monkeypat
     assert bag(ledger.rows()) == bag(receipts.unionByName(odd).unionByName(odd))
     monkeypatch.undo()
     assert len(ledger.append(receipts.where("problem_id < 40"), 2)) > 0 and ledger.rows().count() == receipts.count() + 4
+
+
+def files_of_shuffles(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = manager.getAllFiles()
+    return {str(found.apply(i).getName()) for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffled_files_go_with_their_query(spark, receipts, tmp_path, monkeypatch):
+    """A batch of many keys, dealt out in five rounds, leaves no shuffled files, and the session's setting as it was."""
+    monkeypatch.setattr("tracequarry.streaming.ledger.MANY", 1000)
+    monkeypatch.setattr("tracequarry.streaming.ledger.ROWS_A_ROUND", 3000)
+    ledger = Ledger(spark, str(tmp_path / "ledger"), receipts.schema)
+    receipts.count()
+    before, name = files_of_shuffles(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    ledger.append(receipts, 0)
+    for _ in range(50):  # they are deleted a moment later
+        if files_of_shuffles(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert files_of_shuffles(spark) <= before and spark.conf.get(name, None) == was
+    assert len(ledger.append(receipts.unionByName(receipts.withColumn("budget", F.col("budget") + 1)), 1)) == 32
+    assert ledger.rows().count() == 2 * receipts.count() and ledger.rows().dropDuplicates(ledger.key).count() == 2 * receipts.count()
+
+
+def test_rows_of_a_problem_are_dealt_out_together(spark, receipts, tmp_path):
+    """Filters are marked by problem, not by row, and a batch's rows are shuffled once, with or without old keys."""
+    ledger = Ledger(spark, str(tmp_path / "ledger"), receipts.schema)
+    ledger.append(receipts, 0)
+    stored = spark.read.parquet(str(tmp_path / "ledger/rows/batch=0"))
+    assert stored.groupBy("problem_id").agg(F.count_distinct("bucket").alias("n")).where("n > 1").count() == 0
+    assert spark.read.parquet(str(tmp_path / "ledger/filters/batch=0")).count() <= 2 * 600
+    rows = stored.select(*COLUMNS, "bucket")
+    for old in (None, rows):
+        plan = ledger._fresh(rows, old, 32)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(problem_id") == plan.count("Exchange ") == 1
+
+
+def test_odd_keys_of_many_rows(spark, receipts, tmp_path, monkeypatch):
+    """Null problems and arms, equal rows among them, in rounds: all are stored each time, and keys once."""
+    monkeypatch.setattr("tracequarry.streaming.ledger.MANY", 1000)
+    monkeypatch.setattr("tracequarry.streaming.ledger.ROWS_A_ROUND", 2000)
+    ledger = Ledger(spark, str(tmp_path / "ledger"), receipts.schema)
+    some = receipts.where("problem_id < 100")
+    lost = some.limit(70).withColumn("problem_id", F.lit(None).cast("long"))
+    odd = lost.unionByName(lost).unionByName(some.where("problem_id < 3").withColumn("arm", F.lit(None).cast("string")))
+    n = odd.count()
+    for k in range(2):
+        ledger.append(some.unionByName(some).unionByName(odd).repartition(3), k)
+        assert ledger.rows().count() == some.count() + (k + 1) * n
+    ledger.append(odd.unionByName(some.limit(5)), 2)  # a small batch
+    assert bag(ledger.rows()) == bag(some.unionByName(odd).unionByName(odd).unionByName(odd))
+    assert bag(ledger.refresh()) == bag(metrics.cell_summary(ledger.rows()))
+
+
+def test_receipts_stream_keeps_no_batch_as_it_arrived(spark, monkeypatch):
+    """When a batch is stored, its folder holds the files of that batch alone."""
+    seen, append, at = [], Ledger.append, "/root/testdata/sf0.001"
+    monkeypatch.setattr(Ledger, "append", lambda self, batch, k: (seen.append((batch.count(), spark.read.parquet(self.path.replace("/ledger", "/in")).count())), append(self, batch, k))[1])
+    assert len(QUERIES["receipts_stream"](spark, at).collect()) == 24
+    assert len(seen) == 5 and all(own == all_ for own, all_ in seen)

@@ -10,7 +10,7 @@ from ..functions import registers as R
 from ..functions import text as T
 from ..functions.sql import register_sql_functions
 from ..operators import collate, contrast, curriculum, energy, rollups, stopping, summaries
-from ..session import delete_folder, shared_folder
+from ..session import delete_folder, shared_folder, swept
 from ..sources import records, versions
 from ..sources.fixtures import RECEIPTS_SQL, TAGGED_SQL, TRACES_SQL, spread, table, tagged_traces, traces
 from ..sources.fixtures import receipts as receipts_view
@@ -77,12 +77,14 @@ def receipts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = shared_folder(spark, "receipts")
     rows = receipts_view(spark, sf_dir).select("problem_id", "arm", "budget", "is_correct", "truncated", "tokens_emitted", "mj")
     ledger = Ledger(spark, f"{base}/ledger", rows.schema)
-    for k in (0, 1, 2, 3, 1):
-        rows.where(F.pmod("problem_id", F.lit(4)) == k).write.mode("append").parquet(f"{base}/in")
-        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-        ledger.run(source, f"{base}/checkpoint", every=2, report=lambda summary: summary.collect()).awaitTermination()
-    summary = ledger.refresh()
-    told = spark.createDataFrame(summary.collect(), summary.schema)  # a row for each arm and budget
+    with swept(spark):
+        for k in (0, 1, 2, 3, 1):
+            rows.where(F.pmod("problem_id", F.lit(4)) == k).write.mode("append").parquet(f"{base}/in")
+            source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+            ledger.run(source, f"{base}/checkpoint", every=2, report=lambda summary: summary.collect()).awaitTermination()
+            delete_folder(spark, f"{base}/in")  # what is stored need not be kept as it arrived
+        summary = ledger.refresh()
+        told = spark.createDataFrame(summary.collect(), summary.schema)  # a row for each arm and budget
     delete_folder(spark, base)
     return told
 

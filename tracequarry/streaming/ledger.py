@@ -1,10 +1,12 @@
 """Receipts that arrive in batches: stored once each, with a log of what is whole and summaries that cost the new rows only.
 
 A batch is a folder of its own, named by its id, so a batch that is run again writes over its own rows and nobody else's.  Only when rows, key
-filter and partial sums are written is the batch entered in the log; readers take what the log names, so a crash before that adds nothing.  A
-batch's rows are dealt into buckets by key, each with a key filter (a Bloom filter, one row for 64 bits), which tell which buckets of which
-earlier batches may hold one of the new keys; only their rows are read.  A batch of so many keys that by chance alone each bucket's filter would
-be hit asks no filter and is joined with the keys of all earlier rows.
+filter and partial sums are written is the batch entered in the log; readers take what the log names, so a crash before that adds nothing.  The
+lead of a key is what of it is no cell: the problem.  A batch's rows are dealt into buckets by lead, so rows of a problem stay beside each other
+and are small in shuffles and files.  Each bucket has a filter of its leads (a Bloom filter, one row for 64 bits); these tell which buckets of which
+earlier batches may hold one of the new leads; only their keys are read.  A batch of so many rows that by chance alone each bucket's filter would
+be hit asks no filter; its leads are joined with those of all earlier batches.  A batch's rows are shuffled once, some buckets after the others, and
+shuffled files go when their query is done, so a large batch asks no more room for them than a small one.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import cells_of, summarised
 from ..operators.receipts import KEY
+from ..session import swept
 
-#: Buckets of a batch, bits of a filter for each key, the words of 64 bits that a key marks and its bits in each, and the least bits of a filter.
-#: Far less than one of 9000 foreign keys hits a filter.
-BUCKETS, BITS_A_KEY, WORDS, BITS, LEAST_BITS = 32, 32, 2, 4, 1 << 10
+#: Buckets of a batch, bits of a filter for each lead, the words of 64 bits that a lead marks and its bits in each, and the least bits of a filter.
+#: Far less than one of 9000 foreign leads hits a filter.
+BUCKETS, BITS_A_LEAD, WORDS, BITS, LEAST_BITS = 32, 32, 2, 4, 1 << 10
 #: Rows of a batch beyond which filters would be hit by chance in about every bucket.
 MANY = 1 << 20
+#: Rows that a task gets when a batch is dealt out, and rows that are dealt out at a time, about; a batch has as many rounds at most as buckets.
+ROWS_A_PART, ROWS_A_ROUND = 1 << 19, 1 << 26
 CELL = ("arm", "budget")
 
 
@@ -30,7 +35,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str, schema, key=tuple(KEY), cell=CELL):
         self.spark, self.path, self.key, self.cell = spark, path.rstrip("/"), list(key), list(cell)
-        self.schema = schema
+        self.schema, self.lead = schema, [k for k in self.key if k not in self.cell] or self.key
 
     # -- the log ------------------------------------------------------------------------------------------------
     def _fs(self, path: str):
@@ -66,10 +71,10 @@ class Ledger:
 
     # -- filters ------------------------------------------------------------------------------------------------
     def _marks(self, bits: Column) -> Column:
-        """The words (``word``, ``bits``) that a row's key marks in a filter of ``bits`` bits (a power of two)."""
+        """The words (``word``, ``bits``) that a row's lead marks in a filter of ``bits`` bits (a power of two)."""
 
         def mark(k: int) -> Column:
-            h = F.xxhash64(F.lit(4 + k), *self.key)
+            h = F.xxhash64(F.lit(4 + k), *self.lead)
             one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
             own = one(0)
             for i in range(1, BITS):
@@ -79,28 +84,38 @@ class Ledger:
         return F.array(*map(mark, range(WORDS)))
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.lit(2), *self.key), F.lit(BUCKETS).cast("long"))
+        """A lead's bucket, by the hash that repartition() uses: of parts that are a multiple of BUCKETS each has rows of one bucket."""
+        return F.pmod(F.hash(*self.lead), F.lit(BUCKETS)).cast("long")
 
-    def _filter(self, stored: DataFrame, n: int) -> DataFrame:
+    def _filter(self, stored: DataFrame) -> DataFrame:
         """(bucket, size, word, bits): a row for each 64 bits that are not all zero."""
-        size = max(LEAST_BITS, 1 << max(0, (n * BITS_A_KEY // BUCKETS - 1).bit_length()))
-        marks = stored.select("bucket", F.explode(self._marks(F.lit(size))).alias("m"))
+        leads = stored.dropna(subset=self.lead).select("bucket", *self.lead).distinct()
+        size = max(LEAST_BITS, 1 << max(0, (leads.count() * BITS_A_LEAD // BUCKETS - 1).bit_length()))
+        marks = leads.select("bucket", F.explode(self._marks(F.lit(size))).alias("m"))
         words = marks.groupBy("bucket", "m.word").agg(F.bit_or("m.bits").alias("bits"))
         return words.select("bucket", F.lit(size).cast("long").alias("size"), "word", "bits")
 
     def may_hold(self, keys: DataFrame, batches: list[int]) -> list[tuple[int, int]]:
-        """The (batch, bucket) of ``batches`` whose filter has all marks of some key."""
+        """The (batch, bucket) of ``batches`` whose filter has all marks of some key's lead."""
         filters = self._read("filters", self._folders("filters", batches), "bucket long, size long, word long, bits long")
         sizes = [r["size"] for r in filters.select("size").distinct().collect()]  # powers of two: a few
         if not sizes:
             return []
-        asked = keys.select(*self.key).distinct().withColumn("_id", F.xxhash64(F.lit(3), *self.key)).withColumn("bucket", self._bucket())
+        asked = keys.dropna(subset=self.key).select(*self.lead).distinct().withColumn("_id", F.xxhash64(F.lit(3), *self.lead)).withColumn("bucket", self._bucket())
         asked = asked.withColumn("size", F.explode(F.array(*(F.lit(s).cast("long") for s in sizes))))
         asked = asked.select("_id", "bucket", "size", F.explode(self._marks(F.col("size"))).alias("m")).select("_id", "bucket", "size", "m.word", F.col("m.bits").alias("own"))
         hit = asked.join(filters, ["bucket", "size", "word"]).where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own"))
         full = hit.groupBy("_id", "size", "bucket", "batch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORDS)
         return sorted((r["batch"], r["bucket"]) for r in full.select("batch", "bucket").distinct().collect())
 
+    def holds(self, keys: DataFrame, batches: list[int]) -> list[tuple[int, int]]:
+        """The (batch, bucket) of ``batches`` with a row of some key's lead."""
+        if not batches:
+            return []
+        stored = self._read("rows", self._folders("rows", batches), self.schema).select("batch", "bucket", *self.lead).distinct()
+        met = stored.join(keys.dropna(subset=self.key).select(*self.lead).distinct(), self.lead).select("batch", "bucket").distinct()
+        return sorted((r["batch"], r["bucket"]) for r in met.collect())
+
     # -- writing ------------------------------------------------------------------------------------------------
     def append(self, batch: DataFrame, batch_id: int) -> list[tuple[int, int]] | None:
         """Store the receipts of ``batch`` whose key no earlier batch has; null keys never meet and are all stored.
@@ -110,32 +125,42 @@ class Ledger:
         logged = self.batches()
         if batch_id in logged:
             return None
-        first = batch.where(" OR ".join(f"{k} IS NULL" for k in self.key)).unionByName(batch.dropna(subset=self.key).dropDuplicates(self.key))
-        size = batch.count()
-        many = size > MANY
-        if many:
-            held = [(b, c) for b in logged for c in range(BUCKETS)]
-            old = self._read("rows", self._folders("rows", logged), self.schema).select(*self.key)
-        else:
-            first = first.persist()
-            held = self.may_hold(first, logged)
-            old = self._read("rows", [f"{self.path}/rows/batch={b}/bucket={c}" for b, c in held], self.schema).select(*self.key)
-        fresh = first.join(old, self.key, "left_anti") if held else first
-        # A folder for each bucket; a bucket's rows are in as many parts as there are times MANY / BUCKETS of them.
-        parts = -(-size // MANY) if many else 1
-        part = F.pmod(F.xxhash64(F.lit(9), *self.key), F.lit(parts).cast("long"))
-        fresh = fresh.select(*self.schema.names, self._bucket().alias("bucket"))
-        self._write(fresh.repartition(2 * BUCKETS * parts, "bucket", part) if many else fresh.repartition("bucket"), "rows", batch_id, "bucket")
-        stored = self._read("rows", self._folders("rows", [batch_id]), self.schema)
-        self._write(self._filter(stored, stored.count()), "filters", batch_id)
-        self._write(cells_of(stored, self.cell), "sums", batch_id)
-        self._enter(batch_id)
-        if not many:
-            first.unpersist()
+        with swept(self.spark, batch.sparkSession):
+            size = batch.count()
+            many = size > MANY
+            if not many:
+                batch = batch.persist()
+            held = (self.holds if many else self.may_hold)(batch, logged)
+            rows = batch.select(*self.schema.names, self._bucket().alias("bucket"))
+            self._write(rows.where(" OR ".join(f"{k} IS NULL" for k in self.key)), "rows", batch_id, "bucket")
+            known = lambda some: self._read("rows", [f"{self.path}/rows/batch={b}/bucket={c}" for b, c in some], self.schema)
+            n_old = known(held).count() if held else 0
+            a_bucket = size // BUCKETS + n_old // max(1, len({c for _, c in held}))
+            rounds = min(BUCKETS, -(-(size + n_old) // ROWS_A_ROUND))
+            for r in range(rounds):
+                own = [(b, c) for b, c in held if c % rounds == r]
+                fresh = self._fresh(rows.where(F.col("bucket") % rounds == r), known(own) if own else None, BUCKETS * (1 + a_bucket // ROWS_A_PART))
+                self._write(fresh, "rows", batch_id, "bucket", mode="append")
+            stored = self._read("rows", self._folders("rows", [batch_id]), self.schema)
+            self._write(self._filter(stored), "filters", batch_id)
+            self._write(cells_of(stored, self.cell), "sums", batch_id)
+            self._enter(batch_id)
+            if not many:
+                batch.unpersist()
         return held
 
-    def _write(self, df: DataFrame, kind: str, batch_id: int, *by: str) -> None:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{kind}/batch={batch_id}")
+    def _fresh(self, rows: DataFrame, old: DataFrame | None, parts: int) -> DataFrame:
+        """One of ``rows`` for each key, if it has no null and is not in ``old``: both are dealt out once, by lead, and grouped where they are."""
+        rows = rows.withColumn("_old", F.lit(False))
+        if old is not None:
+            rows = rows.unionByName(old.select(*self.key, "bucket", F.lit(True).alias("_old")), allowMissingColumns=True)
+        dealt = rows.dropna(subset=self.key).repartition(parts, *self.lead)
+        others = [F.first(c).alias(c) for c in self.schema.names if c not in self.key]
+        once = dealt.groupBy(*self.key, "bucket").agg(F.bool_or("_old").alias("_old"), *others)
+        return once.where(~F.col("_old")).select(*self.schema.names, "bucket")
+
+    def _write(self, df: DataFrame, kind: str, batch_id: int, *by: str, mode: str = "overwrite") -> None:
+        df.write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{kind}/batch={batch_id}")
 
     # -- reports ------------------------------------------------------------------------------------------------
     def _sums(self, kind: str, batches: list[int]) -> DataFrame:
