@@ -83,9 +83,9 @@ class Ledger:
 
         return F.array(*map(mark, range(WORDS)))
 
-    def _bucket(self) -> Column:
-        """A lead's bucket, by the hash that repartition() uses: of parts that are a multiple of BUCKETS each has rows of one bucket."""
-        return F.pmod(F.hash(*self.lead), F.lit(BUCKETS)).cast("long")
+    def _bucket(self, buckets: int = BUCKETS) -> Column:
+        """A lead's bucket; one of a multiple of BUCKETS has rows of one bucket only."""
+        return F.pmod(F.xxhash64(F.lit(2), *self.lead), F.lit(buckets).cast("long"))
 
     def _filter(self, stored: DataFrame) -> DataFrame:
         """(bucket, size, word, bits): a row for each 64 bits that are not all zero."""
@@ -154,9 +154,9 @@ class Ledger:
         rows = rows.withColumn("_old", F.lit(False))
         if old is not None:
             rows = rows.unionByName(old.select(*self.key, "bucket", F.lit(True).alias("_old")), allowMissingColumns=True)
-        dealt = rows.dropna(subset=self.key).repartition(parts, *self.lead)
+        dealt = rows.dropna(subset=self.key).withColumn("_part", self._bucket(parts).cast("int")).repartitionById(parts, "_part")
         others = [F.first(c).alias(c) for c in self.schema.names if c not in self.key]
-        once = dealt.groupBy(*self.key, "bucket").agg(F.bool_or("_old").alias("_old"), *others)
+        once = dealt.groupBy(*self.key, "bucket", "_part").agg(F.bool_or("_old").alias("_old"), *others)
         return once.where(~F.col("_old")).select(*self.schema.names, "bucket")
 
     def _write(self, df: DataFrame, kind: str, batch_id: int, *by: str, mode: str = "overwrite") -> None:
